@@ -8,10 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridelake.operators import aggregates, lists, ranked, wide
+from ridelake.operators import aggregates, lists, matching, pricing, ranked, wide
 from ridelake.operators.common import Tables
+from ridelake.oracle.pricing_sql import PRICING_SQL
 from ridelake.oracle.reports_sql import REPORTS_SQL
 from ridelake.oracle.tables_sql import with_ride_tables
+from ridelake.sources.feeds import FEEDS, feed
 
 AS_OF = "1998-08-02 00:00:00"
 RANGE = {"start": "1997-01-01", "end": "1998-06-30"}
@@ -109,9 +111,63 @@ def _reports() -> dict[str, tuple[str, Callable[[Tables], DataFrame]]]:
     }
 
 
+def _pricing() -> dict[str, tuple[str, Callable[[Tables], DataFrame]]]:
+    def estimates(t: Tables) -> DataFrame:
+        return pricing.trip_estimate(feed(t, "trips"))
+
+    def quote(t: Tables) -> DataFrame:
+        pending = pricing.pending_requests(t)
+        return pricing.fare_quote(estimates(t), t["fare_rules"], pending).select(
+            "trip_id", "distance_km", "duration_min", "fare", "surge_multiplier", "surge_applied",
+            "fallback", "base_fare", "distance_cost", "time_cost",
+        )
+
+    def default_fare(t: Tables) -> DataFrame:
+        return pricing.fare_quote(estimates(t), t["fare_rules"]).select(
+            "trip_id", pricing.booking_fare(F.col("vehicle_type")).alias("booking_fare"), "fare",
+            "fallback",
+        )
+
+    def split(t: Tables) -> DataFrame:
+        return pricing.commission_split(t["payments"].select("payment_id", "amount"))
+
+    def promo(mode: str) -> Callable[[Tables], DataFrame]:
+        return lambda t: pricing.apply_promo(feed(t, "promo_fares"), t["promo_code"], AS_OF[:10], mode)
+
+    return {
+        "trip_distances": ("GP1, GP2", lambda t: pricing.trip_distances(feed(t, "trips"))),
+        "nearest_driver": ("GP3", lambda t: matching.nearest_driver(t, feed(t, "open_pickups"))),
+        "drivers_within_radius": (
+            "GP4", lambda t: matching.drivers_within_radius(t, feed(t, "open_pickups"))
+        ),
+        "premium_drivers_within_10_km": (
+            "GP4",
+            lambda t: matching.drivers_within_radius(t, feed(t, "open_pickups"), 10, "Premium"),
+        ),
+        "trip_estimate": (
+            "GP5", lambda t: estimates(t).select("trip_id", "distance_km", "duration_min")
+        ),
+        "fare_quote": ("GP6", quote),
+        "fare_breakdown": ("GP7", lambda t: pricing.fare_breakdown(estimates(t), t["fare_rules"])),
+        "peak_surge": (
+            "GP8", lambda t: pricing.peak_surge(feed(t, "trips"), t["fare_rules"], "Asia/Karachi")
+        ),
+        "demand_surge": ("GP9", pricing.demand_snapshot),
+        "demand_history": ("GP9", lambda t: pricing.demand_history(t, threshold=3)),
+        "default_fare": ("GP10", default_fare),
+        "resolve_addresses": (
+            "GP11", lambda t: pricing.resolve_addresses(feed(t, "addressed_trips"), t["location"])
+        ),
+        "apply_promo": ("GP12", promo("reject")),
+        "apply_promo_or_ignore": ("GP12", promo("ignore")),
+        "commission_split": ("GP13", split),
+    }
+
+
 def all_queries() -> dict[str, Query]:
+    checks = {**REPORTS_SQL, **PRICING_SQL}
     out = {}
-    for name, (survey_id, run) in _reports().items():
-        sql = REPORTS_SQL.get(name)
-        out[name] = Query(survey_id, run, with_ride_tables(sql) if sql else None)
+    for name, (survey_id, run) in {**_reports(), **_pricing()}.items():
+        sql = checks.get(name)
+        out[name] = Query(survey_id, run, with_ride_tables(sql, FEEDS) if sql else None)
     return out
