@@ -45,3 +45,10 @@ def less_discount(fare: Column, discount: Column) -> Column:
 def mean(total: Column, n: Column) -> Column:
     """Average to six places as a double, NULL over no rows."""
     return F.round(F.try_divide(total.cast("double"), n), 6)
+
+
+def rating2(total: Column, n: Column) -> Column:
+    """Mean of whole scores to two places, half up, in integer arithmetic."""
+    total, n = total.cast("bigint"), n.cast("bigint")
+    hundredths = F.floor((total * 200 + n) / (n * 2))
+    return (hundredths.cast("decimal(10,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(3,2)")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridelake.functions.money import (
-    commission, commission2, driver_net, driver_net2, mean, money,
+    commission, commission2, driver_net, driver_net2, mean, money, rating2,
 )
 from ridelake.functions.text import fold
 from ridelake.functions.timeops import between_days
@@ -335,9 +335,10 @@ def all_riders_report(t: Tables, with_wallet: bool = False) -> DataFrame:
 
 
 def received_scores(t: Tables) -> DataFrame:
-    """Unrounded mean and number of ratings per rated user."""
+    """Unrounded mean, its stored two-place form and number of ratings per rated user."""
     return t["ratings"].groupBy(F.col("rated_user_id").alias("user_id")).agg(
-        F.avg("score").alias("avg_score"), F.count("rating_id").alias("total_ratings")
+        F.avg("score").alias("avg_score"), F.count("rating_id").alias("total_ratings"),
+        rating2(F.sum("score"), F.count("score")).alias("stored_rating"),
     )
 
 
@@ -418,8 +419,7 @@ def avg_rating_by_driver(t: Tables) -> DataFrame:
     return (
         drivers.join(received_scores(t), "user_id")
         .select(
-            "driver_id", F.round("avg_score", 6).alias("avg_rating"),
-            F.col("avg_score").cast("decimal(3,2)").alias("stored_rating"),
+            "driver_id", F.round("avg_score", 6).alias("avg_rating"), "stored_rating",
         )
         .orderBy(F.desc("avg_rating"), "driver_id")
     )
@@ -427,7 +427,7 @@ def avg_rating_by_driver(t: Tables) -> DataFrame:
 
 def refreshed_driver_ratings(t: Tables) -> DataFrame:
     """Driver snapshot with ``average_rating`` recomputed from the ratings received."""
-    scores = received_scores(t).select("user_id", F.col("avg_score").cast("decimal(3,2)").alias("_new"))
+    scores = received_scores(t).select("user_id", F.col("stored_rating").alias("_new"))
     return t["driver"].join(scores, "user_id", "left").select(
         *[
             F.coalesce("_new", "average_rating").alias(c) if c == "average_rating" else F.col(c)

@@ -316,10 +316,10 @@ GROUP BY 1, 2""",
   count(*) FILTER (payment_status = 'failed') AS total_failed, count(*) AS total_disputes
 FROM payments WHERE payment_status IN ('refunded', 'failed')""",
     "avg_rating_by_driver": """SELECT driver_id, round(avg(score), 6) AS avg_rating,
-  CAST(round(avg(score), 2) AS DECIMAL(3,2)) AS stored_rating
+  CAST((sum(score) * 200 + count(*)) // (2 * count(*)) * 0.01 AS DECIMAL(3,2)) AS stored_rating
 FROM driver JOIN ratings ON rated_user_id = user_id GROUP BY driver_id""",
     "refreshed_driver_ratings": """SELECT d.* REPLACE (coalesce(
-    (SELECT CAST(round(avg(score), 2) AS DECIMAL(3,2)) FROM ratings WHERE rated_user_id = d.user_id),
+    (SELECT CAST((sum(score) * 200 + count(*)) // (2 * count(*)) * 0.01 AS DECIMAL(3,2)) FROM ratings WHERE rated_user_id = d.user_id),
     average_rating) AS average_rating)
 FROM driver d""",
     # ranked

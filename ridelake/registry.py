@@ -8,12 +8,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridelake.operators import aggregates, lists, matching, pricing, ranked, wide
+from ridelake.operators import (
+    aggregates, audit, changes, lifecycle, lists, matching, pricing, ranked, wide,
+)
 from ridelake.operators.common import Tables
+from ridelake.oracle.jobs_sql import JOBS_SQL
 from ridelake.oracle.pricing_sql import PRICING_SQL
 from ridelake.oracle.reports_sql import REPORTS_SQL
 from ridelake.oracle.tables_sql import with_ride_tables
+from ridelake.sources import ingest
 from ridelake.sources.feeds import FEEDS, feed
+from ridelake.sources.legacy import upgrade_legacy_schema
+from ridelake.sources.tables import table_profile
 
 AS_OF = "1998-08-02 00:00:00"
 RANGE = {"start": "1997-01-01", "end": "1998-06-30"}
@@ -164,10 +170,134 @@ def _pricing() -> dict[str, tuple[str, Callable[[Tables], DataFrame]]]:
     }
 
 
+def _jobs() -> dict[str, tuple[str, Callable[[Tables], DataFrame]]]:
+    def booking(t):
+        return lifecycle.match_ride_requests(feed(t, "ride_requests"), t["vehicles"])
+
+    def statuses(t):
+        return lifecycle.apply_status_changes(
+            feed(t, "status_changes"), t["rides"], t["driver"], t["vehicles"]
+        )
+
+    def actions(t):
+        return lifecycle.accept_reject_cancel(feed(t, "ride_actions"), t["rides"], t["driver"])
+
+    def settlement(t):
+        return lifecycle.settle_payments(
+            feed(t, "payment_requests"), t["rides"], t["payments"], t["promo_code"], AS_OF[:10]
+        )
+
+    def completion(t):
+        return lifecycle.complete_rides(
+            t, feed(t, "ride_completions"), AS_OF[:10], pending=pricing.pending_requests(t)
+        )
+
+    def rating(t):
+        return lifecycle.accept_ratings(feed(t, "rating_requests"), t["rides"], t["ratings"])
+
+    def accounts(t):
+        return changes.change_account_status(t["users"], feed(t, "account_changes"))
+
+    def refunds(t):
+        return changes.process_refunds(t["payments"], feed(t, "refund_requests"))
+
+    def new_vehicles(t, completing=False):
+        return ingest.ingest_vehicles(
+            feed(t, "vehicle_requests"), t["driver"], t["vehicles"], completing
+        )
+
+    def registering(t):
+        return ingest.ingest_registrations(feed(t, "registrations"), t["users"])
+
+    def audit_events(t):
+        paid = settlement(t)
+        return lifecycle.parse_audit_events(
+            t["ride_history"].unionByName(paid["history"]), t["payments"].unionByName(paid["payments"])
+        )
+
+    def legacy_users(t):
+        old = t["users"].drop("wallet_balance", "city")
+        return upgrade_legacy_schema(old, "users")
+
+    def completed_profiles(t):
+        return changes.change_drivers(t["driver"], new_vehicles(t, True)["driver_changes"])["snapshot"]
+
+    return {
+        "table_profile": ("SRC1", table_profile),
+        "legacy_users_upgraded": ("SRC3", legacy_users),
+        "ping_decisions": ("SRC4", lambda t: ingest.judge_pings(feed(t, "ping_requests"), t["driver"])),
+        "vehicle_request_decisions": ("SRC5", lambda t: new_vehicles(t)["decided"]),
+        "new_vehicles": ("SRC5", lambda t: new_vehicles(t)["vehicles"]),
+        "drivers_after_profile_completion": ("SRC5", completed_profiles),
+        "first_pings": ("SRC5", lambda t: new_vehicles(t, True)["pings"]),
+        "registration_decisions": ("SRC6", lambda t: registering(t)["decided"]),
+        "registered_drivers": ("SRC6", lambda t: registering(t)["driver"]),
+        "complaint_decisions": (
+            "SRC7",
+            lambda t: ingest.ingest_complaints(feed(t, "complaint_requests"), t["rides"])["decided"],
+        ),
+        "constraint_audit": ("SRC8", audit.constraint_audit),
+        "ride_request_decisions": ("LC1", lambda t: booking(t)["decided"]),
+        "booked_rides": ("LC1", lambda t: booking(t)["rides"]),
+        "booked_locations": ("LC1", lambda t: booking(t)["locations"]),
+        "status_change_decisions": ("LC2", lambda t: statuses(t)["decided"]),
+        "rides_after_status_changes": ("LC2", lambda t: statuses(t)["rides"]),
+        "drivers_after_status_changes": ("LC2", lambda t: statuses(t)["driver"]),
+        "vehicles_after_status_changes": ("LC2", lambda t: statuses(t)["vehicles"]),
+        "ride_action_decisions": ("LC3", lambda t: actions(t)["decided"]),
+        "rides_after_actions": ("LC3", lambda t: actions(t)["rides"]),
+        "drivers_after_actions": ("LC3", lambda t: actions(t)["driver"]),
+        "payment_decisions": ("LC4", lambda t: settlement(t)["decided"]),
+        "settled_payments": ("LC4", lambda t: settlement(t)["payments"]),
+        "payment_audit_entries": ("LC4", lambda t: settlement(t)["history"]),
+        "ride_completion_decisions": ("LC5", lambda t: completion(t)["decided"]),
+        "rides_after_completion": ("LC5", lambda t: completion(t)["rides"]),
+        "drivers_after_completion": ("LC5", lambda t: completion(t)["driver"]),
+        "weekly_payouts": ("LC6", lambda t: lifecycle.weekly_payouts(t, AS_OF)["decided"]),
+        "rating_decisions": ("LC7", lambda t: rating(t)["decided"]),
+        "accepted_ratings": ("LC7", lambda t: rating(t)["ratings"]),
+        "driver_ratings_after": ("LC7", lambda t: lifecycle.ratings_after(t, rating(t)["ratings"])),
+        "flagged_low_rated_drivers": ("LC8", lambda t: lifecycle.flag_low_rated_drivers(t)["flagged"]),
+        "users_after_flagging": ("LC8", lambda t: lifecycle.flag_low_rated_drivers(t)["users"]),
+        "drivers_flagged_count": ("LC8", lambda t: lifecycle.flag_low_rated_drivers(t)["count"]),
+        "account_change_decisions": ("LC9", lambda t: accounts(t)["decided"]),
+        "users_after_account_changes": ("LC9", lambda t: accounts(t)["snapshot"]),
+        "users_after_profile_changes": (
+            "LC9", lambda t: changes.change_profiles(t["users"], feed(t, "profile_changes"))["snapshot"]
+        ),
+        "drivers_after_changes": (
+            "LC9", lambda t: changes.change_drivers(t["driver"], feed(t, "driver_changes"))["snapshot"]
+        ),
+        "vehicles_after_verification": (
+            "LC9", lambda t: changes.verify_vehicles(t["vehicles"], feed(t, "vehicle_changes"))["snapshot"]
+        ),
+        "promos_after_changes": (
+            "LC9", lambda t: changes.change_promos(t["promo_code"], feed(t, "promo_changes"))["snapshot"]
+        ),
+        "fare_rules_after_changes": (
+            "LC9",
+            lambda t: changes.change_fare_rules(t["fare_rules"], feed(t, "fare_rule_changes"))["snapshot"],
+        ),
+        "notifications_after_reads": (
+            "LC9",
+            lambda t: changes.mark_notifications_read(
+                t["admin_notifications"], feed(t, "notification_reads")
+            )["snapshot"],
+        ),
+        "complaints_after_changes": (
+            "LC9",
+            lambda t: changes.change_complaint_status(t["complaints"], feed(t, "complaint_changes"))["snapshot"],
+        ),
+        "refund_decisions": ("LC9", lambda t: refunds(t)["decided"]),
+        "payments_after_refunds": ("LC9", lambda t: refunds(t)["snapshot"]),
+        "audit_events": ("LC10", audit_events),
+    }
+
+
 def all_queries() -> dict[str, Query]:
-    checks = {**REPORTS_SQL, **PRICING_SQL}
+    checks = {**REPORTS_SQL, **PRICING_SQL, **JOBS_SQL}
     out = {}
-    for name, (survey_id, run) in {**_reports(), **_pricing()}.items():
+    for name, (survey_id, run) in {**_reports(), **_pricing(), **_jobs()}.items():
         sql = checks.get(name)
         out[name] = Query(survey_id, run, with_ride_tables(sql, FEEDS) if sql else None)
     return out
