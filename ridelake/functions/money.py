@@ -50,5 +50,5 @@ def mean(total: Column, n: Column) -> Column:
 def rating2(total: Column, n: Column) -> Column:
     """Mean of whole scores to two places, half up, in integer arithmetic."""
     total, n = total.cast("bigint"), n.cast("bigint")
-    hundredths = F.floor((total * 200 + n) / (n * 2))
+    hundredths = F.call_function("div", total * 200 + n, n * 2)
     return (hundredths.cast("decimal(10,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(3,2)")

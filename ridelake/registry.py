@@ -9,17 +9,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridelake.operators import (
-    aggregates, audit, changes, lifecycle, lists, matching, pricing, ranked, wide,
+    aggregates, audit, changes, events, lifecycle, lists, matching, pricing, ranked, wide,
 )
 from ridelake.operators.common import Tables
 from ridelake.oracle.jobs_sql import JOBS_SQL
 from ridelake.oracle.pricing_sql import PRICING_SQL
 from ridelake.oracle.reports_sql import REPORTS_SQL
+from ridelake.oracle.streams_sql import STREAMS_SQL
 from ridelake.oracle.tables_sql import with_ride_tables
 from ridelake.sources import ingest
 from ridelake.sources.feeds import FEEDS, feed
 from ridelake.sources.legacy import upgrade_legacy_schema
 from ridelake.sources.tables import table_profile
+from ridelake.plans.session import scratch_path
+from ridelake.streaming import jobs
+from ridelake.streaming.batches import read_batches
 
 AS_OF = "1998-08-02 00:00:00"
 RANGE = {"start": "1997-01-01", "end": "1998-06-30"}
@@ -294,10 +298,144 @@ def _jobs() -> dict[str, tuple[str, Callable[[Tables], DataFrame]]]:
     }
 
 
+EVENTS_SPLIT = "2024-01-16"
+PAYMENTS_SPLIT = "1998-06-01"
+DEMAND_LIMIT = 3
+
+
+def _replay(name: str, rows: DataFrame, time_column: str, split: str, start) -> str:
+    """Stream ``rows`` in two runs of one job, those before ``split`` first; returns its folder."""
+    spark = rows.sparkSession
+    base = scratch_path(spark, name)
+    moment = F.lit(split).cast("timestamp_ntz")
+    for part in (rows.where(F.col(time_column) < moment), rows.where(F.col(time_column) >= moment)):
+        part.write.mode("append").parquet(f"{base}/in")
+        start(jobs.read_feed(spark, f"{base}/in", rows.schema), f"{base}/out").awaitTermination()
+    return f"{base}/out"
+
+
+def _streams() -> dict[str, tuple[str, Callable[[Tables], DataFrame]]]:
+    def spark(t):
+        return t["rides"].sparkSession
+
+    def running(t):
+        return events.running_ratings(t["ratings"])
+
+    def steps(t):
+        return events.status_steps(t["ride_history"], "ride_id", "history_id")
+
+    def rated(t, name, job):
+        out = _replay(
+            name, t["ratings"], "timestamp", PAYMENTS_SPLIT, lambda s, o: job(s, t["driver"], o)
+        )
+        return read_batches(spark(t), f"{out}/rows")
+
+    def windows(t):
+        requests = t["ride_history"].where("status = 'requested'").withColumn(
+            "event_time", F.col("timestamp").cast("timestamp")
+        )
+        return events.demand_windows(events.with_pickup_city(requests, t), DEMAND_LIMIT)
+
+    def usage(t):
+        used = t["payments"].where("promo_id IS NOT NULL").groupBy("promo_id").agg(
+            F.count(F.lit(1)).alias("used")
+        )
+        return jobs.add_usage(t["promo_code"], used)
+
+    def s_pings(part):
+        def run(t):
+            out = _replay(
+                "pings", feed(t, "ping_requests"), "timestamp", EVENTS_SPLIT,
+                lambda s, o: jobs.ingest_pings(s, t["driver"], o),
+            )
+            return read_batches(spark(t), f"{out}/{part}")
+        return run
+
+    def s_locations(t):
+        out = _replay(
+            "locations", t["driver_location"], "timestamp", EVENTS_SPLIT, jobs.stream_latest_location
+        )
+        return jobs.latest_locations(spark(t), out)
+
+    def s_demand(t):
+        out = _replay(
+            "demand", t["ride_history"], "timestamp", EVENTS_SPLIT,
+            lambda s, o: jobs.stream_demand_surge(s, t, o, DEMAND_LIMIT),
+        )
+        return jobs.demand_surges(spark(t), out)
+
+    def s_paid(t):
+        out = _replay(
+            "paid", feed(t, "payment_changes"), "timestamp", PAYMENTS_SPLIT,
+            jobs.stream_payment_completes_ride,
+        )
+        return events.rides_after_payments(t["rides"], read_batches(spark(t), f"{out}/rows"))
+
+    def s_promos(t):
+        out = _replay(
+            "promos", t["payments"], "transaction_date", PAYMENTS_SPLIT, jobs.stream_promo_usage
+        )
+        return jobs.promos_after_usage(t["promo_code"], out)
+
+    def s_effects(part):
+        def run(t):
+            out = _replay(
+                "effects", t["ride_history"], "timestamp", EVENTS_SPLIT,
+                lambda s, o: jobs.stream_ride_effects(s, t, o),
+            )
+            return read_batches(spark(t), f"{out}/{part}")
+        return run
+
+    def s_guard(t):
+        out = _replay(
+            "guard", feed(t, "booking_feed"), "timestamp", EVENTS_SPLIT, jobs.stream_double_booking_guard
+        )
+        return read_batches(spark(t), f"{out}/decisions")
+
+    return {
+        "rating_alerts": ("ST2", lambda t: events.rating_alerts(running(t), t["driver"])),
+        "users_after_rating_alerts": (
+            "ST2",
+            lambda t: events.suspend(
+                t["users"], events.rating_alerts(running(t), t["driver"]), "ref_user_id"
+            ),
+        ),
+        "rider_flags": ("ST3", lambda t: events.rider_flags(running(t), t["driver"])),
+        "demand_windows": ("ST4", windows),
+        "rides_after_payments": (
+            "ST5",
+            lambda t: events.rides_after_payments(
+                t["rides"], events.paid_transitions(feed(t, "payment_changes"))
+            ),
+        ),
+        "promos_after_usage": ("ST6", usage),
+        "ride_effects_history": ("ST7", lambda t: events.ride_effects(steps(t), t)["history"]),
+        "ride_effects_freed": ("ST7", lambda t: events.ride_effects(steps(t), t)["freed"]),
+        "ride_effects_pings": ("ST7", lambda t: events.ride_effects(steps(t), t)["pings"]),
+        "double_booking_guard": (
+            "ST8", lambda t: events.double_booking_guard(events.open_steps(feed(t, "booking_feed")))
+        ),
+        "stream_ingested_pings": ("SRC4", s_pings("pings")),
+        "stream_rejected_pings": ("SRC4", s_pings("rejected")),
+        "stream_latest_location": ("ST1", s_locations),
+        "stream_rating_alerts": (
+            "ST2", lambda t: rated(t, "alerts", jobs.stream_rating_alerts)
+        ),
+        "stream_rider_flags": ("ST3", lambda t: rated(t, "flags", jobs.stream_rider_flags)),
+        "stream_demand_surge": ("ST4", s_demand),
+        "stream_payment_completes_ride": ("ST5", s_paid),
+        "stream_promo_usage": ("ST6", s_promos),
+        "stream_ride_effects_history": ("ST7", s_effects("history")),
+        "stream_ride_effects_freed": ("ST7", s_effects("freed")),
+        "stream_ride_effects_pings": ("ST7", s_effects("pings")),
+        "stream_double_booking_guard": ("ST8", s_guard),
+    }
+
+
 def all_queries() -> dict[str, Query]:
-    checks = {**REPORTS_SQL, **PRICING_SQL, **JOBS_SQL}
+    checks = {**REPORTS_SQL, **PRICING_SQL, **JOBS_SQL, **STREAMS_SQL}
     out = {}
-    for name, (survey_id, run) in {**_reports(), **_pricing(), **_jobs()}.items():
+    for name, (survey_id, run) in {**_reports(), **_pricing(), **_jobs(), **_streams()}.items():
         sql = checks.get(name)
         out[name] = Query(survey_id, run, with_ride_tables(sql, FEEDS) if sql else None)
     return out

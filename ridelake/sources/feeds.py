@@ -164,6 +164,19 @@ SELECT complaint_id * 2 + k AS change_id, complaint_id,
        CASE (complaint_id + k) % 3 WHEN 0 THEN 'resolved' WHEN 1 THEN 'closed' ELSE 'open' END AS status,
        timestamp AS changed_at
 FROM complaints CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) copies""",
+    "payment_changes": """
+SELECT payment_id * 2 AS change_id, payment_id, ride_id,
+       CASE WHEN payment_id % 7 = 0 THEN payment_status ELSE 'pending' END AS status,
+       transaction_date AS timestamp
+FROM payments
+UNION ALL
+SELECT payment_id * 2 + 1, payment_id, ride_id, payment_status, transaction_date + INTERVAL '3' HOUR
+FROM payments""",
+    "booking_feed": """
+SELECT h.history_id AS event_id, CASE WHEN h.status = 'requested' THEN 'insert' ELSE 'update' END AS kind,
+       CASE WHEN h.status = 'requested' THEN -1 - h.history_id ELSE h.ride_id END AS ride_id,
+       r.driver_id, h.status, h.timestamp
+FROM ride_history h JOIN rides r ON r.ride_id = h.ride_id""",
     "refund_requests": """
 SELECT payment_id AS request_id, CASE WHEN payment_id % 43 = 0 THEN -1 - payment_id ELSE payment_id END
          AS payment_id, transaction_date AS requested_at
