@@ -59,11 +59,17 @@ class CarriedState:
 
 def run_batches(
     stream: DataFrame, handler: Handler, checkpoint: str, output_mode: str = "append",
-    available_now: bool = True, interval: str = "1 minute",
+    reuse: bool = True, available_now: bool = True, interval: str = "1 minute",
 ) -> StreamingQuery:
-    """Start ``handler`` over the stream: until the present input is used up, or continuously."""
+    """Start ``handler`` over the stream: until the present input is used up, or continuously.
+
+    ``reuse`` keeps a micro-batch while a handler reads it more than once.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        if not reuse:
+            handler(batch, batch_id)
+            return
         batch.persist()
         try:
             handler(batch, batch_id)

@@ -50,7 +50,7 @@ def stream_latest_location(stream: DataFrame, out: str, **run) -> StreamingQuery
     def handle(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, f"{out}/updates", batch_id)
 
-    return run_batches(latest, handle, f"{out}/checkpoint", output_mode="update", **run)
+    return run_batches(latest, handle, f"{out}/checkpoint", output_mode="update", reuse=False, **run)
 
 
 def latest_locations(spark: SparkSession, out: str) -> DataFrame:
@@ -104,7 +104,7 @@ def stream_demand_surge(
     def handle(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, f"{out}/updates", batch_id)
 
-    return run_batches(windows, handle, f"{out}/checkpoint", output_mode="update", **run)
+    return run_batches(windows, handle, f"{out}/checkpoint", output_mode="update", reuse=False, **run)
 
 
 def demand_surges(spark: SparkSession, out: str) -> DataFrame:
@@ -133,7 +133,7 @@ def stream_promo_usage(stream: DataFrame, out: str, **run) -> StreamingQuery:
     def handle(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, f"{out}/updates", batch_id)
 
-    return run_batches(used, handle, f"{out}/checkpoint", output_mode="update", **run)
+    return run_batches(used, handle, f"{out}/checkpoint", output_mode="update", reuse=False, **run)
 
 
 def promos_after_usage(promos: DataFrame, out: str) -> DataFrame:
