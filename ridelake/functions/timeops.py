@@ -19,8 +19,12 @@ def as_date(value: dt.date | str) -> Column:
 
 
 def minutes_between(start: Column, end: Column) -> Column:
-    """Whole elapsed minutes, truncated toward zero."""
-    return F.timestamp_diff("MINUTE", start, end)
+    """Whole elapsed minutes, truncated toward zero, whatever the session zone."""
+    return (end - start).cast("interval minute").cast("bigint")
+
+
+def seconds_between(start: Column, end: Column) -> Column:
+    return (end - start).cast("interval second").cast("bigint")
 
 
 def is_peak(ts: Column, tz: str = "UTC") -> Column:

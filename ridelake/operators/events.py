@@ -12,6 +12,7 @@ from ridelake.functions.money import rating2
 from ridelake.functions.text import low_rating_message
 from ridelake.operators.common import Tables, place
 from ridelake.plans.keyed import neighbours, running_totals
+from ridelake.plans.session import cut
 from ridelake.schema import DRIVER_BUSY_STATUSES, LOW_DRIVER_RATING, LOW_RIDER_RATING
 
 
@@ -170,7 +171,9 @@ def double_booking_guard(steps: DataFrame, carried_open: DataFrame | None = None
 
     Open rides are a running sum per driver of the feed's steps, not a self-join.
     """
-    with_driver = steps.where("driver_id IS NOT NULL")
+    with_driver = cut(
+        steps.where("driver_id IS NOT NULL").select("event_id", "driver_id", "timestamp", "kind", "step")
+    )
     totals = running_totals(with_driver, ["driver_id"], ["timestamp", "event_id"], {"open": F.col("step")})
     known = _carry(totals, carried_open, "driver_id", carried_open="bigint")
     open_rides = F.col("open") + F.coalesce("carried_open", F.lit(0))

@@ -19,6 +19,7 @@ from ridelake.operators.common import Tables
 from ridelake.operators.decisions import accepted, first_reason, rejected, with_first
 from ridelake.operators.pricing import apply_promo, booking_fare, fare_quote
 from ridelake.plans.keyed import running_totals
+from ridelake.plans.session import cut
 from ridelake.schema import (
     DEMAND_THRESHOLD, LOW_DRIVER_RATING, MIN_TRIPS_TO_FLAG, PAYMENT_METHODS, PAYOUT_DAYS,
 )
@@ -177,16 +178,19 @@ def accept_reject_cancel(requests: DataFrame, rides: DataFrame, drivers: DataFra
         F.col("driver_id") == F.col("actor_driver_id")
     )
     owned = F.coalesce(mine, F.lit(False)) & action.isin(*ACTION_STATUS)
-    flagged = joined.withColumn("owned", owned).withColumn("accepting", owned & (action == "accept"))
+    flagged = cut(
+        joined.withColumn("owned", owned).withColumn("accepting", owned & (action == "accept"))
+        .withColumn("ride_key", F.struct("ride_id"))
+    )
     order = ["acted_at", "action_id"]
-    segmented = running_totals(flagged, ["ride_id"], order, {"segment": F.col("accepting").cast("int")})
+    segmented = running_totals(flagged, ["ride_key"], order, {"segment": F.col("accepting").cast("int")})
     state = F.when(F.col("segment") > 0, F.lit("accepted")).otherwise(F.col("ride_status"))
     allowed = F.col("owned") & (
         ((action == "reject") & (state == "requested"))
         | ((action == "cancel") & state.isin("requested", "accepted"))
     )
     ranked = with_first(
-        segmented.withColumn("allowed", F.coalesce(allowed, F.lit(False))), ["ride_id", "segment"],
+        segmented.withColumn("allowed", F.coalesce(allowed, F.lit(False))), ["ride_key", "segment"],
         order, F.col("allowed"),
     )
     decided = ranked.withColumn(

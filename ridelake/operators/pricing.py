@@ -11,6 +11,7 @@ from ridelake.functions.text import fold, is_blank
 from ridelake.functions.timeops import as_date, is_peak
 from ridelake.operators.common import Tables
 from ridelake.plans.keyed import neighbours, running_totals
+from ridelake.plans.session import cut
 from ridelake.schema import (
     BOOKING_FARE, CITY_SPEED_KMH, DEFAULT_VEHICLE_TYPE, DEMAND_THRESHOLD, FALLBACK_FARE,
     MIN_TRIP_MINUTES, SEED_FARE_RULES,
@@ -147,8 +148,13 @@ def demand_history(t: Tables, threshold: int = DEMAND_THRESHOLD) -> DataFrame:
     steps = feed.withColumn("step", is_open - was_open)
     pickup = t["rides"].select("ride_id", F.col("pickup_location_id").alias("location_id"))
     cities = t["location"].select("location_id", fold(F.col("city")).alias("city"))
-    placed = steps.join(pickup, "ride_id").join(cities, "location_id")
-    totals = running_totals(placed, ["city"], order, {"pending": F.col("step")})
+    placed = cut(
+        steps.join(pickup, "ride_id").join(cities, "location_id").select(
+            "history_id", "ride_id", "status", "timestamp", "step", "city",
+            F.struct("city").alias("city_key"),
+        )
+    )
+    totals = running_totals(placed, ["city_key"], order, {"pending": F.col("step")})
     opened = totals.where("status = 'requested' AND step = 1")
     return opened.select(
         "history_id", "ride_id", "city", "timestamp", F.col("pending").cast("bigint").alias("pending"),

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ridelake.functions.money import money
 from ridelake.functions.text import fold
+from ridelake.functions.timeops import seconds_between
 from ridelake.operators.common import Tables, count_rows, only, paginate, person
-from ridelake.plans.keyed import neighbours, top_per_key
+from ridelake.plans.keyed import neighbours, top_per_key, with_slice
 from ridelake.schema import TOP_K
 
 
@@ -46,7 +47,7 @@ def ride_status_timeline(t: Tables, ride_id: int | None = None) -> DataFrame:
 
     Adds the time the status was left and the whole seconds spent in it.
     """
-    feed = only(t["ride_history"], ride_id=ride_id)
+    feed = with_slice(only(t["ride_history"], ride_id=ride_id), "timestamp")
     order = ["timestamp", "history_id"]
     changes = (
         neighbours(feed, ["ride_id"], order, previous={"previous_status": "status"})
@@ -55,7 +56,7 @@ def ride_status_timeline(t: Tables, ride_id: int | None = None) -> DataFrame:
     spans = neighbours(changes, ["ride_id"], order, following={"left_at": "timestamp"})
     return spans.select(
         "history_id", "ride_id", "status", "previous_status", "timestamp", "left_at",
-        F.timestamp_diff("SECOND", F.col("timestamp"), F.col("left_at")).alias("seconds_in_status"),
+        seconds_between(F.col("timestamp"), F.col("left_at")).alias("seconds_in_status"),
     )
 
 

@@ -155,7 +155,8 @@ def rider_ride_history(t: Tables, user_id: int | None = None) -> DataFrame:
         .join(_ratings_by_rater(t), ["ride_id", "user_id"], "left")
     )
     payments = t["payments"].select("ride_id", "user_id", "payment_status", "payment_method", "payment_id")
-    out = left_join_many(trips, payments, ["ride_id", "user_id"]).select(
+    keys = ["ride_id", "user_id"]
+    out = left_join_many(trips, rides.select(*keys), payments, keys).select(
         "user_id", "ride_id", "ride_status", "fare", "request_time", "start_time", "end_time",
         "pickup_address", "dropoff_address", *_DRIVER_NAME, "driver_user_id", "driver_id",
         "driver_rating", "vehicle_type", "make", "model", "payment_status", "payment_method",

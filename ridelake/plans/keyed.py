@@ -24,7 +24,19 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
 def time_slice(ts: Column, minutes: int = SLICE_MINUTES) -> Column:
     """Number of the ``minutes``-wide slice of a zone-less time. Never decreases with time."""
     minute = F.unix_date(F.to_date(ts)).cast("long") * 1440 + F.hour(ts) * 60 + F.minute(ts)
-    return F.floor(minute / minutes)
+    return F.call_function("div", minute, F.lit(minutes))
+
+
+def with_slice(df: DataFrame, ts: str, minutes: int = SLICE_MINUTES) -> DataFrame:
+    """Add the slice column, unless there is one. Adding it before several helpers lets them share
+    one partitioning."""
+    return df if "_slice" in df.columns else df.withColumn("_slice", time_slice(F.col(ts), minutes))
+
+
+def _with_summary(local: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join a per-slice summary back. Keys and slice are what the window before it was partitioned
+    by, so the rows are not shuffled again."""
+    return local.join(summary, [*keys, "_slice"])
 
 
 def running_totals(
@@ -36,16 +48,16 @@ def running_totals(
 ) -> DataFrame:
     """Add running sums per key, up to and including each row.
 
-    ``order`` starts with the time column and must be unique within a key.
+    ``order`` starts with the time column and is unique within a key. Keys and time must not be
+    NULL; wrap a nullable key in a struct. ``df`` is read twice, so cut an expensive one first.
     """
-    sliced = df.withColumn("_slice", time_slice(F.col(order[0]), slice_minutes))
+    sliced = with_slice(df, order[0], slice_minutes)
     per_slice = sliced.groupBy(*keys, "_slice").agg(
         *[F.sum(value).alias(f"_sum_{name}") for name, value in totals.items()]
     )
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_slice.select(
-        *[F.col(key).alias(f"_k_{key}") for key in keys],
-        F.col("_slice").alias("_s"),
+        *keys, "_slice",
         *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_carry_{n}") for n in totals],
     )
     within = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(
@@ -54,10 +66,7 @@ def running_totals(
     local = sliced.select(
         "*", *[F.sum(value).over(within).alias(f"_local_{name}") for name, value in totals.items()]
     )
-    same_slice = F.col("_slice") == F.col("_s")
-    for key in keys:
-        same_slice &= F.col(key).eqNullSafe(F.col(f"_k_{key}"))
-    return local.join(carried, same_slice).select(
+    return _with_summary(local, carried, keys).select(
         *df.columns,
         *[(F.col(f"_local_{name}") + F.col(f"_carry_{name}")).alias(name) for name in totals],
     )
@@ -73,45 +82,41 @@ def neighbours(
 ) -> DataFrame:
     """Add values of the previous and following row of the same key.
 
-    ``previous`` and ``following`` map new column names to source columns.
+    ``previous`` and ``following`` map new column names to source columns. The same conditions as
+    for ``running_totals`` hold.
     """
     previous, following = previous or {}, following or {}
     sources = sorted({*previous.values(), *following.values()})
-    sliced = df.withColumn("_slice", time_slice(F.col(order[0]), slice_minutes))
+    sliced = with_slice(df, order[0], slice_minutes)
     position = F.struct(*order)
-    edge_values = F.struct(*sources)
-    edges = sliced.groupBy(*keys, "_slice").agg(
-        F.min_by(edge_values, position).alias("_head"), F.max_by(edge_values, position).alias("_tail")
-    )
+    values = F.struct(*sources)
+    edges, bounds, local = [], [], []
     by_slice = Window.partitionBy(*keys).orderBy("_slice")
-    bounds = edges.select(
-        *[F.col(key).alias(f"_k_{key}") for key in keys],
-        F.col("_slice").alias("_s"),
-        F.lag("_tail").over(by_slice).alias("_before"),
-        F.lead("_head").over(by_slice).alias("_after"),
-    )
     within = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    local = sliced.select(
-        "*",
-        F.lag(edge_values).over(within).alias("_prev"),
-        F.lead(edge_values).over(within).alias("_next"),
-    )
-    same_slice = F.col("_slice") == F.col("_s")
-    for key in keys:
-        same_slice &= F.col(key).eqNullSafe(F.col(f"_k_{key}"))
-    return local.join(bounds, same_slice).select(
+    if previous:
+        edges.append(F.max_by(values, position).alias("_tail"))
+        bounds.append(F.lag("_tail").over(by_slice).alias("_before"))
+        local.append(F.lag(values).over(within).alias("_prev"))
+    if following:
+        edges.append(F.min_by(values, position).alias("_head"))
+        bounds.append(F.lead("_head").over(by_slice).alias("_after"))
+        local.append(F.lead(values).over(within).alias("_next"))
+    summary = sliced.groupBy(*keys, "_slice").agg(*edges).select(*keys, "_slice", *bounds)
+    return _with_summary(sliced.select("*", *local), summary, keys).select(
         *df.columns,
         *[F.coalesce(F.col("_prev"), F.col("_before"))[src].alias(name) for name, src in previous.items()],
         *[F.coalesce(F.col("_next"), F.col("_after"))[src].alias(name) for name, src in following.items()],
     )
 
 
-def left_join_many(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+def left_join_many(
+    left: DataFrame, left_keys: DataFrame, right: DataFrame, on: Sequence[str]
+) -> DataFrame:
     """Left join to a side that may hold very many rows for one key.
 
-    A left outer join cannot split a hot right-hand key, an inner join can. So the matches come
-    from an inner join and the unmatched rows from an anti join.
+    A left outer join cannot split a hot right-hand key, an inner join can. So the right side gets
+    one empty row per unmatched key, and the join is an inner one. ``left_keys`` are the key columns
+    of ``left`` from a cheap source, one row per key.
     """
-    matched = left.join(right, list(on))
-    unmatched = left.join(right.select(*on).distinct(), list(on), "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+    empty = left_keys.join(right.select(*on).distinct(), list(on), "left_anti")
+    return left.join(right.unionByName(empty, allowMissingColumns=True), list(on))
