@@ -56,16 +56,19 @@ def apply_changes(
         return F.max_by(F.struct(F.col(column).alias("value")), F.when(sets, position)).alias(f"_new_{column}")
 
     folded = accepted(judged).groupBy(key).agg(
-        *[latest(c) for c in columns], F.max_by(deletes, position).alias("_gone")
+        *[latest(c) for c in columns], F.max_by(deletes, position).alias("_gone"),
+        F.bool_or(deletes).alias("_reset"),
     )
     fills = defaults or {}
 
     def column_after(name: str) -> Column:
-        if name == key or name not in columns:
-            old = F.col(name)
-            return F.coalesce(old, F.lit(fills[name])).alias(name) if name in fills else old
-        touched = F.col(f"_new_{name}")
-        value = F.when(touched.isNotNull(), touched["value"]).otherwise(F.col(name))
+        if name == key:
+            return F.col(name)
+        if name in columns:
+            touched = F.col(f"_new_{name}")
+            value = F.when(touched.isNotNull(), touched["value"]).otherwise(F.col(name))
+        else:
+            value = F.when(~F.coalesce("_reset", F.lit(False)), F.col(name))
         if name in fills:
             value = F.coalesce(value, F.lit(fills[name]))
         return value.cast(snapshot.schema[name].dataType).alias(name)

@@ -352,14 +352,14 @@ FROM driver d LEFT JOIN finished f ON f.driver_id = d.driver_id""",
   SELECT driver_id, CAST(round(sum(amount) * 0.80, 2) AS DECIMAL(18,2)) AS amount
   FROM payments JOIN rides USING (ride_id)
   WHERE payment_status = 'paid' AND driver_id IS NOT NULL
-    AND transaction_date BETWEEN TIMESTAMP '1998-07-26' AND TIMESTAMP '1998-08-02' GROUP BY driver_id)
-SELECT d.driver_id, amount, 'pending' AS status, DATE '1998-07-26' AS period_start,
-  DATE '1998-08-02' AS period_end,
+    AND transaction_date BETWEEN TIMESTAMP '2001-10-25' AND TIMESTAMP '2001-11-01' GROUP BY driver_id)
+SELECT d.driver_id, amount, 'pending' AS status, DATE '2001-10-25' AS period_start,
+  DATE '2001-11-01' AS period_end,
   'Weekly payout request — net 80% of Rs.' || CAST(round(amount * 1.25, 2) AS DECIMAL(18,2)) || ' gross'
     AS notes,
-  TIMESTAMP '1998-08-02' AS requested_at,
+  TIMESTAMP '2001-11-01' AS requested_at,
   CASE WHEN d.driver_id IN (SELECT driver_id FROM driver_payouts
-              WHERE status IN ('pending', 'processing') AND period_end >= DATE '1998-07-26')
+              WHERE status IN ('pending', 'processing') AND period_end >= DATE '2001-10-25')
          THEN 'payout_waiting'
        WHEN coalesce(amount, 0) <= 0 THEN 'no_earnings' END AS reject_reason
 FROM driver d LEFT JOIN earned e ON e.driver_id = d.driver_id""",

@@ -26,6 +26,7 @@ from ridelake.streaming import jobs
 from ridelake.streaming.batches import read_batches
 
 AS_OF = "1998-08-02 00:00:00"
+PAYOUT_AS_OF = "2001-11-01 00:00:00"
 RANGE = {"start": "1997-01-01", "end": "1998-06-30"}
 
 
@@ -257,7 +258,7 @@ def _jobs() -> dict[str, tuple[str, Callable[[Tables], DataFrame]]]:
         "ride_completion_decisions": ("LC5", lambda t: completion(t)["decided"]),
         "rides_after_completion": ("LC5", lambda t: completion(t)["rides"]),
         "drivers_after_completion": ("LC5", lambda t: completion(t)["driver"]),
-        "weekly_payouts": ("LC6", lambda t: lifecycle.weekly_payouts(t, AS_OF)["decided"]),
+        "weekly_payouts": ("LC6", lambda t: lifecycle.weekly_payouts(t, PAYOUT_AS_OF)["decided"]),
         "rating_decisions": ("LC7", lambda t: rating(t)["decided"]),
         "accepted_ratings": ("LC7", lambda t: rating(t)["ratings"]),
         "driver_ratings_after": ("LC7", lambda t: lifecycle.ratings_after(t, rating(t)["ratings"])),
