@@ -6,6 +6,8 @@ the shuffle), so neither a hot ride nor the fan-out of a join reaches the driver
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from ridelake.functions.money import (
 from ridelake.functions.text import fold
 from ridelake.functions.timeops import between_days
 from ridelake.operators.common import Tables, count_rows, flag_sum
-from ridelake.schema import ACTIVE_RIDE_STATUSES, LOW_DRIVER_RATING
+from ridelake.schema import ACTIVE_RIDE_STATUSES, LOW_DRIVER_RATING, REPORT_DAYS
 
 
 
@@ -94,8 +96,11 @@ def platform_revenue(t: Tables) -> DataFrame:
     )
 
 
-def revenue_report_range(t: Tables, start, end) -> DataFrame:
-    """``platform_revenue`` within whole days ``start``..``end``."""
+def revenue_report_range(t: Tables, start=None, end=None, as_of=None) -> DataFrame:
+    """``platform_revenue`` within whole days ``start``..``end``, by default the 30 days to ``as_of``."""
+    if as_of is not None:
+        day = dt.date.fromisoformat(str(as_of)[:10])
+        start, end = start or day - dt.timedelta(days=REPORT_DAYS), end or day
     return (
         _paid_daily(t, start, end)
         .select(

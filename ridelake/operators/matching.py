@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridelake.functions.geo import cosine_distance_km
+from ridelake.functions.geo import arc_km, bearings, cosine_between, km_steps, steps_to_km
 from ridelake.operators.common import Tables
 from ridelake.operators.ranked import first_verified_vehicle, latest_driver_location
 from ridelake.plans.grid import HALF_EARTH_KM, join_within
@@ -18,6 +19,15 @@ _ROUNDING_KM = 0.005
 _SLACK_KM = 0.001
 
 
+def _steps() -> Column:
+    """Rounded distance of a pair in 10-metre steps."""
+    return km_steps(arc_km(cosine_between(F.col("pickup_at"), F.col("current_at"))))
+
+
+def _aimed(df: DataFrame, end: str) -> DataFrame:
+    return df.withColumn(f"{end}_at", bearings(F.col(f"{end}_lat"), F.col(f"{end}_lng")))
+
+
 def valid_pickups(requests: DataFrame) -> DataFrame:
     """Requests whose coordinates are numbers, as decimals."""
     lat = F.col("pickup_lat").cast("string").try_cast("decimal(10,7)")
@@ -56,22 +66,20 @@ def drivers_within_radius(
     cars = first_verified_vehicle(t, vehicle_type).select(
         "driver_id", "vehicle_type", "make", "model", "color", "license_plate"
     )
-    drivers = _positions(t, bookable.join(people, "user_id").join(cars, "driver_id"))
+    drivers = cut(_positions(t, bookable.join(people, "user_id").join(cars, "driver_id")))
+    reach_km = radius_km + _ROUNDING_KM + _SLACK_KM
     pairs = join_within(
-        valid_pickups(requests), drivers, ["request_id"], ("pickup_lat", "pickup_lng"),
-        ("current_lat", "current_lng"), reach_km=radius_km + _ROUNDING_KM + _SLACK_KM,
+        _aimed(valid_pickups(requests), "pickup"), _aimed(drivers, "current"), ["request_id"],
+        ("pickup_lat", "pickup_lng"), ("current_lat", "current_lng"), reach_km,
     )
-    distance = cosine_distance_km(
-        F.col("pickup_lat"), F.col("pickup_lng"), F.col("current_lat"), F.col("current_lng")
-    )
-    return pairs.withColumn("distance_km", distance).where(F.col("distance_km") <= radius_km).select(
+    return pairs.withColumn("steps", _steps()).where(F.col("steps") <= math.floor(round(radius_km * 100, 6))).select(
         "request_id", "driver_id", "fname", "lname", "phone_number", "average_rating", "total_trips",
         "vehicle_type", "make", "model", "color", "license_plate", "current_lat", "current_lng",
-        "distance_km",
+        steps_to_km(F.col("steps")).alias("distance_km"),
     )
 
 
-def nearest_driver(t: Tables, requests: DataFrame, first_cell_km: float = 1.0, growth: int = 4) -> DataFrame:
+def nearest_driver(t: Tables, requests: DataFrame, first_cell_km: float = 2.0, growth: int = 4) -> DataFrame:
     """Nearest available, verified driver per pickup by rounded distance; ties go to the lower id.
 
     Distinct pickup points are searched in growing cells. A point is settled once its best
@@ -82,26 +90,22 @@ def nearest_driver(t: Tables, requests: DataFrame, first_cell_km: float = 1.0, g
     available = t["driver"].where(
         "availability_status = 'available' AND verification_status = 'verified'"
     ).select("driver_id")
-    sites = cut(
-        _positions(t, available).groupBy("current_lat", "current_lng").agg(F.min("driver_id").alias("driver_id"))
-    )
-    distance = cosine_distance_km(
-        F.col("pickup_lat"), F.col("pickup_lng"), F.col("current_lat"), F.col("current_lng")
-    )
+    spots = _positions(t, available).groupBy("current_lat", "current_lng")
+    sites = cut(_aimed(spots.agg(F.min("driver_id").alias("driver_id")), "current"))
     open_points = cut(pickups.select("pickup_lat", "pickup_lng").distinct())
     settled = []
     cell_km = first_cell_km
     while True:
         last = cell_km >= HALF_EARTH_KM
         pairs = join_within(
-            open_points, sites, ["pickup_lat", "pickup_lng"], ("pickup_lat", "pickup_lng"),
+            _aimed(open_points, "pickup"), sites, ["pickup_lat", "pickup_lng"], ("pickup_lat", "pickup_lng"),
             ("current_lat", "current_lng"), reach_km=cell_km,
         )
         best = pairs.groupBy("pickup_lat", "pickup_lng").agg(
-            F.min(F.struct(distance.alias("distance_km"), F.col("driver_id"))).alias("best")
+            F.min(F.struct(_steps().alias("steps"), F.col("driver_id"))).alias("best")
         )
         sure = F.col("best").isNotNull() & (
-            F.lit(last) | (F.col("best.distance_km") < cell_km - _ROUNDING_KM - _SLACK_KM)
+            F.lit(last) | (F.col("best.steps") < (cell_km - _ROUNDING_KM - _SLACK_KM) * 100)
         )
         scored = cut(
             open_points.join(best, ["pickup_lat", "pickup_lng"], "left").withColumn("sure", sure)
@@ -113,7 +117,7 @@ def nearest_driver(t: Tables, requests: DataFrame, first_cell_km: float = 1.0, g
         cell_km *= growth
     found = reduce(DataFrame.unionByName, settled).select(
         "pickup_lat", "pickup_lng", F.col("best.driver_id").alias("driver_id"),
-        F.col("best.distance_km").alias("distance_km"),
+        steps_to_km(F.col("best.steps")).alias("distance_km"),
     )
     return pickups.join(found, ["pickup_lat", "pickup_lng"], "left").select(
         "request_id", "driver_id", "distance_km"

@@ -216,12 +216,20 @@ SELECT (SELECT count(*) FROM users) AS total_users,
   (SELECT count(*) FROM driver WHERE verification_status = 'pending') AS pending_verification,
   (SELECT count(*) FROM driver WHERE availability_status = 'available') AS online_drivers""",
     "platform_revenue": f"""WITH {_PAID}
+SELECT CAST(transaction_date AS DATE) AS date, count(*) AS total_transactions, {_SHARES},
+  payment_method FROM paid GROUP BY 1, payment_method""",
+    "written_report": f"""WITH {_PAID}
 SELECT CAST(transaction_date AS DATE) AS date, count(*) AS total_transactions, {_SHARES},
   payment_method FROM paid GROUP BY 1, payment_method""",
     "revenue_report_range": f"""WITH {_PAID}
 SELECT CAST(transaction_date AS DATE) AS date, count(*) AS total_transactions, {_SHARES},
   payment_method
 FROM paid WHERE CAST(transaction_date AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1998-06-30'
+GROUP BY 1, payment_method""",
+    "revenue_report_last_30_days": f"""WITH {_PAID}
+SELECT CAST(transaction_date AS DATE) AS date, count(*) AS total_transactions, {_SHARES},
+  payment_method
+FROM paid WHERE CAST(transaction_date AS DATE) BETWEEN DATE '1998-07-03' AND DATE '1998-08-02'
 GROUP BY 1, payment_method""",
     "revenue_report_admin": f"""WITH {_PAID}
 SELECT CAST(transaction_date AS DATE) AS date, payment_method, count(*) AS transactions,

@@ -38,13 +38,12 @@ def _turn(lng: Column) -> Column:
     return F.pmod(lng + 180, F.lit(360.0)) / 360
 
 
-def cell_of(lat: Column, lng: Column, cell_km: float) -> Column:
+def cell_of(lat: Column, lng: Column, cell_km: float) -> tuple[Column, Column]:
+    """Band and cell number of a point."""
     lat, lng = lat.cast("double"), lng.cast("double")
     band = _band(lat, cell_km)
     n = _cells_in_band(band, cell_km)
-    return F.struct(
-        band.alias("band"), F.least(n - 1, F.floor(_turn(lng) * n)).alias("cell")
-    )
+    return band, F.least(n - 1, F.floor(_turn(lng) * n))
 
 
 def cells_within(lat: Column, lng: Column, reach_km: float, cell_km: float) -> Column:
@@ -77,28 +76,34 @@ def join_within(
     point: tuple[str, str],
     site: tuple[str, str],
     reach_km: float,
-    cell_km: float | None = None,
-    rows_per_split: int = 50_000,
+    pairs_per_split: int = 250_000,
 ) -> DataFrame:
     """Candidate pairs: all within ``reach_km`` and some beyond; filter on the distance after.
 
-    Cells are split by the measured number of points in them: the points of a busy cell are dealt
-    to several groups and the sites copied to each, so no task gets a whole city centre.
+    Cells are split by the measured number of pairs in them: the points of a busy cell are dealt to
+    several groups and its sites copied to each, so no task gets a whole city centre. The copies add
+    (sites in the cell / ``pairs_per_split``) rows per point. Cells without both sides drop out.
     """
-    cell_km = cell_km or reach_km
-    placed = points.withColumn("_cell", cell_of(F.col(point[0]), F.col(point[1]), cell_km))
-    load = placed.groupBy("_cell").agg(
-        F.ceil(F.count(F.lit(1)) / rows_per_split).alias("_splits")
+    band, cell = cell_of(F.col(point[0]), F.col(point[1]), reach_km)
+    placed = points.withColumn("_band", band).withColumn("_cell", cell)
+    touched = cells_within(F.col(site[0]), F.col(site[1]), reach_km, reach_km)
+    copied = sites.select("*", F.inline(touched).alias("_band", "_cell"))
+    here = placed.groupBy("_band", "_cell").agg(F.count(F.lit(1)).alias("_points"))
+    there = copied.groupBy("_band", "_cell").agg(F.count(F.lit(1)).alias("_sites"))
+    pairs = F.col("_points").cast("double") * F.col("_sites")
+    load = here.join(there, ["_band", "_cell"]).select(
+        "_band", "_cell", F.least(F.col("_points"), F.ceil(pairs / pairs_per_split)).alias("_splits")
     )
-    dealt = placed.join(load, "_cell").withColumn(
+    # A set number of partitions: the input is small next to the pairs it makes, and sizing the
+    # tasks by input bytes would put busy cells back together.
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["_band", "_cell", "_split"]
+    dealt = placed.join(load, ["_band", "_cell"]).withColumn(
         "_split", F.pmod(F.xxhash64(*point_id), F.col("_splits"))
-    ).drop("_splits")
+    ).drop("_splits").repartition(tasks, *keys)
     copies = (
-        sites.withColumn(
-            "_cell", F.explode(cells_within(F.col(site[0]), F.col(site[1]), reach_km, cell_km))
-        )
-        .join(load, "_cell")
+        copied.join(load, ["_band", "_cell"])
         .withColumn("_split", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_splits") - 1)))
         .drop("_splits")
     )
-    return dealt.join(copies, ["_cell", "_split"]).drop("_cell", "_split")
+    return dealt.join(copies, keys).drop(*keys)

@@ -20,7 +20,7 @@ from ridelake.oracle.tables_sql import with_ride_tables
 from ridelake.sources import ingest
 from ridelake.sources.feeds import FEEDS, feed
 from ridelake.sources.legacy import upgrade_legacy_schema
-from ridelake.sources.tables import table_profile
+from ridelake.sources.tables import table_profile, write_report
 from ridelake.plans.session import scratch_path
 from ridelake.streaming import jobs
 from ridelake.streaming.batches import read_batches
@@ -88,6 +88,9 @@ def _reports() -> dict[str, tuple[str, Callable[[Tables], DataFrame]]]:
         "platform_summary": ("AG1", aggregates.platform_summary),
         "platform_revenue": ("AG2", aggregates.platform_revenue),
         "revenue_report_range": ("AG3", lambda t: aggregates.revenue_report_range(t, **RANGE)),
+        "revenue_report_last_30_days": (
+            "AG3", lambda t: aggregates.revenue_report_range(t, as_of=AS_OF)
+        ),
         "revenue_report_admin": ("AG4", lambda t: aggregates.revenue_report_admin(t, **RANGE)),
         "revenue_report_finance": ("AG5", lambda t: aggregates.revenue_report_finance(t, **RANGE)),
         "revenue_totals": ("AG6", lambda t: aggregates.revenue_totals(t, **RANGE)),
@@ -227,8 +230,15 @@ def _jobs() -> dict[str, tuple[str, Callable[[Tables], DataFrame]]]:
     def completed_profiles(t):
         return changes.change_drivers(t["driver"], new_vehicles(t, True)["driver_changes"])["snapshot"]
 
+    def written_report(t):
+        session = t["rides"].sparkSession
+        path = scratch_path(session, "report")
+        write_report(aggregates.platform_revenue(t), path, "parquet", partition_by="payment_method")
+        return session.read.parquet(path)
+
     return {
         "table_profile": ("SRC1", table_profile),
+        "written_report": ("SRC9", written_report),
         "legacy_users_upgraded": ("SRC3", legacy_users),
         "ping_decisions": ("SRC4", lambda t: ingest.judge_pings(feed(t, "ping_requests"), t["driver"])),
         "vehicle_request_decisions": ("SRC5", lambda t: new_vehicles(t)["decided"]),

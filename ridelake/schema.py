@@ -87,6 +87,7 @@ DEMAND_THRESHOLD = 10
 PEAK_HOURS = (7, 8, 9, 17, 18, 19, 20)
 FALLBACK_FARE = Decimal("300")
 PAYOUT_DAYS = 7
+REPORT_DAYS = 30
 PAGE_SIZE = 50
 TOP_K = 20
 

@@ -61,8 +61,8 @@ def write_report(
     if fmt not in ("parquet", "json", "orc", "csv"):
         raise ValueError(f"unsupported report format: {fmt}")
     if partition_by:
-        # One writer task per date would be a straggler on a hot day, so rows keep their tasks.
-        df.write.mode("overwrite").partitionBy(partition_by).format(fmt).save(path)
+        # Few files per folder, and a hot day still spreads over several writers.
+        df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).format(fmt).save(path)
     else:
         df.write.mode("overwrite").format(fmt).save(path)
 

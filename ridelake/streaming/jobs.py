@@ -3,7 +3,8 @@
 Aggregates that Spark maintains itself (latest position, demand windows, promo usage) use its state
 store in update mode. Rules that need a key's rows in order run in ``foreachBatch`` on the batch
 operators with a small carried state, so a busy key is split over tasks and no Python runs per row.
-Events of one key must not arrive in a later micro-batch than events that happened after them.
+Between micro-batches the order of arrival counts, as it does for a row trigger; within one it is the
+order of (time, id).
 """
 
 from __future__ import annotations

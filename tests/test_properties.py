@@ -46,7 +46,7 @@ def test_grid_join_finds_all_pairs_once(spark, reach):
     pairs = join_within(
         spark.createDataFrame(points, "p BIGINT, plat DOUBLE, plng DOUBLE"),
         spark.createDataFrame(sites, "s BIGINT, slat DOUBLE, slng DOUBLE"),
-        ["p"], ("plat", "plng"), ("slat", "slng"), reach_km=reach, rows_per_split=10,
+        ["p"], ("plat", "plng"), ("slat", "slng"), reach_km=reach, pairs_per_split=40,
     ).select("p", "s").collect()
     got = {(r.p, r.s) for r in pairs}
     assert len(got) == len(pairs)
