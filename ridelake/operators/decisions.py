@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridelake.plans.keyed import running_totals
+from ridelake.plans.session import cut
+
 
 def first_reason(*rules: tuple[str, Column]) -> Column:
     """Name of the first rule whose condition holds, NULL when none does."""
@@ -27,14 +30,15 @@ def rejected(decided: DataFrame) -> DataFrame:
 def with_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], eligible: Column) -> DataFrame:
     """Add ``is_first`` and ``after_first``: the earliest eligible row per key, and rows past it.
 
-    The earliest position is an aggregate (combined before the shuffle), so a key with very many
-    requests is not sorted in one task.
+    Eligible rows are counted along the key's timeline in slices, so a key with very many requests
+    is neither sorted nor joined in one task. The requests, joined by then, are materialised once.
     """
-    position = F.struct(*order)
-    firsts = (
-        df.where(eligible).groupBy(*keys).agg(F.min(position).alias("_first"))
+    marked = cut(
+        df.withColumn("_key", F.struct(*keys)).withColumn(
+            "_eligible", F.coalesce(eligible, F.lit(False)).cast("int")
+        )
     )
-    joined = df.join(firsts, list(keys), "left")
-    return joined.withColumn("is_first", eligible & (position == F.col("_first"))).withColumn(
-        "after_first", F.coalesce(position > F.col("_first"), F.lit(False))
-    ).drop("_first")
+    counted = running_totals(marked, ["_key"], order, {"_count": F.col("_eligible")})
+    return counted.withColumn(
+        "is_first", (F.col("_eligible") == 1) & (F.col("_count") == 1)
+    ).withColumn("after_first", F.col("_count") > F.col("_eligible")).drop("_key", "_eligible", "_count")

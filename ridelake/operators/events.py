@@ -16,27 +16,20 @@ from ridelake.plans.session import cut
 from ridelake.schema import DRIVER_BUSY_STATUSES, LOW_DRIVER_RATING, LOW_RIDER_RATING
 
 
-def _carry(df: DataFrame, carried: DataFrame | None, key: str, **columns: str) -> DataFrame:
-    """Left join carried values under new names (NULL where there are none)."""
-    if carried is None:
-        return df.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in columns.items()])
-    return df.join(carried, key, "left")
-
-
 # --- ratings -----------------------------------------------------------------------------------
 
-SCORE_STATE = "rated_user_id BIGINT, carried_total BIGINT, carried_n BIGINT"
+SCORE_STATE = "rated_user_id BIGINT, total BIGINT, n BIGINT"
 
 
 def score_totals(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("rated_user_id").agg(
-        F.sum("score").cast("bigint").alias("carried_total"), F.count("score").alias("carried_n")
+        F.sum("score").cast("bigint").alias("total"), F.count("score").alias("n")
     )
 
 
 def fold_score_totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("rated_user_id").agg(
-        F.sum("carried_total").alias("carried_total"), F.sum("carried_n").alias("carried_n")
+        F.sum("total").alias("total"), F.sum("n").alias("n")
     )
 
 
@@ -44,14 +37,11 @@ def running_ratings(ratings: DataFrame, carried: DataFrame | None = None) -> Dat
     """Each rating with the two-place mean of its user's ratings so far."""
     totals = running_totals(
         ratings.select("rating_id", "rated_user_id", "score", "timestamp"), ["rated_user_id"],
-        ["timestamp", "rating_id"], {"total": F.col("score"), "n": F.lit(1)},
+        ["timestamp", "rating_id"], {"total": F.col("score"), "n": F.lit(1)}, initial=carried,
     )
-    known = _carry(totals, carried, "rated_user_id", carried_total="bigint", carried_n="bigint")
-    total = F.col("total") + F.coalesce("carried_total", F.lit(0))
-    n = F.col("n") + F.coalesce("carried_n", F.lit(0))
-    return known.select(
-        "rating_id", "rated_user_id", "timestamp", n.cast("bigint").alias("n"),
-        rating2(total, n).alias("average"),
+    return totals.select(
+        "rating_id", "rated_user_id", "timestamp", F.col("n").cast("bigint").alias("n"),
+        rating2(F.col("total"), F.col("n")).alias("average"),
     )
 
 
@@ -94,17 +84,14 @@ def suspend(users: DataFrame, flagged: DataFrame, user_column: str) -> DataFrame
 def last_status(feed: DataFrame, key: str, event: str) -> DataFrame:
     """Latest status per key of a feed, the state carried to the next micro-batch."""
     position = F.struct("timestamp", event)
-    return feed.groupBy(key).agg(F.max_by("status", position).alias("carried_status"))
+    return feed.groupBy(key).agg(F.max_by("status", position).alias("status"))
 
 
 def status_steps(feed: DataFrame, key: str, event: str, carried: DataFrame | None = None) -> DataFrame:
     """Feed rows with the status before them; the first row of a key continues the carried one."""
-    steps = neighbours(feed, [key], ["timestamp", event], previous={"_before": "status"})
-    known = _carry(
-        steps, None if carried is None else carried.select(key, "carried_status"), key,
-        carried_status="string",
+    return neighbours(
+        feed, [key], ["timestamp", event], previous={"previous_status": "status"}, initial=carried
     )
-    return known.select(*feed.columns, F.coalesce("_before", "carried_status").alias("previous_status"))
 
 
 def paid_transitions(feed: DataFrame, carried: DataFrame | None = None) -> DataFrame:
@@ -149,7 +136,7 @@ def ride_effects(steps: DataFrame, t: Tables) -> dict[str, DataFrame]:
 
 # --- double booking ----------------------------------------------------------------------------
 
-OPEN_STATE = "driver_id BIGINT, carried_open BIGINT"
+OPEN_STATE = "driver_id BIGINT, open BIGINT"
 
 
 def open_steps(feed: DataFrame, carried: DataFrame | None = None) -> DataFrame:
@@ -174,23 +161,23 @@ def double_booking_guard(steps: DataFrame, carried_open: DataFrame | None = None
     with_driver = cut(
         steps.where("driver_id IS NOT NULL").select("event_id", "driver_id", "timestamp", "kind", "step")
     )
-    totals = running_totals(with_driver, ["driver_id"], ["timestamp", "event_id"], {"open": F.col("step")})
-    known = _carry(totals, carried_open, "driver_id", carried_open="bigint")
-    open_rides = F.col("open") + F.coalesce("carried_open", F.lit(0))
-    return known.where("kind = 'insert'").select(
-        "event_id", "driver_id", "timestamp", open_rides.cast("bigint").alias("open_rides"),
-        F.when(open_rides > 0, F.lit("driver_on_active_ride")).alias("reject_reason"),
+    totals = running_totals(
+        with_driver, ["driver_id"], ["timestamp", "event_id"], {"open": F.col("step")}, initial=carried_open
+    )
+    return totals.where("kind = 'insert'").select(
+        "event_id", "driver_id", "timestamp", F.col("open").cast("bigint").alias("open_rides"),
+        F.when(F.col("open") > 0, F.lit("driver_on_active_ride")).alias("reject_reason"),
     )
 
 
 def open_totals(steps: DataFrame) -> DataFrame:
     return steps.where("driver_id IS NOT NULL").groupBy("driver_id").agg(
-        F.sum("step").cast("bigint").alias("carried_open")
+        F.sum("step").cast("bigint").alias("open")
     )
 
 
 def fold_open_totals(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("driver_id").agg(F.sum("carried_open").alias("carried_open"))
+    return rows.groupBy("driver_id").agg(F.sum("open").alias("open"))
 
 
 # --- demand ------------------------------------------------------------------------------------

@@ -18,7 +18,7 @@ from ridelake.operators.aggregates import received_scores
 from ridelake.operators.common import Tables
 from ridelake.operators.decisions import accepted, first_reason, rejected, with_first
 from ridelake.operators.pricing import apply_promo, booking_fare, fare_quote
-from ridelake.plans.keyed import running_totals
+from ridelake.plans.keyed import join_per_key, running_totals
 from ridelake.plans.session import cut
 from ridelake.schema import (
     DEMAND_THRESHOLD, LOW_DRIVER_RATING, MIN_TRIPS_TO_FLAG, PAYMENT_METHODS, PAYOUT_DAYS,
@@ -33,16 +33,14 @@ def match_ride_requests(requests: DataFrame, vehicles: DataFrame) -> Frames:
     any_type = F.lit("*")
     first_cars = (
         verified.select(
-            F.col("driver_id").alias("_driver"), "vehicle_id",
+            "driver_id", "vehicle_id",
             F.explode(F.array(fold(F.col("vehicle_type")), any_type)).alias("_type"),
         )
-        .groupBy("_driver", "_type").agg(F.min("vehicle_id").alias("vehicle_id"))
+        .groupBy("driver_id", "_type").agg(F.min("vehicle_id").alias("vehicle_id"))
     )
     wanted = F.when(is_blank(F.col("vehicle_type")), any_type).otherwise(fold(F.col("vehicle_type")))
     missing = is_blank(F.col("pickup_address")) | is_blank(F.col("dropoff_address")) | F.col("driver_id").isNull()
-    joined = requests.join(
-        first_cars, (F.col("driver_id") == F.col("_driver")) & (wanted == F.col("_type")), "left"
-    )
+    joined = join_per_key(requests.withColumn("_type", wanted), first_cars, ["driver_id", "_type"])
     decided = joined.select(
         *requests.columns, "vehicle_id", booking_fare(F.col("vehicle_type")).alias("fare"),
         first_reason(
@@ -236,7 +234,7 @@ def settle_payments(requests: DataFrame, rides: DataFrame, payments: DataFrame,
     )
     paid = payments.where("payment_status = 'paid'").select("ride_id").distinct().withColumn("paid", F.lit(True))
     owned = (F.col("ride_id") == F.col("_ride")) & (F.col("user_id") == F.col("_rider"))
-    joined = requests.join(ride, owned, "left").join(paid, "ride_id", "left")
+    joined = join_per_key(requests, paid, ["ride_id"]).join(ride, owned, "left")
     priced = apply_promo(joined, promos, as_of, "reject").withColumnRenamed("reject_reason", "promo_reason")
     bad_method = ~F.coalesce(F.col("payment_method").isin(*PAYMENT_METHODS), F.lit(False))
     rules = [
@@ -366,9 +364,8 @@ def accept_ratings(raw: DataFrame, rides: DataFrame, ratings: DataFrame) -> Fram
     score = leading_int(F.col("score"))
     ride = rides.select(F.col("ride_id").alias("_ride"), "ride_status")
     rated = ratings.select("ride_id", "rated_by").distinct().withColumn("rated", F.lit(True))
-    joined = raw.withColumn("score", score).join(ride, F.col("ride_id") == F.col("_ride"), "left").join(
-        rated, ["ride_id", "rated_by"], "left"
-    )
+    checked_once = join_per_key(raw.withColumn("score", score), rated, ["ride_id", "rated_by"])
+    joined = checked_once.join(ride, F.col("ride_id") == F.col("_ride"), "left")
     bad_score = ~F.coalesce(F.col("score").between(1, 5), F.lit(False))
     checked = joined.withColumn(
         "_reason",
@@ -432,7 +429,7 @@ def parse_audit_events(history: DataFrame, payments: DataFrame) -> DataFrame:
     paid = payments.where("payment_status = 'paid'").select(
         "ride_id", "payment_method", driver_net2(F.col("amount")).alias("driver_net")
     ).distinct().withColumn("_match", F.lit(True))
-    return events.join(paid, ["ride_id", "payment_method", "driver_net"], "left").select(
+    return join_per_key(events, paid, ["ride_id", "payment_method", "driver_net"]).select(
         "history_id", "ride_id", "payment_method", "driver_net", "timestamp",
         F.col("_match").isNotNull().alias("reconciled"),
     )

@@ -10,7 +10,7 @@ from ridelake.functions.money import commission2, driver_net2, less_discount, mo
 from ridelake.functions.text import fold, is_blank
 from ridelake.functions.timeops import as_date, is_peak
 from ridelake.operators.common import Tables
-from ridelake.plans.keyed import neighbours, running_totals
+from ridelake.plans.keyed import join_per_key, neighbours, running_totals
 from ridelake.plans.session import cut
 from ridelake.schema import (
     BOOKING_FARE, CITY_SPEED_KMH, DEFAULT_VEHICLE_TYPE, DEMAND_THRESHOLD, FALLBACK_FARE,
@@ -174,10 +174,10 @@ def resolve_addresses(trips: DataFrame, locations: DataFrame) -> DataFrame:
     out = trips
     for end in ("pickup", "dropoff"):
         here = places.select(
-            F.col("_address").alias(f"_{end}"), F.col("_at.latitude").alias(f"{end}_lat"),
-            F.col("_at.longitude").alias(f"{end}_lng"),
+            "_address", F.col("_at.latitude").alias(f"{end}_lat"), F.col("_at.longitude").alias(f"{end}_lng")
         )
-        out = out.join(here, fold(F.col(f"{end}_address")) == F.col(f"_{end}"), "left").drop(f"_{end}")
+        asked = out.withColumn("_address", fold(F.col(f"{end}_address")))
+        out = cut(join_per_key(asked, here, ["_address"]).drop("_address"))
     return out
 
 

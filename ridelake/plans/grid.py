@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridelake.plans.keyed import join_per_key
 from ridelake.schema import EARTH_RADIUS_KM
 
 _KM_PER_DEGREE = math.pi * EARTH_RADIUS_KM / 180
@@ -92,18 +93,18 @@ def join_within(
     there = copied.groupBy("_band", "_cell").agg(F.count(F.lit(1)).alias("_sites"))
     pairs = F.col("_points").cast("double") * F.col("_sites")
     load = here.join(there, ["_band", "_cell"]).select(
-        "_band", "_cell", F.least(F.col("_points"), F.ceil(pairs / pairs_per_split)).alias("_splits")
+        "_band", "_cell", F.least(F.col("_points"), F.ceil(pairs / pairs_per_split)).alias("_groups")
     )
     # A set number of partitions: the input is small next to the pairs it makes, and sizing the
     # tasks by input bytes would put busy cells back together.
     tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["_band", "_cell", "_split"]
-    dealt = placed.join(load, ["_band", "_cell"]).withColumn(
-        "_split", F.pmod(F.xxhash64(*point_id), F.col("_splits"))
-    ).drop("_splits").repartition(tasks, *keys)
+    keys = ["_band", "_cell", "_group"]
+    dealt = join_per_key(placed, load, ["_band", "_cell"], "inner").withColumn(
+        "_group", F.pmod(F.xxhash64(*point_id), F.col("_groups"))
+    ).drop("_groups").repartition(tasks, *keys)
     copies = (
         copied.join(load, ["_band", "_cell"])
-        .withColumn("_split", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_splits") - 1)))
-        .drop("_splits")
+        .withColumn("_group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_groups") - 1)))
+        .drop("_groups")
     )
     return dealt.join(copies, keys).drop(*keys)

@@ -22,9 +22,12 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
 
 
 def time_slice(ts: Column, minutes: int = SLICE_MINUTES) -> Column:
-    """Number of the ``minutes``-wide slice of a zone-less time. Never decreases with time."""
+    """Number of the ``minutes``-wide slice of a zone-less time. Never decreases with time.
+
+    Rows without a time share the first slice, as they come first in order.
+    """
     minute = F.unix_date(F.to_date(ts)).cast("long") * 1440 + F.hour(ts) * 60 + F.minute(ts)
-    return F.call_function("div", minute, F.lit(minutes))
+    return F.coalesce(F.call_function("div", minute, F.lit(minutes)), F.lit(-(2**40)))
 
 
 def with_slice(df: DataFrame, ts: str, minutes: int = SLICE_MINUTES) -> DataFrame:
@@ -45,11 +48,13 @@ def running_totals(
     order: Sequence[str],
     totals: dict[str, Column],
     slice_minutes: int = SLICE_MINUTES,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """Add running sums per key, up to and including each row.
 
-    ``order`` starts with the time column and is unique within a key. Keys and time must not be
-    NULL; wrap a nullable key in a struct. ``df`` is read twice, so cut an expensive one first.
+    ``order`` starts with the time column and is unique within a key. Keys must not be NULL; wrap a
+    nullable one in a struct. ``initial`` gives starting sums per key, one row each; they join the
+    slice summaries, not the rows. ``df`` is read twice, so cut an expensive one first.
     """
     sliced = with_slice(df, order[0], slice_minutes)
     per_slice = sliced.groupBy(*keys, "_slice").agg(
@@ -60,6 +65,15 @@ def running_totals(
         *keys, "_slice",
         *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_carry_{n}") for n in totals],
     )
+    if initial is not None:
+        starts = initial.select(*keys, *[F.col(n).alias(f"_start_{n}") for n in totals])
+        carried = carried.join(starts, list(keys), "left").select(
+            *keys, "_slice",
+            *[
+                (F.col(f"_carry_{n}") + F.coalesce(f"_start_{n}", F.lit(0))).alias(f"_carry_{n}")
+                for n in totals
+            ],
+        )
     within = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -79,11 +93,12 @@ def neighbours(
     previous: dict[str, str] | None = None,
     following: dict[str, str] | None = None,
     slice_minutes: int = SLICE_MINUTES,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """Add values of the previous and following row of the same key.
 
-    ``previous`` and ``following`` map new column names to source columns. The same conditions as
-    for ``running_totals`` hold.
+    ``previous`` and ``following`` map new column names to source columns. ``initial`` gives the
+    source values before a key's first row. The same conditions as for ``running_totals`` hold.
     """
     previous, following = previous or {}, following or {}
     sources = sorted({*previous.values(), *following.values()})
@@ -102,6 +117,12 @@ def neighbours(
         bounds.append(F.lead("_head").over(by_slice).alias("_after"))
         local.append(F.lead(values).over(within).alias("_next"))
     summary = sliced.groupBy(*keys, "_slice").agg(*edges).select(*keys, "_slice", *bounds)
+    if initial is not None and previous:
+        starts = initial.select(*keys, F.struct(*sources).alias("_start"))
+        rest = [F.col("_after")] if following else []
+        summary = summary.join(starts, list(keys), "left").select(
+            *keys, "_slice", F.coalesce("_before", "_start").alias("_before"), *rest
+        )
     return _with_summary(sliced.select("*", *local), summary, keys).select(
         *df.columns,
         *[F.coalesce(F.col("_prev"), F.col("_before"))[src].alias(name) for name, src in previous.items()],
@@ -120,3 +141,40 @@ def left_join_many(
     """
     empty = left_keys.join(right.select(*on).distinct(), list(on), "left_anti")
     return left.join(right.unionByName(empty, allowMissingColumns=True), list(on))
+
+
+HOT_SHARE = 1000
+
+
+def join_per_key(
+    rows: DataFrame, per_key: DataFrame, on: Sequence[str], how: str = "left", share: int = HOT_SHARE
+) -> DataFrame:
+    """Join many rows to a side with one row per key, splitting hot keys.
+
+    Spark splits skewed partitions only where both join sides come straight from a shuffle, so not
+    where one is an aggregate on the join key, and not inside a stream. Here the rows of a key that
+    holds more than 1/``share`` of all rows are dealt to several groups, to which the key's one row
+    is copied. There are fewer than ``share`` such keys, so their list is safe to broadcast. Rows
+    with a NULL key match nothing and are spread.
+    """
+    if how not in ("left", "inner"):
+        raise ValueError("join_per_key supports left and inner joins")
+    keys = list(on)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    hot = F.broadcast(
+        counts.where(F.col("_n") * share > total).select(
+            *keys, F.ceil(F.col("_n") * share / total).alias("_splits")
+        )
+    )
+    no_key = F.lit(False)
+    for key in keys:
+        no_key |= F.col(key).isNull()
+    splits = F.when(no_key, F.lit(share)).otherwise(F.coalesce("_splits", F.lit(1)))
+    dealt = rows.join(hot, keys, "left").withColumn(
+        "_split", F.pmod(F.xxhash64(*rows.columns), splits)
+    ).drop("_splits")
+    copies = per_key.join(hot, keys, "left").withColumn(
+        "_split", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_splits", F.lit(1)) - 1))
+    ).drop("_splits")
+    return dealt.join(copies, [*keys, "_split"], how).drop("_split")

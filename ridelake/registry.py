@@ -21,7 +21,7 @@ from ridelake.sources import ingest
 from ridelake.sources.feeds import FEEDS, feed
 from ridelake.sources.legacy import upgrade_legacy_schema
 from ridelake.sources.tables import table_profile, write_report
-from ridelake.plans.session import scratch_path
+from ridelake.plans.session import cut, scratch_path
 from ridelake.streaming import jobs
 from ridelake.streaming.batches import read_batches
 
@@ -220,7 +220,8 @@ def _jobs() -> dict[str, tuple[str, Callable[[Tables], DataFrame]]]:
     def audit_events(t):
         paid = settlement(t)
         return lifecycle.parse_audit_events(
-            t["ride_history"].unionByName(paid["history"]), t["payments"].unionByName(paid["payments"])
+            t["ride_history"].unionByName(cut(paid["history"])),
+            t["payments"].unionByName(cut(paid["payments"])),
         )
 
     def legacy_users(t):

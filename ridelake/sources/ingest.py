@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ridelake.functions.text import fold, is_blank, leading_int
 from ridelake.operators.decisions import accepted, first_reason, rejected, with_first
+from ridelake.plans.keyed import join_per_key
 from ridelake.plans.session import cut
 from ridelake.schema import VEHICLE_TYPES
 
@@ -37,8 +38,8 @@ def ingest_vehicles(
     )
     known = drivers.select(F.col("driver_id").alias("_driver"))
     plates = vehicles.select(F.upper(F.trim("license_plate")).alias("license_plate")).distinct()
-    joined = cleaned.join(known, F.col("driver_id") == F.col("_driver"), "left").join(
-        plates.withColumn("_taken", F.lit(True)), "license_plate", "left"
+    joined = join_per_key(cleaned, plates.withColumn("_taken", F.lit(True)), ["license_plate"]).join(
+        known, F.col("driver_id") == F.col("_driver"), "left"
     )
     missing = _any_blank("license_plate", "make", "model", "color", "vehicle_type") | F.col("_no_year")
     checked = joined.withColumn(
@@ -95,12 +96,12 @@ def _first_come(candidates: DataFrame) -> DataFrame:
     open_rows = cut(one_per_pair)
     winners = []
     while not open_rows.isEmpty():
-        by_email = open_rows.groupBy("email_key").agg(F.min("position").alias("email_first"))
-        by_phone = open_rows.groupBy("phone_key").agg(F.min("position").alias("phone_first"))
+        by_email = open_rows.groupBy("email_key").agg(F.min(F.struct("position", "phone_key")).alias("first"))
+        by_phone = open_rows.groupBy("phone_key").agg(F.min(F.struct("position", "email_key")).alias("first"))
         firsts = cut(
-            open_rows.join(by_email, "email_key").join(by_phone, "phone_key")
-            .where("position = email_first AND position = phone_first")
-            .select("email_key", "phone_key", "position")
+            by_email.select("email_key", "first.*").join(
+                by_phone.select("phone_key", "first.*"), ["email_key", "phone_key", "position"]
+            )
         )
         winners.append(firsts)
         open_rows = cut(
@@ -129,8 +130,8 @@ def ingest_registrations(raw: DataFrame, users: DataFrame) -> dict[str, DataFram
             ("missing_papers", (F.col("role") == "driver") & papers),
         ),
     )
-    emails = users.select(fold(F.col("email")).alias("email_key")).distinct()
-    phones = users.select(fold(F.col("phone_number")).alias("phone_key")).distinct()
+    emails = users.select(fold(F.col("email")).alias("email_key"))
+    phones = users.select(fold(F.col("phone_number")).alias("phone_key"))
     candidates = (
         checked.where("_reason IS NULL").select("request_id", "submitted_at", "email_key", "phone_key")
         .join(emails, "email_key", "left_anti").join(phones, "phone_key", "left_anti")
@@ -177,10 +178,9 @@ def ingest_complaints(raw: DataFrame, rides: DataFrame) -> dict[str, DataFrame]:
 
 
 def judge_pings(pings: DataFrame, drivers: DataFrame) -> DataFrame:
-    """Pings with a reject reason; works on a batch or a stream (the drivers are static)."""
-    known = drivers.select(F.col("driver_id").alias("_driver"))
-    joined = pings.join(known, F.col("driver_id") == F.col("_driver"), "left")
-    return joined.withColumn(
+    """Pings with a reject reason."""
+    known = drivers.select("driver_id", F.col("driver_id").alias("_driver"))
+    return join_per_key(pings, known, ["driver_id"]).withColumn(
         "reject_reason",
         first_reason(
             ("missing_coordinates", F.col("latitude").isNull() | F.col("longitude").isNull()),

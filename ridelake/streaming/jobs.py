@@ -89,7 +89,7 @@ def stream_rider_flags(stream: DataFrame, drivers: DataFrame, out: str, **run) -
 def driver_ratings_from_state(spark: SparkSession, out: str, batches: int) -> DataFrame:
     """Mean rating per rated user as carried after ``batches`` micro-batches."""
     state = CarriedState(spark, f"{out}/state", events.SCORE_STATE, events.fold_score_totals)
-    average = rating2(F.col("carried_total"), F.col("carried_n"))
+    average = rating2(F.col("total"), F.col("n"))
     return state.before(batches).select("rated_user_id", average.alias("average_rating"))
 
 
@@ -151,21 +151,18 @@ def add_usage(promos: DataFrame, used: DataFrame) -> DataFrame:
 
 
 def _status_state(spark: SparkSession, out: str, key: str) -> CarriedState:
-    schema = f"{key} BIGINT, carried_status STRING, carried_batch BIGINT"
+    schema = f"{key} BIGINT, status STRING, batch BIGINT"
 
     def fold(rows: DataFrame) -> DataFrame:
         return rows.groupBy(key).agg(
-            F.max_by("carried_status", "carried_batch").alias("carried_status"),
-            F.max("carried_batch").alias("carried_batch"),
+            F.max_by("status", "batch").alias("status"), F.max("batch").alias("batch")
         )
 
     return CarriedState(spark, f"{out}/state", schema, fold)
 
 
 def _touched(batch: DataFrame, key: str, event: str, batch_id: int) -> DataFrame:
-    return events.last_status(batch, key, event).withColumn(
-        "carried_batch", F.lit(batch_id).cast("bigint")
-    )
+    return events.last_status(batch, key, event).withColumn("batch", F.lit(batch_id).cast("bigint"))
 
 
 def _carried_for(state: CarriedState, batch: DataFrame, key: str, batch_id: int) -> DataFrame:

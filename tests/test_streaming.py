@@ -142,6 +142,6 @@ def test_replayed_batch_is_not_counted_twice(spark, folder):
 def test_state_compaction(spark, folder):
     state = CarriedState(spark, f"{folder}/state", events.SCORE_STATE, events.fold_score_totals, compact_every=3)
     for batch in range(8):
-        assert [r.carried_n for r in state.before(batch).collect()] == ([batch] if batch else [])
+        assert [r.n for r in state.before(batch).collect()] == ([batch] if batch else [])
         state.write(spark.createDataFrame([(1, 5, 1)], events.SCORE_STATE), batch)
     assert len(state._span(6, 8)) == 3
