@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ridelake.functions.money import rating2
 from ridelake.functions.text import low_rating_message
 from ridelake.operators.common import Tables, place
-from ridelake.plans.keyed import neighbours, running_totals
+from ridelake.plans.keyed import join_per_key, neighbours, running_totals
 from ridelake.plans.session import cut
 from ridelake.schema import DRIVER_BUSY_STATUSES, LOW_DRIVER_RATING, LOW_RIDER_RATING
 
@@ -45,11 +45,16 @@ def running_ratings(ratings: DataFrame, carried: DataFrame | None = None) -> Dat
     )
 
 
+def _judged_by_role(low: DataFrame, drivers: DataFrame) -> DataFrame:
+    """Low running means with whether the rated user is a driver."""
+    rated_drivers = drivers.select(F.col("user_id").alias("rated_user_id"), F.lit(True).alias("is_driver"))
+    return join_per_key(cut(low), rated_drivers, ["rated_user_id"])
+
+
 def rating_alerts(running: DataFrame, drivers: DataFrame) -> DataFrame:
     """A notification for every rating after which a driver's mean is below 3.5."""
-    rated_drivers = drivers.select(F.col("user_id").alias("rated_user_id"))
     low = running.where((F.col("average") < F.lit(LOW_DRIVER_RATING)) & (F.col("average") > 0))
-    return low.join(rated_drivers, "rated_user_id", "left_semi").select(
+    return _judged_by_role(low, drivers).where("is_driver").select(
         F.col("rating_id").alias("notification_id"), F.lit("low_driver_rating").alias("type"),
         low_rating_message(F.col("rated_user_id"), F.col("average")).alias("message"),
         F.col("rated_user_id").alias("ref_user_id"), F.lit(False).alias("is_read"),
@@ -59,9 +64,8 @@ def rating_alerts(running: DataFrame, drivers: DataFrame) -> DataFrame:
 
 def rider_flags(running: DataFrame, drivers: DataFrame) -> DataFrame:
     """Ratings after which the mean of somebody who is not a driver is below 3.0."""
-    rated_drivers = drivers.select(F.col("user_id").alias("rated_user_id"))
     low = running.where(F.col("average") < F.lit(LOW_RIDER_RATING))
-    return low.join(rated_drivers, "rated_user_id", "left_anti").select(
+    return _judged_by_role(low, drivers).where("is_driver IS NULL").select(
         "rating_id", "rated_user_id", "average", "timestamp"
     )
 
@@ -119,16 +123,19 @@ def ride_effects(steps: DataFrame, t: Tables) -> dict[str, DataFrame]:
     """What ride status changes bring about: history rows, freed drivers, drop-off pings."""
     closed = ("completed", "cancelled")
     status, before = F.col("status"), F.col("previous_status")
-    changed = steps.where(before.isNotNull() & (before != status))
-    ride = t["rides"].select("ride_id", "driver_id", "dropoff_location_id").where("driver_id IS NOT NULL")
-    ended = changed.where(status.isin(*closed)).join(ride, "ride_id")
-    dropoff = place(t, "dropoff", latitude="latitude", longitude="longitude").where("latitude IS NOT NULL")
+    changed = cut(steps.where(before.isNotNull() & (before != status)))
+    ends = changed.where(status.isin(*closed))
+    touched = t["rides"].select("ride_id", "driver_id", "dropoff_location_id").where(
+        "driver_id IS NOT NULL"
+    ).join(ends.select("ride_id").distinct(), "ride_id", "left_semi")
+    dropoff = place(t, "dropoff", latitude="latitude", longitude="longitude")
+    ended = join_per_key(ends, touched.join(dropoff, "dropoff_location_id", "left"), ["ride_id"], "inner")
     return {
         "history": changed.select("history_id", "ride_id", "status", "timestamp"),
         "freed": ended.where(~before.isin(*closed)).select(
             "history_id", "driver_id", F.lit("available").alias("availability_status"), "timestamp"
         ),
-        "pings": ended.where(status == "completed").join(dropoff, "dropoff_location_id").select(
+        "pings": ended.where((status == "completed") & F.col("latitude").isNotNull()).select(
             F.col("history_id").alias("location_id"), "driver_id", "latitude", "longitude", "timestamp"
         ),
     }

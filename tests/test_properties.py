@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ridelake.functions.geo import cosine_km
 from ridelake.operators import lifecycle, matching
 from ridelake.plans.grid import join_within
-from ridelake.plans.keyed import neighbours, running_totals, top_per_key
+from ridelake.plans.keyed import join_per_key, neighbours, running_totals, top_per_key
 from ridelake.schema import EARTH_RADIUS_KM
 from ridelake.sources.ingest import ingest_registrations
 
@@ -116,6 +116,25 @@ def test_top_per_key(feed):
     assert rows(got, "key", "id") == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("share", [3, 1000])
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_join_per_key_equals_a_join(feed, how, share):
+    some = feed.select("id", "key", "v")
+    names = some.where("key IS NOT NULL AND key % 7 <> 3").groupBy("key").agg(F.max("v").alias("best"))
+    got = join_per_key(some, names, ["key"], how, share)
+    assert got.columns == ["key", "id", "v", "best"]
+    assert rows(got, "id", "key", "v", "best") == rows(some.join(names, "key", how), "id", "key", "v", "best")
+
+
+def test_join_per_key_deals_a_hot_key_to_many_groups(spark):
+    hot = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("key"), "id")
+    names = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    out = join_per_key(hot, names, ["key"], "inner", share=20)
+    assert out.where("key = -1").count() == 10_000 and out.count() == 30_000
+    keys = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_split" in keys
+
+
 def test_registrations_match_a_sequential_loop(spark, seed):
     rng = random.Random(6)
     data = [(i, f"e{rng.randrange(60)}", f"p{rng.randrange(60)}", NOW + dt.timedelta(seconds=rng.randrange(500))) for i in range(300)]
