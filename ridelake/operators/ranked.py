@@ -9,7 +9,7 @@ from ridelake.functions.money import money
 from ridelake.functions.text import fold
 from ridelake.functions.timeops import seconds_between
 from ridelake.operators.common import Tables, count_rows, only, paginate, person
-from ridelake.plans.keyed import neighbours, top_per_key, with_slice
+from ridelake.plans.keyed import hot_keys, neighbours, top_per_key
 from ridelake.schema import TOP_K
 
 
@@ -47,13 +47,13 @@ def ride_status_timeline(t: Tables, ride_id: int | None = None) -> DataFrame:
 
     Adds the time the status was left and the whole seconds spent in it.
     """
-    feed = with_slice(only(t["ride_history"], ride_id=ride_id), "timestamp")
-    order = ["timestamp", "history_id"]
+    feed = only(t["ride_history"], ride_id=ride_id)
+    order, hot = ["timestamp", "history_id"], hot_keys(feed, ["ride_id"])
     changes = (
-        neighbours(feed, ["ride_id"], order, previous={"previous_status": "status"})
+        neighbours(feed, ["ride_id"], order, previous={"previous_status": "status"}, hot=hot)
         .where("previous_status IS NULL OR previous_status <> status")
     )
-    spans = neighbours(changes, ["ride_id"], order, following={"left_at": "timestamp"})
+    spans = neighbours(changes, ["ride_id"], order, following={"left_at": "timestamp"}, hot=hot)
     return spans.select(
         "history_id", "ride_id", "status", "previous_status", "timestamp", "left_at",
         seconds_between(F.col("timestamp"), F.col("left_at")).alias("seconds_in_status"),

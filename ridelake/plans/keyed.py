@@ -1,8 +1,11 @@
-"""Skew-safe building blocks: top rows per key, prefix sums and neighbours along a key's timeline.
-
-A window partitioned by one key puts all rows of that key into one task. The helpers here cut
-each key's timeline into slices first, work within (key, slice), and carry a small summary per
-slice across, so that a key with a third of all rows still spreads over the cluster.
+"""Skew-safe building blocks: top rows per key, prefix sums and neighbours along a key's timeline,
+joins to one row per key.
+
+A window or join partitioned by one key puts all rows of that key into one task. The helpers here
+first find the hot keys, with a sketch that reads the key once and shuffles nothing. Other keys take
+the plain way, one shuffle. The timeline of a hot key is cut into slices: work runs within (key,
+slice) and a small summary per slice is carried across. In joins the rows of a hot key are dealt to
+several groups. The list of hot keys is fixed before the work starts, so replays agree.
 """
 
 from __future__ import annotations
@@ -13,6 +16,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE_MINUTES = 60
+HOT_SHARE = 1000  # a key with more than 1/HOT_SHARE of all rows is hot, unless
+MIN_HOT_ROWS = 100_000  # it has too few rows to keep one task busy
+_SKETCH_ITEMS = 100_000
+
+HotKeys = dict[int, int]
+
+
+def _hash(keys: Sequence[str]) -> Column:
+    return F.xxhash64(F.struct(*keys))
+
+
+def hot_keys(rows: DataFrame, keys: Sequence[str]) -> HotKeys:
+    """Hashes of the hot keys with their row counts: fewer than ``HOT_SHARE`` entries.
+
+    Counts are estimates from a frequent-items sketch. They steer how work is split, not results.
+    """
+    hashed = rows.select(_hash(keys).alias("_h"))
+    row = hashed.agg(
+        F.expr(f"approx_top_k(_h, {HOT_SHARE}, {_SKETCH_ITEMS})").alias("top"), F.count(F.lit(1)).alias("n")
+    ).first()
+    floor = max(row.n / HOT_SHARE, MIN_HOT_ROWS)
+    return {item["item"]: item["count"] for item in row.top if item["count"] > floor}
+
+
+def _is_hot(keys: Sequence[str], hot: HotKeys) -> Column:
+    return _hash(keys).isin(list(hot))
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:
@@ -30,16 +59,13 @@ def time_slice(ts: Column, minutes: int = SLICE_MINUTES) -> Column:
     return F.coalesce(F.call_function("div", minute, F.lit(minutes)), F.lit(-(2**40)))
 
 
-def with_slice(df: DataFrame, ts: str, minutes: int = SLICE_MINUTES) -> DataFrame:
-    """Add the slice column, unless there is one. Adding it before several helpers lets them share
-    one partitioning."""
-    return df if "_slice" in df.columns else df.withColumn("_slice", time_slice(F.col(ts), minutes))
-
-
-def _with_summary(local: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join a per-slice summary back. Keys and slice are what the window before it was partitioned
-    by, so the rows are not shuffled again."""
-    return local.join(summary, [*keys, "_slice"])
+def _split_by_heat(df: DataFrame, keys: Sequence[str], hot: HotKeys | None, plain, sliced) -> DataFrame:
+    """``plain`` over the rows of ordinary keys, ``sliced`` over those of hot ones."""
+    hot = hot_keys(df, keys) if hot is None else hot
+    if not hot:
+        return plain(df)
+    heat = _is_hot(keys, hot)
+    return plain(df.where(~heat)).unionByName(sliced(df.where(heat)))
 
 
 def running_totals(
@@ -49,41 +75,55 @@ def running_totals(
     totals: dict[str, Column],
     slice_minutes: int = SLICE_MINUTES,
     initial: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Add running sums per key, up to and including each row.
 
     ``order`` starts with the time column and is unique within a key. Keys must not be NULL; wrap a
-    nullable one in a struct. ``initial`` gives starting sums per key, one row each; they join the
-    slice summaries, not the rows. ``df`` is read twice, so cut an expensive one first.
+    nullable one in a struct. ``initial`` gives starting sums per key, one row each. ``df`` is read
+    more than once, so cut an expensive one first.
     """
-    sliced = with_slice(df, order[0], slice_minutes)
-    per_slice = sliced.groupBy(*keys, "_slice").agg(
-        *[F.sum(value).alias(f"_sum_{name}") for name, value in totals.items()]
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_slice.select(
-        *keys, "_slice",
-        *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_carry_{n}") for n in totals],
-    )
+    names = list(totals)
+    starts = None
     if initial is not None:
-        starts = initial.select(*keys, *[F.col(n).alias(f"_start_{n}") for n in totals])
-        carried = carried.join(starts, list(keys), "left").select(
+        starts = initial.select(*keys, *[F.col(n).alias(f"_start_{n}") for n in names])
+
+    def with_starts(frame: DataFrame, prefix: str) -> DataFrame:
+        if starts is None:
+            return frame
+        joined = frame.join(starts, list(keys), "left")
+        kept = [c for c in frame.columns if c not in [f"{prefix}{n}" for n in names]]
+        added = [
+            (F.col(f"{prefix}{n}") + F.coalesce(f"_start_{n}", F.lit(0))).alias(f"{prefix}{n}") for n in names
+        ]
+        return joined.select(*kept, *added)
+
+    def sums(frame: DataFrame, partition: Sequence[str], prefix: str) -> DataFrame:
+        window = Window.partitionBy(*partition).orderBy(*order).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+        return frame.select("*", *[F.sum(totals[n]).over(window).alias(f"{prefix}{n}") for n in names])
+
+    def plain(frame: DataFrame) -> DataFrame:
+        return with_starts(sums(frame, keys, ""), "").select(*df.columns, *names)
+
+    def sliced(frame: DataFrame) -> DataFrame:
+        rows = frame.withColumn("_slice", time_slice(F.col(order[0]), slice_minutes))
+        per_slice = rows.groupBy(*keys, "_slice").agg(
+            *[F.sum(totals[n]).alias(f"_sum_{n}") for n in names]
+        )
+        earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        carried = per_slice.select(
             *keys, "_slice",
-            *[
-                (F.col(f"_carry_{n}") + F.coalesce(f"_start_{n}", F.lit(0))).alias(f"_carry_{n}")
-                for n in totals
-            ],
+            *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_carry_{n}") for n in names],
         )
-    within = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    local = sliced.select(
-        "*", *[F.sum(value).over(within).alias(f"_local_{name}") for name, value in totals.items()]
-    )
-    return _with_summary(local, carried, keys).select(
-        *df.columns,
-        *[(F.col(f"_local_{name}") + F.col(f"_carry_{name}")).alias(name) for name in totals],
-    )
+        # Joined on what the window was partitioned by, so the rows are not shuffled again.
+        local = sums(rows, [*keys, "_slice"], "_local_")
+        return local.join(with_starts(carried, "_carry_"), [*keys, "_slice"]).select(
+            *df.columns, *[(F.col(f"_local_{n}") + F.col(f"_carry_{n}")).alias(n) for n in names]
+        )
+
+    return _split_by_heat(df, keys, hot, plain, sliced)
 
 
 def neighbours(
@@ -94,6 +134,7 @@ def neighbours(
     following: dict[str, str] | None = None,
     slice_minutes: int = SLICE_MINUTES,
     initial: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Add values of the previous and following row of the same key.
 
@@ -102,32 +143,47 @@ def neighbours(
     """
     previous, following = previous or {}, following or {}
     sources = sorted({*previous.values(), *following.values()})
-    sliced = with_slice(df, order[0], slice_minutes)
-    position = F.struct(*order)
     values = F.struct(*sources)
-    edges, bounds, local = [], [], []
-    by_slice = Window.partitionBy(*keys).orderBy("_slice")
-    within = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    if previous:
-        edges.append(F.max_by(values, position).alias("_tail"))
-        bounds.append(F.lag("_tail").over(by_slice).alias("_before"))
-        local.append(F.lag(values).over(within).alias("_prev"))
-    if following:
-        edges.append(F.min_by(values, position).alias("_head"))
-        bounds.append(F.lead("_head").over(by_slice).alias("_after"))
-        local.append(F.lead(values).over(within).alias("_next"))
-    summary = sliced.groupBy(*keys, "_slice").agg(*edges).select(*keys, "_slice", *bounds)
+    starts = None
     if initial is not None and previous:
         starts = initial.select(*keys, F.struct(*sources).alias("_start"))
-        rest = [F.col("_after")] if following else []
-        summary = summary.join(starts, list(keys), "left").select(
-            *keys, "_slice", F.coalesce("_before", "_start").alias("_before"), *rest
+
+    def beside(frame: DataFrame, partition: Sequence[str]) -> DataFrame:
+        window = Window.partitionBy(*partition).orderBy(*order)
+        return frame.select("*", F.lag(values).over(window).alias("_prev"), F.lead(values).over(window).alias("_next"))
+
+    def result(frame: DataFrame, prev: Column, nxt: Column) -> DataFrame:
+        return frame.select(
+            *df.columns, *[prev[src].alias(name) for name, src in previous.items()],
+            *[nxt[src].alias(name) for name, src in following.items()],
         )
-    return _with_summary(sliced.select("*", *local), summary, keys).select(
-        *df.columns,
-        *[F.coalesce(F.col("_prev"), F.col("_before"))[src].alias(name) for name, src in previous.items()],
-        *[F.coalesce(F.col("_next"), F.col("_after"))[src].alias(name) for name, src in following.items()],
-    )
+
+    def plain(frame: DataFrame) -> DataFrame:
+        local = beside(frame, keys)
+        prev = F.col("_prev")
+        if starts is not None:
+            local, prev = local.join(starts, list(keys), "left"), F.coalesce("_prev", "_start")
+        return result(local, prev, F.col("_next"))
+
+    def sliced(frame: DataFrame) -> DataFrame:
+        rows = frame.withColumn("_slice", time_slice(F.col(order[0]), slice_minutes))
+        position = F.struct(*order)
+        edges = rows.groupBy(*keys, "_slice").agg(
+            F.max_by(values, position).alias("_tail"), F.min_by(values, position).alias("_head")
+        )
+        by_slice = Window.partitionBy(*keys).orderBy("_slice")
+        summary = edges.select(
+            *keys, "_slice", F.lag("_tail").over(by_slice).alias("_before"),
+            F.lead("_head").over(by_slice).alias("_after"),
+        )
+        if starts is not None:
+            summary = summary.join(starts, list(keys), "left").select(
+                *keys, "_slice", F.coalesce("_before", "_start").alias("_before"), "_after"
+            )
+        local = beside(rows, [*keys, "_slice"]).join(summary, [*keys, "_slice"])
+        return result(local, F.coalesce("_prev", "_before"), F.coalesce("_next", "_after"))
+
+    return _split_by_heat(df, keys, hot, plain, sliced)
 
 
 def left_join_many(
@@ -143,38 +199,34 @@ def left_join_many(
     return left.join(right.unionByName(empty, allowMissingColumns=True), list(on))
 
 
-HOT_SHARE = 1000
-
-
 def join_per_key(
-    rows: DataFrame, per_key: DataFrame, on: Sequence[str], how: str = "left", share: int = HOT_SHARE
+    rows: DataFrame, per_key: DataFrame, on: Sequence[str], how: str = "left", hot: HotKeys | None = None
 ) -> DataFrame:
     """Join many rows to a side with one row per key, splitting hot keys.
 
     Spark splits skewed partitions only where both join sides come straight from a shuffle, so not
-    where one is an aggregate on the join key, and not inside a stream. Here the rows of a key that
-    holds more than 1/``share`` of all rows are dealt to several groups, to which the key's one row
-    is copied. There are fewer than ``share`` such keys, so their list is safe to broadcast. Rows
-    with a NULL key match nothing and are spread.
+    where one is an aggregate on the join key, and not inside a stream. Here the rows of a hot key
+    are dealt to groups of at most ``MIN_HOT_ROWS`` rows or so, to each of which the key's one row is
+    copied. Rows with a NULL key count as one key, match nothing and are dealt alike.
     """
     if how not in ("left", "inner"):
         raise ValueError("join_per_key supports left and inner joins")
     keys = list(on)
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    hot = F.broadcast(
-        counts.where(F.col("_n") * share > total).select(
-            *keys, F.ceil(F.col("_n") * share / total).alias("_splits")
+    hot = hot_keys(rows, keys) if hot is None else hot
+    if not hot:
+        return rows.join(per_key, keys, how)
+    groups = [(item, min(HOT_SHARE, -(-count // MIN_HOT_ROWS))) for item, count in hot.items()]
+    # Fewer than HOT_SHARE rows, whatever the size of the data.
+    listed = F.broadcast(rows.sparkSession.createDataFrame(groups, "_h BIGINT, _splits BIGINT"))
+
+    def heated(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("_h", _hash(keys)).join(listed, "_h", "left").withColumn(
+            "_splits", F.coalesce("_splits", F.lit(1))
         )
+
+    dealt = heated(rows).withColumn("_split", F.pmod(F.xxhash64(*rows.columns), F.col("_splits")))
+    copies = heated(per_key).withColumn(
+        "_split", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_splits") - 1))
     )
-    no_key = F.lit(False)
-    for key in keys:
-        no_key |= F.col(key).isNull()
-    splits = F.when(no_key, F.lit(share)).otherwise(F.coalesce("_splits", F.lit(1)))
-    dealt = rows.join(hot, keys, "left").withColumn(
-        "_split", F.pmod(F.xxhash64(*rows.columns), splits)
-    ).drop("_splits")
-    copies = per_key.join(hot, keys, "left").withColumn(
-        "_split", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_splits", F.lit(1)) - 1))
-    ).drop("_splits")
-    return dealt.join(copies, [*keys, "_split"], how).drop("_split")
+    joined = dealt.drop("_h", "_splits").join(copies.drop("_h", "_splits"), [*keys, "_split"], how)
+    return joined.drop("_split")

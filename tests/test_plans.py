@@ -5,6 +5,7 @@ import re
 import pytest
 
 from ridelake.operators import aggregates, events, lists, matching, pricing, ranked, wide
+from ridelake.plans import keyed
 from ridelake.plans.session import shared_dir
 from ridelake.sources import ingest
 from ridelake.sources.feeds import feed
@@ -72,13 +73,19 @@ def test_leaderboard_is_a_top_k(stored):
     assert "TakeOrderedAndProject" in plan(ranked.driver_leaderboard(stored))
 
 
-def test_ordered_windows_are_sliced(stored):
-    """Rows are shuffled once, by (key, slice); the other three shuffles carry slice summaries."""
+def test_ordinary_keys_take_one_shuffle(stored):
+    assert exchanges(events.running_ratings(stored["ratings"])) == 1
+
+
+def test_hot_keys_are_sliced(stored, monkeypatch):
+    """Hot rows are shuffled once, by (key, slice); three small shuffles carry slice summaries."""
+    monkeypatch.setattr(keyed, "MIN_HOT_ROWS", 1)
     running = events.running_ratings(stored["ratings"])
     text = re.sub(r"#\d+L?", "", plan(running))
-    assert exchanges(running) == 4
-    rows_shuffled = [part for part in text.split("Exchange hashpartitioning")[1:] if "rating_id" in part.split("Exchange")[0]]
-    assert len(rows_shuffled) == 1 and rows_shuffled[0].startswith("(rated_user_id, _slice")
+    assert exchanges(running) == 1 + 4
+    hot = text[text.index("SortMergeJoin"):]
+    moved = [part for part in hot.split("Exchange hashpartitioning")[1:] if "rating_id" in part.split("Exchange")[0]]
+    assert len(moved) == 1 and moved[0].startswith("(rated_user_id, _slice")
 
 
 def test_only_the_share_window_is_unpartitioned(stored):

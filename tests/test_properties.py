@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ridelake.functions.geo import cosine_km
 from ridelake.operators import lifecycle, matching
+from ridelake.plans import keyed
 from ridelake.plans.grid import join_within
 from ridelake.plans.keyed import join_per_key, neighbours, running_totals, top_per_key
 from ridelake.schema import EARTH_RADIUS_KM
@@ -81,6 +82,11 @@ def test_nearest_without_drivers(spark, seed):
     assert rows(matching.nearest_driver(none, requests)) == [(1, None, None)]
 
 
+@pytest.fixture(params=[1, 100, keyed.MIN_HOT_ROWS], ids=["all hot", "some hot", "none hot"])
+def heat(request, monkeypatch):
+    monkeypatch.setattr(keyed, "MIN_HOT_ROWS", request.param)
+
+
 @pytest.fixture(scope="module")
 def feed(spark):
     rng = random.Random(5)
@@ -91,16 +97,30 @@ def feed(spark):
     return spark.createDataFrame(data, "id BIGINT, key BIGINT, v BIGINT, ts TIMESTAMP_NTZ").withColumn("k", F.struct("key"))
 
 
-@pytest.mark.parametrize("minutes", [7, 60, 100_000])
-def test_running_totals_equal_one_window(feed, minutes):
+@pytest.mark.parametrize("minutes", [7, 100_000])
+def test_running_totals_equal_one_window(feed, heat, minutes):
     got = running_totals(feed, ["k"], ["ts", "id"], {"s": F.col("v"), "n": F.lit(1)}, minutes)
     w = Window.partitionBy("key").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
     want = feed.select("id", F.sum("v").over(w).alias("s"), F.count(F.lit(1)).over(w).alias("n"))
     assert rows(got, "id", "s", "n") == rows(want, "id", "s", "n")
 
 
-@pytest.mark.parametrize("minutes", [7, 60, 100_000])
-def test_neighbours_equal_lag_and_lead(feed, minutes):
+def test_starting_values(spark, feed, heat):
+    start = feed.where("key % 2 = 0").groupBy("k").agg(F.max("v").alias("v"), F.max("v").alias("s"))
+    shift = feed.join(start.select("k", F.col("s").alias("s0"), F.col("v").alias("v0")), "k", "left")
+    w = Window.partitionBy("key").orderBy("ts", "id")
+    want = shift.select(
+        "id", (F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("s0", F.lit(0))).alias("s"),
+        F.coalesce(F.lag("v").over(w), "v0").alias("pv"),
+    )
+    got = running_totals(feed, ["k"], ["ts", "id"], {"s": F.col("v")}, 30, initial=start)
+    assert rows(got, "id", "s") == rows(want, "id", "s")
+    got = neighbours(feed, ["k"], ["ts", "id"], {"pv": "v"}, slice_minutes=30, initial=start)
+    assert rows(got, "id", "pv") == rows(want, "id", "pv")
+
+
+@pytest.mark.parametrize("minutes", [7, 100_000])
+def test_neighbours_equal_lag_and_lead(feed, heat, minutes):
     got = neighbours(feed, ["k"], ["ts", "id"], {"pv": "v"}, {"nid": "id"}, minutes)
     w = Window.partitionBy("key").orderBy("ts", "id")
     want = feed.select("id", F.lag("v").over(w).alias("pv"), F.lead("id").over(w).alias("nid"))
@@ -116,26 +136,26 @@ def test_top_per_key(feed):
     assert rows(got, "key", "id") == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("share", [3, 1000])
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_join_per_key_equals_a_join(feed, how, share):
+def test_join_per_key_equals_a_join(feed, heat, how):
     some = feed.select("id", "key", "v")
     names = some.where("key IS NOT NULL AND key % 7 <> 3").groupBy("key").agg(F.max("v").alias("best"))
-    got = join_per_key(some, names, ["key"], how, share)
+    got = join_per_key(some, names, ["key"], how)
     assert got.columns == ["key", "id", "v", "best"]
     assert rows(got, "id", "key", "v", "best") == rows(some.join(names, "key", how), "id", "key", "v", "best")
 
 
-def test_join_per_key_deals_a_hot_key_to_many_groups(spark):
-    hot = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("key"), "id")
-    names = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    out = join_per_key(hot, names, ["key"], "inner", share=20)
+def test_hot_keys_are_found(spark, monkeypatch):
+    monkeypatch.setattr(keyed, "MIN_HOT_ROWS", 500)
+    some = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("key"), "id")
+    assert list(keyed.hot_keys(some, ["key"]).values()) == [10_000]
+    names = some.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    out = join_per_key(some, names, ["key"], "inner")
     assert out.where("key = -1").count() == 10_000 and out.count() == 30_000
-    keys = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "_split" in keys
+    assert keyed.hot_keys(some.limit(0), ["key"]) == {}
 
 
-def test_registrations_match_a_sequential_loop(spark, seed):
+def test_registrations_match_a_sequential_loop(spark, seed, heat):
     rng = random.Random(6)
     data = [(i, f"e{rng.randrange(60)}", f"p{rng.randrange(60)}", NOW + dt.timedelta(seconds=rng.randrange(500))) for i in range(300)]
     data += [(1000 + i, "hot", f"h{i}", NOW) for i in range(100)]
@@ -151,7 +171,7 @@ def test_registrations_match_a_sequential_loop(spark, seed):
     assert rows(ingest_registrations(raw, seed["users"])["users"], "user_id") == sorted(want, key=repr)
 
 
-def test_actions_match_a_state_machine(spark, seed):
+def test_actions_match_a_state_machine(spark, seed, heat):
     rng = random.Random(7)
     states = ["requested", "accepted", "in_progress", "completed", "cancelled"]
     start = {i: rng.choice(states) for i in range(1, 31)}
