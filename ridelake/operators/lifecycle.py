@@ -17,8 +17,8 @@ from ridelake.functions.timeops import as_timestamp
 from ridelake.operators.aggregates import received_scores
 from ridelake.operators.common import Tables
 from ridelake.operators.decisions import accepted, first_reason, rejected, with_first
-from ridelake.operators.pricing import apply_promo, booking_fare, fare_quote
-from ridelake.plans.keyed import join_per_key, running_totals
+from ridelake.operators.pricing import attach_promo, booking_fare, discount, fare_quote
+from ridelake.plans.keyed import hot_keys, join_per_key, running_totals
 from ridelake.plans.session import cut
 from ridelake.schema import (
     DEMAND_THRESHOLD, LOW_DRIVER_RATING, MIN_TRIPS_TO_FLAG, PAYMENT_METHODS, PAYOUT_DAYS,
@@ -234,8 +234,9 @@ def settle_payments(requests: DataFrame, rides: DataFrame, payments: DataFrame,
     )
     paid = payments.where("payment_status = 'paid'").select("ride_id").distinct().withColumn("paid", F.lit(True))
     owned = (F.col("ride_id") == F.col("_ride")) & (F.col("user_id") == F.col("_rider"))
-    joined = join_per_key(requests, paid, ["ride_id"]).join(ride, owned, "left")
-    priced = apply_promo(joined, promos, as_of, "reject").withColumnRenamed("reject_reason", "promo_reason")
+    promoed = attach_promo(requests, promos, as_of)
+    joined = join_per_key(promoed, paid, ["ride_id"], hot=hot_keys(requests, ["ride_id"])).join(ride, owned, "left")
+    priced = discount(joined, "reject").withColumnRenamed("reject_reason", "promo_reason")
     bad_method = ~F.coalesce(F.col("payment_method").isin(*PAYMENT_METHODS), F.lit(False))
     rules = [
         ("invalid_method", bad_method),
@@ -279,9 +280,10 @@ def complete_rides(t: Tables, requests: DataFrame, as_of, threshold: int = DEMAN
     """
     ride = t["rides"].select(F.col("ride_id").alias("_ride"), "user_id", "driver_id", "vehicle_id")
     car = t["vehicles"].select("vehicle_id", "vehicle_type")
-    joined = requests.join(ride, F.col("ride_id") == F.col("_ride"), "left").join(car, "vehicle_id", "left")
+    promoed = attach_promo(requests, t["promo_code"], as_of)
+    joined = promoed.join(ride, F.col("ride_id") == F.col("_ride"), "left").join(car, "vehicle_id", "left")
     quoted = fare_quote(joined, t["fare_rules"], pending, threshold)
-    priced = apply_promo(quoted, t["promo_code"], as_of, "ignore").drop("reject_reason")
+    priced = discount(quoted, "ignore").drop("reject_reason")
     decided = priced.withColumn(
         "reject_reason",
         first_reason(

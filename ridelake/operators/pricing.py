@@ -14,7 +14,7 @@ from ridelake.plans.keyed import join_per_key, neighbours, running_totals
 from ridelake.plans.session import cut
 from ridelake.schema import (
     BOOKING_FARE, CITY_SPEED_KMH, DEFAULT_VEHICLE_TYPE, DEMAND_THRESHOLD, FALLBACK_FARE,
-    MIN_TRIP_MINUTES, SEED_FARE_RULES,
+    MIN_TRIP_MINUTES, SEED_FARE_RULES, VEHICLE_TYPES,
 )
 
 _ENDS = ("pickup_lat", "pickup_lng", "dropoff_lat", "dropoff_lng")
@@ -54,8 +54,15 @@ def pending_requests(t: Tables) -> Column:
 
 
 def with_rates(trips: DataFrame, rules: DataFrame) -> DataFrame:
-    """Attach the fare rule of each trip's vehicle type, default rates where there is none."""
-    keyed = rules.select(fold(F.col("vehicle_type")).alias("_type"), *[F.col(r).alias(f"_{r}") for r in _RATES])
+    """Attach the fare rule of each trip's vehicle type, default rates where there is none.
+
+    Reduced to one rule per known type, the rules have at most three rows, so they are broadcast.
+    """
+    one_per_type = (
+        rules.select(fold(F.col("vehicle_type")).alias("_type"), F.struct(*_RATES).alias("_rule"), "rule_id")
+        .where(F.col("_type").isin(*VEHICLE_TYPES)).groupBy("_type").agg(F.min_by("_rule", "rule_id").alias("_rule"))
+    )
+    keyed = F.broadcast(one_per_type.select("_type", *[F.col(f"_rule.{r}").alias(f"_{r}") for r in _RATES]))
     defaults = dict(zip(_RATES, SEED_FARE_RULES[DEFAULT_VEHICLE_TYPE]))
     joined = trips.join(keyed, fold(F.col("vehicle_type")) == F.col("_type"), "left")
     return joined.select(
@@ -181,28 +188,41 @@ def resolve_addresses(trips: DataFrame, locations: DataFrame) -> DataFrame:
     return out
 
 
-def apply_promo(fares: DataFrame, promos: DataFrame, as_of, on_invalid: str = "reject") -> DataFrame:
-    """Discount fares that carry a ``promo_code``.
+def attach_promo(requests: DataFrame, promos: DataFrame, as_of) -> DataFrame:
+    """Add ``promo_id`` and ``discount_amount`` of the valid promo named by ``promo_code``, else NULL.
 
-    An unknown or expired code gets a ``reject_reason`` (``on_invalid='reject'``) or is ignored.
+    Most requests name no code or one popular code; both are hot keys of this join.
     """
-    if on_invalid not in ("reject", "ignore"):
-        raise ValueError("on_invalid must be 'reject' or 'ignore'")
     valid = promos.where(F.col("expiry_date") >= as_date(as_of)).select(
-        fold(F.col("code")).alias("_code"), F.col("promo_id").alias("_promo_id"), "discount_amount"
+        fold(F.col("code")).alias("_code"), "promo_id", "discount_amount"
     )
-    asked = ~is_blank(F.col("promo_code"))
-    joined = fares.join(valid, F.when(asked, fold(F.col("promo_code"))) == F.col("_code"), "left")
-    rejected = asked & F.col("_code").isNull() if on_invalid == "reject" else F.lit(False)
-    return joined.select(
-        *fares.columns,
-        F.col("_promo_id").alias("promo_id"),
-        money(F.coalesce("discount_amount", F.lit(0))).alias("discount_applied"),
+    code = F.when(~is_blank(F.col("promo_code")), fold(F.col("promo_code")))
+    return join_per_key(requests.withColumn("_code", code), valid, ["_code"]).drop("_code")
+
+
+def discount(fares: DataFrame, on_invalid: str = "reject") -> DataFrame:
+    """Fares with an attached promo, discounted: adds ``discount_applied``, ``final_fare`` and
+    ``reject_reason``."""
+    if on_invalid not in ("reject", "ignore"):
+        raise ValueError("on_invalid must be 'reject' or 'ignore'")
+    unknown = ~is_blank(F.col("promo_code")) & F.col("promo_id").isNull()
+    rejected = unknown if on_invalid == "reject" else F.lit(False)
+    kept = [c for c in fares.columns if c not in ("promo_id", "discount_amount")]
+    return fares.select(
+        *kept, "promo_id", money(F.coalesce("discount_amount", F.lit(0))).alias("discount_applied"),
         F.when(~rejected, money(less_discount(F.col("fare"), F.col("discount_amount")))).alias("final_fare"),
         F.when(rejected, F.lit("invalid_promo")).alias("reject_reason"),
     )
 
 
+def apply_promo(fares: DataFrame, promos: DataFrame, as_of, on_invalid: str = "reject") -> DataFrame:
+    """Discount fares that carry a ``promo_code``.
+
+    An unknown or expired code gets a ``reject_reason`` (``on_invalid='reject'``) or is ignored.
+    """
+    return discount(attach_promo(fares, promos, as_of), on_invalid)
+
+
 def commission_split(amounts: DataFrame, column: str = "amount") -> DataFrame:
     return amounts.withColumn("platform_commission", commission2(F.col(column))).withColumn(
         "driver_net", driver_net2(F.col(column))
