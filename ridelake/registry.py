@@ -179,6 +179,10 @@ def _pricing() -> dict[str, tuple[str, Callable[[Tables], DataFrame]]]:
 
 
 def _jobs() -> dict[str, tuple[str, Callable[[Tables], DataFrame]]]:
+    def arrived(t, name):
+        """A feed that takes joins to derive, materialised as an arrived batch would be."""
+        return cut(feed(t, name))
+
     def booking(t):
         return lifecycle.match_ride_requests(feed(t, "ride_requests"), t["vehicles"])
 
@@ -192,7 +196,7 @@ def _jobs() -> dict[str, tuple[str, Callable[[Tables], DataFrame]]]:
 
     def settlement(t):
         return lifecycle.settle_payments(
-            feed(t, "payment_requests"), t["rides"], t["payments"], t["promo_code"], AS_OF[:10]
+            arrived(t, "payment_requests"), t["rides"], t["payments"], t["promo_code"], AS_OF[:10]
         )
 
     def completion(t):
@@ -201,13 +205,13 @@ def _jobs() -> dict[str, tuple[str, Callable[[Tables], DataFrame]]]:
         )
 
     def rating(t):
-        return lifecycle.accept_ratings(feed(t, "rating_requests"), t["rides"], t["ratings"])
+        return lifecycle.accept_ratings(arrived(t, "rating_requests"), t["rides"], t["ratings"])
 
     def accounts(t):
         return changes.change_account_status(t["users"], feed(t, "account_changes"))
 
     def refunds(t):
-        return changes.process_refunds(t["payments"], feed(t, "refund_requests"))
+        return changes.process_refunds(t["payments"], arrived(t, "refund_requests"))
 
     def new_vehicles(t, completing=False):
         return ingest.ingest_vehicles(

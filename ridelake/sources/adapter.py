@@ -204,8 +204,9 @@ def ride_tables(spark: SparkSession, sf_dir: str) -> RideTables:
         return items.groupBy("l_orderkey", "l_linenumber").agg(
             F.max("l_extendedprice").alias("price"),
             F.min("l_suppkey").alias("suppkey"),
-            F.min("l_returnflag").alias("returnflag"),
-            F.min("l_linestatus").alias("linestatus"),
+            # One-letter flags as codes: fixed-width buffers let Spark hash instead of sort.
+            F.min(F.ascii("l_returnflag")).alias("returnflag"),
+            F.min(F.ascii("l_linestatus")).alias("linestatus"),
             F.max("l_shipdate").alias("shipdate"),
             F.min("l_quantity").alias("quantity"),
         )
@@ -221,10 +222,10 @@ def ride_tables(spark: SparkSession, sf_dir: str) -> RideTables:
             "o_custkey AS user_id",
             "CAST(price AS DECIMAL(10,2)) AS amount",
             "CASE suppkey % 3 WHEN 0 THEN 'cash' WHEN 1 THEN 'card' ELSE 'wallet' END AS payment_method",
-            """CASE WHEN returnflag = 'A' THEN 'paid'
-               WHEN returnflag = 'N' AND linestatus = 'F' THEN 'paid'
-               WHEN returnflag = 'N' THEN 'pending'
-               WHEN linestatus = 'F' THEN 'refunded' ELSE 'failed' END AS payment_status""",
+            """CASE WHEN returnflag = ascii('A') THEN 'paid'
+               WHEN returnflag = ascii('N') AND linestatus = ascii('F') THEN 'paid'
+               WHEN returnflag = ascii('N') THEN 'pending'
+               WHEN linestatus = ascii('F') THEN 'refunded' ELSE 'failed' END AS payment_status""",
             f"shipdate + {_minutes('(l_orderkey * 53) % 1440')} AS transaction_date",
             "CASE WHEN l_linenumber = 1 THEN 1 + l_orderkey % np END AS promo_id",
         )
