@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridelake.operators.decisions import accepted, first_reason, rejected, with_first
+from ridelake.operators.decisions import accepted, first_reason, fixed, rejected, with_first
 from ridelake.schema import ACCOUNT_STATUSES, AVAILABILITY_STATUSES
 
 
@@ -46,7 +46,9 @@ def apply_changes(
         known = snapshot.select(key, F.lit(True).alias("_known"))
         judged = judged.join(known, key, "left")
         rules.append(("not_found", F.col("_known").isNull()))
-    judged = judged.withColumn("reject_reason", first_reason(*rules)).select(*changes.columns, "reject_reason")
+    judged = fixed(
+        judged.withColumn("reject_reason", first_reason(*rules)).select(*changes.columns, "reject_reason")
+    )
 
     position = F.struct(*order)
     deletes = F.col("op") == "delete" if has_op else F.lit(False)
@@ -148,6 +150,7 @@ def process_refunds(payments: DataFrame, requests: DataFrame) -> dict[str, DataF
             ("not_paid", ~is_paid | F.col("after_first")),
         ),
     ).select(*requests.columns, "reject_reason")
+    decided = fixed(decided)
     refunded = accepted(decided).select("payment_id", F.lit("refunded").alias("_status"))
     snapshot = payments.join(refunded, "payment_id", "left").select(
         *[F.coalesce("_status", c).alias(c) if c == "payment_status" else F.col(c) for c in payments.columns]

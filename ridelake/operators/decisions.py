@@ -19,6 +19,15 @@ def first_reason(*rules: tuple[str, Column]) -> Column:
     return reason
 
 
+def fixed(decided: DataFrame) -> DataFrame:
+    """Materialise the decisions of a job.
+
+    Its outputs then share them instead of repeating the joins, and still agree with each other
+    when the first one written replaces a table that the decisions were made from.
+    """
+    return cut(decided)
+
+
 def accepted(decided: DataFrame) -> DataFrame:
     return decided.where("reject_reason IS NULL")
 

@@ -16,7 +16,7 @@ from ridelake.functions.text import (
 from ridelake.functions.timeops import as_timestamp
 from ridelake.operators.aggregates import received_scores
 from ridelake.operators.common import Tables
-from ridelake.operators.decisions import accepted, first_reason, rejected, with_first
+from ridelake.operators.decisions import accepted, first_reason, fixed, rejected, with_first
 from ridelake.operators.pricing import attach_promo, booking_fare, discount, fare_quote
 from ridelake.plans.keyed import hot_keys, join_per_key, running_totals
 from ridelake.plans.session import cut
@@ -47,6 +47,7 @@ def match_ride_requests(requests: DataFrame, vehicles: DataFrame) -> Frames:
             ("missing_fields", missing), ("no_verified_vehicle", F.col("vehicle_id").isNull())
         ).alias("reject_reason"),
     )
+    decided = fixed(decided)
     booked = accepted(decided).withColumn("pickup_location_id", F.col("request_id") * 2).withColumn(
         "dropoff_location_id", F.col("request_id") * 2 + 1
     )
@@ -115,6 +116,7 @@ def apply_status_changes(changes: DataFrame, rides: DataFrame, drivers: DataFram
             ("not_your_ride", not_owner),
         ),
     ).select(*changes.columns, "driver_id", "vehicle_id", "reject_reason")
+    decided = fixed(decided)
     done = accepted(decided)
     position = F.struct("changed_at", "change_id")
     status = F.col("status")
@@ -200,6 +202,7 @@ def accept_reject_cancel(requests: DataFrame, rides: DataFrame, drivers: DataFra
             ("wrong_status", ~(F.col("accepting") | F.coalesce(F.col("is_first"), F.lit(False)))),
         ),
     ).select(*requests.columns, "driver_id", "reject_reason")
+    decided = fixed(decided)
     done = accepted(decided)
     position = F.struct("acted_at", "action_id")
     final = done.groupBy("ride_id").agg(_mapped(F.max_by("action", position), ACTION_STATUS).alias("_status"))
@@ -255,6 +258,7 @@ def settle_payments(requests: DataFrame, rides: DataFrame, payments: DataFrame,
         commission2(amount).alias("platform_commission"), driver_net2(amount).alias("driver_net"),
         "reject_reason",
     )
+    decided = fixed(decided)
     done = accepted(decided)
     return {
         "decided": decided,
@@ -295,6 +299,7 @@ def complete_rides(t: Tables, requests: DataFrame, as_of, threshold: int = DEMAN
         *requests.columns, "user_id", "driver_id", "promo_id", "final_fare", "surge_applied",
         "discount_applied", "reject_reason",
     )
+    decided = fixed(decided)
     done = accepted(decided)
     position = F.struct("requested_at", "request_id")
     final = done.groupBy("ride_id").agg(
@@ -356,6 +361,7 @@ def weekly_payouts(t: Tables, as_of) -> Frames:
             ).alias("reject_reason"),
         )
     )
+    decided = fixed(decided)
     return {
         "decided": decided, "payouts": accepted(decided).drop("reject_reason"), "rejected": rejected(decided),
     }
@@ -384,6 +390,7 @@ def accept_ratings(raw: DataFrame, rides: DataFrame, ratings: DataFrame) -> Fram
     decided = ranked.withColumn("reject_reason", F.coalesce("_reason", late)).select(
         *raw.columns, "reject_reason"
     )
+    decided = fixed(decided)
     new_ratings = accepted(decided).select(
         F.col("request_id").alias("rating_id"), "ride_id", "rated_by", "rated_user_id", "score",
         F.when(~is_blank(F.col("comment")), F.col("comment")).alias("comment"),

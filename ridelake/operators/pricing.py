@@ -142,12 +142,8 @@ def demand_snapshot(t: Tables, threshold: int = DEMAND_THRESHOLD) -> DataFrame:
     return waiting.withColumn("high_demand", F.col("pending_requests") > threshold)
 
 
-def demand_history(t: Tables, threshold: int = DEMAND_THRESHOLD) -> DataFrame:
-    """Open requests in the pickup city just after each new request of the status feed.
-
-    Status changes become +1/-1 steps; the running sum per city is cut into time slices, so a
-    city with most of the traffic is not one task.
-    """
+def _demand_steps(t: Tables) -> DataFrame:
+    """Status feed as +1/-1 steps of open requests, with the pickup city."""
     order = ["timestamp", "history_id"]
     feed = neighbours(t["ride_history"], ["ride_id"], order, previous={"previous_status": "status"})
     was_open = F.coalesce(F.col("previous_status") == "requested", F.lit(False)).cast("int")
@@ -155,13 +151,20 @@ def demand_history(t: Tables, threshold: int = DEMAND_THRESHOLD) -> DataFrame:
     steps = feed.withColumn("step", is_open - was_open)
     pickup = t["rides"].select("ride_id", F.col("pickup_location_id").alias("location_id"))
     cities = t["location"].select("location_id", fold(F.col("city")).alias("city"))
-    placed = cut(
-        steps.join(pickup, "ride_id").join(cities, "location_id").select(
-            "history_id", "ride_id", "status", "timestamp", "step", "city",
-            F.struct("city").alias("city_key"),
-        )
+    return steps.join(pickup, "ride_id").join(cities, "location_id").select(
+        "history_id", "ride_id", "status", "timestamp", "step", "city"
+    )
+
+
+def demand_history(t: Tables, threshold: int = DEMAND_THRESHOLD) -> DataFrame:
+    """Open requests in the pickup city just after each new request of the status feed.
+
+    The sum runs per city; a city with much of the traffic is cut into time slices.
+    """
+    placed = cut(_demand_steps(t).withColumn("city_key", F.struct("city")))
+    totals = running_totals(
+        placed, ["city_key"], ["timestamp", "history_id"], {"pending": F.col("step")}
     )
-    totals = running_totals(placed, ["city_key"], order, {"pending": F.col("step")})
     opened = totals.where("status = 'requested' AND step = 1")
     return opened.select(
         "history_id", "ride_id", "city", "timestamp", F.col("pending").cast("bigint").alias("pending"),
@@ -169,6 +172,27 @@ def demand_history(t: Tables, threshold: int = DEMAND_THRESHOLD) -> DataFrame:
     )
 
 
+def demand_at(trips: DataFrame, t: Tables, threshold: int = DEMAND_THRESHOLD) -> DataFrame:
+    """Add the open requests in ``city`` as of each trip's ``requested_at``.
+
+    Trips and steps are merged into one timeline per city, so no trip is paired with all earlier
+    steps. The column ``pending`` can be passed on to ``fare_quote``.
+    """
+    steps = _demand_steps(t).select(
+        F.col("timestamp"), F.lit(0).alias("kind"), F.col("history_id").alias("id"), "step", "city"
+    )
+    marks = trips.select(
+        F.col("requested_at").alias("timestamp"), F.lit(1).alias("kind"), F.col("trip_id").alias("id"),
+        F.lit(0).alias("step"), fold(F.col("city")).alias("city"),
+    )
+    merged = cut(steps.unionByName(marks).withColumn("city_key", F.struct("city")))
+    totals = running_totals(merged, ["city_key"], ["timestamp", "kind", "id"], {"pending": F.col("step")})
+    return totals.where("kind = 1").select(
+        F.col("id").alias("trip_id"), "city", F.col("timestamp").alias("requested_at"),
+        F.col("pending").cast("bigint").alias("pending"), (F.col("pending") > threshold).alias("high_demand"),
+    )
+
+
 def resolve_addresses(trips: DataFrame, locations: DataFrame) -> DataFrame:
     """Coordinates for pickup and dropoff addresses from known locations; NULL where unknown.
 

@@ -112,6 +112,20 @@ summed AS (
 SELECT history_id, ride_id, city, timestamp, CAST(pending AS BIGINT) AS pending,
   pending > 3 AS high_demand
 FROM summed WHERE step = 1""",
+    "demand_at_trips": """WITH tagged AS (
+  SELECT *, lag(status) OVER (PARTITION BY ride_id ORDER BY timestamp, history_id) AS before
+  FROM ride_history),
+placed AS (
+  SELECT lower(city) AS place, t.timestamp,
+         CAST(status = 'requested' AS INTEGER)
+           - CAST(coalesce(before = 'requested', false) AS INTEGER) AS step
+  FROM tagged t JOIN rides USING (ride_id) JOIN location ON location_id = pickup_location_id),
+counted AS (
+  SELECT trip_id, lower(city) AS city, requested_at,
+    (SELECT CAST(coalesce(sum(step), 0) AS BIGINT) FROM placed
+     WHERE place IS NOT DISTINCT FROM lower(c.city) AND timestamp <= c.requested_at) AS pending
+  FROM city_trips c)
+SELECT *, pending > 3 AS high_demand FROM counted""",
     "resolve_addresses": """WITH known AS (
   SELECT lower(trim(address)) AS place, latitude, longitude FROM location
   QUALIFY row_number() OVER (PARTITION BY place ORDER BY location_id) = 1)

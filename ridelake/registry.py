@@ -168,6 +168,9 @@ def _pricing() -> dict[str, tuple[str, Callable[[Tables], DataFrame]]]:
         ),
         "demand_surge": ("GP9", pricing.demand_snapshot),
         "demand_history": ("GP9", lambda t: pricing.demand_history(t, threshold=3)),
+        "demand_at_trips": (
+            "GP9", lambda t: pricing.demand_at(feed(t, "city_trips"), t, threshold=3)
+        ),
         "default_fare": ("GP10", default_fare),
         "resolve_addresses": (
             "GP11", lambda t: pricing.resolve_addresses(feed(t, "addressed_trips"), t["location"])

@@ -25,6 +25,11 @@ SELECT ride_id AS trip_id, request_time AS requested_at, 'economy' AS vehicle_ty
        CASE WHEN ride_id % 7 = 0 THEN 'Nowhere' ELSE ' p' || ride_id || ' ' END AS pickup_address,
        'd' || ride_id AS dropoff_address
 FROM rides""",
+    "city_trips": """
+SELECT h.history_id AS trip_id, l.city, h.timestamp AS requested_at
+FROM ride_history h JOIN rides r ON r.ride_id = h.ride_id
+JOIN location l ON l.location_id = r.pickup_location_id
+WHERE h.status = 'accepted'""",
     "open_pickups": """
 SELECT r.ride_id AS request_id, p.latitude AS pickup_lat, p.longitude AS pickup_lng
 FROM rides r JOIN location p ON p.location_id = r.pickup_location_id

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridelake.functions.text import fold, is_blank, leading_int
-from ridelake.operators.decisions import accepted, first_reason, rejected, with_first
+from ridelake.operators.decisions import accepted, first_reason, fixed, rejected, with_first
 from ridelake.plans.keyed import join_per_key
 from ridelake.plans.session import cut
 from ridelake.schema import VEHICLE_TYPES
@@ -60,6 +60,7 @@ def ingest_vehicles(
         "request_id", "driver_id", "license_plate", "make", "model", "year", "color", "vehicle_type",
         "latitude", "longitude", "submitted_at", "reject_reason",
     )
+    decided = fixed(decided)
     done = accepted(decided)
     status = F.lit("verified" if completing else "pending")
     out = {
@@ -141,6 +142,7 @@ def ingest_registrations(raw: DataFrame, users: DataFrame) -> dict[str, DataFram
         "reject_reason",
         F.coalesce("_reason", F.when(F.col("_free").isNull(), F.lit("duplicate"))),
     ).select(*raw.columns, "reject_reason")
+    decided = fixed(decided)
     done = accepted(decided)
     stub_id = F.col("request_id")
     new_users = done.select(
@@ -170,6 +172,7 @@ def ingest_complaints(raw: DataFrame, rides: DataFrame) -> dict[str, DataFrame]:
             ("ride_not_found", F.col("_ride").isNull()),
         ),
     ).select(*raw.columns, "reject_reason")
+    decided = fixed(decided)
     new = accepted(decided).select(
         F.col("request_id").alias("complaint_id"), "ride_id", "user_id", "description",
         F.lit("open").alias("status"), F.col("submitted_at").alias("timestamp"),
