@@ -69,7 +69,7 @@ def drivers_within_radius(
     drivers = cut(_positions(t, bookable.join(people, "user_id").join(cars, "driver_id")))
     reach_km = radius_km + _ROUNDING_KM + _SLACK_KM
     pairs = join_within(
-        _aimed(valid_pickups(requests), "pickup"), _aimed(drivers, "current"), ["request_id"],
+        _aimed(cut(valid_pickups(requests)), "pickup"), _aimed(drivers, "current"), ["request_id"],
         ("pickup_lat", "pickup_lng"), ("current_lat", "current_lng"), reach_km,
     )
     return pairs.withColumn("steps", _steps()).where(F.col("steps") <= math.floor(round(radius_km * 100, 6))).select(
