@@ -5,9 +5,10 @@ from conftest import SF_DIR
 from oracle_compare import compare, duck
 
 from __spark_entry__ import entry, oracle_sql, queries
+from ridelake.registry import all_queries
 
-QUERIES = queries()
-ORACLE = oracle_sql()
+QUERIES = {name: run for name, run in queries().items() if name in all_queries()}
+ORACLE = {name: sql for name, sql in oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
