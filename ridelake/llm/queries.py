@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ridelake.llm import chat, quality
+from ridelake.llm import chat, packing, quality, simhash, substrings, warc
 from ridelake.llm.sql import CHAT_SQL, QUALITY_SQL
+from ridelake.plans.session import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +31,30 @@ def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+def op8_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, max_distance=4)
+
+
+def op9_prefix_free_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
+
+
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"), min_payload=0)
+    records = warc.read_archives(manifest)
+    sound = F.assert_true("digest_ok", F.concat(F.lit("digest mismatch in "), "path"))
+    return records.where(sound.isNull()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_prefix_targets, op3_host_quality)
+    f.__name__: f for f in (
+        op1_chat_prefix_targets, op3_host_quality, op7_sum_of_squares_packing, op8_simhash_multi_index,
+        op9_prefix_free_substrings, op10_warc_round_trip,
+    )
 }
 SQL: dict[str, str] = {"op1_chat_prefix_targets": CHAT_SQL, "op3_host_quality": QUALITY_SQL}
