@@ -11,13 +11,14 @@ of the parse. So:
 1. *Parse.* Grams of triggers that occur in one document only are dropped; windows around them occur nowhere else.
 2. *Dictionary.* The remaining phrases, once each, with the smallest document that holds them. An occurrence in a later
    document is removed as a whole.
-3. *Suffixes.* Where one trigger gram has several phrases, the suffixes of the dictionary phrases (their
-   windows) are sorted bytewise; in this corpus order, cut at depth ``WIDTH``, equal strings are neighbours and
-   share the smallest document among them.
+3. *Suffixes.* Equal windows of different phrases agree in their trigger gram and in half of the bytes that can stand
+   beside it, on the left or on the right. Where such a longer gram has several phrases, the suffixes of the dictionary phrases (their
+   windows) with that half are sorted bytewise; in this corpus order, cut at depth ``WIDTH``, equal
+   strings are neighbours and share the smallest document among them.
 4. *Texts.* Each document's removed windows are merged to spans and cut out.
 
 Work behind step 1 grows with repeated text, and step 3 with the distinct borders of repeats, not with the number of copies.
-Grams and phrases are told by 40 and 128 hash bits, windows by their bytes.
+Grams are told by 40 hash bits (a collision only adds work), phrases by 96, windows by their bytes.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 from ridelake.llm import blocks
 
 WIDTH, GRAM = 50, 24
-_PIECE = 1 << 20  # window starts handled at once
+_HALF = (WIDTH - GRAM) // 2
+_NONE = np.uint64(2**64 - 1)
+_PIECE = 1 << 18  # window starts handled at once
 _POSITION = np.uint64((1 << 24) - 1)
 _GRAM_BITS = 40
 # Odd constants of the hash steps, the k-th from the golden ratio.
@@ -60,13 +63,13 @@ def _eights(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def _window_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the ``GRAM`` bytes and of the ``WIDTH`` bytes from each position."""
+def _window_hashes(raw: np.ndarray) -> tuple[np.ndarray, ...]:
+    """From each position: 8 bytes, and hashes of ``GRAM``, of 32 and of ``WIDTH`` bytes."""
     h8 = _eights(raw)
     h16 = _pair(h8[:-8], h8[8:], 0)
     gram = _pair(h16[:-8], h8[16:], 2)
     h32 = _pair(h16[:-16], h16[16:], 4)
-    return gram, _pair(h32[:32 - WIDTH], h32[WIDTH - 32:], 6)
+    return h8, gram, h32, _pair(h32[:32 - WIDTH], h32[WIDTH - 32:], 6)
 
 
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -80,26 +83,30 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 class Phrases:
-    """The phrases of a block: places in the joined text, document, trigger gram, and 128 hash bits."""
+    """The phrases of a block: first and last window and trigger in the joined text, document, hashes.
+
+    ``left`` and ``right`` are 40 hash bits of the trigger gram with ``_HALF`` bytes before it and with the other half
+    behind it, where a window of the phrase has them all; ``a`` and ``b`` name the phrase.
+    """
 
     def __init__(self, ids: np.ndarray, bodies: list[bytes]):
         self.lengths = np.array([len(b) for b in bodies], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)[:-1])) if len(bodies) else np.zeros(0, np.int64)
         self.raw = np.frombuffer(b"".join(bodies), np.uint8)
-        first, last, gram, a, b = [], [], [], [], []
+        parts = [[] for _ in range(8)]
         n = len(self.raw) - WIDTH + 1
         for at in range(0, max(n, 0), _PIECE):
             here = min(_PIECE, n - at)
-            for one, whole in zip(self._piece(at, here), (first, last, gram, a, b), strict=True):
+            for one, whole in zip(self._piece(at, here), parts, strict=True):
                 whole.append(one)
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        self.first, self.last = join(first, np.int64), join(last, np.int64)
-        self.gram, self.a, self.b = (join(x, np.uint64) for x in (gram, a, b))
+        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        self.first, self.last, self.trigger = (join(x, np.int64) for x in parts[:3])
+        self.gram, self.left, self.right, self.a, self.b = (join(x, np.uint64) for x in parts[3:])
         self.doc = ids[np.searchsorted(self.starts, self.first, "right") - 1] if len(ids) else np.zeros(0, np.int64)
 
     def _piece(self, at: int, here: int) -> tuple[np.ndarray, ...]:
         raw = self.raw[at:at + here + WIDTH - 1]
-        grams, windows = _window_hashes(raw)
+        h8, grams, h32, windows = _window_hashes(raw)
         keys = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
         least = _least(keys, WIDTH - GRAM + 1)
         inside = np.ones(here + 1, np.int32)
@@ -117,9 +124,17 @@ class Phrases:
         if not len(valid):
             opens = closes = np.zeros(0, np.int64)
         first, last = valid[opens], valid[closes]
-        tail = _mix(windows[last] * _K[9] + (last - first).astype(np.uint64))
+        tail = _mix(windows[last] * _K[9] + (last - first).astype(np.uint64)) >> np.uint64(32)
         gram = least[first] >> np.uint64(64 - _GRAM_BITS)
-        return first + at, last + at, gram, windows[first], tail
+        place = (least[first] & _POSITION).astype(np.int64)
+        left, right = np.full(len(first), _NONE), np.full(len(first), _NONE)
+        some = np.flatnonzero(place - first >= _HALF)
+        p = place[some] - _HALF
+        left[some] = _pair(h32[p], h8[p + GRAM + _HALF - 8], 1) >> np.uint64(64 - _GRAM_BITS)
+        some = np.flatnonzero(last > place - _HALF)
+        p = place[some]
+        right[some] = _pair(h32[p], h8[p + WIDTH - _HALF + 1 - 8], 3) >> np.uint64(64 - _GRAM_BITS)
+        return first + at, last + at, place + at, gram, left, right, windows[first], tail
 
 
 def _gram_buckets(gram: np.ndarray, n: int) -> np.ndarray:
@@ -161,11 +176,11 @@ def _settle_grams(asked: list[tuple]) -> list[np.ndarray]:
 
 
 def _settle_variants(asked: list[tuple]) -> list[np.ndarray]:
-    """Which grams have more than one phrase, from the least and the largest phrase hash of each block."""
+    """Which longer grams have more than one phrase, from the least phrase name of each block, and how the largest differs."""
     grams, low, high = (np.concatenate([x[i] for x in asked]) for i in range(3))
     order, new = _group_ids(grams)
     at, group = np.flatnonzero(new), np.cumsum(new) - 1
-    several = np.minimum.reduceat(low[order], at) != np.maximum.reduceat(high[order], at)
+    several = np.minimum.reduceat(low[order], at) != np.maximum.reduceat((low ^ high)[order], at)
     out = np.empty(len(grams), bool)
     out[order] = several[group]
     return blocks.split_by([len(x[0]) for x in asked], out)
@@ -217,15 +232,18 @@ def _dictionary(block, ids, bodies, given, n_buckets):
         return blocks.frame_of([])
     shared = np.concatenate(given[0])
     keep = np.flatnonzero(shared[np.searchsorted(grams, p.gram)])
-    gram, a, b, doc = p.gram[keep], p.a[keep], p.b[keep], p.doc[keep]
-    order, new = _group_ids(gram)
+    a, b, doc = p.a[keep], p.b[keep], p.doc[keep]
     rows = [(block, 9, block % n_buckets, blocks.pack((np.packbits(shared),)))]
     if len(keep):
-        name = (a ^ b * _K[9])[order]
+        longer = np.concatenate((p.left[keep], p.right[keep]))
+        name = np.tile((a ^ b * _K[9]) >> np.uint64(16), 2)
+        there = longer != _NONE
+        longer, name = longer[there], name[there]
+        order, new = _group_ids(longer)
         at = np.flatnonzero(new)
-        some = gram[order][at]
-        spread = (some, np.minimum.reduceat(name, at), np.maximum.reduceat(name, at))
-        rows += blocks.questions(block, 1, _gram_buckets(some, n_buckets), spread)
+        some = longer[order][at]
+        low, high = np.minimum.reduceat(name[order], at), np.maximum.reduceat(name[order], at)
+        rows += blocks.questions(block, 1, _gram_buckets(some, n_buckets), (some, low, low ^ high))
         order, new = _group_ids(a, b)
         at = order[np.flatnonzero(new)]
         rows += blocks.questions(
@@ -243,16 +261,23 @@ def _suffixes(block, ids, bodies, given, n_buckets):
     keep = np.flatnonzero(shared[np.searchsorted(grams, p.gram)])
     if not len(keep):
         return blocks.frame_of([])
-    several = np.concatenate(given[1])[np.searchsorted(grams[shared], p.gram[keep])]
+    longer = np.unique(np.concatenate((p.left[keep], p.right[keep])))
+    longer = longer[longer != _NONE]
+    varied = np.append(np.concatenate(given[1]), False)
     order, new = _group_ids(p.a[keep], p.b[keep])
     least = np.empty(len(keep), np.int64)
     least[order] = np.concatenate(given[2])[np.cumsum(new) - 1]
     later = least < p.doc[keep]
-    gone = keep[later]
-    open_ = keep[~later & several]
+    gone, own = keep[later], keep[~later]
     # One entry per dictionary phrase, in its first document: the suffixes of other occurrences are the same strings.
-    width = p.last[open_] - p.first[open_] + 1
-    places = np.repeat(p.first[open_] - np.concatenate(([0], np.cumsum(width)[:-1])), width) + np.arange(width.sum())
+    has_left = (p.left[own] != _NONE) & varied[np.searchsorted(longer, p.left[own])]
+    has_right = (p.right[own] != _NONE) & varied[np.searchsorted(longer, p.right[own])]
+    l, r = own[has_left], own[has_right]
+    open_ = np.concatenate((l, r))
+    low = np.concatenate((p.first[l], np.maximum(p.first[r], p.trigger[r] - _HALF + 1)))
+    high = np.concatenate((np.minimum(p.last[l], p.trigger[l] - _HALF), p.last[r]))
+    width = high - low + 1
+    places = np.repeat(low - np.concatenate(([0], np.cumsum(width)[:-1])), width) + np.arange(width.sum())
     docs = np.repeat(p.doc[open_], width)
     view = np.lib.stride_tricks.sliding_window_view(p.raw, WIDTH)
     texts = np.ascontiguousarray(view[places]).view(f"V{WIDTH}").reshape(-1) if len(places) else np.zeros(0, f"V{WIDTH}")
