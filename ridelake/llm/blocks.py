@@ -57,29 +57,32 @@ def sizes(docs: DataFrame, text: str) -> tuple[int, int]:
     return total // BLOCK_BYTES + 1, total // BUCKET_BYTES + 1
 
 
-def deal(docs: DataFrame, doc_id: str, text: str, n_blocks: int) -> DataFrame:
+def deal(docs: DataFrame, doc_id: str, text: str, n_blocks: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """(block, payload) rows, dealt by block. Ids must be longs and not null; a null text is empty.
 
-    Rows with one id meet in one block.
+    Rows with one id meet in one block. Columns of ``carry`` travel with their row.
     """
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[int, tuple[list, list, list]] = {}
         size = 0
 
         def flush():
             blocks = sorted(held)
-            blobs = [pack((np.array(held[b][0], np.int64), held[b][1])) for b in blocks]
+            blobs = [pack((np.array(held[b][0], np.int64), held[b][1], held[b][2])) for b in blocks]
             held.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array(blocks, pa.int32()), pa.array(blobs, pa.binary())], ["block", "payload"]
             )
 
         for batch in batches:
-            for block, key, body in zip(*(batch.column(i) for i in range(3)), strict=True):
+            more = zip(*(batch.column(i).to_pylist() for i in range(3, batch.num_columns)), strict=True)
+            more = list(more) if carry else [()] * batch.num_rows
+            for block, key, body, extra in zip(*(batch.column(i) for i in range(3)), more, strict=True):
                 body = body.as_py() or b""
-                ids, bodies = held.setdefault(block.as_py(), ([], []))
+                ids, bodies, extras = held.setdefault(block.as_py(), ([], [], []))
                 ids.append(key.as_py())
                 bodies.append(body)
+                extras.append(extra)
                 size += len(body) + 100
                 if size >= _FLUSH_BYTES:
                     yield flush()
@@ -91,19 +94,21 @@ def deal(docs: DataFrame, doc_id: str, text: str, n_blocks: int) -> DataFrame:
         F.pmod(F.xxhash64(F.col(doc_id)), F.lit(n_blocks)).cast("int").alias("block"),
         F.col(doc_id).cast("long").alias("id"),
         F.col(text).cast("binary").alias("body"),
+        *[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)],
     )
     return rows.mapInArrow(packed, PAYLOAD).repartition(n_blocks, "block")
 
 
-def read_block(frame: pd.DataFrame) -> tuple[np.ndarray, list[bytes]]:
-    """Ids and bodies of a block, ordered by (id, body), so in one order in all rounds."""
-    ids, bodies = [], []
+def read_block(frame: pd.DataFrame) -> tuple[np.ndarray, list[bytes], list[tuple]]:
+    """Ids, bodies and carried values of a block, ordered by (id, body), so in one order in all rounds."""
+    ids, bodies, extras = [], [], []
     for payload in frame["payload"]:
-        some, more = unpack(payload)
+        some, more, carried = unpack(payload)
         ids += some.tolist()
         bodies += list(more)
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], bodies[i]))
-    return np.array([ids[i] for i in order], np.int64), [bodies[i] for i in order]
+        extras += list(carried)
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], bodies[i], repr(extras[i])))
+    return np.array([ids[i] for i in order], np.int64), [bodies[i] for i in order], [extras[i] for i in order]
 
 
 def questions(block: int, kind: int, buckets: np.ndarray, columns: tuple[np.ndarray, ...]) -> list[tuple]:
@@ -130,7 +135,7 @@ def answers_by_kind(frame: pd.DataFrame) -> dict[int, list]:
 
 
 def ask(dealt: DataFrame, fn: Callable, answers: DataFrame | None = None, schema: str = QUESTION) -> DataFrame:
-    """``fn(block, ids, bodies, answers by kind)`` for each block, giving a pandas frame of ``schema``."""
+    """``fn(block, ids, bodies, carried values, answers by kind)`` for each block, giving a pandas frame of ``schema``."""
     if answers is None:
         def first(key, blocks):
             return fn(int(key[0]), *read_block(blocks), {})

@@ -345,7 +345,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     dealt = blocks.deal(docs.where(F.col(doc_id).isNotNull()), doc_id, text, n_blocks)
 
     def bound(fn, value):
-        return lambda block, ids, bodies, given: fn(block, ids, bodies, given, value)
+        return lambda block, ids, bodies, _, given: fn(block, ids, bodies, given, value)
 
     def answered(asked, settle):
         return blocks.answer(asked, settle, n_buckets, n_blocks)
