@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridelake.llm import chat, packing, quality, simhash, substrings, warc
+from ridelake.llm import (
+    chat, decontam, langid, lines, packing, quality, simhash, substrings, toxicity, warc,
+)
+from ridelake.llm.samples import fold
 from ridelake.llm.sql import CHAT_SQL, QUALITY_SQL
 from ridelake.plans.session import scratch_path
 
@@ -25,12 +28,37 @@ def op1_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(examples)
 
 
+def op2_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2)
+    scored = toxicity.score(docs, toxicity.learn(docs, labels), threshold=0.3)
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_host_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
     )
 
 
+def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, docs.where(fold("doc_id", 5) != 0))
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.remove_chunks(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_lines", "n_removed", F.size("removed").cast("long").alias("n_chunks"),
+        F.sha2("kept_text", 256).alias("kept_sha256"),
+    )
+
+
 def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
@@ -53,7 +81,8 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_chat_prefix_targets, op3_host_quality, op7_sum_of_squares_packing, op8_simhash_multi_index,
+        op1_chat_prefix_targets, op2_toxicity_grammar, op3_host_quality, op4_language_spans,
+        op5_template_decontamination, op6_line_chunks, op7_sum_of_squares_packing, op8_simhash_multi_index,
         op9_prefix_free_substrings, op10_warc_round_trip,
     )
 }
