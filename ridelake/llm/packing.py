@@ -29,7 +29,7 @@ _SEQUENCES_PER_TASK = 1 << 33
 
 
 class WordIds(dict):
-    """Token ids per blank-separated word of a tokenizer that drops white space and ends words with ``</w>``.
+    """Token ids, as bytes of 4 each, per blank-separated word of a tokenizer that drops white space and ends words with ``</w>``.
 
     Such a tokenizer never merges across blanks, so a text's ids are its words' ids in order. New words are
     encoded together: a word of Latin letters, with or without punctuation behind it, by its lower-case letters; any
@@ -42,32 +42,30 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        super().__init__({"": ()})
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cores: dict[str, tuple] = {}
+        self.cores: dict[str, bytes] = {}
 
-    def _encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn_cores(self, cores: list[str]) -> None:
-        ids = np.array(self._encode(" ".join(cores)), np.int64)
-        ends = np.flatnonzero(self.is_end[ids]) + 1 if len(ids) else ids
+        ids = self._encode(" ".join(cores))
+        ends = 4 * (np.flatnonzero(self.is_end[ids]) + 1)
         if len(ends) != len(cores):
-            self.cores.update((c, tuple(self._encode(c))) for c in cores)
+            self.cores.update((c, self._encode(c).tobytes()) for c in cores)
             return
-        flat, low = ids.tolist(), 0
-        for core, high in zip(cores, ends.tolist(), strict=True):
-            self.cores[core] = tuple(flat[low:high])
-            low = high
+        flat, begins = ids.tobytes(), [0, *ends[:-1].tolist()]
+        self.cores.update((c, flat[low:high]) for c, low, high in zip(cores, begins, ends.tolist(), strict=True))
 
     def learn(self, words: set[str]) -> None:
         """Makes sure that all ``words`` are known."""
         if len(self) + len(words) > _MAX_WORDS:
             self.clear()
-            self[""] = ()
+            self[""] = b""
         if len(self.cores) > _MAX_WORDS:
             self.cores.clear()
         new = [(w, self._SIMPLE.fullmatch(w)) for w in words if w not in self]
@@ -75,17 +73,17 @@ class WordIds(dict):
         if cores:
             self._learn_cores(list(cores))
         marks = {m[2] for _, m in new if m and m[2]} - self.cores.keys()
-        self.cores.update((p, tuple(self._encode(p))) for p in marks)
+        self.cores.update((p, self._encode(p).tobytes()) for p in marks)
         for word, simple in new:
             if simple:
-                self[word] = self.cores[simple[1].lower()] + (self.cores[simple[2]] if simple[2] else ())
+                self[word] = self.cores[simple[1].lower()] + (self.cores[simple[2]] if simple[2] else b"")
             else:
-                self[word] = tuple(self._encode(word))
+                self[word] = self._encode(word).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [re.sub("[\t\n\r]", " ", t).split(" ") for t in texts]
         self.learn(set(chain.from_iterable(split)))
-        return [np.fromiter(chain.from_iterable(map(self.__getitem__, words)), np.uint32) for words in split]
+        return [np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4") for words in split]
 
 
 class Packer:
