@@ -12,8 +12,13 @@ def money(column: Column) -> Column:
     return column.cast("decimal(18,2)")
 
 
+def total_money(column: Column) -> Column:
+    """A sum of any number of amounts; ``money`` is for a single one."""
+    return column.cast("decimal(38,2)")
+
+
 def money4(column: Column) -> Column:
-    return column.cast("decimal(18,4)")
+    return column.cast("decimal(38,4)")
 
 
 def commission(amount: Column) -> Column:
@@ -25,12 +30,12 @@ def driver_net(amount: Column) -> Column:
     return money4(amount * F.lit(DRIVER_SHARE))
 
 
-def commission2(amount: Column) -> Column:
-    return money(F.round(amount * F.lit(COMMISSION), 2))
+def commission2(amount: Column, kind=money) -> Column:
+    return kind(F.round(amount * F.lit(COMMISSION), 2))
 
 
-def driver_net2(amount: Column) -> Column:
-    return money(F.round(amount * F.lit(DRIVER_SHARE), 2))
+def driver_net2(amount: Column, kind=money) -> Column:
+    return kind(F.round(amount * F.lit(DRIVER_SHARE), 2))
 
 
 def less_discount(fare: Column, discount: Column) -> Column:

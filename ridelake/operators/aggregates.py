@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridelake.functions.money import (
-    commission, commission2, driver_net, driver_net2, mean, money, rating2,
+    commission, commission2, driver_net, driver_net2, mean, total_money, rating2,
 )
 from ridelake.functions.text import fold
 from ridelake.functions.timeops import between_days
@@ -51,7 +51,7 @@ def platform_summary(t: Tables) -> DataFrame:
             flag_sum(status.isin(*ACTIVE_RIDE_STATUSES), "active_rides"),
         ),
         "payments": t["payments"].where("payment_status = 'paid'").agg(
-            money(amount).alias("total_revenue"),
+            total_money(amount).alias("total_revenue"),
             commission(amount).alias("platform_commission"),
             driver_net(amount).alias("driver_payouts"),
         ),
@@ -82,7 +82,7 @@ def _paid_daily(t: Tables, start=None, end=None, end_inclusive=True) -> DataFram
 
 def _revenue_columns(total: Column) -> list[Column]:
     return [
-        money(total).alias("gross_revenue"),
+        total_money(total).alias("gross_revenue"),
         commission(total).alias("platform_commission"),
         driver_net(total).alias("driver_payouts"),
     ]
@@ -118,7 +118,7 @@ def revenue_report_admin(t: Tables, start=None, end=None, end_inclusive: bool =
         _paid_daily(t, start, end, end_inclusive)
         .select(
             "date", "payment_method", F.col("n").alias("transactions"),
-            money(total).alias("total_amount"), commission(total).alias("commission"),
+            total_money(total).alias("total_amount"), commission(total).alias("commission"),
         )
         .orderBy(F.desc("date"), "payment_method")
     )
@@ -131,9 +131,9 @@ def revenue_report_finance(t: Tables, start=None, end=None) -> DataFrame:
         _paid_daily(t, start, end)
         .select(
             "date", "payment_method", F.col("n").alias("total_transactions"),
-            money(total).alias("gross_revenue"),
-            commission2(total).alias("platform_commission"),
-            driver_net2(total).alias("driver_payouts"),
+            total_money(total).alias("gross_revenue"),
+            commission2(total, total_money).alias("platform_commission"),
+            driver_net2(total, total_money).alias("driver_payouts"),
         )
         .orderBy(F.desc("date"), "payment_method")
     )
@@ -143,7 +143,7 @@ def revenue_totals(t: Tables, start=None, end=None) -> DataFrame:
     """Totals of the finance report's rounded rows."""
     return revenue_report_finance(t, start, end).agg(
         _zero(F.sum("total_transactions")).cast("bigint").alias("total_transactions"),
-        *[money(_zero(F.sum(c))).alias(c) for c in ("gross_revenue", "platform_commission", "driver_payouts")],
+        *[total_money(_zero(F.sum(c))).alias(c) for c in ("gross_revenue", "platform_commission", "driver_payouts")],
     )
 
 
@@ -160,7 +160,7 @@ def rides_report(t: Tables, start=None, end=None, end_inclusive: bool = False) -
         )
         .select(
             "date", "ride_status", "count", mean(F.col("_fares"), F.col("_n")).alias("avg_fare"),
-            money(F.col("_fares")).alias("total_fare"),
+            total_money(F.col("_fares")).alias("total_fare"),
         )
         .orderBy(F.desc("date"), "ride_status")
     )
@@ -198,7 +198,7 @@ def driver_earnings_admin(t: Tables) -> DataFrame:
         .select(
             "driver_id", "fname", "lname", "city",
             _zero(F.col("joined_rows")).cast("bigint").alias("total_rides"),
-            money(total).alias("total_earned"), driver_net(total).alias("driver_net"),
+            total_money(total).alias("total_earned"), driver_net(total).alias("driver_net"),
             commission(total).alias("commission_paid"), "average_rating",
         )
         .orderBy(F.desc("total_earned"), "driver_id")
@@ -213,8 +213,8 @@ def driver_earnings_finance(t: Tables) -> DataFrame:
         .select(
             "driver_id", "fname", "lname", "email",
             _zero(F.col("paid_count")).cast("bigint").alias("total_rides"),
-            money(total).alias("gross_earned"), driver_net2(total).alias("net_earned"),
-            commission2(total).alias("commission_paid"), "average_rating", "total_trips",
+            total_money(total).alias("gross_earned"), driver_net2(total, total_money).alias("net_earned"),
+            commission2(total, total_money).alias("commission_paid"), "average_rating", "total_trips",
         )
         .orderBy(F.desc("gross_earned"), "driver_id")
     )
@@ -228,8 +228,8 @@ def driver_earnings_summary(t: Tables) -> DataFrame:
         paid_per_ride(t).join(rides, "ride_id").groupBy("driver_id")
         .agg(
             F.sum("paid_count").cast("bigint").alias("total_trips"),
-            money(total).alias("gross_earned"), driver_net2(total).alias("net_earned"),
-            commission2(total).alias("commission_paid"),
+            total_money(total).alias("gross_earned"), driver_net2(total, total_money).alias("net_earned"),
+            commission2(total, total_money).alias("commission_paid"),
         )
     )
 
@@ -240,7 +240,7 @@ def driver_fare_earnings(t: Tables) -> DataFrame:
     return (
         t["rides"].where("ride_status = 'completed' AND driver_id IS NOT NULL").groupBy("driver_id")
         .agg(
-            count_rows("total_rides"), money(total).alias("total_fare"),
+            count_rows("total_rides"), total_money(total).alias("total_fare"),
             driver_net(total).alias("driver_earnings"), commission(total).alias("platform_commission"),
         )
     )
@@ -252,7 +252,7 @@ def trips_per_driver(t: Tables) -> DataFrame:
         .select(
             "driver_id", "fname", "lname",
             _zero(F.col("joined_rows")).cast("bigint").alias("completed_trips"),
-            money(_zero(F.col("paid_sum"))).alias("total_earned"),
+            total_money(_zero(F.col("paid_sum"))).alias("total_earned"),
         )
         .orderBy(F.desc("completed_trips"), "driver_id")
     )
@@ -305,7 +305,7 @@ def revenue_by_city(t: Tables, include_null: bool = True) -> DataFrame:
         .groupBy(fold(F.col("city")).alias("_city"))
         .agg(
             F.min("city").alias("city"), F.sum("paid_count").cast("bigint").alias("total_rides"),
-            money(total).alias("total_revenue"), commission(total).alias("platform_commission"),
+            total_money(total).alias("total_revenue"), commission(total).alias("platform_commission"),
             driver_net(total).alias("driver_payouts"),
         )
         .drop("_city")
@@ -333,7 +333,7 @@ def all_riders_report(t: Tables, with_wallet: bool = False) -> DataFrame:
             "user_id", "fname", "lname", "email", "phone_number", "city", *wallet,
             "registration_date", _zero(F.col("total")).cast("bigint").alias("total_rides"),
             _zero(F.col("completed")).cast("bigint").alias("completed_rides"),
-            money(_zero(F.col("spent"))).alias("total_spent"),
+            total_money(_zero(F.col("spent"))).alias("total_spent"),
         )
         .orderBy(F.desc("completed_rides"), "user_id")
     )
@@ -377,7 +377,7 @@ def low_rated_drivers_admin(t: Tables) -> DataFrame:
 def rider_stats(t: Tables) -> DataFrame:
     return _rides_by_user(t).select(
         "user_id", F.col("total").alias("total_rides"), F.col("completed").cast("bigint").alias("completed"),
-        F.col("cancelled").cast("bigint").alias("cancelled"), money(_zero(F.col("spent"))).alias("total_spent"),
+        F.col("cancelled").cast("bigint").alias("cancelled"), total_money(_zero(F.col("spent"))).alias("total_spent"),
     )
 
 
@@ -386,7 +386,7 @@ def _disputed(t: Tables) -> DataFrame:
 
 
 def _amount_if(status: str) -> Column:
-    return money(F.sum(F.when(F.col("payment_status") == status, F.col("amount")).otherwise(F.lit(0))))
+    return total_money(F.sum(F.when(F.col("payment_status") == status, F.col("amount")).otherwise(F.lit(0))))
 
 
 def refund_totals(t: Tables) -> DataFrame:
@@ -405,7 +405,7 @@ def refund_report(t: Tables, start=None, end=None) -> DataFrame:
         disputed = disputed.where(in_range)
     return (
         disputed.groupBy(F.to_date("transaction_date").alias("date"), "payment_status")
-        .agg(count_rows("count"), money(F.sum("amount")).alias("total_amount"))
+        .agg(count_rows("count"), total_money(F.sum("amount")).alias("total_amount"))
         .orderBy(F.desc("date"), "payment_status")
     )
 

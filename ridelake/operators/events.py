@@ -163,7 +163,8 @@ def open_steps(feed: DataFrame, carried: DataFrame | None = None) -> DataFrame:
 def double_booking_guard(steps: DataFrame, carried_open: DataFrame | None = None) -> DataFrame:
     """Decision per asked-for ride: refused while its driver has an open ride.
 
-    Open rides are a running sum per driver of the feed's steps, not a self-join.
+    Open rides are a running sum per driver of the feed's steps, not a self-join. A ride asked for without a driver
+    has nobody to double-book and passes.
     """
     with_driver = cut(
         steps.where("driver_id IS NOT NULL").select("event_id", "driver_id", "timestamp", "kind", "step")
@@ -171,7 +172,11 @@ def double_booking_guard(steps: DataFrame, carried_open: DataFrame | None = None
     totals = running_totals(
         with_driver, ["driver_id"], ["timestamp", "event_id"], {"open": F.col("step")}, initial=carried_open
     )
-    return totals.where("kind = 'insert'").select(
+    judged = totals.where("kind = 'insert'").select("event_id", "driver_id", "timestamp", "open")
+    free = steps.where("driver_id IS NULL AND kind = 'insert'").select(
+        "event_id", "driver_id", "timestamp", F.lit(0).alias("open")
+    )
+    return judged.unionByName(free).select(
         "event_id", "driver_id", "timestamp", F.col("open").cast("bigint").alias("open_rides"),
         F.when(F.col("open") > 0, F.lit("driver_on_active_ride")).alias("reject_reason"),
     )

@@ -6,7 +6,7 @@ a reason. New row ids come from the request ids. Requests of one batch are appli
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridelake.functions.money import commission2, driver_net2
@@ -21,14 +21,17 @@ from ridelake.operators.pricing import attach_promo, booking_fare, discount, far
 from ridelake.plans.keyed import hot_keys, join_per_key, running_totals
 from ridelake.plans.session import cut
 from ridelake.schema import (
-    DEMAND_THRESHOLD, LOW_DRIVER_RATING, MIN_TRIPS_TO_FLAG, PAYMENT_METHODS, PAYOUT_DAYS,
+    DEMAND_THRESHOLD, DRIVER_BUSY_STATUSES, LOW_DRIVER_RATING, MIN_TRIPS_TO_FLAG, PAYMENT_METHODS, PAYOUT_DAYS,
 )
 
 Frames = dict[str, DataFrame]
 
 
-def match_ride_requests(requests: DataFrame, vehicles: DataFrame) -> Frames:
-    """Book requests on the chosen driver's first verified vehicle of the wanted type."""
+def match_ride_requests(requests: DataFrame, vehicles: DataFrame, rides: DataFrame | None = None) -> Frames:
+    """Book requests on the chosen driver's first verified vehicle of the wanted type.
+
+    With ``rides``, a driver who is on one of them is refused.
+    """
     verified = vehicles.where("verification_status = 'verified'")
     any_type = F.lit("*")
     first_cars = (
@@ -41,10 +44,16 @@ def match_ride_requests(requests: DataFrame, vehicles: DataFrame) -> Frames:
     wanted = F.when(is_blank(F.col("vehicle_type")), any_type).otherwise(fold(F.col("vehicle_type")))
     missing = is_blank(F.col("pickup_address")) | is_blank(F.col("dropoff_address")) | F.col("driver_id").isNull()
     joined = join_per_key(requests.withColumn("_type", wanted), first_cars, ["driver_id", "_type"])
+    busy = F.lit(False)
+    if rides is not None:
+        on_ride = rides.where(F.col("ride_status").isin(*DRIVER_BUSY_STATUSES) & F.col("driver_id").isNotNull())
+        joined = join_per_key(joined, on_ride.groupBy("driver_id").agg(F.lit(True).alias("_busy")), ["driver_id"])
+        busy = F.coalesce("_busy", F.lit(False))
     decided = joined.select(
         *requests.columns, "vehicle_id", booking_fare(F.col("vehicle_type")).alias("fare"),
         first_reason(
-            ("missing_fields", missing), ("no_verified_vehicle", F.col("vehicle_id").isNull())
+            ("missing_fields", missing), ("no_verified_vehicle", F.col("vehicle_id").isNull()),
+            ("driver_on_active_ride", busy),
         ).alias("reject_reason"),
     )
     decided = fixed(decided)
@@ -103,7 +112,10 @@ def _bumped(table: DataFrame, counts: DataFrame, key: str, **changes) -> DataFra
 
 
 def apply_status_changes(changes: DataFrame, rides: DataFrame, drivers: DataFrame, vehicles: DataFrame) -> Frames:
-    """Apply ride status changes; a completed ride frees its driver and counts a trip."""
+    """Apply ride status changes; a completed ride counts a trip, and one that ends frees its driver.
+
+    A cancel frees the driver only if the ride was not over already.
+    """
     joined = _with_actor(changes, rides, drivers)
     not_owner = (F.col("actor_role") == "driver") & ~F.coalesce(
         F.col("driver_id") == F.col("actor_driver_id"), F.lit(False)
@@ -138,9 +150,15 @@ def apply_status_changes(changes: DataFrame, rides: DataFrame, drivers: DataFram
         *[new[c].alias(c) if c in new else F.col(c) for c in rides.columns]
     )
     completed = done.where("status = 'completed'")
-    by_driver = completed.groupBy("driver_id").agg(F.count(F.lit(1)).alias("trips"))
+    before = Window.partitionBy("ride_id").orderBy("changed_at", "change_id")  # a ride has a handful of changes
+    was = rides.select("ride_id", F.col("ride_status").alias("_first"))
+    steps = done.join(was, "ride_id").withColumn("_was", F.coalesce(F.lag("status").over(before), "_first"))
+    frees = (status == "completed") | ((status == "cancelled") & ~F.col("_was").isin("completed", "cancelled"))
+    by_driver = steps.groupBy("driver_id").agg(
+        F.count(F.when(status == "completed", 1)).alias("trips"), F.max(frees).alias("_freed")
+    )
     by_vehicle = completed.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("trips"))
-    freed = F.when(F.col("trips") > 0, F.lit("available")).otherwise(F.col("availability_status"))
+    freed = F.when(F.col("_freed"), F.lit("available")).otherwise(F.col("availability_status"))
     return {
         "decided": decided,
         "rides": ride_rows,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridelake.functions.money import money
+from ridelake.functions.money import total_money
 from ridelake.functions.text import fold
 from ridelake.functions.timeops import seconds_between
 from ridelake.operators.common import Tables, count_rows, only, paginate, person
@@ -20,7 +20,7 @@ def payment_method_breakdown(t: Tables) -> DataFrame:
     """
     by_method = (
         t["payments"].where("payment_status = 'paid'").groupBy("payment_method")
-        .agg(count_rows("transactions"), money(F.sum("amount")).alias("total_amount"))
+        .agg(count_rows("transactions"), total_money(F.sum("amount")).alias("total_amount"))
     )
     share = F.col("transactions").cast("double") * 100 / F.sum("transactions").over(Window.partitionBy())
     return by_method.withColumn("percentage", F.round(share, 2)).orderBy(

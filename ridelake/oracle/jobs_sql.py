@@ -266,6 +266,10 @@ FROM judged WHERE reject_reason IS NULL AND role = 'driver'""",
   WHEN ride_id NOT IN (SELECT ride_id FROM rides) THEN 'ride_not_found' END AS reject_reason
 FROM complaint_requests q""",
     "ride_request_decisions": f"WITH {_BOOKING} SELECT * FROM judged",
+    "guarded_request_decisions": f"""WITH {_BOOKING}
+SELECT * REPLACE (coalesce(reject_reason, CASE WHEN driver_id IN (SELECT driver_id FROM rides
+  WHERE ride_status IN ('accepted', 'driver_en_route', 'in_progress')) THEN 'driver_on_active_ride' END) AS reject_reason)
+FROM judged""",
     "booked_rides": f"""WITH {_BOOKING}
 SELECT request_id AS ride_id, user_id, driver_id, vehicle_id, request_id * 2 AS pickup_location_id,
   request_id * 2 + 1 AS dropoff_location_id, requested_at AS request_time, scheduled_time,
@@ -289,9 +293,15 @@ SELECT r.* REPLACE (coalesce(final.status, ride_status) AS ride_status,
   coalesce(started, start_time) AS start_time, coalesce(ended, end_time) AS end_time)
 FROM rides r LEFT JOIN final ON final.ride_id = r.ride_id""",
     "drivers_after_status_changes": f"""WITH {_STATUS},
-finished AS (SELECT driver_id, count(*) AS n FROM done WHERE status = 'completed' GROUP BY 1)
+finished AS (
+  SELECT driver_id, count(*) FILTER (status = 'completed') AS n,
+    bool_or(status = 'completed' OR status = 'cancelled' AND was NOT IN ('completed', 'cancelled')) AS freed
+  FROM (SELECT done.driver_id, done.status, coalesce(
+          lag(done.status) OVER (PARTITION BY done.ride_id ORDER BY changed_at, change_id), r.ride_status) AS was
+        FROM done JOIN rides r ON r.ride_id = done.ride_id)
+  GROUP BY 1)
 SELECT d.* REPLACE (CAST(total_trips + coalesce(n, 0) AS INTEGER) AS total_trips,
-  CASE WHEN n > 0 THEN 'available' ELSE availability_status END AS availability_status)
+  CASE WHEN freed THEN 'available' ELSE availability_status END AS availability_status)
 FROM driver d LEFT JOIN finished f ON f.driver_id = d.driver_id""",
     "vehicles_after_status_changes": f"""WITH {_STATUS},
 finished AS (SELECT vehicle_id, count(*) AS n FROM done WHERE status = 'completed' GROUP BY 1)

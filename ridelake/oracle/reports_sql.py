@@ -25,14 +25,14 @@ parties AS (
 _RIDE = """ride_id, user_id, driver_id, vehicle_id, pickup_location_id, dropoff_location_id,
   request_time, scheduled_time, start_time, end_time, ride_status, fare"""
 _PAID = "paid AS (SELECT * FROM payments WHERE payment_status = 'paid')"
-_SHARES = """CAST(sum(amount) AS DECIMAL(18,2)) AS gross_revenue,
-  CAST(sum(amount * 0.20) AS DECIMAL(18,4)) AS platform_commission,
-  CAST(sum(amount * 0.80) AS DECIMAL(18,4)) AS driver_payouts"""
+_SHARES = """CAST(sum(amount) AS DECIMAL(38,2)) AS gross_revenue,
+  CAST(sum(amount * 0.20) AS DECIMAL(38,4)) AS platform_commission,
+  CAST(sum(amount * 0.80) AS DECIMAL(38,4)) AS driver_payouts"""
 _FINANCE = """finance AS (
   SELECT CAST(transaction_date AS DATE) AS date, payment_method, count(*) AS total_transactions,
-         CAST(sum(amount) AS DECIMAL(18,2)) AS gross_revenue,
-         CAST(round(sum(amount * 0.20), 2) AS DECIMAL(18,2)) AS platform_commission,
-         CAST(round(sum(amount * 0.80), 2) AS DECIMAL(18,2)) AS driver_payouts
+         CAST(sum(amount) AS DECIMAL(38,2)) AS gross_revenue,
+         CAST(round(sum(amount * 0.20), 2) AS DECIMAL(38,2)) AS platform_commission,
+         CAST(round(sum(amount * 0.80), 2) AS DECIMAL(38,2)) AS driver_payouts
   FROM paid WHERE CAST(transaction_date AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1998-06-30'
   GROUP BY 1, 2)"""
 _DRIVER_FANOUT = """fanout AS (
@@ -43,9 +43,9 @@ _DRIVER_FANOUT = """fanout AS (
   LEFT JOIN rides r ON r.driver_id = d.driver_id AND r.ride_status = 'completed'
   LEFT JOIN paid p ON p.ride_id = r.ride_id)"""
 _CITY = """
-SELECT min(city) AS city, count(*) AS total_rides, CAST(sum(amount) AS DECIMAL(18,2)) AS total_revenue,
-       CAST(sum(amount * 0.20) AS DECIMAL(18,4)) AS platform_commission,
-       CAST(sum(amount * 0.80) AS DECIMAL(18,4)) AS driver_payouts
+SELECT min(city) AS city, count(*) AS total_rides, CAST(sum(amount) AS DECIMAL(38,2)) AS total_revenue,
+       CAST(sum(amount * 0.20) AS DECIMAL(38,4)) AS platform_commission,
+       CAST(sum(amount * 0.80) AS DECIMAL(38,4)) AS driver_payouts
 FROM paid JOIN rides USING (ride_id) JOIN location ON location_id = pickup_location_id
 {where} GROUP BY lower(trim(city))"""
 _LOW_RATED = """scores AS (
@@ -55,7 +55,7 @@ _RIDERS = """
 SELECT u.user_id, fname, lname, email, phone_number, city, {wallet} registration_date,
        count(ride_id) AS total_rides,
        count(ride_id) FILTER (ride_status = 'completed') AS completed_rides,
-       CAST(coalesce(sum(fare) FILTER (ride_status = 'completed'), 0) AS DECIMAL(18,2)) AS total_spent
+       CAST(coalesce(sum(fare) FILTER (ride_status = 'completed'), 0) AS DECIMAL(38,2)) AS total_spent
 FROM users u LEFT JOIN rides r ON r.user_id = u.user_id WHERE role = 'rider' GROUP BY ALL"""
 _TRIP_COLUMNS = """ride_id, ride_status, fare, request_time, start_time, end_time, duration_minutes,
   rider_id, rider_fname, rider_lname, rider_phone, driver_fname, driver_lname, driver_phone,
@@ -208,9 +208,9 @@ SELECT (SELECT count(*) FROM users) AS total_users,
   (SELECT count(*) FROM rides WHERE ride_status = 'cancelled') AS cancelled_rides,
   (SELECT count(*) FROM rides WHERE ride_status IN ('requested', 'accepted', 'driver_en_route',
      'in_progress')) AS active_rides,
-  (SELECT CAST(sum(amount) AS DECIMAL(18,2)) FROM paid) AS total_revenue,
-  (SELECT CAST(sum(amount * 0.20) AS DECIMAL(18,4)) FROM paid) AS platform_commission,
-  (SELECT CAST(sum(amount * 0.80) AS DECIMAL(18,4)) FROM paid) AS driver_payouts,
+  (SELECT CAST(sum(amount) AS DECIMAL(38,2)) FROM paid) AS total_revenue,
+  (SELECT CAST(sum(amount * 0.20) AS DECIMAL(38,4)) FROM paid) AS platform_commission,
+  (SELECT CAST(sum(amount * 0.80) AS DECIMAL(38,4)) FROM paid) AS driver_payouts,
   (SELECT count(*) FROM driver) AS total_drivers,
   (SELECT count(*) FROM driver WHERE verification_status = 'verified') AS verified_drivers,
   (SELECT count(*) FROM driver WHERE verification_status = 'pending') AS pending_verification,
@@ -233,53 +233,53 @@ FROM paid WHERE CAST(transaction_date AS DATE) BETWEEN DATE '1998-07-03' AND DAT
 GROUP BY 1, payment_method""",
     "revenue_report_admin": f"""WITH {_PAID}
 SELECT CAST(transaction_date AS DATE) AS date, payment_method, count(*) AS transactions,
-  CAST(sum(amount) AS DECIMAL(18,2)) AS total_amount,
-  CAST(sum(amount * 0.20) AS DECIMAL(18,4)) AS commission
+  CAST(sum(amount) AS DECIMAL(38,2)) AS total_amount,
+  CAST(sum(amount * 0.20) AS DECIMAL(38,4)) AS commission
 FROM paid WHERE transaction_date BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-06-30'
 GROUP BY 1, 2""",
     "revenue_report_finance": f"WITH {_PAID}, {_FINANCE} SELECT * FROM finance",
     "revenue_totals": f"""WITH {_PAID}, {_FINANCE}
 SELECT CAST(sum(total_transactions) AS BIGINT) AS total_transactions,
-  CAST(sum(gross_revenue) AS DECIMAL(18,2)) AS gross_revenue,
-  CAST(sum(platform_commission) AS DECIMAL(18,2)) AS platform_commission,
-  CAST(sum(driver_payouts) AS DECIMAL(18,2)) AS driver_payouts
+  CAST(sum(gross_revenue) AS DECIMAL(38,2)) AS gross_revenue,
+  CAST(sum(platform_commission) AS DECIMAL(38,2)) AS platform_commission,
+  CAST(sum(driver_payouts) AS DECIMAL(38,2)) AS driver_payouts
 FROM finance""",
     "rides_report": """SELECT CAST(request_time AS DATE) AS date, ride_status, count(*) AS count,
   round(CAST(sum(fare) AS DOUBLE) / count(fare), 6) AS avg_fare,
-  CAST(sum(fare) AS DECIMAL(18,2)) AS total_fare
+  CAST(sum(fare) AS DECIMAL(38,2)) AS total_fare
 FROM rides WHERE request_time BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1999-12-31'
 GROUP BY 1, 2""",
     "driver_earnings_admin": f"""WITH {_PAID}, {_DRIVER_FANOUT}
 SELECT driver_id, fname, lname, city, count(ride_id) AS total_rides,
-  CAST(coalesce(sum(amount), 0) AS DECIMAL(18,2)) AS total_earned,
-  CAST(coalesce(sum(amount * 0.80), 0) AS DECIMAL(18,4)) AS driver_net,
-  CAST(coalesce(sum(amount * 0.20), 0) AS DECIMAL(18,4)) AS commission_paid, average_rating
+  CAST(coalesce(sum(amount), 0) AS DECIMAL(38,2)) AS total_earned,
+  CAST(coalesce(sum(amount * 0.80), 0) AS DECIMAL(38,4)) AS driver_net,
+  CAST(coalesce(sum(amount * 0.20), 0) AS DECIMAL(38,4)) AS commission_paid, average_rating
 FROM fanout GROUP BY driver_id, fname, lname, city, average_rating""",
     "driver_earnings_finance": f"""WITH {_PAID}, {_DRIVER_FANOUT}
 SELECT driver_id, fname, lname, email, count(payment_id) AS total_rides,
-  CAST(coalesce(sum(amount), 0) AS DECIMAL(18,2)) AS gross_earned,
-  CAST(coalesce(round(sum(amount * 0.80), 2), 0) AS DECIMAL(18,2)) AS net_earned,
-  CAST(coalesce(round(sum(amount * 0.20), 2), 0) AS DECIMAL(18,2)) AS commission_paid,
+  CAST(coalesce(sum(amount), 0) AS DECIMAL(38,2)) AS gross_earned,
+  CAST(coalesce(round(sum(amount * 0.80), 2), 0) AS DECIMAL(38,2)) AS net_earned,
+  CAST(coalesce(round(sum(amount * 0.20), 2), 0) AS DECIMAL(38,2)) AS commission_paid,
   average_rating, total_trips
 FROM fanout GROUP BY driver_id, fname, lname, email, average_rating, total_trips""",
     "driver_earnings_summary": f"""WITH {_PAID}
-SELECT driver_id, count(*) AS total_trips, CAST(sum(amount) AS DECIMAL(18,2)) AS gross_earned,
-  CAST(round(sum(amount * 0.80), 2) AS DECIMAL(18,2)) AS net_earned,
-  CAST(round(sum(amount * 0.20), 2) AS DECIMAL(18,2)) AS commission_paid
+SELECT driver_id, count(*) AS total_trips, CAST(sum(amount) AS DECIMAL(38,2)) AS gross_earned,
+  CAST(round(sum(amount * 0.80), 2) AS DECIMAL(38,2)) AS net_earned,
+  CAST(round(sum(amount * 0.20), 2) AS DECIMAL(38,2)) AS commission_paid
 FROM paid JOIN rides USING (ride_id) WHERE driver_id IS NOT NULL GROUP BY driver_id""",
     "driver_fare_earnings": """SELECT driver_id, count(*) AS total_rides,
-  CAST(sum(fare) AS DECIMAL(18,2)) AS total_fare,
-  CAST(sum(fare * 0.80) AS DECIMAL(18,4)) AS driver_earnings,
-  CAST(sum(fare * 0.20) AS DECIMAL(18,4)) AS platform_commission
+  CAST(sum(fare) AS DECIMAL(38,2)) AS total_fare,
+  CAST(sum(fare * 0.80) AS DECIMAL(38,4)) AS driver_earnings,
+  CAST(sum(fare * 0.20) AS DECIMAL(38,4)) AS platform_commission
 FROM rides WHERE ride_status = 'completed' AND driver_id IS NOT NULL GROUP BY driver_id""",
     "trips_per_driver": f"""WITH {_PAID}, {_DRIVER_FANOUT}
 SELECT driver_id, fname, lname, count(ride_id) AS completed_trips,
-  CAST(coalesce(sum(amount), 0) AS DECIMAL(18,2)) AS total_earned
+  CAST(coalesce(sum(amount), 0) AS DECIMAL(38,2)) AS total_earned
 FROM fanout GROUP BY driver_id, fname, lname""",
     "driver_performance": f"""WITH {_PAID}, {_DRIVER_FANOUT}
 SELECT driver_id, fname, lname, city, average_rating, total_trips, verification_status,
   availability_status, count(complaint_id) AS total_complaints,
-  CAST(sum(amount * 0.80) AS DECIMAL(18,4)) AS total_earnings
+  CAST(sum(amount * 0.80) AS DECIMAL(38,4)) AS total_earnings
 FROM fanout f LEFT JOIN complaints c ON c.ride_id = f.ride_id
 GROUP BY driver_id, fname, lname, city, average_rating, total_trips, verification_status,
   availability_status""",
@@ -289,7 +289,7 @@ SELECT d.driver_id, fname, lname, city, average_rating, total_trips, verificatio
   availability_status,
   (SELECT count(*) FROM complaints JOIN done USING (ride_id) WHERE done.driver_id = d.driver_id)
     AS total_complaints,
-  (SELECT CAST(sum(amount * 0.80) AS DECIMAL(18,4)) FROM paid JOIN done USING (ride_id)
+  (SELECT CAST(sum(amount * 0.80) AS DECIMAL(38,4)) FROM paid JOIN done USING (ride_id)
    WHERE done.driver_id = d.driver_id) AS total_earnings
 FROM driver d JOIN users USING (user_id)""",
     "revenue_by_city": f"WITH {_PAID} " + _CITY.format(where=""),
@@ -306,21 +306,21 @@ FROM driver JOIN users USING (user_id) JOIN scores USING (user_id) WHERE mean_sc
     "rider_stats": """SELECT user_id, count(*) AS total_rides,
   count(*) FILTER (ride_status = 'completed') AS completed,
   count(*) FILTER (ride_status = 'cancelled') AS cancelled,
-  CAST(coalesce(sum(fare) FILTER (ride_status = 'completed'), 0) AS DECIMAL(18,2)) AS total_spent
+  CAST(coalesce(sum(fare) FILTER (ride_status = 'completed'), 0) AS DECIMAL(38,2)) AS total_spent
 FROM rides GROUP BY user_id""",
     "refund_totals": """SELECT
-  CAST(sum(amount) FILTER (payment_status = 'refunded') AS DECIMAL(18,2)) AS total_refunded,
-  CAST(sum(amount) FILTER (payment_status = 'failed') AS DECIMAL(18,2)) AS total_failed_amount,
+  CAST(sum(amount) FILTER (payment_status = 'refunded') AS DECIMAL(38,2)) AS total_refunded,
+  CAST(sum(amount) FILTER (payment_status = 'failed') AS DECIMAL(38,2)) AS total_failed_amount,
   count(*) FILTER (payment_status = 'refunded') AS refund_count,
   count(*) FILTER (payment_status = 'failed') AS failed_count
 FROM payments""",
     "refund_report": """SELECT CAST(transaction_date AS DATE) AS date, payment_status,
-  count(*) AS count, CAST(sum(amount) AS DECIMAL(18,2)) AS total_amount
+  count(*) AS count, CAST(sum(amount) AS DECIMAL(38,2)) AS total_amount
 FROM payments WHERE payment_status IN ('refunded', 'failed')
   AND CAST(transaction_date AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1998-06-30'
 GROUP BY 1, 2""",
     "dispute_totals": """SELECT
-  CAST(sum(amount) FILTER (payment_status = 'refunded') AS DECIMAL(18,2)) AS total_refunded,
+  CAST(sum(amount) FILTER (payment_status = 'refunded') AS DECIMAL(38,2)) AS total_refunded,
   count(*) FILTER (payment_status = 'failed') AS total_failed, count(*) AS total_disputes
 FROM payments WHERE payment_status IN ('refunded', 'failed')""",
     "avg_rating_by_driver": """SELECT driver_id, round(avg(score), 6) AS avg_rating,
@@ -332,7 +332,7 @@ FROM driver JOIN ratings ON rated_user_id = user_id GROUP BY driver_id""",
 FROM driver d""",
     # ranked
     "payment_method_breakdown": f"""WITH {_PAID}
-SELECT payment_method, count(*) AS transactions, CAST(sum(amount) AS DECIMAL(18,2)) AS total_amount,
+SELECT payment_method, count(*) AS transactions, CAST(sum(amount) AS DECIMAL(38,2)) AS total_amount,
   round(CAST(count(*) AS DOUBLE) * 100 / (SELECT count(*) FROM paid), 2) AS percentage
 FROM paid GROUP BY payment_method""",
     "latest_driver_location": """SELECT * FROM driver_location

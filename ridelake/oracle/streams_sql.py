@@ -69,7 +69,9 @@ summed AS (
   FROM moved WHERE driver_id IS NOT NULL)
 SELECT event_id, driver_id, timestamp, open_rides,
   CASE WHEN open_rides > 0 THEN 'driver_on_active_ride' END AS reject_reason
-FROM summed WHERE kind = 'insert'""",
+FROM summed WHERE kind = 'insert'
+UNION ALL
+SELECT event_id, driver_id, timestamp, 0, NULL FROM booking_feed WHERE kind = 'insert' AND driver_id IS NULL""",
 }
 
 _PINGS = """judged AS (

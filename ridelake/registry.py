@@ -261,6 +261,10 @@ def _jobs() -> dict[str, tuple[str, Callable[[Tables], DataFrame]]]:
         ),
         "constraint_audit": ("SRC8", audit.constraint_audit),
         "ride_request_decisions": ("LC1", lambda t: booking(t)["decided"]),
+        "guarded_request_decisions": (
+            "LC1",
+            lambda t: lifecycle.match_ride_requests(feed(t, "ride_requests"), t["vehicles"], t["rides"])["decided"],
+        ),
         "booked_rides": ("LC1", lambda t: booking(t)["rides"]),
         "booked_locations": ("LC1", lambda t: booking(t)["locations"]),
         "status_change_decisions": ("LC2", lambda t: statuses(t)["decided"]),
