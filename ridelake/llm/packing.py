@@ -14,76 +14,95 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, END_ID = 2048, 1
 _MAX_OPEN = 8192
-_MAX_WORDS = 400_000
+_MAX_PARTS = 800_000
+_GROUP_BYTES = 8 << 20
 _SEQUENCES_PER_TASK = 1 << 33
 
 
-class WordIds(dict):
-    """Token ids, as bytes of 4 each, per blank-separated word of a tokenizer that drops white space and ends words with ``</w>``.
+class WordIds:
+    """Token ids of texts, for a tokenizer that drops white space and ends words with ``</w>``.
 
-    Such a tokenizer never merges across blanks, so a text's ids are its words' ids in order. New words are
-    encoded together: a word of Latin letters, with or without punctuation behind it, by its lower-case letters; any
-    other word on its own.
+    Such a tokenizer never merges across blanks, so a text's ids are its blank-separated words' ids in order. A word of Latin
+    letters, with or without punctuation behind it, is looked up as its lower-case letters and its punctuation; any
+    other word as it stands. These parts are encoded once and kept, as bytes of 4 per id.
     """
 
-    _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+    _SIMPLE = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
+    _CORE = re.compile("[a-zß-öø-ÿ]+")
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cores: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn_cores(self, cores: list[str]) -> None:
-        ids = self._encode(" ".join(cores))
-        ends = 4 * (np.flatnonzero(self.is_end[ids]) + 1)
-        if len(ends) != len(cores):
-            self.cores.update((c, self._encode(c).tobytes()) for c in cores)
-            return
-        flat, begins = ids.tobytes(), [0, *ends[:-1].tolist()]
-        self.cores.update((c, flat[low:high]) for c, low, high in zip(cores, begins, ends.tolist(), strict=True))
-
-    def learn(self, words: set[str]) -> None:
-        """Makes sure that all ``words`` are known."""
-        if len(self) + len(words) > _MAX_WORDS:
-            self.clear()
-            self[""] = b""
-        if len(self.cores) > _MAX_WORDS:
-            self.cores.clear()
-        new = [(w, self._SIMPLE.fullmatch(w)) for w in words if w not in self]
-        cores = {m[1].lower() for _, m in new if m} - self.cores.keys()
-        if cores:
-            self._learn_cores(list(cores))
-        marks = {m[2] for _, m in new if m and m[2]} - self.cores.keys()
-        self.cores.update((p, self._encode(p).tobytes()) for p in marks)
-        for word, simple in new:
-            if simple:
-                self[word] = self.cores[simple[1].lower()] + (self.cores[simple[2]] if simple[2] else b"")
-            else:
-                self[word] = self._encode(word).tobytes()
+        self.known: dict[str, bytes] = {}
+
+    def _encode(self, parts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [re.sub("[\t\n\r]", " ", t).split(" ") for t in texts]
-        self.learn(set(chain.from_iterable(split)))
-        return [np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4") for words in split]
+    def _learn(self, parts: list[str]) -> None:
+        """Makes sure that all ``parts`` are known."""
+        if len(self.known) > _MAX_PARTS:
+            self.known.clear()
+        new = [p for p in parts if p not in self.known]
+        cores = [p for p in new if self._CORE.fullmatch(p)]
+        if cores:
+            ids = self._encode([" ".join(cores)])[0]
+            ends = 4 * (np.flatnonzero(self.is_end[ids]) + 1)
+            if len(ends) == len(cores):
+                flat, begins = ids.tobytes(), [0, *ends[:-1].tolist()]
+                self.known.update((c, flat[low:high]) for c, low, high in zip(cores, begins, ends.tolist(), strict=True))
+        rest = [p for p in new if p not in self.known]
+        self.known.update((p, i.tobytes()) for p, i in zip(rest, self._encode(rest), strict=True))
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
+        """The ids per text; a null has none. Each distinct word of ``texts`` is looked up once."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.split_pattern(pc.replace_substring_regex(pc.fill_null(texts, ""), "[\t\n\r]", " "), " ")
+        words = pc.list_flatten(split).dictionary_encode()
+        found = pc.extract_regex(words.dictionary, self._SIMPLE)
+        heads = pc.coalesce(pc.utf8_lower(pc.struct_field(found, "core")), words.dictionary)
+        marks = pc.fill_null(pc.struct_field(found, "marks"), "")
+        parts = pa.concat_arrays([heads, marks]).dictionary_encode()
+        names = parts.dictionary.to_pylist()
+        self._learn(names)
+        ids = [self.known[p] for p in names]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        per_word = parts.indices.to_numpy().reshape(2, -1).T.ravel()  # head, marks, head, marks, ...
+        of_words = _gather(np.frombuffer(b"".join(ids), "<u4"), sizes, per_word)
+        word_sizes = sizes[per_word].reshape(-1, 2).sum(axis=1)
+        occurring = words.indices.to_numpy()
+        flat = _gather(of_words, word_sizes, occurring)
+        bounds = np.concatenate(([0], np.cumsum(word_sizes[occurring])))[split.offsets.to_numpy()].tolist()
+        return [flat[low:high] for low, high in zip(bounds, bounds[1:])]
+
+
+def _gather(flat: np.ndarray, sizes: np.ndarray, picked: np.ndarray) -> np.ndarray:
+    """The runs ``picked``, in order, of an array made of consecutive runs of the given sizes."""
+    begins, lengths = (np.cumsum(sizes) - sizes)[picked], sizes[picked]
+    shift = begins - (np.cumsum(lengths) - lengths)
+    return flat[np.repeat(shift, lengths) + np.arange(lengths.sum())]
+
+
+def text_groups(texts: pa.Array, group_bytes: int) -> Iterator[tuple[int, int]]:
+    """(begin, length) of consecutive groups of texts that begin within the same ``group_bytes`` of the array."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // group_bytes)) + 1
+    bounds = [0, *cuts.tolist(), len(texts)]
+    yield from ((low, high - low) for low, high in zip(bounds, bounds[1:]) if high > low)
 
 
 class Packer:
@@ -221,10 +240,9 @@ def pack(
             )
 
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for at in range(0, len(keys), 500):
-                texts = [t or "" for t in batch.column(1).slice(at, 500).to_pylist()]
-                for key, ids in zip(keys[at:at + 500], words.encode(texts), strict=True):
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            for at, size in text_groups(texts, _GROUP_BYTES):
+                for key, ids in zip(keys[at:at + size], words.encode(texts.slice(at, size)), strict=True):
                     packer.add(key, np.append(ids, np.uint32(END_ID)))
                 if len(packer.out) > 20_000:
                     yield flush()
