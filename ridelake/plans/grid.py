@@ -81,9 +81,11 @@ def join_within(
 ) -> DataFrame:
     """Candidate pairs: all within ``reach_km`` and some beyond; filter on the distance after.
 
-    Cells are split by the measured number of pairs in them: the points of a busy cell are dealt to
-    several groups and its sites copied to each, so no task gets a whole city centre. The copies add
-    (sites in the cell / ``pairs_per_split``) rows per point. Cells without both sides drop out.
+    Busy cells are cut into blocks by the measured numbers of their points and sites: both sides are
+    dealt to groups, and each group of points meets each group of sites once. A block holds about
+    ``pairs_per_split`` pairs, as a square where both sides are large, so the copies come to
+    2 / sqrt(``pairs_per_split``) rows per pair; a few points against very many sites cut only the
+    sites, and the other way round. Cells without both sides drop out.
     """
     band, cell = cell_of(F.col(point[0]), F.col(point[1]), reach_km)
     placed = points.withColumn("_band", band).withColumn("_cell", cell)
@@ -91,20 +93,27 @@ def join_within(
     copied = sites.select("*", F.inline(touched).alias("_band", "_cell"))
     here = placed.groupBy("_band", "_cell").agg(F.count(F.lit(1)).alias("_points"))
     there = copied.groupBy("_band", "_cell").agg(F.count(F.lit(1)).alias("_sites"))
-    pairs = F.col("_points").cast("double") * F.col("_sites")
+
+    def groups(own: str, other: str) -> Column:
+        size = F.greatest(F.lit(math.sqrt(pairs_per_split)), F.lit(float(pairs_per_split)) / F.col(other))
+        return F.ceil(F.col(own) / size)
+
     load = here.join(there, ["_band", "_cell"]).select(
-        "_band", "_cell", F.least(F.col("_points"), F.ceil(pairs / pairs_per_split)).alias("_groups")
+        "_band", "_cell", groups("_points", "_sites").alias("_ps"), groups("_sites", "_points").alias("_ss")
     )
-    # A set number of partitions: the input is small next to the pairs it makes, and sizing the
+
+    def blocks(rows: DataFrame, by: list[str], own: str, group: str, other: str, all_groups: str) -> DataFrame:
+        """The rows in their own group, copied to each group of the other side."""
+        sized = join_per_key(rows, load, ["_band", "_cell"], "inner")
+        return sized.withColumn(group, F.pmod(F.xxhash64(*by), F.col(own))).withColumn(
+            all_groups, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1))
+        ).drop("_ps", "_ss")
+
+    # Both sides are dealt by block, so that whichever of them a join streams, its tasks are even; and to
+    # a set number of partitions: the input is small next to the pairs it makes, and sizing the
     # tasks by input bytes would put busy cells back together.
     tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["_band", "_cell", "_group"]
-    dealt = join_per_key(placed, load, ["_band", "_cell"], "inner").withColumn(
-        "_group", F.pmod(F.xxhash64(*point_id), F.col("_groups"))
-    ).drop("_groups").repartition(tasks, *keys)
-    copies = (
-        copied.join(load, ["_band", "_cell"])
-        .withColumn("_group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_groups") - 1)))
-        .drop("_groups")
-    )
+    keys = ["_band", "_cell", "_p", "_s"]
+    dealt = blocks(placed, point_id, "_ps", "_p", "_ss", "_s").repartition(tasks, *keys)
+    copies = blocks(copied, sites.columns, "_ss", "_s", "_ps", "_p").repartition(tasks, *keys)
     return dealt.join(copies, keys).drop(*keys)

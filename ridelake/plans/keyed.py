@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE_MINUTES = 60
-HOT_SHARE = 1000  # a key with more than 1/HOT_SHARE of all rows is hot, unless
+HOT_SHARE = 10_000  # a key with more than 1/HOT_SHARE of all rows is hot, unless
 MIN_HOT_ROWS = 100_000  # it has too few rows to keep one task busy
 _SKETCH_ITEMS = 100_000
 
@@ -191,12 +191,21 @@ def left_join_many(
 ) -> DataFrame:
     """Left join to a side that may hold very many rows for one key.
 
-    A left outer join cannot split a hot right-hand key, an inner join can. So the right side gets
-    one empty row per unmatched key, and the join is an inner one. ``left_keys`` are the key columns
-    of ``left`` from a cheap source, one row per key.
+    A left outer join cannot split a hot right-hand key, an inner join can. So for hot keys the right
+    side gets one empty row per unmatched key, and their join is an inner one; other keys take the
+    plain left join. ``left_keys`` are the key columns of ``left`` from a cheap source, one row per key.
     """
-    empty = left_keys.join(right.select(*on).distinct(), list(on), "left_anti")
-    return left.join(right.unionByName(empty, allowMissingColumns=True), list(on))
+    keys = list(on)
+    hot = hot_keys(right, keys)
+    if not hot:
+        return left.join(right, keys, "left")
+    heat = _is_hot(keys, hot)
+    for key in keys:  # a NULL matches nothing, so it needs no filler
+        heat = heat & F.col(key).isNotNull()
+    many = right.where(heat)
+    empty = left_keys.where(heat).join(many.select(*keys).distinct(), keys, "left_anti")
+    filled = left.where(heat).join(many.unionByName(empty, allowMissingColumns=True), keys)
+    return left.where(~heat).join(right.where(~heat), keys, "left").unionByName(filled)
 
 
 def join_per_key(
@@ -215,7 +224,7 @@ def join_per_key(
     hot = hot_keys(rows, keys) if hot is None else hot
     if not hot:
         return rows.join(per_key, keys, how)
-    groups = [(item, min(HOT_SHARE, -(-count // MIN_HOT_ROWS))) for item, count in hot.items()]
+    groups = [(item, -(-count // MIN_HOT_ROWS)) for item, count in hot.items()]
     # Fewer than HOT_SHARE rows, whatever the size of the data.
     listed = F.broadcast(rows.sparkSession.createDataFrame(groups, "_h BIGINT, _splits BIGINT"))
 

@@ -14,7 +14,7 @@ from ridelake.functions.geo import cosine_km
 from ridelake.operators import lifecycle, matching
 from ridelake.plans import keyed
 from ridelake.plans.grid import join_within
-from ridelake.plans.keyed import join_per_key, neighbours, running_totals, top_per_key
+from ridelake.plans.keyed import join_per_key, left_join_many, neighbours, running_totals, top_per_key
 from ridelake.schema import EARTH_RADIUS_KM
 from ridelake.sources.ingest import ingest_registrations
 
@@ -55,6 +55,19 @@ def test_grid_join_finds_all_pairs_once(spark, reach):
     assert expected <= got
 
 
+@pytest.mark.parametrize(("n_points", "n_sites"), [(1, 40_000), (40_000, 1), (400, 400)])
+def test_both_sides_of_a_busy_cell_are_split(spark, n_points, n_sites):
+    def spots(n, name):
+        return spark.range(n).select(F.col("id").alias(name), F.lit(24.86).alias(f"{name}lat"), F.lit(67.0).alias(f"{name}lng"))
+
+    pairs = join_within(
+        spots(n_points, "p"), spots(n_sites, "s"), ["p"], ("plat", "plng"), ("slat", "slng"), reach_km=10, pairs_per_split=400,
+    )
+    per_task = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == n_points * n_sites
+    assert max(per_task) < sum(per_task) / 2
+
+
 def test_nearest_matches_brute_force(spark, seed):
     places, pickups = _points(3, 60, poles=False), _points(4, 80, poles=False)
     cut7 = lambda v: D(f"{v:.7f}")
@@ -145,6 +158,14 @@ def test_join_per_key_equals_a_join(feed, heat, how):
     assert rows(got, "id", "key", "v", "best") == rows(some.join(names, "key", how), "id", "key", "v", "best")
 
 
+def test_left_join_many_equals_a_left_join(feed, heat):
+    many = feed.select("key", F.col("id").alias("other")).where("key IS NULL OR key % 3 <> 1")
+    some = feed.select("key", "v").where("key IS NULL OR key % 5 <> 2").distinct()
+    got = left_join_many(some, some.select("key").distinct(), many, ["key"])
+    assert got.columns == ["key", "v", "other"]
+    assert rows(got, "key", "v", "other") == rows(some.join(many, "key", "left"), "key", "v", "other")
+
+
 def test_hot_keys_are_found(spark, monkeypatch):
     monkeypatch.setattr(keyed, "MIN_HOT_ROWS", 500)
     some = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("key"), "id")
