@@ -7,7 +7,8 @@ from oracle_compare import compare, duck
 from __spark_entry__ import entry, oracle_sql, queries
 from ridelake.registry import all_queries
 
-QUERIES = {name: run for name, run in queries().items() if name in all_queries()}
+REGISTERED = all_queries()
+QUERIES = {name: run for name, run in queries().items() if name in REGISTERED}
 ORACLE = {name: sql for name, sql in oracle_sql().items() if name in QUERIES}
 
 
