@@ -61,7 +61,7 @@ SELECT ride_id, user_id, driver_id, vehicle_id, ride_id * 2 AS pickup_location_i
        END AS end_time,
        ride_status, fare
 FROM (
-  SELECT o_orderkey AS ride_id, o_custkey AS user_id,
+  SELECT o_orderkey AS ride_id, CASE WHEN o_custkey % 10 = 9 THEN o_custkey - 1 ELSE o_custkey END AS user_id,
          CASE WHEN o_orderkey % 11 <> 0 THEN (o_orderkey * 7) % (SELECT count(*) FROM supplier) END
            AS driver_id,
          CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % (SELECT count(*) FROM part) END
@@ -76,7 +76,7 @@ FROM (
               WHEN o_orderpriority LIKE '4%' THEN 'in_progress'
               ELSE 'rejected_by_driver' END AS ride_status,
          CAST(o_totalprice AS DECIMAL(10,2)) AS fare
-  FROM orders WHERE o_custkey % 10 <> 9)""",
+  FROM orders)""",
     "location": """
 SELECT location_id, CAST(24.8 + (k * 31 % 1000) * 0.0004 AS DECIMAL(10,7)) AS latitude,
        CAST(66.9 + (k * 17 % 1000) * 0.0004 AS DECIMAL(10,7)) AS longitude, address,
@@ -84,36 +84,41 @@ SELECT location_id, CAST(24.8 + (k * 31 % 1000) * 0.0004 AS DECIMAL(10,7)) AS la
 FROM (
   SELECT o_orderkey * 2 AS location_id, o_orderkey AS k, 'P' || o_orderkey AS address,
          o_orderkey % 25 AS city_key, o_orderkey % 10 = 0 AS hide
-  FROM orders WHERE o_custkey % 10 <> 9
+  FROM orders
   UNION ALL
   SELECT o_orderkey * 2 + 1, o_orderkey * 3 + 1, 'D' || o_orderkey, (o_orderkey * 3) % 25, false
-  FROM orders WHERE o_custkey % 10 <> 9)
+  FROM orders)
 JOIN nation ON city_key = n_nationkey""",
     "ride_lines": """
-SELECT l_orderkey AS ride_id, l_linenumber AS line, max(l_extendedprice) AS price,
-       min(l_suppkey) AS suppkey, min(l_returnflag) AS returnflag, min(l_linestatus) AS linestatus,
-       max(l_shipdate) AS shipdate, min(l_quantity) AS quantity
-FROM lineitem GROUP BY l_orderkey, l_linenumber""",
+SELECT l_orderkey AS ride_id, l_extendedprice AS price, l_suppkey AS suppkey, l_returnflag AS returnflag,
+       l_linestatus AS linestatus, l_shipdate AS shipdate,
+       row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber NULLS FIRST, l_shipdate NULLS FIRST,
+         l_extendedprice NULLS FIRST, l_suppkey NULLS FIRST, l_returnflag NULLS FIRST,
+         l_linestatus NULLS FIRST) AS n
+FROM lineitem""",
     "payments": """
-SELECT ride_id * 10 + line AS payment_id, ride_id, o_custkey AS user_id,
+SELECT ride_id * 1009 + n AS payment_id, ride_id, user_id,
        CAST(price AS DECIMAL(10,2)) AS amount,
        CASE suppkey % 3 WHEN 0 THEN 'cash' WHEN 1 THEN 'card' ELSE 'wallet' END AS payment_method,
        CASE returnflag WHEN 'A' THEN 'paid'
             WHEN 'N' THEN CASE WHEN linestatus = 'F' THEN 'paid' ELSE 'pending' END
             ELSE CASE WHEN linestatus = 'F' THEN 'refunded' ELSE 'failed' END END AS payment_status,
        shipdate + to_minutes((ride_id * 53) % 1440) AS transaction_date,
-       CASE WHEN line = 1 THEN 1 + ride_id % (SELECT count(*) FROM part) END AS promo_id
-FROM ride_lines JOIN orders ON o_orderkey = ride_id WHERE o_custkey % 10 <> 9""",
+       CASE WHEN n = 1 THEN 1 + ride_id % (SELECT count(*) FROM part) END AS promo_id
+FROM ride_lines JOIN rides USING (ride_id)""",
     "ratings": """
-SELECT ride_id * 10 + line AS rating_id, ride_id,
-       CASE WHEN line = 1 THEN user_id ELSE 10000000 + driver_id END AS rated_by,
-       CASE WHEN line = 1 THEN 10000000 + driver_id ELSE user_id END AS rated_user_id,
+SELECT ride_id * 10 + CASE WHEN odd THEN 1 ELSE 2 END AS rating_id, ride_id,
+       CASE WHEN odd THEN user_id ELSE 10000000 + driver_id END AS rated_by,
+       CASE WHEN odd THEN 10000000 + driver_id ELSE user_id END AS rated_user_id,
        CAST(CASE WHEN driver_id % 4 = 2 THEN 1 + CAST(quantity AS INTEGER) % 4
                  ELSE 3 + CAST(quantity AS INTEGER) % 3 END AS INTEGER) AS score,
        CASE WHEN ride_id % 3 = 0 THEN 'Comment on ride ' || ride_id END AS comment,
        shipdate AS timestamp
-FROM ride_lines JOIN rides USING (ride_id)
-WHERE line IN (1, 2) AND ride_status = 'completed' AND driver_id IS NOT NULL""",
+FROM (
+  SELECT l_orderkey AS ride_id, l_linenumber % 2 = 1 AS odd, max(l_shipdate) AS shipdate, min(l_quantity) AS quantity
+  FROM lineitem GROUP BY 1, 2)
+JOIN rides USING (ride_id)
+WHERE ride_status = 'completed' AND driver_id IS NOT NULL""",
     "complaints": """
 SELECT ride_id * 10 + k AS complaint_id, ride_id, user_id,
        'Complaint ' || k || ' on ride ' || ride_id AS description,

@@ -6,7 +6,7 @@ same rows. Row counts used as moduli are scalar subqueries, not joins.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridelake.functions.text import low_rating_message
@@ -30,6 +30,8 @@ BASE_SCHEMAS = {
     "events": """event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING,
         value DOUBLE, props STRING""",
 }
+# Every tenth customer rides under the account of the one before, so some riders have no ride.
+RIDER = "CASE WHEN o_custkey % 10 = 9 THEN o_custkey - 1 ELSE o_custkey END AS user_id"
 DRIVER_USER_BASE = 10_000_000
 ADMIN_USER_BASE = 20_000_000
 
@@ -142,7 +144,6 @@ def ride_tables(spark: SparkSession, sf_dir: str) -> RideTables:
     def rides(_t):
         requested = (
             base("orders")
-            .where("o_custkey % 10 <> 9")
             .withColumn("request_time", F.expr(f"o_orderdate + {_minutes('(o_orderkey * 37) % 1440')}"))
             .withColumn(
                 "ride_status",
@@ -163,7 +164,7 @@ def ride_tables(spark: SparkSession, sf_dir: str) -> RideTables:
         ride_span = "make_dt_interval(0, 0, CAST(10 + o_orderkey % 55 AS INT), o_orderkey % 60)"
         return requested.selectExpr(
             "o_orderkey AS ride_id",
-            "o_custkey AS user_id",
+            RIDER,
             "CASE WHEN o_orderkey % 11 <> 0 THEN (o_orderkey * 7) % ns END AS driver_id",
             "CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % np END AS vehicle_id",
             "o_orderkey * 2 AS pickup_location_id",
@@ -180,7 +181,6 @@ def ride_tables(spark: SparkSession, sf_dir: str) -> RideTables:
         # One scan of the orders, two rows out of each, instead of a union of two scans.
         points = (
             base("orders")
-            .where("o_custkey % 10 <> 9")
             .selectExpr(
                 """inline(array(
                      named_struct('location_id', o_orderkey * 2, 'k', o_orderkey,
@@ -196,51 +196,40 @@ def ride_tables(spark: SparkSession, sf_dir: str) -> RideTables:
             "location_id", *_coordinate("k"), "address", "CASE WHEN NOT hide THEN n_name END AS city"
         )
 
-    def lines(max_line: int | None = None):
-        """Line items reduced to one row per (order, line); repeats combine before the shuffle."""
-        items = base("lineitem")
-        if max_line:
-            items = items.where(F.col("l_linenumber") <= max_line)
-        return items.groupBy("l_orderkey", "l_linenumber").agg(
-            F.max("l_extendedprice").alias("price"),
-            F.min("l_suppkey").alias("suppkey"),
-            # One-letter flags as codes: fixed-width buffers let Spark hash instead of sort.
-            F.min(F.ascii("l_returnflag")).alias("returnflag"),
-            F.min(F.ascii("l_linestatus")).alias("linestatus"),
-            F.max("l_shipdate").alias("shipdate"),
-            F.min("l_quantity").alias("quantity"),
-        )
-
     def payments(_t):
-        riders = (
-            base("orders").where("o_custkey % 10 <> 9")
-            .select("o_orderkey", "o_custkey").withColumn("np", row_count("part"))
+        """One payment per line item; lines of an order are numbered for the id, by all columns used here."""
+        in_order = Window.partitionBy("l_orderkey").orderBy(
+            "l_linenumber", "l_shipdate", "l_extendedprice", "l_suppkey", "l_returnflag", "l_linestatus"
         )
-        return lines().join(riders, F.expr("l_orderkey = o_orderkey")).selectExpr(
-            "l_orderkey * 10 + l_linenumber AS payment_id",
+        riders = base("orders").selectExpr("o_orderkey", RIDER).withColumn("np", row_count("part"))
+        numbered = base("lineitem").withColumn("n", F.row_number().over(in_order))
+        return numbered.join(riders, F.expr("l_orderkey = o_orderkey")).selectExpr(
+            "l_orderkey * 1009 + n AS payment_id",
             "l_orderkey AS ride_id",
-            "o_custkey AS user_id",
-            "CAST(price AS DECIMAL(10,2)) AS amount",
-            "CASE suppkey % 3 WHEN 0 THEN 'cash' WHEN 1 THEN 'card' ELSE 'wallet' END AS payment_method",
-            """CASE WHEN returnflag = ascii('A') THEN 'paid'
-               WHEN returnflag = ascii('N') AND linestatus = ascii('F') THEN 'paid'
-               WHEN returnflag = ascii('N') THEN 'pending'
-               WHEN linestatus = ascii('F') THEN 'refunded' ELSE 'failed' END AS payment_status""",
-            f"shipdate + {_minutes('(l_orderkey * 53) % 1440')} AS transaction_date",
-            "CASE WHEN l_linenumber = 1 THEN 1 + l_orderkey % np END AS promo_id",
+            "user_id",
+            "CAST(l_extendedprice AS DECIMAL(10,2)) AS amount",
+            "CASE l_suppkey % 3 WHEN 0 THEN 'cash' WHEN 1 THEN 'card' ELSE 'wallet' END AS payment_method",
+            """CASE WHEN l_returnflag = 'A' THEN 'paid'
+               WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN 'paid'
+               WHEN l_returnflag = 'N' THEN 'pending'
+               WHEN l_linestatus = 'F' THEN 'refunded' ELSE 'failed' END AS payment_status""",
+            f"l_shipdate + {_minutes('(l_orderkey * 53) % 1440')} AS transaction_date",
+            "CASE WHEN n = 1 THEN 1 + l_orderkey % np END AS promo_id",
         )
 
     def ratings(t):
+        """One rating per side of a completed ride: odd line items make the rider's, even ones the driver's."""
         done = t["rides"].where("ride_status = 'completed' AND driver_id IS NOT NULL").select(
             "ride_id", "user_id", "driver_id"
         )
+        sides = base("lineitem").groupBy("l_orderkey", F.expr("l_linenumber % 2 = 1").alias("by_rider")).agg(
+            F.max("l_shipdate").alias("shipdate"), F.min("l_quantity").alias("quantity")
+        )
         return (
-            lines(max_line=2)
-            .join(done, F.expr("l_orderkey = ride_id"))
+            sides.join(done, F.expr("l_orderkey = ride_id"))
             .withColumn("driver_user", F.col("driver_id") + DRIVER_USER_BASE)
-            .withColumn("by_rider", F.expr("l_linenumber % 2 = 1"))
             .selectExpr(
-                "l_orderkey * 10 + l_linenumber AS rating_id",
+                "l_orderkey * 10 + if(by_rider, 1, 2) AS rating_id",
                 "ride_id",
                 "CASE WHEN by_rider THEN user_id ELSE driver_user END AS rated_by",
                 "CASE WHEN by_rider THEN driver_user ELSE user_id END AS rated_user_id",

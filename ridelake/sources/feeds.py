@@ -28,14 +28,13 @@ FROM rides""",
     "city_trips": """
 SELECT h.history_id AS trip_id, l.city, h.timestamp AS requested_at
 FROM ride_history h JOIN rides r ON r.ride_id = h.ride_id
-JOIN location l ON l.location_id = r.pickup_location_id
-WHERE h.status = 'accepted'""",
+JOIN location l ON l.location_id = r.pickup_location_id""",
     "open_pickups": """
 SELECT r.ride_id AS request_id, p.latitude AS pickup_lat, p.longitude AS pickup_lng
 FROM rides r JOIN location p ON p.location_id = r.pickup_location_id
 WHERE r.ride_status = 'requested'""",
     "promo_fares": """
-SELECT ride_id, fare, CASE ride_id % 4 WHEN 0 THEN 'promo' || (1 + ride_id % 3000)
+SELECT ride_id, fare, CASE ride_id % 4 WHEN 0 THEN 'promo' || (1 + ride_id % (SELECT 2 * count(*) FROM promo_code))
        WHEN 1 THEN '' WHEN 2 THEN 'NOSUCHCODE' END AS promo_code
 FROM rides""",
     "ride_requests": """
@@ -66,20 +65,20 @@ FROM ride_history h LEFT JOIN rides r ON r.ride_id = h.ride_id""",
 SELECT payment_id AS request_id, ride_id,
        CASE WHEN payment_id % 31 = 0 THEN user_id + 1 ELSE user_id END AS user_id,
        CASE WHEN payment_id % 17 = 0 THEN 'crypto' ELSE payment_method END AS payment_method,
-       CASE WHEN payment_id % 4 = 0 THEN 'Promo' || (1 + payment_id % 3000) END AS promo_code,
+       CASE WHEN payment_id % 4 = 0 THEN 'Promo' || (1 + payment_id % (SELECT 2 * count(*) FROM promo_code)) END AS promo_code,
        transaction_date AS requested_at
 FROM payments""",
     "ride_completions": """
 SELECT ride_id * 2 AS request_id, CASE WHEN ride_id % 37 = 0 THEN -1 - ride_id ELSE ride_id END AS ride_id,
        CAST((ride_id % 3000) * 0.01 AS DECIMAL(10,2)) AS distance_km,
        CAST(5 + ride_id % 60 AS INT) AS duration_min, 'cash' AS payment_method,
-       CASE WHEN ride_id % 3 = 0 THEN 'PROMO' || (1 + ride_id % 3000) END AS promo_code,
+       CASE WHEN ride_id % 3 = 0 THEN 'PROMO' || (1 + ride_id % (SELECT 2 * count(*) FROM promo_code)) END AS promo_code,
        request_time + INTERVAL '1' HOUR AS requested_at
 FROM rides WHERE ride_status = 'in_progress'
 UNION ALL
 SELECT ride_id * 2 + 1, ride_id, CAST(12.5 AS DECIMAL(10,2)), 30, 'card', 'GONE',
        request_time + INTERVAL '2' HOUR
-FROM rides WHERE ride_status = 'in_progress' AND ride_id % 10 = 3""",
+FROM rides WHERE ride_status = 'in_progress'""",
     "rating_requests": """
 SELECT p.payment_id AS request_id, p.ride_id, p.user_id AS rated_by,
        10000000 + r.driver_id AS rated_user_id,
@@ -91,16 +90,16 @@ FROM payments p JOIN rides r ON r.ride_id = p.ride_id WHERE r.driver_id IS NOT N
     "registrations": """
 SELECT ride_id AS request_id, request_time AS submitted_at,
        CASE WHEN ride_id % 41 <> 0 THEN 'F' || ride_id END AS fname, 'L' || ride_id AS lname,
-       CASE WHEN ride_id % 13 = 0 THEN 'RIDER' || (ride_id % 500) || '@example.com'
-            ELSE 'New' || (ride_id * 7 % 4999) || '@example.com' END AS email,
-       '07' || (ride_id * 11 % 5003) AS phone_number,
+       CASE WHEN ride_id % 13 = 0 THEN 'RIDER' || user_id || '@example.com'
+            ELSE 'New' || (ride_id - ride_id % 3) || '@example.com' END AS email,
+       '07' || (ride_id - ride_id % 5) AS phone_number,
        CASE ride_id % 10 WHEN 0 THEN 'admin' WHEN 1 THEN 'driver' WHEN 2 THEN 'driver'
             ELSE 'rider' END AS role,
        CASE WHEN ride_id % 3 <> 0 THEN 'C' || ride_id END AS cnic, 'N' || ride_id AS license_number
 FROM rides""",
     "vehicle_requests": """
 SELECT ride_id AS request_id, driver_id,
-       CASE WHEN ride_id % 10 = 0 THEN ' lp-' || ride_id ELSE ' nv-' || (ride_id % 4001) END AS license_plate,
+       CASE WHEN ride_id % 10 = 0 THEN ' lp-' || ride_id ELSE ' nv-' || (ride_id - ride_id % 4) END AS license_plate,
        CASE WHEN ride_id % 17 <> 0 THEN ' Make ' END AS make, 'Model ' || (ride_id % 7) AS model,
        CASE WHEN ride_id % 29 = 0 THEN 'n/a' ELSE CAST(1995 + ride_id % 40 AS VARCHAR(10)) END AS year,
        'Blue' AS color,
@@ -144,9 +143,9 @@ SELECT ride_id AS change_id, vehicle_id,
          AS verification_status, request_time AS changed_at
 FROM rides WHERE vehicle_id IS NOT NULL""",
     "promo_changes": """
-SELECT ride_id AS change_id, 1 + ride_id % 2500 AS promo_id,
+SELECT ride_id AS change_id, 1 + ride_id % (SELECT 2 * count(*) FROM promo_code) AS promo_id,
        CASE WHEN ride_id % 6 = 0 THEN 'delete' ELSE 'upsert' END AS op,
-       CASE WHEN ride_id % 6 <> 0 THEN 'CODE' || (1 + ride_id % 2500) END AS code,
+       CASE WHEN ride_id % 6 <> 0 THEN 'CODE' || (1 + ride_id % (SELECT 2 * count(*) FROM promo_code)) END AS code,
        CASE WHEN ride_id % 6 <> 0 THEN CAST(ride_id % 90 AS DECIMAL(10,2)) END AS discount_amount,
        CASE WHEN ride_id % 6 <> 0 THEN DATE '2001-01-01' END AS expiry_date,
        CASE WHEN ride_id % 6 <> 0 THEN 0 END AS usage_count,
@@ -162,13 +161,14 @@ SELECT ride_id AS change_id,
        CAST((ride_id % 290) * 0.01 AS DECIMAL(4,2)) AS surge_demand_mult, request_time AS changed_at
 FROM rides""",
     "notification_reads": """
-SELECT rating_id AS change_id, rating_id AS notification_id, TRUE AS is_read, timestamp AS changed_at
-FROM ratings WHERE rating_id % 3 = 0""",
+SELECT rating_id AS change_id, CASE WHEN rating_id % 3 = 0 THEN rating_id ELSE -1 - rating_id END AS notification_id,
+       TRUE AS is_read, timestamp AS changed_at
+FROM ratings""",
     "complaint_changes": """
 SELECT complaint_id * 2 + k AS change_id, complaint_id,
        CASE (complaint_id + k) % 3 WHEN 0 THEN 'resolved' WHEN 1 THEN 'closed' ELSE 'open' END AS status,
        timestamp AS changed_at
-FROM complaints CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) copies""",
+FROM (SELECT *, 0 AS k FROM complaints UNION ALL SELECT *, 1 AS k FROM complaints) twice""",
     "payment_changes": """
 SELECT payment_id * 2 AS change_id, payment_id, ride_id,
        CASE WHEN payment_id % 7 = 0 THEN payment_status ELSE 'pending' END AS status,
@@ -183,12 +183,12 @@ SELECT h.history_id AS event_id, CASE WHEN h.status = 'requested' THEN 'insert'
        r.driver_id, h.status, h.timestamp
 FROM ride_history h JOIN rides r ON r.ride_id = h.ride_id""",
     "refund_requests": """
-SELECT payment_id AS request_id, CASE WHEN payment_id % 43 = 0 THEN -1 - payment_id ELSE payment_id END
+SELECT payment_id * 2 AS request_id, CASE WHEN payment_id % 43 = 0 THEN -1 - payment_id ELSE payment_id END
          AS payment_id, transaction_date AS requested_at
-FROM payments WHERE payment_id % 3 = 0
+FROM payments
 UNION ALL
-SELECT payment_id + 5, payment_id, transaction_date + INTERVAL '1' DAY
-FROM payments WHERE payment_id % 6 = 0""",
+SELECT payment_id * 2 + 1, payment_id, transaction_date + INTERVAL '1' DAY
+FROM payments""",
 }
 
 
