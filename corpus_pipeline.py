@@ -25,9 +25,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the chunks of lines that an earlier one has; those of which nothing is left go."""
+    """Documents without the runs of lines that an earlier one has; those of which nothing but blanks is left go."""
     kept = lines.remove_chunks(docs, carry=("lang", "source"))
-    left = kept.where((F.col("n_removed") < F.col("n_lines")))
+    left = kept.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"\S"))
     return left.select(
         "doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars")
     )

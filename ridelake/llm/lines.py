@@ -1,13 +1,16 @@
-"""Line deduplication by content-defined chunks of lines.
+"""Line deduplication by content-defined chunks of lines and the shortest windows of lines.
 
 A chunk ends behind a line if a rolling hash over the hashes of that line and the one before it hits the divisor, so
-boundaries depend on nearby lines only and come back in step after an insertion. Chunks of two or more lines that
-occur more than once in the corpus are compared byte by byte, and all but the first occurrence (smallest id, then
-place) are removed.
+boundaries depend on nearby lines only and come back in step after an insertion. A passage need not hold a whole chunk, so
+each two consecutive non-blank lines (with the blank ones between them) are looked up beside the chunks: these windows overlap, and
+together they cover every repeated run of lines whole. Windows and chunks that occur more than once in the corpus are compared
+byte by byte, and all but the first occurrence (smallest id, then place) are removed.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -33,27 +36,63 @@ def cuts(lines: list[bytes], divisor: int) -> list[int]:
     return ends
 
 
-def chunks(body: bytes, divisor: int, min_lines: int) -> list[tuple[int, int, bytes]]:
-    """(first line, end line, bytes) of the chunks that have ``min_lines`` lines with more than blanks."""
+def spans(body: bytes, divisor: int, min_lines: int) -> list[tuple[int, int, int, int]]:
+    """(first line, end line, first byte, end byte) of the windows from each non-blank line to the ``min_lines``-th from it, and of
+    the chunks that have as many lines with more than blanks, in the order of their places."""
     lines = body.split(b"\n")
-    found, low = [], 0
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    if len(full) < min_lines:
+        return []
+    found = {(low, high + 1) for low, high in zip(full, full[min_lines - 1:])}
+    low = 0
+    before = list(accumulate((1 if x.strip() else 0 for x in lines), initial=0))
     for high in cuts(lines, divisor):
-        if high - low >= min_lines and sum(1 for x in lines[low:high] if x.strip()) >= min_lines:
-            found.append((low, high, b"\n".join(lines[low:high])))
+        if high - low >= min_lines and before[high] - before[low] >= min_lines:
+            found.add((low, high))
         low = high
-    return found
+    begin = list(accumulate((len(x) + 1 for x in lines), initial=0))
+    return [(low, high, begin[low], begin[high] - 1) for low, high in sorted(found)]
+
+
+def chunks(body: bytes, divisor: int, min_lines: int) -> list[tuple[int, int, bytes]]:
+    """(first line, end line, bytes) of the windows and chunks of a text."""
+    return [(low, high, body[a:b]) for low, high, a, b in spans(body, divisor, min_lines)]
 
 
 class _Chunks:
-    """All chunks of a block: row, line range, bytes, and two hashes."""
+    """All windows and chunks of a block: row, line range, place of the bytes, and a hash."""
 
     def __init__(self, bodies: list[bytes], divisor: int, min_lines: int):
-        found = [(r, *c) for r, body in enumerate(bodies) for c in chunks(body, divisor, min_lines)]
-        self.row = np.array([c[0] for c in found], np.int64)
-        self.low = np.array([c[1] for c in found], np.int64)
-        self.high = np.array([c[2] for c in found], np.int64)
-        self.texts = [c[3] for c in found]
-        self.hash = np.array([xxhash.xxh3_64_intdigest(t) for t in self.texts], np.uint64)
+        found, hashes = [], []
+        for r, body in enumerate(bodies):
+            own = spans(body, divisor, min_lines)
+            found += [(r, *s) for s in own]
+            hashes += [xxhash.xxh3_64_intdigest(body[s[2]:s[3]]) for s in own]
+        self.row, self.low, self.high, self.begin, self.end = np.array(found, np.int64).reshape(-1, 5).T
+        self.hash = np.array(hashes, np.uint64)
+        self._bodies = bodies
+
+    def text(self, i: int) -> bytes:
+        return self._bodies[self.row[i]][self.begin[i]:self.end[i]]
+
+    def repeated(self, flags: np.ndarray) -> tuple[list[int], list[bytes], dict[bytes, int]]:
+        """Those whose hash is flagged, with their texts, and the first of each text in the block, by (hash, text)."""
+        hit = np.flatnonzero(flags[np.searchsorted(np.unique(self.hash), self.hash)]).tolist()
+        texts, seen = [self.text(i) for i in hit], {}
+        for i, text in zip(hit, texts, strict=True):  # rows and lines run upwards
+            seen.setdefault(text, i)
+        return hit, texts, dict(sorted(seen.items(), key=lambda x: (int(self.hash[x[1]]), x[0])))
+
+
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs of ranges that overlap or touch."""
+    runs: list[tuple[int, int]] = []
+    for low, high in sorted(ranges):
+        if runs and low <= runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(high, runs[-1][1]))
+        else:
+            runs.append((low, high))
+    return runs
 
 
 def _buckets(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -84,9 +123,10 @@ def remove_chunks(
 ) -> DataFrame:
     """One row per row with an id: (doc_id, kept_text, n_lines, n_removed, removed line ranges, carried columns).
 
-    Lines are parted by newlines; a chunk goes with its line breaks. A null text counts as empty: one empty line. Of rows sharing an id
-    the one whose text sorts first comes first. Rows without id are returned whole and are no source. Frequent chunks
-    cost one entry per block of documents; the bytes of a chunk are sent once per block, and only if its hash is repeated.
+    Lines are parted by newlines; a removed run goes with its line breaks; ranges that meet are one. A copy of a window that overlaps the
+    first one is part of it and stays. A null text counts as empty: one empty line. Of rows sharing an id
+    the one whose text sorts first comes first. Rows without id are returned whole and are no source. Frequent chunks and windows
+    cost one entry per block of documents; their bytes are sent once per block, and only if the hash is repeated.
     """
     n_blocks, n_buckets = blocks.sizes(docs, text)
     dealt = blocks.deal(docs.where(F.col(doc_id).isNotNull()), doc_id, text, n_blocks, carry)
@@ -100,20 +140,15 @@ def remove_chunks(
         c = _Chunks(bodies, divisor, min_lines)
         if not len(c.hash):
             return blocks.frame_of([])
-        hashes = np.unique(c.hash)
         repeated = np.concatenate(given[0])
-        hit = np.flatnonzero(repeated[np.searchsorted(hashes, c.hash)])
-        # The first of each text in the block; rows and lines run upwards.
-        seen: dict[bytes, int] = {}
-        for i in hit.tolist():
-            seen.setdefault(c.texts[i], i)
-        order = sorted(seen.values(), key=lambda i: (int(c.hash[i]), c.texts[i]))
-        bucket = _buckets(c.hash[order], n_buckets) if order else np.zeros(0, np.int64)
+        seen = c.repeated(repeated)[2]
+        texts, order = list(seen), np.array(list(seen.values()), np.int64)
+        bucket = _buckets(c.hash[order], n_buckets)
         rows = [(block, 9, block % n_buckets, blocks.pack((np.packbits(repeated),)))]
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if order else [0]
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if texts else [0]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            part = np.array(order[a:b])
-            data = (([c.texts[i] for i in part],), ids[c.row[part]], c.row[part], c.low[part])
+            part = order[a:b]
+            data = ((texts[a:b],), ids[c.row[part]], c.row[part], c.low[part])
             rows.append((block, 1, int(bucket[a]), blocks.pack(data)))
         return blocks.frame_of(rows)
 
@@ -123,20 +158,20 @@ def remove_chunks(
         c = _Chunks(bodies, divisor, min_lines)
         gone: dict[int, list] = {}
         if 9 in given:
-            hashes = np.unique(c.hash)
-            repeated = np.unpackbits(given[9][0][0], count=len(hashes)).astype(bool)
-            hit = np.flatnonzero(repeated[np.searchsorted(hashes, c.hash)]).tolist()
-            order = sorted({c.texts[i]: i for i in hit}.values(), key=lambda i: (int(c.hash[i]), c.texts[i]))
+            flags = np.unpackbits(given[9][0][0], count=len(np.unique(c.hash))).astype(bool)
+            hit, texts, seen = c.repeated(flags)
             answers = given.get(1, [])
             places = list(zip(*(np.concatenate([a[k] for a in answers]).tolist() for k in range(3)), strict=True)) if answers else []
-            first = {c.texts[i]: p for i, p in zip(order, places, strict=True)}
-            for i in hit:
-                if first[c.texts[i]] != (int(ids[c.row[i]]), int(c.row[i]), int(c.low[i])):
-                    gone.setdefault(int(c.row[i]), []).append((int(c.low[i]), int(c.high[i])))
+            first = dict(zip(seen, places, strict=True))
+            for i, body in zip(hit, texts, strict=True):
+                row, low, high = int(c.row[i]), int(c.low[i]), int(c.high[i])
+                *source, line = first[body]
+                if source != [int(ids[row]), row] or low >= line + high - low:
+                    gone.setdefault(row, []).append((low, high))
         rows = []
         for r, body in enumerate(bodies):
             lines = body.split(b"\n")
-            cut_lines = gone.get(r, [])
+            cut_lines = merged(gone.get(r, []))
             kept, at = [], 0
             for low, high in cut_lines:
                 kept += lines[at:low]

@@ -41,3 +41,25 @@ def test_boundaries_come_back_after_an_insertion():
     before = {lines[e - 1] for e in cuts(lines, 3)}
     after = {(lines[:50] + [b"new"] + lines[50:])[e - 1] for e in cuts(lines[:50] + [b"new"] + lines[50:], 3)}
     assert len(before ^ after) <= 3
+
+
+def test_every_repeated_run_goes_whole(spark):
+    rng, rows, whole = random.Random(5), [], {}
+    own = iter(range(10**6))
+    for n in range(2, 40):
+        for gap in ("\n", "\n\n"):
+            passage = gap.join(f"passage {n} {len(gap)} {i}" for i in range(n))
+            for copy in range(3):
+                around = [[f"own {next(own)}" for _ in range(rng.randint(1, 4))] for _ in range(2)]
+                rows.append((len(rows), "\n".join([*around[0], passage, *around[1]])))
+                whole[len(rows) - 1] = 0 if copy == 0 else passage.count("\n") + 1
+    found = remove_chunks(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.n_removed for r in found} == whole
+    assert all(len(r.removed) == (whole[r.doc_id] > 0) for r in found)
+
+
+def test_repeats_that_overlap_or_differ(spark):
+    rows = [(1, "a\na\na\na\na\nz"), (2, "x\na\na\na\ny"), (3, "one\nsingle\ntwo"), (4, "three\nsingle\nfour"), (5, "one\n\nsingle")]
+    got = {r.doc_id: r.kept_text for r in remove_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].startswith("a\na\n") and got[2] == "x\ny"
+    assert [got[k] for k in (3, 4, 5)] == [t for _, t in rows[2:]]
