@@ -2,9 +2,9 @@
 
 A text becomes typed tokens: numbers, units behind a number, and capitalised words within a sentence turn into placeholders that keep their value
 as a slot; other words count in lower case. Windows of ``WINDOW`` tokens with enough literal words are hashed. Documents and benchmark items are
-joined on the hashes. Hits of one document and item on one alignment are put together; they count if they cover enough tokens and
-their slots map one to one, so a question with other numbers or names is caught, and one whose values contradict
-each other is not.
+joined on the hashes. Hits of one document and item on one alignment are put together; the largest set of them in which each item value
+has one document value counts if it covers enough tokens, so a question with other numbers or names is caught. Where values
+contradict each other, the set must cover twice as much, or hold a longer stretch than the least one word for word.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, MIN_LITERALS, MIN_COVER = 8, 5, 12
-_SLICE, _TABLE_BITS = 500, 24
+_SLICE, _TABLE_BITS, _STEPS = 500, 24, 20_000
 _TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n]")
 # Units, and the words for small numbers.
 UNITS = frozenset("""kg g mg km m cm mm mile miles metre metres meter meters gram grams kilogram kilograms litre litres
@@ -89,11 +89,11 @@ class Templates:
 
 
 _SLOTS = pa.list_(pa.struct([("place", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
-WINDOWS = "id long, hash long, place int, size int, slots array<struct<place:int,kind:string,value:string>>"
+WINDOWS = "id long, row long, hash long, place int, size int, slots array<struct<place:int,kind:string,value:string>>"
 
 
 def windows(rows: DataFrame, key: str, text: str, window: int, min_literals: int, wanted=None) -> DataFrame:
-    """The template windows of the rows: (id, hash, place, tokens in the text, slots).
+    """The template windows of the rows: (id, hash of the text, hash, place, tokens in the text, slots).
 
     ``wanted``: a broadcast table of bits by the leading hash bits; windows without their bit are left out. Extra bits only cost work.
     """
@@ -108,11 +108,14 @@ def windows(rows: DataFrame, key: str, text: str, window: int, min_literals: int
                     head = t.hash >> np.uint64(64 - _TABLE_BITS)
                     hit = np.flatnonzero(bits[head >> np.uint64(3)] >> (head & np.uint64(7)).astype(np.uint8) & 1)
                 at, doc = t.at[hit], t.doc[t.at[hit]]
+                # Rows that share an id (or have none) are told apart by their texts.
+                row = {d: xxhash.xxh3_64_intdigest(texts[low + d].as_py()) for d in np.unique(doc).tolist()}
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([ids[low + d] for d in doc.tolist()], pa.int64()), pa.array(t.hash[hit].view(np.int64)),
+                    pa.array([ids[low + d] for d in doc.tolist()], pa.int64()),
+                    pa.array(np.array([row[d] for d in doc.tolist()], np.uint64).view(np.int64)), pa.array(t.hash[hit].view(np.int64)),
                     pa.array((at - t.starts[doc]).astype(np.int32)), pa.array(t.sizes[doc].astype(np.int32)),
                     pa.array([t.slots(i, window) for i in at.tolist()], _SLOTS),
-                ], ["id", "hash", "place", "size", "slots"])
+                ], ["id", "row", "hash", "place", "size", "slots"])
 
     return rows.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, WINDOWS)
 
@@ -126,49 +129,107 @@ def _bits(found: DataFrame) -> bytearray:
     return bytearray(np.packbits(table, bitorder="little").tobytes())
 
 
+def _covered(places: list[int], window: int) -> tuple[int, int]:
+    """Tokens in windows at ``places``, and in the longest stretch of them without a gap."""
+    total = longest = stretch = 0
+    last = None
+    for p in sorted(places):
+        fresh = window if last is None else min(window, p - last)
+        stretch = stretch + fresh if last is not None and p - last <= window else window
+        total, longest, last = total + fresh, max(longest, stretch), p
+    return total, longest
+
+
+def agreeing(hits: list[tuple[int, dict]], window: int) -> list[tuple[int, dict]]:
+    """The windows (place, {item slot: document value}) of the largest cover in which each item slot has one value.
+
+    Branches on the slots with several values, larger sides first; after ``_STEPS`` branches the best set so far counts.
+    """
+    def score(some):
+        return _covered([p for p, _ in some], window)[0], len(some), sum(v == k[1] for _, s in some for k, v in s.items())
+
+    best = [h for h in hits if all(v == k[1] for k, v in h[1].items())]  # word for word
+    top, open_sets, steps = score(best), [hits], 0
+    while open_sets and steps < _STEPS:
+        steps += 1
+        some = open_sets.pop()
+        now = score(some)
+        if now[:2] < top[:2]:
+            continue
+        values: dict[tuple, dict] = {}
+        for _, slots in some:
+            for key, value in slots.items():
+                sides = values.setdefault(key, {})
+                sides[value] = sides.get(value, 0) + 1
+        split = max((k for k in values if len(values[k]) > 1), key=lambda k: (sum(values[k].values()), k), default=None)
+        if split is None:
+            if now > top:
+                best, top = some, now
+            continue
+        for value in sorted(values[split], key=lambda v: (values[split][v], v == split[1], v)):
+            open_sets.append([h for h in some if h[1].get(split, value) == value])
+    return best
+
+
+RATED = "doc_id long, item_id long, n_windows long, covered long, reparameterised boolean"
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
     window: int = WINDOW, min_literals: int = MIN_LITERALS, min_cover: int = MIN_COVER,
 ) -> DataFrame:
     """(doc_id, item_id, n_windows, covered, reparameterised) per document and item it holds.
 
-    ``covered`` is the number of tokens in matching windows on the best alignment; it must reach ``min_cover``, or the whole
-    item if that is shorter. ``reparameterised`` tells that a slot has another value than in the item. Rows sharing an id (or null) are
-    judged together. Items and texts with fewer tokens than a window, null and empty ones match nothing. Other
-    columns are not read.
+    ``covered`` is the number of tokens in windows that agree on the best alignment; it must reach ``min_cover``, or the whole
+    item if that is shorter. If other windows of the alignment contradict them, it must reach twice ``min_cover``, or a stretch of more than
+    ``min_cover`` tokens must be as in the item. ``reparameterised`` tells that a slot has another value than in the item. Rows sharing an
+    id (or null) are judged one by one, the best counts. Items and texts with fewer tokens than a window, null and empty ones match
+    nothing. Other columns are not read.
     """
     items = windows(benchmark, item_id, item_text, window, min_literals).select(
-        F.col("id").alias("item_id"), "hash", F.col("place").alias("item_place"), F.col("size").alias("item_size"),
-        F.col("slots").alias("item_slots"),
+        F.col("id").alias("item_id"), F.col("row").alias("item_row"), "hash", F.col("place").alias("item_place"),
+        F.col("size").alias("item_size"), F.col("slots").alias("item_slots"),
     )
     wanted = docs.sparkSession.sparkContext.broadcast(bytes(_bits(items)))
     found = windows(docs, doc_id, text, window, min_literals, wanted)
     pairs = found.withColumnRenamed("id", "doc_id").join(items, "hash").select(
-        "doc_id", "item_id", "item_size", "item_place", (F.col("place") - F.col("item_place")).alias("shift"),
+        "doc_id", "row", "item_id", "item_row", "item_size", "item_place", (F.col("place") - F.col("item_place")).alias("shift"),
         F.zip_with("slots", "item_slots", lambda a, b: F.struct(
             a["kind"].alias("kind"), a["value"].alias("doc_value"), b["value"].alias("item_value"),
         )).alias("slots"),
     )
-    aligned = pairs.groupBy("doc_id", "item_id", "shift").agg(
-        F.max("item_size").alias("item_size"),
-        F.sort_array(F.collect_set("item_place")).alias("places"),
-        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
-    )
-    # At most an item's windows per alignment. Each value may stand for one other value only, both ways.
-    one_to_one = (
-        F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["doc_value"]))))
-    ) & (F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["item_value"])))))
-    covered = F.aggregate(
-        "places", F.struct(F.lit(-window).alias("last"), F.lit(0).alias("total")),
-        lambda s, p: F.struct(p.alias("last"), (s["total"] + F.least(F.lit(window), p - s["last"])).alias("total")),
-        lambda s: s["total"],
+    # At most an item's windows per alignment.
+    aligned = pairs.groupBy("doc_id", "row", "item_id", "item_row", "shift").agg(
+        F.max("item_size").alias("item_size"), F.collect_set(F.struct("item_place", "slots")).alias("hits"),
     )
-    rated = aligned.where(one_to_one).select(
-        "doc_id", "item_id", "item_size", F.size("places").alias("n_windows"), covered.alias("covered"),
-        F.exists("slots", lambda s: s["doc_value"] != s["item_value"]).alias("reparameterised"),
-    ).where(F.col("covered") >= F.least(F.lit(min_cover), F.col("item_size")))
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rated = []
+            for r in batch.to_pylist():
+                hits, clash = [], False
+                for h in sorted(r["hits"], key=lambda h: h["item_place"]):
+                    slots: dict[tuple, str] = {}
+                    for s in h["slots"]:
+                        slots.setdefault((s["kind"], s["item_value"]), s["doc_value"])
+                    if all(slots[s["kind"], s["item_value"]] == s["doc_value"] for s in h["slots"]):
+                        hits.append((h["item_place"], slots))
+                    else:
+                        clash = True
+                some = agreeing(hits, window)
+                clash = clash or len(some) < len(hits)
+                covered = _covered([p for p, _ in some], window)[0]
+                exact = _covered([p for p, s in hits if all(v == k[1] for k, v in s.items())], window)[1]
+                if (covered >= 2 * min_cover or exact > min_cover) if clash else covered >= min(min_cover, r["item_size"]):
+                    changed = any(v != k[1] for _, s in some for k, v in s.items())
+                    rated.append((r["doc_id"], r["item_id"], len(some), covered, changed))
+            columns = list(zip(*rated, strict=True)) or [()] * 5
+            kinds = [pa.int64()] * 4 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                ["doc_id", "item_id", "n_windows", "covered", "reparameterised"],
+            )
+
+    rated = aligned.select("doc_id", "item_id", "item_size", "hits").mapInArrow(rate, RATED)
     best = rated.groupBy("doc_id", "item_id").agg(F.max(F.struct("covered", "n_windows", "reparameterised")).alias("m"))
-    return best.select(
-        "doc_id", "item_id", F.col("m.n_windows").cast("long").alias("n_windows"),
-        F.col("m.covered").cast("long").alias("covered"), F.col("m.reparameterised").alias("reparameterised"),
-    )
+    return best.select("doc_id", "item_id", "m.n_windows", "m.covered", "m.reparameterised")

@@ -1,4 +1,4 @@
-from ridelake.llm.decontam import contaminated
+from ridelake.llm.decontam import agreeing, contaminated
 from ridelake.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -27,3 +27,27 @@ def test_query_finds_every_whole_item(spark):
     held = {d.doc_id for d in docs if any(i in (d.text or "") for i in items)}
     part = {d.doc_id for d in docs if any(i[20:70] in (d.text or "") for i in items)}
     assert held and held <= found <= held | part
+
+
+def test_slots_that_merge_clash_or_mix(spark):
+    long = ITEM + " She rests beside the old stone bridge while Anna counts all of the boats that pass under it before lunch."
+    sold = "The old farmer sold 12 of his sheep at the market and later bought 24 more of them from his kind neighbour"
+    items = spark.createDataFrame([(7, ITEM), (8, long), (9, sold)], "item_id long, text string")
+    rows = [
+        (1, sold.replace("12", "15").replace("24", "15")),  # two item values become one
+        (2, long.replace("while Anna", "while Boris")),  # one of three changed
+        (None, ITEM), (None, ITEM.replace("12", "15").replace("Anna", "Boris")),
+        (3, ITEM), (3, ITEM.replace("3 hours", "5 hours")),
+    ]
+    found = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id) for r in found if r.item_id == 7} >= {(2, 7), (None, 7), (3, 7)}
+    assert {(1, 9), (2, 8)} <= {(r.doc_id, r.item_id) for r in found}
+    assert len(found) == len({(r.doc_id, r.item_id) for r in found})
+
+
+def test_largest_agreeing_set():
+    name = ("name", "anna")
+    hits = [(0, {name: "anna"}), (1, {}), (20, {name: "boris"}), (28, {name: "boris"})]
+    assert agreeing(hits, 8) == [hits[1], *hits[2:]]
+    assert agreeing([(0, {name: "boris"}), (9, {name: "anna"})], 8) == [(9, {name: "anna"})]
+    assert agreeing([], 8) == []
