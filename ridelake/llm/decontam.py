@@ -1,10 +1,11 @@
 """Benchmark decontamination by template windows.
 
 A text becomes typed tokens: numbers, units behind a number, and capitalised words within a sentence turn into placeholders that keep their value
-as a slot; other words count in lower case. Windows of ``WINDOW`` tokens with enough literal words are hashed. Documents and benchmark items are
+as a slot, a run of names or of number words into one; other words count in lower case. Windows of ``WINDOW`` tokens with enough literal words are hashed. Documents and benchmark items are
 joined on the hashes. Hits of one document and item on one alignment are put together; the largest set of them in which each item value
 has one document value counts if it covers enough tokens, so a question with other numbers or names is caught. Where values
-contradict each other, the set must cover twice as much, or hold a longer stretch than the least one word for word.
+contradict each other, the set must cover twice as much, or hold a longer stretch than the least one word for word. An item without
+a window of enough literal words (short, or dense in values) is looked up by one hash over all its words, without placeholders.
 """
 
 from __future__ import annotations
@@ -63,13 +64,24 @@ class Templates:
         kind = np.where((kind == _CAPITAL) & first, _WORD, kind)
         kept = np.flatnonzero(kind != _END)
         code, doc, kind = code[kept], doc[kept], kind[kept]
+        self.word_doc, self.word = doc, hashes[code] if len(code) else np.zeros(0, np.uint64)
+        # A name behind a name, or a number word behind a number, belongs to the token before it.
+        spelt = np.array([w.lower() in NUMBERS for w in self.words], bool)
+        head = np.ones(len(code), bool)
+        if len(code):
+            head[1:] = (doc[1:] != doc[:-1]) | (np.diff(kept) > 1) | (kind[1:] != kind[:-1]) | ~(
+                (kind[1:] == _CAPITAL) | (kind[1:] == _NUMBER) & spelt[code[1:]]
+            )
+        heads = np.flatnonzero(head)
+        self.runs, self.run_code = np.append(heads, len(code)), code
+        code, doc, kind = code[heads], doc[heads], kind[heads]
         after_number = np.zeros(len(code), bool)
         after_number[1:] = (doc[1:] == doc[:-1]) & (kind[:-1] == _NUMBER)
         kind = np.where((kind == _UNIT) & ~after_number, _WORD, kind)
         token = hashes[code] if len(code) else np.zeros(0, np.uint64)
         for slot, value in _SLOT_HASH.items():
             token[kind == slot] = value
-        self.code, self.doc, self.kind = code, doc, kind
+        self.doc, self.kind = doc, kind
         self.starts = np.searchsorted(doc, np.arange(len(texts)))
         self.sizes = np.searchsorted(doc, np.arange(len(texts)), "right") - self.starts
         n = max(len(code) - window + 1, 0)
@@ -81,41 +93,79 @@ class Templates:
         self.at = np.flatnonzero(usable)  # places of the usable windows
         self.hash = value[self.at]
 
+    def value(self, at: int) -> str:
+        return " ".join(self.words[c].lower() for c in self.run_code[self.runs[at]:self.runs[at + 1]])
+
+    def sequences(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, hash) of each sequence of ``length`` words within a text."""
+        n = len(self.word) - length + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        power, inverse = (
+            np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(len(self.word) - 1, k, np.uint64))))
+            for k in (_K, np.uint64(pow(int(_K), -1, 2**64)))
+        )
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.word * power, dtype=np.uint64)))
+        value = (total[length:] - total[:-length]) * inverse[:n] + np.uint64(length)
+        value = (value ^ value >> np.uint64(32)) * _K
+        value ^= value >> np.uint64(29)
+        inside = np.flatnonzero(self.word_doc[:n] == self.word_doc[length - 1:])
+        return self.word_doc[inside], value[inside]
+
     def slots(self, at: int, window: int) -> list[dict]:
         return [
-            {"place": i, "kind": _SLOT_NAMES[int(self.kind[at + i])], "value": self.words[self.code[at + i]].lower()}
+            {"place": i, "kind": _SLOT_NAMES[int(self.kind[at + i])], "value": self.value(at + i)}
             for i in range(window) if int(self.kind[at + i]) in _SLOT_NAMES
         ]
 
 
 _SLOTS = pa.list_(pa.struct([("place", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
-WINDOWS = "id long, row long, hash long, place int, size int, slots array<struct<place:int,kind:string,value:string>>"
+WINDOWS = "id long, row long, whole int, hash long, place int, size int, slots array<struct<place:int,kind:string,value:string>>"
 
 
-def windows(rows: DataFrame, key: str, text: str, window: int, min_literals: int, wanted=None) -> DataFrame:
-    """The template windows of the rows: (id, hash of the text, hash, place, tokens in the text, slots).
+def windows(rows: DataFrame, key: str, text: str, window: int, min_literals: int, wanted=None, lengths=None) -> DataFrame:
+    """The template windows of the rows: (id, hash of the text, 0, hash, place, tokens in the text, slots).
 
+    ``lengths``: sequences of so many words are added, each once per text, with the length as ``whole``; if None, the whole of each text
+    without a window.
     ``wanted``: a broadcast table of bits by the leading hash bits; windows without their bit are left out. Extra bits only cost work.
     """
+    def known(hashes: np.ndarray, bits) -> np.ndarray:
+        if bits is None:
+            return np.arange(len(hashes))
+        head = hashes >> np.uint64(64 - _TABLE_BITS)
+        return np.flatnonzero(bits[head >> np.uint64(3)] >> (head & np.uint64(7)).astype(np.uint8) & 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if wanted is None else np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for low in range(0, len(ids), _SLICE):
                 t = Templates(texts.slice(low, _SLICE).to_pylist(), window, min_literals)
-                hit = np.arange(len(t.at))
-                if bits is not None:
-                    head = t.hash >> np.uint64(64 - _TABLE_BITS)
-                    hit = np.flatnonzero(bits[head >> np.uint64(3)] >> (head & np.uint64(7)).astype(np.uint8) & 1)
+                hit = known(t.hash, bits)
                 at, doc = t.at[hit], t.doc[t.at[hit]]
+                sizes = np.bincount(t.word_doc, minlength=len(t.sizes))
+                bare = np.setdiff1d(np.flatnonzero(sizes), t.doc[t.at])
+                whole = []  # (text, length, hash)
+                for length in np.unique(sizes[bare]).tolist() if lengths is None else lengths:
+                    owner, value = t.sequences(length)
+                    some = known(value, bits)
+                    if lengths is None:
+                        some = some[np.isin(owner[some], bare[sizes[bare] == length])]
+                    whole += sorted({(d, length, h) for d, h in zip(owner[some].tolist(), value[some].tolist(), strict=True)})
+                extra = np.array([w[0] for w in whole], np.int64)
+                doc, n = np.concatenate((doc, extra)), len(at)
                 # Rows that share an id (or have none) are told apart by their texts.
                 row = {d: xxhash.xxh3_64_intdigest(texts[low + d].as_py()) for d in np.unique(doc).tolist()}
                 yield pa.RecordBatch.from_arrays([
                     pa.array([ids[low + d] for d in doc.tolist()], pa.int64()),
-                    pa.array(np.array([row[d] for d in doc.tolist()], np.uint64).view(np.int64)), pa.array(t.hash[hit].view(np.int64)),
-                    pa.array((at - t.starts[doc]).astype(np.int32)), pa.array(t.sizes[doc].astype(np.int32)),
-                    pa.array([t.slots(i, window) for i in at.tolist()], _SLOTS),
-                ], ["id", "row", "hash", "place", "size", "slots"])
+                    pa.array(np.array([row[d] for d in doc.tolist()], np.uint64).view(np.int64)),
+                    pa.array([0] * n + [w[1] for w in whole], pa.int32()),
+                    pa.array(np.concatenate((t.hash[hit], np.array([w[2] for w in whole], np.uint64))).view(np.int64)),
+                    pa.array(np.concatenate((at - t.starts[doc[:n]], 0 * extra)).astype(np.int32)),
+                    pa.array(t.sizes[doc].astype(np.int32)),
+                    pa.array([t.slots(i, window) for i in at.tolist()] + [[]] * len(whole), _SLOTS),
+                ], ["id", "row", "whole", "hash", "place", "size", "slots"])
 
     return rows.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, WINDOWS)
 
@@ -183,30 +233,34 @@ def contaminated(
     ``covered`` is the number of tokens in windows that agree on the best alignment; it must reach ``min_cover``, or the whole
     item if that is shorter. If other windows of the alignment contradict them, it must reach twice ``min_cover``, or a stretch of more than
     ``min_cover`` tokens must be as in the item. ``reparameterised`` tells that a slot has another value than in the item. Rows sharing an
-    id (or null) are judged one by one, the best counts. Items and texts with fewer tokens than a window, null and empty ones match
-    nothing. Other columns are not read.
+    id (or null) are judged one by one, the best counts. Items without a usable window must occur with all their words in order, case
+    aside; ``covered`` is then their number. Null and empty items match nothing. Other columns are not read.
     """
     items = windows(benchmark, item_id, item_text, window, min_literals).select(
-        F.col("id").alias("item_id"), F.col("row").alias("item_row"), "hash", F.col("place").alias("item_place"),
+        F.col("id").alias("item_id"), F.col("row").alias("item_row"), "whole", "hash", F.col("place").alias("item_place"),
         F.col("size").alias("item_size"), F.col("slots").alias("item_slots"),
     )
     wanted = docs.sparkSession.sparkContext.broadcast(bytes(_bits(items)))
-    found = windows(docs, doc_id, text, window, min_literals, wanted)
-    pairs = found.withColumnRenamed("id", "doc_id").join(items, "hash").select(
-        "doc_id", "row", "item_id", "item_row", "item_size", "item_place", (F.col("place") - F.col("item_place")).alias("shift"),
+    lengths = sorted(r.whole for r in items.where("whole > 0").select("whole").distinct().collect())
+    found = windows(docs, doc_id, text, window, min_literals, wanted, lengths)
+    pairs = found.withColumnRenamed("id", "doc_id").join(items, ["hash", "whole"]).select(
+        "doc_id", "row", "whole", "item_id", "item_row", "item_size", "item_place", (F.col("place") - F.col("item_place")).alias("shift"),
         F.zip_with("slots", "item_slots", lambda a, b: F.struct(
             a["kind"].alias("kind"), a["value"].alias("doc_value"), b["value"].alias("item_value"),
         )).alias("slots"),
     )
     # At most an item's windows per alignment.
     aligned = pairs.groupBy("doc_id", "row", "item_id", "item_row", "shift").agg(
-        F.max("item_size").alias("item_size"), F.collect_set(F.struct("item_place", "slots")).alias("hits"),
+        F.max("item_size").alias("item_size"), F.max("whole").alias("whole"), F.collect_set(F.struct("item_place", "slots")).alias("hits"),
     )
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rated = []
             for r in batch.to_pylist():
+                if r["whole"]:
+                    rated.append((r["doc_id"], r["item_id"], 1, r["whole"], False))
+                    continue
                 hits, clash = [], False
                 for h in sorted(r["hits"], key=lambda h: h["item_place"]):
                     slots: dict[tuple, str] = {}
@@ -230,6 +284,6 @@ def contaminated(
                 ["doc_id", "item_id", "n_windows", "covered", "reparameterised"],
             )
 
-    rated = aligned.select("doc_id", "item_id", "item_size", "hits").mapInArrow(rate, RATED)
+    rated = aligned.select("doc_id", "item_id", "item_size", "whole", "hits").mapInArrow(rate, RATED)
     best = rated.groupBy("doc_id", "item_id").agg(F.max(F.struct("covered", "n_windows", "reparameterised")).alias("m"))
     return best.select("doc_id", "item_id", "m.n_windows", "m.covered", "m.reparameterised")

@@ -51,3 +51,18 @@ def test_largest_agreeing_set():
     assert agreeing(hits, 8) == [hits[1], *hits[2:]]
     assert agreeing([(0, {name: "boris"}), (9, {name: "anna"})], 8) == [(9, {name: "anna"})]
     assert agreeing([], 8) == []
+
+
+def test_items_without_windows_and_runs(spark):
+    runs = "In the summer Mary Ann planted twenty-five small trees behind the long wall while her brothers slept under the roof"
+    items = [(1, "What is 7 times 8?"), (2, "3 4 5 6 7 8 9 10 11 12 13 14 15 16"), (3, runs), (4, ""), (5, "?"), (6, "Paris")]
+    rows = [
+        (1, "He asked: what is 7 times 8? Nobody knew"), (2, "what is 7 times 9?"), (3, "0 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17"),
+        (4, "3 4 5 6 7 8 9 10 11 12 13 14 15 17"), (5, runs.replace("Mary Ann", "Bob").replace("twenty-five", "25")), (6, None),
+        (7, "what is 7"), (8, "times 8"), (9, "in paris and Paris"),
+    ]
+    schema = "doc_id long, text string"
+    found = contaminated(spark.createDataFrame(rows, schema), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): r for r in found}
+    assert len(found) == len(got) and set(got) == {(1, 1), (3, 2), (5, 3), (9, 6)}
+    assert got[1, 1].covered == 5 and got[3, 2].covered == 14 and got[5, 3].covered == 19 and got[5, 3].reparameterised
