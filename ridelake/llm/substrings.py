@@ -13,8 +13,8 @@ of the parse. So:
    document is removed as a whole.
 3. *Suffixes.* Equal windows of different phrases agree in their trigger gram and in half of the bytes that can stand
    beside it, on the left or on the right. Where such a longer gram has several phrases, the suffixes of the dictionary phrases (their
-   windows) with that half are sorted bytewise; in this corpus order, cut at depth ``WIDTH``, equal
-   strings are neighbours and share the smallest document among them.
+   windows) with that half are bucketed by a hash and sorted within the bucket at depth ``WIDTH``; equal
+   strings are neighbours and share the smallest document among them. No suffix array of the parse and no global order is formed.
 4. *Texts.* Each document's removed windows are merged to spans and cut out.
 
 Work behind step 1 grows with repeated text, and step 3 with the distinct borders of repeats, not with the number of copies.
