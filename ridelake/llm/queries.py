@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridelake.llm import (
-    chat, decontam, langid, lines, packing, quality, simhash, substrings, toxicity, warc,
+    audit, chat, decontam, langid, lines, merkle, packing, quality, simhash, substrings, topk, toxicity, warc,
 )
 from ridelake.llm.samples import fold
-from ridelake.llm.sql import CHAT_SQL, QUALITY_SQL
+from ridelake.llm.sql import AUDIT_SQL, CHAT_SQL, MERKLE_SQL, QUALITY_SQL, TOP_K_SQL
 from ridelake.plans.session import scratch_path
 
 
@@ -79,11 +79,33 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.where(sound.isNull()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    # An id that is null has no checksum and is not tampered with.
+    raised = merkle.row_digest(*[
+        F.col(f).cast("decimal(20,0)") + 1 if f == "n_chars" else F.col(f) for f in fields
+    ])
+    claimed = F.when(fold("doc_id", 7) == 0, raised).otherwise(merkle.row_digest(*[F.col(f) for f in fields]))
+    return merkle.manifest(table(spark, sf_dir, "documents"), fields, claimed=claimed).proofs()
+
+
+def op13_norm_bucketed_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_chat_prefix_targets, op2_toxicity_grammar, op3_host_quality, op4_language_spans,
         op5_template_decontamination, op6_line_chunks, op7_sum_of_squares_packing, op8_simhash_multi_index,
-        op9_prefix_free_substrings, op10_warc_round_trip,
+        op9_prefix_free_substrings, op10_warc_round_trip, op11_filter_interactions, op12_merkle_manifest,
+        op13_norm_bucketed_top_k,
     )
 }
-SQL: dict[str, str] = {"op1_chat_prefix_targets": CHAT_SQL, "op3_host_quality": QUALITY_SQL}
+SQL: dict[str, str] = {
+    "op1_chat_prefix_targets": CHAT_SQL, "op3_host_quality": QUALITY_SQL, "op11_filter_interactions": AUDIT_SQL,
+    "op12_merkle_manifest": MERKLE_SQL, "op13_norm_bucketed_top_k": TOP_K_SQL,
+}
