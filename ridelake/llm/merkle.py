@@ -107,6 +107,20 @@ def _block_leaves(block: int, total: int, edge: int) -> int:
 # --- the manifest --------------------------------------------------------------------------------
 
 
+def handed_down(blocks: DataFrame, edge: int) -> DataFrame:
+    """For each leaf of the blocks, as a block of the tier below, the siblings above it."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for tree, block, total, nodes, path in frame.itertuples(index=False):
+                n = _block_leaves(block, total, edge)
+                beside = siblings(np.frombuffer(nodes, np.uint8).reshape(-1, 32), n, height(n, edge, total <= 1 << edge))
+                yield pd.DataFrame({
+                    "tree": tree, "block": np.arange(n) + (block << edge), "path": [b + bytes(path) for b in beside],
+                })
+
+    return blocks.select("tree", "block", "total", "nodes", "path").mapInPandas(run, PATH)
+
+
 @dataclass
 class Forest:
     """Trees with their block tables (``BLOCK``), lowest tier first; ``digest`` is a block's root."""
@@ -120,29 +134,20 @@ class Forest:
         tops = [t.where(F.col("total") <= 1 << self.edge).select("tree", "digest") for t in self.tiers]
         return _union(tops)
 
-    def paths(self, tops: DataFrame) -> DataFrame:
+    def paths(self, tops: DataFrame | None = None) -> DataFrame:
         """The blocks of the lowest tier with the siblings above their roots.
 
-        ``tops`` gives for each tree (tree, path) the siblings above its own root.
+        ``tops`` gives for each tree (tree, path) the siblings above its own root (default: none).
         """
         edge = self.edge
-
-        def handed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for tree, block, total, nodes, path in frame[["tree", "block", "total", "nodes", "path"]].itertuples(index=False):
-                    n = _block_leaves(block, total, edge)
-                    high = height(n, edge, total <= 1 << edge)
-                    beside = siblings(np.frombuffer(nodes, np.uint8).reshape(-1, 32), n, high)
-                    yield pd.DataFrame({
-                        "tree": tree, "block": np.arange(n) + (block << edge), "path": [b + bytes(path) for b in beside],
-                    })
-
         below = None
         for tier in reversed(self.tiers):
-            heads = tier.where(F.col("total") <= 1 << edge).select("tree", "block").join(tops, "tree")
+            heads = tier.where(F.col("total") <= 1 << edge).select("tree", "block", F.lit(b"").alias("path"))
+            if tops is not None:
+                heads = heads.drop("path").join(tops, "tree")
             given = heads if below is None else heads.unionByName(below)
             lit = tier.join(given, ["tree", "block"])
-            below = lit.select("tree", "block", "total", "nodes", "path").mapInPandas(handed, PATH)
+            below = handed_down(lit, edge)
         return lit
 
 
@@ -201,32 +206,22 @@ class Manifest:
 
     def proofs(self) -> DataFrame:
         """Per row: its digest, the roots, the digest of its siblings, and the root that follows from ``claimed``."""
-        heads = self.top.paths(self._root().select(F.lit("").alias("tree"), F.lit(b"").alias("path")))
-        top = cut(heads)  # the blocks of the top tree, with nothing above but its own tiers
-        edge = self.top.edge
-
-        def handed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for block, total, nodes, path in frame[["block", "total", "nodes", "path"]].itertuples(index=False):
-                    n = _block_leaves(block, total, edge)
-                    beside = siblings(
-                        np.frombuffer(nodes, np.uint8).reshape(-1, 32), n, height(n, edge, total <= 1 << edge)
-                    )
-                    yield pd.DataFrame({"position": np.arange(n) + (block << edge), "path": [b + bytes(path) for b in beside]})
-
-        upper = top.select("block", "total", "nodes", "path").mapInPandas(handed, "position long, path binary")
+        top, edge = self.top.paths(), self.top.edge
+        root = (self.top.roots().first() or [None, None])[1]  # one digest
+
+        upper = handed_down(top, edge).select(F.col("block").alias("position"), "path")
         trees = self.top.leaves.select(
             F.col("part").alias("tree"), "position", F.col("total").alias("n_trees"), F.col("digest").alias("subroot"),
-        ).join(upper, "position").crossJoin(F.broadcast(self._root())).withColumnRenamed("position", "tree_at")  # one root
+        ).join(upper, "position").withColumnRenamed("position", "tree_at")
         blocks = self.parts.paths(trees.select("tree", "path")).select("tree", "block", "total", "nodes", "path").join(
             trees.drop("path"), "tree"
         )
-        low = self.parts.edge
+        low, root = self.parts.edge, bytes(root) if root else b""
         rows = self.parts.leaves.withColumn("block", F.shiftright("position", low))
 
         def proven(key, mine, block):
             b = block.iloc[0]
-            total, subroot, root = int(b["total"]), bytes(b["subroot"]), bytes(b["root"])
+            total, subroot = int(b["total"]), bytes(b["subroot"])
             mine = mine.sort_values("position")
             beside = siblings(
                 np.frombuffer(b["nodes"], np.uint8).reshape(-1, 32), len(mine), height(len(mine), low, total <= 1 << low)
@@ -246,9 +241,6 @@ class Manifest:
 
         return rows.groupBy("tree", "block").cogroup(blocks.groupBy("tree", "block")).applyInPandas(proven, PROOF)
 
-    def _root(self) -> DataFrame:
-        return self.top.roots().select(F.col("digest").alias("root"))
-
 
 def manifest(
     docs: DataFrame, fields: tuple[str, ...] = ("doc_id", "source", "lang", "n_chars", "text"), key: str = "doc_id",
