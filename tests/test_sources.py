@@ -82,5 +82,5 @@ def test_audit_finds_each_kind_of_fault(spark, seed):
 
 def test_report_amounts_stay_decimal(tables):
     types = dict(aggregates.platform_revenue(tables).dtypes)
-    assert types["gross_revenue"] == "decimal(18,2)" and types["driver_payouts"] == "decimal(18,4)"
+    assert types["gross_revenue"] == "decimal(38,2)" and types["driver_payouts"] == "decimal(38,4)"
     assert isinstance(aggregates.platform_summary(tables).first().total_revenue, D)
