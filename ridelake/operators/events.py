@@ -1,7 +1,4 @@
-"""Batch forms of the event-driven rules; the streaming jobs apply them to each micro-batch (ST2-ST8).
-
-``carried`` frames hold what earlier rows left behind, one row per key; ``None`` means nothing.
-"""
+"""Batch forms of the event-driven rules; the streaming jobs share their parts (ST2-ST8)."""
 
 from __future__ import annotations
 
@@ -11,33 +8,18 @@ from pyspark.sql import functions as F
 from ridelake.functions.money import rating2
 from ridelake.functions.text import low_rating_message
 from ridelake.operators.common import Tables, place
-from ridelake.plans.keyed import join_per_key, neighbours, running_totals
+from ridelake.plans.keyed import join_per_key, neighbours, running_totals, top_per_key
 from ridelake.plans.session import cut
 from ridelake.schema import DRIVER_BUSY_STATUSES, LOW_DRIVER_RATING, LOW_RIDER_RATING
 
 
 # --- ratings -----------------------------------------------------------------------------------
 
-SCORE_STATE = "rated_user_id BIGINT, total BIGINT, n BIGINT"
-
-
-def score_totals(ratings: DataFrame) -> DataFrame:
-    return ratings.groupBy("rated_user_id").agg(
-        F.sum("score").cast("bigint").alias("total"), F.count("score").alias("n")
-    )
-
-
-def fold_score_totals(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("rated_user_id").agg(
-        F.sum("total").alias("total"), F.sum("n").alias("n")
-    )
-
-
-def running_ratings(ratings: DataFrame, carried: DataFrame | None = None) -> DataFrame:
+def running_ratings(ratings: DataFrame) -> DataFrame:
     """Each rating with the two-place mean of its user's ratings so far."""
     totals = running_totals(
         ratings.select("rating_id", "rated_user_id", "score", "timestamp"), ["rated_user_id"],
-        ["timestamp", "rating_id"], {"total": F.col("score"), "n": F.lit(1)}, initial=carried,
+        ["timestamp", "rating_id"], {"total": F.coalesce("score", F.lit(0)), "n": F.lit(1)},
     )
     return totals.select(
         "rating_id", "rated_user_id", "timestamp", F.col("n").cast("bigint").alias("n"),
@@ -70,6 +52,13 @@ def rider_flags(running: DataFrame, drivers: DataFrame) -> DataFrame:
     )
 
 
+def suspensions(rows: DataFrame, user_column: str, time_column: str) -> DataFrame:
+    """The users that alerts or flags suspend, one row each with the first time."""
+    return rows.groupBy(F.col(user_column).alias("user_id")).agg(
+        F.lit("suspended").alias("account_status"), F.min(time_column).alias("changed_at")
+    )
+
+
 def suspend(users: DataFrame, flagged: DataFrame, user_column: str) -> DataFrame:
     """Users snapshot with the active accounts among ``flagged`` suspended."""
     hit = flagged.select(F.col(user_column).alias("user_id")).distinct().withColumn("_hit", F.lit(True))
@@ -85,27 +74,22 @@ def suspend(users: DataFrame, flagged: DataFrame, user_column: str) -> DataFrame
 # --- status feeds ------------------------------------------------------------------------------
 
 
-def last_status(feed: DataFrame, key: str, event: str) -> DataFrame:
-    """Latest status per key of a feed, the state carried to the next micro-batch."""
-    position = F.struct("timestamp", event)
-    return feed.groupBy(key).agg(F.max_by("status", position).alias("status"))
+def status_steps(feed: DataFrame, key: str, event: str) -> DataFrame:
+    """Feed rows with the status of their key before them."""
+    return neighbours(feed, [key], ["timestamp", event], previous={"previous_status": "status"})
 
 
-def status_steps(feed: DataFrame, key: str, event: str, carried: DataFrame | None = None) -> DataFrame:
-    """Feed rows with the status before them; the first row of a key continues the carried one."""
-    return neighbours(
-        feed, [key], ["timestamp", event], previous={"previous_status": "status"}, initial=carried
-    )
-
-
-def paid_transitions(feed: DataFrame, carried: DataFrame | None = None) -> DataFrame:
+def only_paid(steps: DataFrame) -> DataFrame:
     """Changes of a payment from another status to paid. A first insert as paid is none."""
-    steps = status_steps(feed, "payment_id", "change_id", carried)
     return steps.where("status = 'paid' AND previous_status <> 'paid'").select(
         "change_id", "payment_id", "ride_id", "timestamp"
     )
 
 
+def paid_transitions(feed: DataFrame) -> DataFrame:
+    return only_paid(status_steps(feed, "payment_id", "change_id"))
+
+
 def rides_after_payments(rides: DataFrame, transitions: DataFrame) -> DataFrame:
     """Rides completed by a payment; the first one sets a missing end time."""
     first_paid = transitions.groupBy("ride_id").agg(F.min("timestamp").alias("_paid_at"))
@@ -119,6 +103,31 @@ def rides_after_payments(rides: DataFrame, transitions: DataFrame) -> DataFrame:
     )
 
 
+def ended_rides(ends: DataFrame, t: Tables) -> DataFrame:
+    """Status rows with the driver and the drop-off point of their ride."""
+    rides = t["rides"].select("ride_id", "driver_id", "dropoff_location_id").where("driver_id IS NOT NULL")
+    dropoff = place(t, "dropoff", latitude="latitude", longitude="longitude")
+    return ends.join(rides.join(dropoff, "dropoff_location_id", "left"), "ride_id")
+
+
+def dropoffs(completed: DataFrame, t: Tables) -> DataFrame:
+    """A ping of the driver at the drop-off point for each completion, batch or stream."""
+    return _as_pings(ended_rides(completed, t))
+
+
+def _as_pings(ended: DataFrame) -> DataFrame:
+    return ended.where((F.col("status") == "completed") & F.col("latitude").isNotNull()).select(
+        F.col("history_id").alias("location_id"), "driver_id", "latitude", "longitude", "timestamp"
+    )
+
+
+def positions(t: Tables, steps: DataFrame) -> DataFrame:
+    """Newest position per driver from pings and drop-offs."""
+    pings = t["driver_location"].select("location_id", "driver_id", "latitude", "longitude", "timestamp")
+    order = [F.desc("timestamp"), F.desc("location_id"), F.desc("latitude"), F.desc("longitude")]
+    return top_per_key(pings.unionByName(ride_effects(steps, t)["pings"]), ["driver_id"], order)
+
+
 def ride_effects(steps: DataFrame, t: Tables) -> dict[str, DataFrame]:
     """What ride status changes bring about: history rows, freed drivers, drop-off pings."""
     closed = ("completed", "cancelled")
@@ -135,61 +144,46 @@ def ride_effects(steps: DataFrame, t: Tables) -> dict[str, DataFrame]:
         "freed": ended.where(~before.isin(*closed)).select(
             "history_id", "driver_id", F.lit("available").alias("availability_status"), "timestamp"
         ),
-        "pings": ended.where((status == "completed") & F.col("latitude").isNotNull()).select(
-            F.col("history_id").alias("location_id"), "driver_id", "latitude", "longitude", "timestamp"
-        ),
+        "pings": _as_pings(ended),
     }
 
 
 # --- double booking ----------------------------------------------------------------------------
 
-OPEN_STATE = "driver_id BIGINT, open BIGINT"
-
-
-def open_steps(feed: DataFrame, carried: DataFrame | None = None) -> DataFrame:
-    """Feed rows with +1 when a ride becomes open, -1 when it stops being so, else 0.
-
-    ``kind`` 'update' rows are status changes of existing rides, 'insert' rows ask for a new ride.
-    """
-
+def open_step() -> Column:
+    """+1 when a ride becomes open, -1 when it stops being so, else 0."""
     def is_open(column: str) -> Column:
         return F.coalesce(F.col(column).isin(*DRIVER_BUSY_STATUSES), F.lit(False)).cast("int")
 
-    updates = status_steps(feed.where("kind = 'update'"), "ride_id", "event_id", carried)
-    moved = updates.select(*feed.columns, (is_open("status") - is_open("previous_status")).alias("step"))
+    return is_open("status") - is_open("previous_status")
+
+
+def open_steps(feed: DataFrame) -> DataFrame:
+    """Feed rows with their step: 'update' rows are status changes of existing rides, 'insert' rows ask for a new one."""
+    updates = status_steps(feed.where("kind = 'update'"), "ride_id", "event_id")
+    moved = updates.select(*feed.columns, open_step().alias("step"))
     return moved.unionByName(feed.where("kind = 'insert'").withColumn("step", F.lit(0)))
 
 
-def double_booking_guard(steps: DataFrame, carried_open: DataFrame | None = None) -> DataFrame:
-    """Decision per asked-for ride: refused while its driver has an open ride.
+def guarded(totals: DataFrame) -> DataFrame:
+    """Decision per asked-for ride: refused while its driver has ``open`` rides.
 
-    Open rides are a running sum per driver of the feed's steps, not a self-join. A ride asked for without a driver
-    has nobody to double-book and passes.
+    A ride asked for without a driver has nobody to double-book and passes.
     """
-    with_driver = cut(
-        steps.where("driver_id IS NOT NULL").select("event_id", "driver_id", "timestamp", "kind", "step")
-    )
-    totals = running_totals(
-        with_driver, ["driver_id"], ["timestamp", "event_id"], {"open": F.col("step")}, initial=carried_open
-    )
-    judged = totals.where("kind = 'insert'").select("event_id", "driver_id", "timestamp", "open")
-    free = steps.where("driver_id IS NULL AND kind = 'insert'").select(
-        "event_id", "driver_id", "timestamp", F.lit(0).alias("open")
-    )
-    return judged.unionByName(free).select(
-        "event_id", "driver_id", "timestamp", F.col("open").cast("bigint").alias("open_rides"),
-        F.when(F.col("open") > 0, F.lit("driver_on_active_ride")).alias("reject_reason"),
+    open_rides = F.when(F.col("driver_id").isNull(), F.lit(0)).otherwise(F.col("open")).cast("bigint")
+    return totals.where("kind = 'insert'").select("event_id", "driver_id", "timestamp", open_rides.alias("open_rides")).select(
+        "*", F.when(F.col("open_rides") > 0, F.lit("driver_on_active_ride")).alias("reject_reason")
     )
 
 
-def open_totals(steps: DataFrame) -> DataFrame:
-    return steps.where("driver_id IS NOT NULL").groupBy("driver_id").agg(
-        F.sum("step").cast("bigint").alias("open")
+def double_booking_guard(steps: DataFrame) -> DataFrame:
+    """``guarded`` over a whole feed. Open rides are a running sum per driver of the feed's steps, not a self-join."""
+    with_driver = cut(
+        steps.where("driver_id IS NOT NULL").select("event_id", "driver_id", "timestamp", "kind", "step")
     )
-
-
-def fold_open_totals(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("driver_id").agg(F.sum("open").alias("open"))
+    totals = running_totals(with_driver, ["driver_id"], ["timestamp", "event_id"], {"open": F.col("step")})
+    free = steps.where("driver_id IS NULL").select(*with_driver.columns, F.lit(0).alias("open"))
+    return guarded(totals.unionByName(free))
 
 
 # --- demand ------------------------------------------------------------------------------------

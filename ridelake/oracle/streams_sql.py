@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ridelake.oracle.jobs_sql import JOBS_SQL
 from ridelake.oracle.reports_sql import REPORTS_SQL
 
 _RUNNING = """running AS (
@@ -56,6 +57,23 @@ WHERE before NOT IN ('completed', 'cancelled')""",
     "ride_effects_pings": f"""WITH {_STEPS}
 SELECT history_id AS location_id, driver_id, latitude, longitude, timestamp
 FROM ended JOIN location ON location_id = dropoff_location_id WHERE status = 'completed'""",
+    "users_after_rider_flags": f"""WITH {_RUNNING}
+SELECT u.* REPLACE (CASE WHEN account_status = 'active' AND user_id IN (
+    SELECT rated_user_id FROM running WHERE average < 3.0 AND rated_user_id NOT IN (SELECT user_id FROM driver))
+  THEN 'suspended' ELSE account_status END AS account_status) FROM users u""",
+    "driver_positions": f"""WITH {_STEPS}, seen AS (
+  SELECT location_id, driver_id, latitude, longitude, timestamp FROM driver_location
+  UNION ALL
+  SELECT history_id, driver_id, latitude, longitude, timestamp
+  FROM ended JOIN location ON location_id = dropoff_location_id WHERE status = 'completed')
+SELECT * FROM seen
+QUALIFY row_number() OVER (PARTITION BY driver_id ORDER BY timestamp DESC, location_id DESC, latitude DESC, longitude DESC) = 1""",
+    "pings_judged_as_of": """WITH versions AS (
+  SELECT *, lead(valid_from) OVER (PARTITION BY driver_id ORDER BY valid_from) AS valid_to FROM driver_versions)
+SELECT p.*, CASE WHEN latitude IS NULL THEN 'missing_coordinates' WHEN active IS NULL THEN 'unknown_driver'
+  WHEN NOT active THEN 'inactive_driver' END AS reject_reason
+FROM ping_requests p LEFT JOIN versions v ON v.driver_id = p.driver_id AND p.timestamp >= valid_from
+  AND (valid_to IS NULL OR p.timestamp < valid_to)""",
     "double_booking_guard": """WITH moved AS (
   SELECT *, CAST(status IN ('accepted', 'driver_en_route', 'in_progress') AS INTEGER)
     - coalesce(lag(CAST(status IN ('accepted', 'driver_en_route', 'in_progress') AS INTEGER))
@@ -84,6 +102,11 @@ STREAMS_SQL = {
     "stream_ingested_pings": f"""WITH {_PINGS}
 SELECT * EXCLUDE (reject_reason) FROM judged WHERE reject_reason IS NULL""",
     "stream_rejected_pings": f"WITH {_PINGS} SELECT * FROM judged WHERE reject_reason IS NOT NULL",
+    "drivers_after_merged_changes": JOBS_SQL["drivers_after_changes"],
+    "stream_pings_judged_as_of": _BATCH["pings_judged_as_of"],
+    "stream_driver_positions": _BATCH["driver_positions"],
+    "stream_users_after_rating_alerts": _BATCH["users_after_rating_alerts"],
+    "stream_users_after_rider_flags": _BATCH["users_after_rider_flags"],
     "stream_latest_location": REPORTS_SQL["latest_driver_location"],
     "stream_rating_alerts": _BATCH["rating_alerts"],
     "stream_rider_flags": _BATCH["rider_flags"],

@@ -21,6 +21,7 @@ from ridelake.plans.session import cut, scratch_path
 from ridelake.sources import ingest
 from ridelake.sources.feeds import FEEDS, feed
 from ridelake.sources.legacy import upgrade_legacy_schema
+from ridelake.sources.snapshots import Snapshot
 from ridelake.sources.tables import table_profile, write_report
 from ridelake.streaming import jobs
 from ridelake.streaming.batches import read_batches
@@ -374,6 +375,52 @@ def _streams() -> dict[str, tuple[str, Callable[[Tables], DataFrame]]]:
             return read_batches(spark(t), f"{out}/{part}")
         return run
 
+    def versions(t):
+        return feed(t, "driver_versions").withColumn("valid_from", F.col("valid_from").cast("timestamp_ntz"))
+
+    def s_as_of(t):
+        """Versions from the split on are written only before the second run."""
+        rows, changes = feed(t, "ping_requests"), versions(t)
+        moment = F.lit(EVENTS_SPLIT).cast("timestamp_ntz")
+        folder = scratch_path(spark(t), "driver-versions")
+        parts = iter((changes.where(F.col("valid_from") < moment), changes.where(F.col("valid_from") >= moment)))
+
+        def start(s, o):
+            next(parts).write.mode("append").parquet(folder)
+            return jobs.ingest_pings_as_of(s, folder, changes.schema, o)
+
+        out = _replay("pings-as-of", rows, "timestamp", EVENTS_SPLIT, start)
+        good = read_batches(spark(t), f"{out}/pings").withColumn("reject_reason", F.lit(None).cast("string"))
+        return good.unionByName(read_batches(spark(t), f"{out}/rejected"))
+
+    def s_positions(t):
+        pings = t["driver_location"]
+        folder, moment = scratch_path(spark(t), "position-pings"), F.lit(EVENTS_SPLIT).cast("timestamp_ntz")
+        parts = iter((pings.where(F.col("timestamp") < moment), pings.where(F.col("timestamp") >= moment)))
+
+        def start(s, o):
+            next(parts).write.mode("append").parquet(folder)
+            return jobs.stream_positions(s, jobs.read_feed(spark(t), folder, pings.schema), t, o)
+
+        out = _replay("positions", t["ride_history"], "timestamp", EVENTS_SPLIT, start)
+        return jobs.latest_locations(spark(t), out)
+
+    def s_suspended(name, job):
+        def run(t):
+            out = _replay(name, t["ratings"], "timestamp", PAYMENTS_SPLIT, lambda s, o: job(s, t["driver"], o))
+            return jobs.users_after_suspensions(t["users"], out)
+        return run
+
+    def merged_drivers(t):
+        """The driver table kept in buckets, after two feeds of changes."""
+        drivers, feed_rows = t["driver"], feed(t, "driver_changes")
+        kept = Snapshot(spark(t), scratch_path(spark(t), "drivers"), drivers.schema, ("driver_id",), buckets=16)
+        kept.merge(drivers, lambda rows: rows)
+        moment = F.lit(EVENTS_SPLIT).cast("timestamp_ntz")
+        for part in (F.col("changed_at") < moment, ~F.coalesce(F.col("changed_at") < moment, F.lit(False))):
+            kept.change(feed_rows.where(part), changes.change_drivers)
+        return kept.read()
+
     def s_locations(t):
         out = _replay(
             "locations", t["driver_location"], "timestamp", EVENTS_SPLIT, jobs.stream_latest_location
@@ -438,6 +485,17 @@ def _streams() -> dict[str, tuple[str, Callable[[Tables], DataFrame]]]:
         "double_booking_guard": (
             "ST8", lambda t: events.double_booking_guard(events.open_steps(feed(t, "booking_feed")))
         ),
+        "users_after_rider_flags": (
+            "ST3",
+            lambda t: events.suspend(t["users"], events.rider_flags(running(t), t["driver"]), "rated_user_id"),
+        ),
+        "driver_positions": ("ST1, ST7", lambda t: events.positions(t, steps(t))),
+        "pings_judged_as_of": ("SRC4", lambda t: ingest.judge_pings_as_of(feed(t, "ping_requests"), versions(t))),
+        "drivers_after_merged_changes": ("LC9", merged_drivers),
+        "stream_pings_judged_as_of": ("SRC4", s_as_of),
+        "stream_driver_positions": ("ST1, ST7", s_positions),
+        "stream_users_after_rating_alerts": ("ST2", s_suspended("alert-users", jobs.stream_rating_alerts)),
+        "stream_users_after_rider_flags": ("ST3", s_suspended("flag-users", jobs.stream_rider_flags)),
         "stream_ingested_pings": ("SRC4", s_pings("pings")),
         "stream_rejected_pings": ("SRC4", s_pings("rejected")),
         "stream_latest_location": ("ST1", s_locations),

@@ -118,6 +118,14 @@ FROM rides""",
 SELECT location_id, CASE WHEN location_id % 33 = 0 THEN -1 - driver_id ELSE driver_id END AS driver_id,
        CASE WHEN location_id % 50 <> 0 THEN latitude END AS latitude, longitude, timestamp
 FROM driver_location""",
+    "driver_versions": """
+SELECT driver_id, TRUE AS active, CAST(CASE WHEN driver_id % 3 = 0 THEN '2024-01-16 12:00:00' ELSE '2020-01-01 00:00:00' END
+         AS TIMESTAMP) AS valid_from
+FROM driver
+UNION ALL
+SELECT driver_id, FALSE, CAST('2024-01-20 00:00:00' AS TIMESTAMP) FROM driver WHERE driver_id % 5 = 0
+UNION ALL
+SELECT driver_id, TRUE, CAST('2024-01-25 06:30:00' AS TIMESTAMP) FROM driver WHERE driver_id % 10 = 0""",
     "account_changes": """
 SELECT ride_id AS change_id, user_id,
        CASE ride_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'inactive' WHEN 2 THEN 'suspended'

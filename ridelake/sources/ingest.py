@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridelake.functions.text import fold, is_blank, leading_int
@@ -190,3 +190,28 @@ def judge_pings(pings: DataFrame, drivers: DataFrame) -> DataFrame:
             ("unknown_driver", F.col("_driver").isNull()),
         ),
     ).drop("_driver")
+
+
+def validity(versions: DataFrame) -> DataFrame:
+    """Drivers' versions with the time each one ends; of rows with one time the active one holds, the last ends never."""
+    one = versions.groupBy("driver_id", "valid_from").agg(F.bool_or("active").alias("active"))
+    by_time = Window.partitionBy("driver_id").orderBy("valid_from")
+    return one.withColumn("valid_to", F.lead("valid_from").over(by_time))
+
+
+def judge_pings_as_of(pings: DataFrame, versions: DataFrame) -> DataFrame:
+    """Pings with a reject reason, each judged by the version of its driver at the time of the ping.
+
+    Before its first version a driver is not known, in an inactive one not active. A ping without time has no version.
+    Versions follow each other without gap or overlap, so a ping meets one at most and stays one row.
+    """
+    known = cut(validity(versions)).withColumnRenamed("driver_id", "_driver")  # fixed, so that a busy driver's pings can be split
+    of_its_time = (
+        (F.col("driver_id") == F.col("_driver")) & (F.col("timestamp") >= F.col("valid_from"))
+        & (F.col("valid_to").isNull() | (F.col("timestamp") < F.col("valid_to")))
+    )
+    reason = first_reason(
+        ("missing_coordinates", F.col("latitude").isNull() | F.col("longitude").isNull()),
+        ("unknown_driver", F.col("active").isNull()), ("inactive_driver", ~F.col("active")),
+    )
+    return pings.join(known, of_its_time, "left").select(*pings.columns, reason.alias("reject_reason"))

@@ -1,4 +1,4 @@
-"""Replay-safe output and carried state for ``foreachBatch`` jobs."""
+"""Replay-safe output of ``foreachBatch`` jobs."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ridelake.streaming.state import PROVIDER, ROCKSDB
+
+IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
 Handler = Callable[[DataFrame, int], None]
 
 
@@ -19,52 +22,17 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("batch_id")
 
 
-class CarriedState:
-    """Small rows per key that a micro-batch needs from all earlier ones.
-
-    Every batch writes only the keys it touched. ``fold`` merges such rows into one per key; every
-    ``compact_every`` batches the merged rows are written once, so a batch reads a bounded number of
-    folders. Rows of a batch depend only on earlier batches, so replays after a lost executor or a
-    restart give the same state.
-    """
-
-    def __init__(
-        self, spark: SparkSession, path: str, schema: str,
-        fold: Callable[[DataFrame], DataFrame], compact_every: int = 50,
-    ):
-        self._spark, self._path, self._schema = spark, path, schema
-        self._fold, self._every = fold, compact_every
-
-    def _read(self, *folders: str) -> DataFrame:
-        if not folders:
-            return self._spark.createDataFrame([], self._schema)
-        return self._spark.read.schema(self._schema).parquet(*[f"{self._path}/{f}" for f in folders])
-
-    def _span(self, first: int, end: int) -> list[str]:
-        """Folders that together hold the state of batches before ``end``."""
-        base = [f"base={first}"] if first else []
-        return base + [f"delta={i}" for i in range(first, end)]
-
-    def before(self, batch_id: int) -> DataFrame:
-        """State left by all batches before ``batch_id``, one row per key."""
-        first = batch_id // self._every * self._every
-        if first and first == batch_id:
-            merged = self._fold(self._read(*self._span(first - self._every, first)))
-            merged.write.mode("overwrite").parquet(f"{self._path}/base={first}")
-        return self._fold(self._read(*self._span(first, batch_id)))
-
-    def write(self, touched: DataFrame, batch_id: int) -> None:
-        touched.write.mode("overwrite").parquet(f"{self._path}/delta={batch_id}")
-
-
 def run_batches(
     stream: DataFrame, handler: Handler, checkpoint: str, output_mode: str = "append",
-    reuse: bool = True, available_now: bool = True, interval: str = "1 minute",
+    reuse: bool = True, available_now: bool = True, interval: str = "1 minute", idle_batches: bool = True,
 ) -> StreamingQuery:
     """Start ``handler`` over the stream: until the present input is used up, or continuously.
 
-    ``reuse`` keeps a micro-batch while a handler reads it more than once.
+    ``reuse`` keeps a micro-batch while a handler reads it more than once. Without ``idle_batches`` a micro-batch needs new
+    rows: timers on processing time would ask for another one for ever, so they fire beside rows instead. State is kept in RocksDB, on the executors'
+    disks with changes checkpointed, so it may outgrow memory.
     """
+    spark = stream.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         if not reuse:
@@ -80,4 +48,13 @@ def run_batches(
         "checkpointLocation", checkpoint
     )
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
-    return writer.trigger(**trigger).start()
+    # A started query keeps the settings of its start.
+    settings = {PROVIDER: ROCKSDB, IDLE: str(idle_batches).lower()}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        return writer.trigger(**trigger).start()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)

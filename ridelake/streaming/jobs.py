@@ -1,14 +1,16 @@
 """Structured Streaming jobs that keep derived ride state up to date (survey SRC4, ST1-ST8).
 
 Aggregates that Spark maintains itself (latest position, demand windows, promo usage) use its state
-store in update mode. Rules that need a key's rows in order run in ``foreachBatch`` on the batch
-operators with a small carried state, so a busy key is split over tasks and no Python runs per row.
+store in update mode. Rules that need a key's rows in order keep a few numbers per key in the same store (``state``).
 Between micro-batches the order of arrival counts, as it does for a row trigger; within one it is the
 order of (time, id).
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,9 +19,15 @@ from ridelake.functions.money import rating2
 from ridelake.operators import events
 from ridelake.operators.common import Tables
 from ridelake.plans.keyed import top_per_key
+from ridelake.plans.session import cut
 from ridelake.schema import DEMAND_THRESHOLD
-from ridelake.sources.ingest import judge_pings
-from ridelake.streaming.batches import CarriedState, read_batches, run_batches, write_batch
+from ridelake.sources.ingest import judge_pings, judge_pings_as_of
+from ridelake.sources.snapshots import Snapshot
+from ridelake.streaming.batches import read_batches, run_batches, write_batch
+from ridelake.streaming.state import Newest, RunningSum, RunningTotals, StatusSteps, keyed
+
+RETIRE = "30 days"  # how long a finished ride or payment stays in the state after its last row
+RIDE_DONE, PAYMENT_DONE = ("completed", "cancelled"), ("paid", "refunded", "failed")
 
 
 def read_feed(spark: SparkSession, path: str, schema: str, max_files: int | None = None) -> DataFrame:
@@ -41,56 +49,100 @@ def ingest_pings(stream: DataFrame, drivers: DataFrame, out: str, **run) -> Stre
     return run_batches(stream, handle, f"{out}/checkpoint", **run)
 
 
+def ingest_pings_as_of(stream: DataFrame, versions: str, schema: str, out: str, **run) -> StreamingQuery:
+    """As ``ingest_pings``, with a driver table that changes beside the stream.
+
+    ``versions`` is the folder of the drivers' changes (``schema``: driver_id, active, valid_from), read anew for every micro-batch, so a
+    driver registered after the start is known. A ping is judged by the version of its own time, late or not.
+    """
+    spark = stream.sparkSession
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        judged = judge_pings_as_of(batch, spark.read.schema(schema).parquet(versions))
+        write_batch(judged.where("reject_reason IS NULL").drop("reject_reason"), f"{out}/pings", batch_id)
+        write_batch(judged.where("reject_reason IS NOT NULL"), f"{out}/rejected", batch_id)
+
+    return run_batches(stream, handle, f"{out}/checkpoint", **run)
+
+
+LOCATION = "location_id BIGINT, driver_id BIGINT, latitude DECIMAL(10,7), longitude DECIMAL(10,7), timestamp TIMESTAMP_NTZ"
+
+
+def location_snapshot(spark: SparkSession, out: str) -> Snapshot:
+    return Snapshot(spark, f"{out}/snapshot", LOCATION, ("driver_id",))
+
+
+def newest_per_driver(pings: DataFrame) -> DataFrame:
+    return top_per_key(pings, ["driver_id"], [F.desc("timestamp"), F.desc("location_id"), F.desc("latitude"), F.desc("longitude")])
+
+
 def stream_latest_location(stream: DataFrame, out: str, **run) -> StreamingQuery:
-    """Newest ping per driver; a late older ping changes nothing."""
+    """Newest ping per driver, kept as a snapshot; a late older ping changes nothing."""
     at = F.struct("timestamp", "location_id")
     latest = stream.groupBy("driver_id").agg(
         F.max_by(F.struct("location_id", "latitude", "longitude", "timestamp"), at).alias("ping")
     ).select("driver_id", "ping.*")
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, f"{out}/updates", batch_id)
-
-    return run_batches(latest, handle, f"{out}/checkpoint", output_mode="update", reuse=False, **run)
+    kept = location_snapshot(stream.sparkSession, out)
+    return run_batches(
+        latest, lambda batch, n: kept.merge(batch, newest_per_driver, n), f"{out}/checkpoint", output_mode="update", reuse=False, **run
+    )
 
 
 def latest_locations(spark: SparkSession, out: str) -> DataFrame:
-    updates = read_batches(spark, f"{out}/updates")
-    order = [F.desc("timestamp"), F.desc("location_id")]
-    return top_per_key(updates, ["driver_id"], order).select(
-        "location_id", "driver_id", "latitude", "longitude", "timestamp"
+    return location_snapshot(spark, out).read()
+
+
+def stream_positions(history: DataFrame, pings: DataFrame, t: Tables, out: str, retire: str = RETIRE, **run) -> StreamingQuery:
+    """Newest position per driver from pings and from the drop-offs of rides as they are completed.
+
+    One query with two stateful operators: the status of each ride gives the drop-offs, which join the
+    pings and feed the newest position of each driver. Either stream may lag behind the other.
+    """
+    changed = status_changes(history, "ride_id", "history_id", RIDE_DONE, retire)
+    columns = ("location_id", "driver_id", "latitude", "longitude", "timestamp")
+    placed = events.dropoffs(changed.where("status = 'completed'"), t).select(*columns)
+    newest = keyed(placed.unionByName(pings.select(*columns)), "driver_id", Newest(["timestamp", "location_id", "latitude", "longitude"]), LOCATION)
+    kept = location_snapshot(history.sparkSession, out)
+    return run_batches(
+        newest, lambda batch, n: kept.merge(batch, newest_per_driver, n), f"{out}/checkpoint", reuse=False, idle_batches=False, **run
     )
 
 
-def _stream_ratings(stream: DataFrame, out: str, rule, drivers: DataFrame, **run) -> StreamingQuery:
-    state = CarriedState(
-        drivers.sparkSession, f"{out}/state", events.SCORE_STATE, events.fold_score_totals
+def rated_in_order(stream: DataFrame) -> DataFrame:
+    """Each rating with the two-place mean of its user's ratings so far; a user's sums are in the state."""
+    rows = stream.select("rating_id", "rated_user_id", "score", "timestamp")
+    summed = keyed(
+        rows, "rated_user_id", RunningTotals("score", ["timestamp", "rating_id"]),
+        "rating_id long, rated_user_id long, score int, timestamp timestamp_ntz, total long, n long",
     )
+    return summed.select("rating_id", "rated_user_id", "timestamp", "n", rating2(F.col("total"), F.col("n")).alias("average"))
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        rated = batch.select("rated_user_id").distinct()
-        carried = state.before(batch_id).join(rated, "rated_user_id", "left_semi")
-        write_batch(rule(events.running_ratings(batch, carried), drivers), f"{out}/rows", batch_id)
-        state.write(events.score_totals(batch), batch_id)
 
-    return run_batches(stream, handle, f"{out}/checkpoint", **run)
+def stream_rating_alerts(stream: DataFrame, drivers: DataFrame, out: str, **run) -> StreamingQuery:
+    """A notification for every rating that leaves a driver's mean below 3.5, and the users it suspends."""
 
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        alerts = cut(events.rating_alerts(batch, drivers))
+        write_batch(alerts, f"{out}/rows", batch_id)
+        write_batch(events.suspensions(alerts, "ref_user_id", "created_at"), f"{out}/suspended", batch_id)
 
-def stream_rating_alerts(stream: DataFrame, drivers: DataFrame, out: str, **run) -> StreamingQuery:
-    """A notification for every rating that leaves a driver's mean below 3.5."""
-    return _stream_ratings(stream, out, events.rating_alerts, drivers, **run)
+    return run_batches(rated_in_order(stream), handle, f"{out}/checkpoint", **run)
 
 
 def stream_rider_flags(stream: DataFrame, drivers: DataFrame, out: str, **run) -> StreamingQuery:
-    """Ratings that leave a rider's mean below 3.0."""
-    return _stream_ratings(stream, out, events.rider_flags, drivers, **run)
+    """Ratings that leave a rider's mean below 3.0, and the users they suspend."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        flags = cut(events.rider_flags(batch, drivers))
+        write_batch(flags, f"{out}/rows", batch_id)
+        write_batch(events.suspensions(flags, "rated_user_id", "timestamp"), f"{out}/suspended", batch_id)
+
+    return run_batches(rated_in_order(stream), handle, f"{out}/checkpoint", **run)
 
 
-def driver_ratings_from_state(spark: SparkSession, out: str, batches: int) -> DataFrame:
-    """Mean rating per rated user as carried after ``batches`` micro-batches."""
-    state = CarriedState(spark, f"{out}/state", events.SCORE_STATE, events.fold_score_totals)
-    average = rating2(F.col("total"), F.col("n"))
-    return state.before(batches).select("rated_user_id", average.alias("average_rating"))
+def users_after_suspensions(users: DataFrame, out: str) -> DataFrame:
+    """Users snapshot with the active accounts that a rating stream suspended."""
+    return events.suspend(users, read_batches(users.sparkSession, f"{out}/suspended"), "user_id")
 
 
 def stream_demand_surge(
@@ -102,45 +154,61 @@ def stream_demand_surge(
     placed = events.with_pickup_city(requests.withWatermark("event_time", lateness), t)
     windows = events.demand_windows(placed, threshold, width)
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, f"{out}/updates", batch_id)
+    kept = demand_snapshot(stream.sparkSession, out)
+    return run_batches(
+        windows, lambda batch, n: kept.merge(batch, largest_count, n), f"{out}/checkpoint", output_mode="update", reuse=False, **run
+    )
 
-    return run_batches(windows, handle, f"{out}/checkpoint", output_mode="update", reuse=False, **run)
 
+def demand_snapshot(spark: SparkSession, out: str) -> Snapshot:
+    schema = "window_start TIMESTAMP_NTZ, city STRING, requests BIGINT, high_demand BOOLEAN"
+    return Snapshot(spark, f"{out}/snapshot", schema, ("window_start", "city"))
 
-def demand_surges(spark: SparkSession, out: str) -> DataFrame:
-    """Final count per window: counts only grow, so the largest update is the last."""
-    return read_batches(spark, f"{out}/updates").groupBy("window_start", "city").agg(
+
+def largest_count(updates: DataFrame) -> DataFrame:
+    """Counts only grow, so the largest update is the last."""
+    return updates.groupBy("window_start", "city").agg(
         F.max("requests").alias("requests"), F.max("high_demand").alias("high_demand")
     )
 
 
-def stream_payment_completes_ride(stream: DataFrame, out: str, **run) -> StreamingQuery:
-    """Changes of payments to paid; fold them into rides with ``rides_after_payments``."""
-    state = _status_state(stream.sparkSession, out, "payment_id")
+def demand_surges(spark: SparkSession, out: str) -> DataFrame:
+    """Present count per window."""
+    return demand_snapshot(spark, out).read()
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        carried = _carried_for(state, batch, "payment_id", batch_id)
-        write_batch(events.paid_transitions(batch, carried), f"{out}/rows", batch_id)
-        state.write(_touched(batch, "payment_id", "change_id", batch_id), batch_id)
 
-    return run_batches(stream, handle, f"{out}/checkpoint", **run)
+def stream_payment_completes_ride(
+    stream: DataFrame, out: str, retire: str = RETIRE, **run
+) -> StreamingQuery:
+    """Changes of payments to paid; fold them into rides with ``rides_after_payments``."""
+    steps = status_changes(stream, "payment_id", "change_id", PAYMENT_DONE, retire, "ride_id")
+    paid = events.only_paid(steps)
+    return run_batches(
+        paid, lambda batch, n: write_batch(batch, f"{out}/rows", n), f"{out}/checkpoint", reuse=False, idle_batches=False, **run
+    )
 
 
 def stream_promo_usage(stream: DataFrame, out: str, **run) -> StreamingQuery:
     """Payments per promo, whatever their status."""
     used = stream.where("promo_id IS NOT NULL").groupBy("promo_id").agg(F.count(F.lit(1)).alias("used"))
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, f"{out}/updates", batch_id)
+    kept = usage_snapshot(stream.sparkSession, out)
+    return run_batches(
+        used, lambda batch, n: kept.merge(batch, largest_use, n), f"{out}/checkpoint", output_mode="update", reuse=False, **run
+    )
+
+
+def usage_snapshot(spark: SparkSession, out: str) -> Snapshot:
+    return Snapshot(spark, f"{out}/snapshot", "promo_id BIGINT, used BIGINT", ("promo_id",))
 
-    return run_batches(used, handle, f"{out}/checkpoint", output_mode="update", reuse=False, **run)
+
+def largest_use(updates: DataFrame) -> DataFrame:
+    return updates.groupBy("promo_id").agg(F.max("used").alias("used"))
 
 
 def promos_after_usage(promos: DataFrame, out: str) -> DataFrame:
     """Promo snapshot with the streamed usage added."""
-    used = read_batches(promos.sparkSession, f"{out}/updates").groupBy("promo_id").agg(F.max("used").alias("used"))
-    return add_usage(promos, used)
+    return add_usage(promos, usage_snapshot(promos.sparkSession, out).read())
 
 
 def add_usage(promos: DataFrame, used: DataFrame) -> DataFrame:
@@ -150,53 +218,50 @@ def add_usage(promos: DataFrame, used: DataFrame) -> DataFrame:
     )
 
 
-def _status_state(spark: SparkSession, out: str, key: str) -> CarriedState:
-    schema = f"{key} BIGINT, status STRING, batch BIGINT"
-
-    def fold(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(key).agg(
-            F.max_by("status", "batch").alias("status"), F.max("batch").alias("batch")
-        )
-
-    return CarriedState(spark, f"{out}/state", schema, fold)
-
+def status_changes(
+    stream: DataFrame, key: str, event: str, done: Sequence[str], retire: str = RETIRE, *carry: str, keep_all: bool = False,
+) -> DataFrame:
+    """Rows that change the status of their key, with the one before; the last status of a key is in the state.
 
-def _touched(batch: DataFrame, key: str, event: str, batch_id: int) -> DataFrame:
-    return events.last_status(batch, key, event).withColumn("batch", F.lit(batch_id).cast("bigint"))
-
-
-def _carried_for(state: CarriedState, batch: DataFrame, key: str, batch_id: int) -> DataFrame:
-    return state.before(batch_id).join(batch.select(key).distinct(), key, "left_semi")
+    ``retire`` is how long a key whose status is among ``done`` stays there after its last row.
+    """
+    wait = int(pd.Timedelta(retire).total_seconds() * 1000)
+    columns = [event, key, *carry]
+    schema = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in columns)
+    return keyed(
+        stream.select(*columns, "status", "timestamp"), key, StatusSteps(["timestamp", event], done, wait, keep_all),
+        f"{schema}, status string, timestamp timestamp_ntz, previous_status string", timers=True,
+    )
 
 
-def stream_ride_effects(stream: DataFrame, t: Tables, out: str, **run) -> StreamingQuery:
+def stream_ride_effects(stream: DataFrame, t: Tables, out: str, retire: str = RETIRE, **run) -> StreamingQuery:
     """History rows, freed drivers and drop-off pings from ride status changes."""
-    state = _status_state(stream.sparkSession, out, "ride_id")
+    changed = status_changes(stream, "ride_id", "history_id", RIDE_DONE, retire)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        carried = _carried_for(state, batch, "ride_id", batch_id)
-        steps = events.status_steps(batch, "ride_id", "history_id", carried)
-        for name, rows in events.ride_effects(steps, t).items():
+        for name, rows in events.ride_effects(batch, t).items():
             write_batch(rows, f"{out}/{name}", batch_id)
-        state.write(_touched(batch, "ride_id", "history_id", batch_id), batch_id)
 
-    return run_batches(stream, handle, f"{out}/checkpoint", **run)
+    return run_batches(changed, handle, f"{out}/checkpoint", idle_batches=False, **run)
 
 
-def stream_double_booking_guard(stream: DataFrame, out: str, **run) -> StreamingQuery:
-    """Decision per asked-for ride, from the open rides of its driver at that moment."""
-    spark = stream.sparkSession
-    statuses = _status_state(spark, f"{out}/rides", "ride_id")
-    open_rides = CarriedState(spark, f"{out}/open", events.OPEN_STATE, events.fold_open_totals)
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        updates = batch.where("kind = 'update'")
-        carried = _carried_for(statuses, updates, "ride_id", batch_id)
-        steps = events.open_steps(batch, carried)
-        drivers = batch.select("driver_id").distinct()
-        carried_open = open_rides.before(batch_id).join(drivers, "driver_id", "left_semi")
-        write_batch(events.double_booking_guard(steps, carried_open), f"{out}/decisions", batch_id)
-        statuses.write(_touched(updates, "ride_id", "event_id", batch_id), batch_id)
-        open_rides.write(events.open_totals(steps), batch_id)
+def stream_double_booking_guard(stream: DataFrame, out: str, retire: str = RETIRE, **run) -> StreamingQuery:
+    """Decision per asked-for ride, from the open rides of its driver at that moment.
 
-    return run_batches(stream, handle, f"{out}/checkpoint", **run)
+    Two stateful operators in one query: the status of each ride gives steps, the steps of each driver a running sum.
+    """
+    updates = status_changes(
+        stream.where("kind = 'update'"), "ride_id", "event_id", RIDE_DONE, retire, "driver_id", "kind", keep_all=True
+    )
+    columns = ("event_id", "driver_id", "timestamp", "kind", "step")
+    asked = stream.where("kind = 'insert'").withColumn("step", F.lit(0).cast("long"))
+    moved = updates.withColumn("step", events.open_step().cast("long"))
+    steps = moved.select(*columns).unionByName(asked.select(*columns))
+    summed = keyed(
+        steps, "driver_id", RunningSum("open", ["timestamp", "event_id"]),
+        "event_id long, driver_id long, timestamp timestamp_ntz, kind string, step long, open long",
+    )
+    return run_batches(
+        events.guarded(summed), lambda batch, n: write_batch(batch, f"{out}/decisions", n), f"{out}/checkpoint",
+        reuse=False, idle_batches=False, **run,
+    )

@@ -1,5 +1,7 @@
 """Streams over several files, restarts and replays against their batch forms."""
 
+import datetime as dt
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from ridelake.operators import events, ranked
 from ridelake.registry import DEMAND_LIMIT
 from ridelake.sources.feeds import feed
 from ridelake.streaming import jobs
-from ridelake.streaming.batches import CarriedState, read_batches, write_batch
+from ridelake.streaming.batches import read_batches, write_batch
 
 
 def _slices(df, column, n):
@@ -59,18 +61,6 @@ def test_rating_rules(spark, tables, folder, job, rule):
     assert rows(read_batches(spark, f"{out}/rows"), *want.columns) == rows(want)
 
 
-def test_state_after_ratings(spark, tables, folder):
-    out = _run(
-        spark, tables["ratings"], "timestamp", folder,
-        lambda s, o: jobs.stream_rating_alerts(s, tables["driver"], o), n=3, per_run=3,
-    )
-    got = jobs.driver_ratings_from_state(spark, out, 3)
-    want = tables["ratings"].groupBy("rated_user_id").agg(
-        events.rating2(F.sum("score"), F.count("score")).alias("average_rating")
-    )
-    assert rows(got) == rows(want)
-
-
 def test_demand(spark, tables, folder):
     requests = tables["ride_history"].where("status = 'requested'").withColumn("event_time", F.col("timestamp").cast("timestamp"))
     want = events.demand_windows(events.with_pickup_city(requests, tables), DEMAND_LIMIT, "6 hours")
@@ -130,18 +120,95 @@ def test_pings_are_split(spark, tables, folder):
 
 
 def test_replayed_batch_is_not_counted_twice(spark, folder):
-    df = spark.createDataFrame([(1, 5, 1)], events.SCORE_STATE)
-    state = CarriedState(spark, f"{folder}/state", events.SCORE_STATE, events.fold_score_totals)
+    df = spark.createDataFrame([(1, 5)], "promo_id long, used long")
+    kept = jobs.usage_snapshot(spark, folder)
     for _ in range(2):
         write_batch(df, f"{folder}/rows", 0)
-        state.write(df, 0)
-    assert rows(state.before(1)) == [(1, 5, 1)]
+        kept.merge(df, lambda rows: rows.groupBy("promo_id").agg(F.sum("used").alias("used")), 0)
+    assert rows(kept.read()) == [(1, 5)]
     assert read_batches(spark, f"{folder}/rows").count() == 1
 
 
-def test_state_compaction(spark, folder):
-    state = CarriedState(spark, f"{folder}/state", events.SCORE_STATE, events.fold_score_totals, compact_every=3)
-    for batch in range(8):
-        assert [r.n for r in state.before(batch).collect()] == ([batch] if batch else [])
-        state.write(spark.createDataFrame([(1, 5, 1)], events.SCORE_STATE), batch)
-    assert len(state._span(6, 8)) == 3
+def _held(spark, out, name):
+    """What a query's first stateful operator holds."""
+    state = spark.read.format("statestore").option("path", f"{out}/checkpoint").option("stateVarName", name).load()
+    return state.select("key.*", "value.*")
+
+
+def test_ratings_leave_two_numbers_per_user(spark, tables, folder):
+    out = _run(spark, tables["ratings"], "timestamp", folder, lambda s, o: jobs.stream_rating_alerts(s, tables["driver"], o), n=2)
+    want = tables["ratings"].groupBy("rated_user_id").agg(F.sum("score").alias("total"), F.count(F.lit(1)).alias("n"))
+    assert rows(_held(spark, out, "totals")) == rows(want)
+
+
+def test_finished_rides_leave_the_state_by_timer(spark, tables, folder):
+    history = tables["ride_history"]
+    def feed_in(*statuses):
+        made = [(i, ride, status, dt.datetime(2024, 1, 1, 0, i)) for i, (ride, status) in enumerate(statuses)]
+        spark.createDataFrame(made, history.schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = jobs.read_feed(spark, f"{folder}/in", history.schema)
+        jobs.stream_ride_effects(stream, tables, f"{folder}/out", retire="1 second").awaitTermination()
+        return {r[0]: r[1] for r in _held(spark, f"{folder}/out", "last").select("ride_id", "status").collect()}
+
+    assert feed_in((1, "accepted"), (1, "completed"), (2, "accepted")) == {1: "completed", 2: "accepted"}
+    assert feed_in((3, "requested")) == {2: "accepted", 3: "requested"}
+    assert feed_in((2, "in_progress"), (1, "cancelled")) == {1: "cancelled", 2: "in_progress", 3: "requested"}
+    steps = read_batches(spark, f"{folder}/out/history")
+    assert rows(steps, "ride_id", "status") == [(1, "completed"), (2, "in_progress")]  # ride 1 began anew
+
+
+def test_suspended_users(spark, tables, folder):
+    out = _run(spark, tables["ratings"], "timestamp", folder, lambda s, o: jobs.stream_rider_flags(s, tables["driver"], o), n=2)
+    flags = events.rider_flags(events.running_ratings(tables["ratings"]), tables["driver"])
+    want = events.suspend(tables["users"], flags, "rated_user_id")
+    got = jobs.users_after_suspensions(tables["users"], out)
+    assert rows(got) == rows(want) and want.where("account_status = 'suspended'").count() > tables["users"].where(
+        "account_status = 'suspended'"
+    ).count()
+
+
+def test_positions_follow_pings_and_dropoffs(spark, tables, folder):
+    pings = tables["driver_location"]
+    pieces = list(_slices(pings, "timestamp", 3))
+    pieces = [pieces[2], pieces[0], pieces[1]]  # the newest pings come first
+    pieces[0].coalesce(1).write.parquet(f"{folder}/pings")
+
+    def start(history, out):
+        if len(pieces) > 1:
+            pieces.pop().coalesce(1).write.mode("append").parquet(f"{folder}/pings")
+        return jobs.stream_positions(history, jobs.read_feed(spark, f"{folder}/pings", pings.schema), tables, out)
+
+    out = _run(spark, tables["ride_history"], "timestamp", folder, start, n=2, per_run=1)
+    want = events.positions(tables, events.status_steps(tables["ride_history"], "ride_id", "history_id"))
+    assert rows(jobs.latest_locations(spark, out), *want.columns) == rows(want)
+    assert rows(want) != rows(ranked.latest_driver_location(tables), *want.columns)
+
+
+def test_a_driver_registered_while_the_stream_runs(spark, folder):
+    schema = "driver_id long, active boolean, valid_from timestamp_ntz"
+    at = lambda minute: dt.datetime(2024, 1, 1, 0, minute)
+
+    def version(*made):
+        spark.createDataFrame(list(made), schema).write.mode("append").parquet(f"{folder}/versions")
+
+    def ping(*made):
+        frame = spark.createDataFrame([(i, d, 24.0, 67.0, t) for i, d, t in made], "location_id long, driver_id long, latitude double, longitude double, timestamp timestamp_ntz")
+        frame.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        return frame.schema
+
+    version((1, True, at(0)))
+    form = ping((1, 1, at(5)), (2, 2, at(5)))
+    query = jobs.ingest_pings_as_of(
+        jobs.read_feed(spark, f"{folder}/in", form), f"{folder}/versions", schema, f"{folder}/out", available_now=False, interval="0 seconds"
+    )
+    try:
+        query.processAllAvailable()
+        version((2, True, at(10)), (1, False, at(20)), (1, True, at(20)), (2, False, at(30)))
+        ping((3, 2, at(9)), (4, 2, at(10)), (5, 1, at(25)), (6, 2, at(31)), (7, 2, None), (8, None, at(12)), (8, 2, at(29)))
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert rows(read_batches(spark, f"{folder}/out/pings"), "location_id") == [(1,), (4,), (5,), (8,)]
+    assert rows(read_batches(spark, f"{folder}/out/rejected"), "location_id", "reject_reason") == [
+        (2, "unknown_driver"), (3, "unknown_driver"), (6, "inactive_driver"), (7, "unknown_driver"), (8, "unknown_driver")
+    ]
