@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridelake.functions.text import fold, is_blank, leading_int
 from ridelake.operators.decisions import accepted, first_reason, fixed, rejected, with_first
+from ridelake.plans.components import components
 from ridelake.plans.keyed import join_per_key
 from ridelake.plans.session import cut
 from ridelake.schema import VEHICLE_TYPES
@@ -84,19 +86,14 @@ def ingest_vehicles(
     return out
 
 
-def _first_come(candidates: DataFrame) -> DataFrame:
-    """Ids accepted when requests are taken in order and each needs a free email and a free phone.
+def _in_rounds(pairs: DataFrame, rounds: int | None = None) -> tuple[list[DataFrame], DataFrame]:
+    """Winners among (email_key, phone_key, position), and what ``rounds`` rounds of joins leave open (default: nothing).
 
-    A request that is first for both its email and its phone is accepted, whatever the others do.
-    Its rivals drop out, which makes others first; rounds repeat until no request is left. A
-    rejected request blocks nobody, so taking 'first per email and first per phone' once would
-    refuse too many.
+    A request that is first for both its keys is accepted, whatever the others do. Its rivals drop out, which makes
+    others first; so it takes a round per link of the longest chain of conflicts.
     """
-    position = F.struct("submitted_at", "request_id").alias("position")
-    one_per_pair = candidates.groupBy("email_key", "phone_key").agg(F.min(position).alias("position"))
-    open_rows = cut(one_per_pair)
-    winners = []
-    while not open_rows.isEmpty():
+    open_rows, winners = cut(pairs), []
+    while not open_rows.isEmpty() and (rounds is None or len(winners) < rounds):
         by_email = open_rows.groupBy("email_key").agg(F.min(F.struct("position", "phone_key")).alias("first"))
         by_phone = open_rows.groupBy("phone_key").agg(F.min(F.struct("position", "email_key")).alias("first"))
         firsts = cut(
@@ -104,14 +101,50 @@ def _first_come(candidates: DataFrame) -> DataFrame:
                 by_phone.select("phone_key", "first.*"), ["email_key", "phone_key", "position"]
             )
         )
-        winners.append(firsts)
+        winners.append(firsts.select(F.col("position.request_id").alias("request_id")))
         open_rows = cut(
             open_rows.join(firsts.select("email_key"), "email_key", "left_anti")
             .join(firsts.select("phone_key"), "phone_key", "left_anti")
         )
-    if not winners:
-        winners = [open_rows]
-    return reduce(DataFrame.unionByName, winners).select(F.col("position.request_id").alias("request_id"))
+    return winners, open_rows
+
+
+def _in_order(requests: pd.DataFrame) -> pd.DataFrame:
+    """Winners of one component of conflicts, one request after the other."""
+    emails, phones, won = set(), set(), []
+    ordered = requests.sort_values(["submitted_at", "request_id"], na_position="first", kind="stable")
+    for email, phone, request in zip(ordered["email_key"], ordered["phone_key"], ordered["request_id"], strict=True):
+        if email not in emails and phone not in phones:
+            emails.add(email)
+            phones.add(phone)
+            won.append(request)
+    return pd.DataFrame({"request_id": pd.array(won, "Int64")})
+
+
+def _first_come(candidates: DataFrame, rounds: int = 4, largest: int = 100_000) -> DataFrame:
+    """Ids accepted when requests are taken in order and each needs a free email and a free phone.
+
+    A rejected request blocks nobody, so taking 'first per email and first per phone' once would refuse too many. A few rounds
+    of joins settle all but the long chains. What they leave falls into components linked by shared keys: one of
+    at most ``largest`` requests is settled in order by one task, a larger one in further rounds.
+    """
+    position = F.struct("submitted_at", "request_id").alias("position")
+    pairs = candidates.groupBy("email_key", "phone_key").agg(F.min(position).alias("position"))
+    winners, left = _in_rounds(pairs, rounds)
+    if not left.isEmpty():
+        # Hashed keys: two that collide only make one component of two.
+        linked = cut(left.select(
+            "*", F.xxhash64(F.lit("email"), "email_key").alias("a"), F.xxhash64(F.lit("phone"), "phone_key").alias("b")
+        ))
+        roots = cut(components(linked.select("a", "b")).select(F.col("node").alias("a"), "root"))
+        placed = cut(join_per_key(linked, roots, ["a"], "inner"))
+        sizes = cut(placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > largest).select("root"))
+        small = placed.join(sizes, "root", "left_anti").select("root", "email_key", "phone_key", "position.*")
+        winners.append(small.groupBy("root").applyInPandas(_in_order, "request_id long"))
+        if not sizes.isEmpty():
+            large = join_per_key(placed, sizes, ["root"], "inner").select("email_key", "phone_key", "position")
+            winners += _in_rounds(large)[0]
+    return reduce(DataFrame.unionByName, winners) if winners else left.select(F.col("position.request_id").alias("request_id"))
 
 
 def ingest_registrations(raw: DataFrame, users: DataFrame) -> dict[str, DataFrame]:
