@@ -69,7 +69,25 @@ def platform_summary(t: Tables) -> DataFrame:
     return packed.select(*[f"{name}.*" for name in parts])
 
 
+def _days(t: Tables, start=None, end=None, end_inclusive=True) -> DataFrame | None:
+    """Partials of a summary (``operators.summaries``) that stands beside the tables, where it can answer for the range."""
+    if "payment_days" not in t or any(len(str(moment)) > 10 for moment in (start, end) if moment is not None):
+        return None
+    days, date = t["payment_days"], F.col("date")
+    if start is not None:
+        days = days.where(date >= F.lit(str(start)).cast("date"))
+    if end is not None:
+        last = F.lit(str(end)).cast("date")
+        days = days.where(date <= last if end_inclusive else (date < last) | ((date == last) & F.col("midnight")))
+    return days
+
+
 def _paid_daily(t: Tables, start=None, end=None, end_inclusive=True) -> DataFrame:
+    days = _days(t, start, end, end_inclusive)
+    if days is not None:
+        return days.where("payment_status = 'paid'").groupBy("date", "payment_method").agg(
+            F.sum("n").alias("n"), F.sum("total").cast("decimal(20,2)").alias("total")
+        )
     paid = t["payments"].where("payment_status = 'paid'")
     in_range = between_days(F.col("transaction_date"), start, end, end_inclusive)
     if in_range is not None:
@@ -381,43 +399,52 @@ def rider_stats(t: Tables) -> DataFrame:
     )
 
 
-def _disputed(t: Tables) -> DataFrame:
-    return t["payments"].where(F.col("payment_status").isin("failed", "refunded"))
+def _disputed(t: Tables, start=None, end=None) -> DataFrame:
+    """Failed and refunded payments, or sums of ``weight`` such payments of a day."""
+    days = _days(t, start, end)
+    if days is not None:
+        rows = days.select("date", "payment_status", F.col("total").alias("amount"), F.col("rows").alias("weight"))
+    else:
+        rows, in_range = t["payments"], between_days(F.col("transaction_date"), start, end)
+        if in_range is not None:
+            rows = rows.where(in_range)
+        rows = rows.select(F.to_date("transaction_date").alias("date"), "payment_status", "amount", F.lit(1).alias("weight"))
+    return rows.where(F.col("payment_status").isin("failed", "refunded"))
 
 
 def _amount_if(status: str) -> Column:
     return total_money(F.sum(F.when(F.col("payment_status") == status, F.col("amount")).otherwise(F.lit(0))))
 
 
+def _weight(name: str, status: str | None = None) -> Column:
+    weight = F.col("weight")
+    if status:
+        weight = F.when(F.col("payment_status") == status, weight).otherwise(F.lit(0))
+    return _zero(F.sum(weight)).cast("bigint").alias(name)
+
+
 def refund_totals(t: Tables) -> DataFrame:
     return _disputed(t).agg(
-        _amount_if("refunded").alias("total_refunded"),
-        _amount_if("failed").alias("total_failed_amount"),
-        flag_sum(F.col("payment_status") == "refunded", "refund_count"),
-        flag_sum(F.col("payment_status") == "failed", "failed_count"),
+        _amount_if("refunded").alias("total_refunded"), _amount_if("failed").alias("total_failed_amount"),
+        _weight("refund_count", "refunded"), _weight("failed_count", "failed"),
     )
 
 
 def refund_report(t: Tables, start=None, end=None) -> DataFrame:
-    disputed = _disputed(t)
-    in_range = between_days(F.col("transaction_date"), start, end)
-    if in_range is not None:
-        disputed = disputed.where(in_range)
     return (
-        disputed.groupBy(F.to_date("transaction_date").alias("date"), "payment_status")
-        .agg(count_rows("count"), total_money(F.sum("amount")).alias("total_amount"))
+        _disputed(t, start, end).groupBy("date", "payment_status")
+        .agg(_weight("count"), total_money(F.sum("amount")).alias("total_amount"))
         .orderBy(F.desc("date"), "payment_status")
     )
 
 
 def dispute_totals(t: Tables) -> DataFrame:
     return _disputed(t).agg(
-        _amount_if("refunded").alias("total_refunded"),
-        flag_sum(F.col("payment_status") == "failed", "total_failed"),
-        count_rows("total_disputes"),
+        _amount_if("refunded").alias("total_refunded"), _weight("total_failed", "failed"), _weight("total_disputes"),
     )
 
 
+
 def avg_rating_by_driver(t: Tables) -> DataFrame:
     """Mean score per rated driver; ``stored_rating`` is the two-place value kept on the driver."""
     drivers = t["driver"].select("driver_id", "user_id")

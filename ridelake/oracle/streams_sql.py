@@ -102,6 +102,10 @@ STREAMS_SQL = {
     "stream_ingested_pings": f"""WITH {_PINGS}
 SELECT * EXCLUDE (reject_reason) FROM judged WHERE reject_reason IS NULL""",
     "stream_rejected_pings": f"WITH {_PINGS} SELECT * FROM judged WHERE reject_reason IS NOT NULL",
+    **{
+        f"{name}_from_summary": REPORTS_SQL[name]
+        for name in ("platform_revenue", "revenue_report_admin", "revenue_totals", "refund_report")
+    },
     "drivers_after_merged_changes": JOBS_SQL["drivers_after_changes"],
     "stream_pings_judged_as_of": _BATCH["pings_judged_as_of"],
     "stream_driver_positions": _BATCH["driver_positions"],

@@ -421,6 +421,12 @@ def _streams() -> dict[str, tuple[str, Callable[[Tables], DataFrame]]]:
             kept.change(feed_rows.where(part), changes.change_drivers)
         return kept.read()
 
+    def from_summary(report, **fixed):
+        def run(t):
+            out = _replay("days", t["payments"], "transaction_date", PAYMENTS_SPLIT, jobs.stream_payment_days)
+            return report({"payment_days": jobs.payment_days(spark(t), out)}, **fixed)
+        return run
+
     def s_locations(t):
         out = _replay(
             "locations", t["driver_location"], "timestamp", EVENTS_SPLIT, jobs.stream_latest_location
@@ -492,6 +498,10 @@ def _streams() -> dict[str, tuple[str, Callable[[Tables], DataFrame]]]:
         "driver_positions": ("ST1, ST7", lambda t: events.positions(t, steps(t))),
         "pings_judged_as_of": ("SRC4", lambda t: ingest.judge_pings_as_of(feed(t, "ping_requests"), versions(t))),
         "drivers_after_merged_changes": ("LC9", merged_drivers),
+        "platform_revenue_from_summary": ("AG2", from_summary(aggregates.platform_revenue)),
+        "revenue_report_admin_from_summary": ("AG4", from_summary(aggregates.revenue_report_admin, **RANGE)),
+        "revenue_totals_from_summary": ("AG6", from_summary(aggregates.revenue_totals, **RANGE)),
+        "refund_report_from_summary": ("AG20", from_summary(aggregates.refund_report, **RANGE)),
         "stream_pings_judged_as_of": ("SRC4", s_as_of),
         "stream_driver_positions": ("ST1, ST7", s_positions),
         "stream_users_after_rating_alerts": ("ST2", s_suspended("alert-users", jobs.stream_rating_alerts)),

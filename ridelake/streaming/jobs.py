@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ridelake.functions.money import rating2
-from ridelake.operators import events
+from ridelake.operators import events, summaries
 from ridelake.operators.common import Tables
 from ridelake.plans.keyed import top_per_key
 from ridelake.plans.session import cut
@@ -211,6 +211,18 @@ def promos_after_usage(promos: DataFrame, out: str) -> DataFrame:
     return add_usage(promos, usage_snapshot(promos.sparkSession, out).read())
 
 
+def stream_payment_days(stream: DataFrame, out: str, **run) -> StreamingQuery:
+    """Daily payment sums; a micro-batch reads the new payments and the buckets of their days."""
+    kept = summaries.kept_days(stream.sparkSession, f"{out}/days")
+    return run_batches(
+        stream, lambda batch, n: summaries.add_payments(kept, batch, n), f"{out}/checkpoint", reuse=False, **run
+    )
+
+
+def payment_days(spark: SparkSession, out: str) -> DataFrame:
+    return summaries.kept_days(spark, f"{out}/days").read()
+
+
 def add_usage(promos: DataFrame, used: DataFrame) -> DataFrame:
     total = (F.col("usage_count") + F.coalesce("used", F.lit(0))).cast("int").alias("usage_count")
     return promos.join(used, "promo_id", "left").select(
