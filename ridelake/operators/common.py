@@ -91,6 +91,19 @@ def enum_rank(column: str, domain: tuple[str, ...]) -> Column:
     return F.array_position(F.array(*[F.lit(v) for v in domain]), F.col(column))
 
 
+def past(newest: str, key: str, after: tuple) -> Column:
+    """Rows behind the row ``after`` = (time, key) in the order of newest first, then key; rows without a time come last.
+
+    Plain comparisons that reach the scan, so a page deep in the list costs what the first one does.
+    """
+    moment, last = after
+    time, later_key = F.col(newest), F.col(key) > F.lit(last)
+    if moment is None:
+        return time.isNull() & later_key
+    at = F.lit(moment).cast("timestamp_ntz")
+    return (time < at) | time.isNull() | ((time == at) & later_key)
+
+
 def paginate(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
     """One page. ``order`` must be total (end with the primary key)."""
     page = df.orderBy(*order)

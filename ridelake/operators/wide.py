@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ridelake.functions.money import commission2, driver_net2
 from ridelake.functions.timeops import minutes_between
 from ridelake.operators.common import (
-    ADDRESSES, Tables, driver_person, only, paginate, per_key_order, person, place, vehicle,
+    ADDRESSES, Tables, driver_person, only, paginate, past, per_key_order, person, place, vehicle,
     with_places,
 )
 from ridelake.plans.keyed import left_join_many, top_per_key
@@ -100,13 +100,16 @@ def ride_detail(t: Tables, ride_id: int | None = None) -> DataFrame:
 
 
 def all_rides_page(
-    t: Tables, status: str | None = None, limit: int = PAGE_SIZE, offset: int = 0
+    t: Tables, status: str | None = None, limit: int = PAGE_SIZE, offset: int = 0, after: tuple | None = None
 ) -> DataFrame:
-    """One page of rides, newest first.
+    """One page of rides, newest first: the rows from ``offset`` on, or those behind ``after``.
 
+    ``after`` is the (request_time, ride_id) of the last row seen; with it no row before the page is sorted or kept.
     The page is cut on the rides that have a rider, before the name and address joins.
     """
     rides = only(t["rides"], ride_status=status)
+    if after is not None:
+        rides = rides.where(past("request_time", "ride_id", after))
     known = rides.join(t["users"].select("user_id"), "user_id", "left_semi")
     page = paginate(known, [F.desc("request_time"), F.asc("ride_id")], limit, offset)
     return (

@@ -357,3 +357,4 @@ FROM spans""",
 FROM driver JOIN users USING (user_id) WHERE verification_status = 'verified'
 ORDER BY average_rating DESC, total_trips DESC, driver_id LIMIT 20""",
 }
+REPORTS_SQL["all_rides_page_by_key"] = REPORTS_SQL["all_rides_page"]

@@ -39,6 +39,11 @@ class Query:
 
 
 def _reports() -> dict[str, tuple[str, Callable[[Tables], DataFrame]]]:
+    def second_page(t):
+        """The page behind the last row of the first one."""
+        last = wide.all_rides_page(t, limit=50).collect()[-1:]
+        return wide.all_rides_page(t, limit=50, after=(last[0].request_time, last[0].ride_id) if last else None)
+
     return {
         "users_list": ("FL1", lists.users_list),
         "suspended_drivers_list": ("FL1", lambda t: lists.users_list(t, "driver", "suspended")),
@@ -71,6 +76,7 @@ def _reports() -> dict[str, tuple[str, Callable[[Tables], DataFrame]]]:
         ),
         "ride_detail": ("JN4", wide.ride_detail),
         "all_rides_page": ("JN5, WN6", lambda t: wide.all_rides_page(t, limit=50, offset=50)),
+        "all_rides_page_by_key": ("JN5, WN6", second_page),
         "completed_rides_by_rider": ("JN6", wide.completed_rides_by_rider),
         "rider_ride_history": ("JN7", wide.rider_ride_history),
         "driver_rides": ("JN8", wide.driver_rides),

@@ -3,8 +3,9 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from ridelake.operators import aggregates, events, lists, matching, pricing, ranked, wide
+from ridelake.operators import aggregates, common, events, lists, matching, pricing, ranked, wide
 from ridelake.plans import keyed
 from ridelake.plans.session import shared_dir
 from ridelake.sources import ingest
@@ -114,3 +115,26 @@ def test_rider_history_joins_each_dimension_once(stored):
 def test_users_are_not_sorted_for_all_keys(stored):
     assert "rangepartitioning" not in plan(wide.payment_history(stored))
     assert "rangepartitioning" in plan(wide.payment_history(stored, user_id=3))
+
+
+def test_a_deep_page_by_key_sorts_no_row_before_it(stored):
+    last = wide.all_rides_page(stored, limit=1, offset=699).first()
+    by_key = wide.all_rides_page(stored, limit=50, after=(last.request_time, last.ride_id))
+    assert {r.ride_id for r in by_key.collect()} == {r.ride_id for r in wide.all_rides_page(stored, limit=50, offset=700).collect()}
+    text = by_key._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(Or(LessThan(request_time" in text
+    assert "limit=50" in text and "limit=750" not in text and "Offset" not in text
+
+
+def test_pages_by_key_reach_every_ride_once(spark):
+    rides = spark.createDataFrame(
+        [(i, None if i % 4 == 0 else f"2024-01-0{1 + i % 3} 10:00:00") for i in range(25)], "ride_id long, at string"
+    ).withColumn("at", F.col("at").cast("timestamp_ntz"))
+    order, after, seen = [F.desc("at"), F.asc("ride_id")], None, []
+    while True:
+        page = common.paginate(rides if after is None else rides.where(common.past("at", "ride_id", after)), order, 4).collect()
+        if not page:
+            break
+        seen += [r.ride_id for r in page]
+        after = (page[-1].at, page[-1].ride_id)
+    assert seen == [r.ride_id for r in rides.orderBy(*order).collect()]
