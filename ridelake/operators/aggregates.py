@@ -417,10 +417,11 @@ def _amount_if(status: str) -> Column:
 
 
 def _weight(name: str, status: str | None = None) -> Column:
-    weight = F.col("weight")
-    if status:
-        weight = F.when(F.col("payment_status") == status, weight).otherwise(F.lit(0))
-    return _zero(F.sum(weight)).cast("bigint").alias(name)
+    """Number of payments (no rows: 0), or of those with ``status`` (no rows: null)."""
+    if status is None:
+        return _zero(F.sum("weight")).cast("bigint").alias(name)
+    hit = F.when(F.col("payment_status") == status, F.col("weight")).otherwise(F.lit(0))
+    return F.sum(hit).cast("bigint").alias(name)
 
 
 def refund_totals(t: Tables) -> DataFrame:
