@@ -28,7 +28,6 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 DATE = "1970-01-01T00:00:00Z"
 _CHUNK = 1 << 18
-_MAX_HEAD = 1 << 20
 
 MANIFEST = "path string, n_records long, n_bytes long"
 RECORDS = """path string, offset long, record_type string, record_id string, target_uri string, page_id long,
@@ -76,14 +75,14 @@ def record(page: int | None, url: str | None, payload: bytes, refers_to: int | N
 def with_revisits(pages: DataFrame, page_id: str, url: str, html: str, min_payload: int) -> DataFrame:
     """(page_id, url, payload, refers_to): of equal payloads of at least ``min_payload`` bytes all but the largest id refer to it.
 
-    Payloads are compared by SHA-1 and length. Rows sharing the largest id are all responses; a row without id is a revisit if
+    Payloads are compared by SHA-256 and length; the SHA-1 that records show does not decide. Rows sharing the largest id are all responses; a row without id is a revisit if
     a row with an id has its payload.
     """
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"),
         F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"),
     ).withColumn("size", F.octet_length("payload"))
-    key = F.concat(F.sha1("payload"), F.lit("-"), F.col("size").cast("string"))
+    key = F.concat(F.sha2("payload", 256), F.lit("-"), F.col("size").cast("string"))
     large = rows.where(F.col("size") >= min_payload).withColumn("key", key)
     groups = large.groupBy("key").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"))
     # A table of its own, so that the join may split a payload that very many pages share.
@@ -143,10 +142,10 @@ def write_archives(
 
 
 class _Member:
-    """The decompressed bytes of one gzip member, taken from a stream step by step."""
+    """The decompressed bytes of one gzip member, taken from a stream step by step. A head of any length is held whole."""
 
     def __init__(self, source, held: bytes):
-        self.source, self.raw, self.ready = source, held, b""
+        self.source, self.raw, self.ready = source, held, bytearray()
         self.engine = zlib.decompressobj(31)
         self.used = 0
 
@@ -167,17 +166,21 @@ class _Member:
         return False
 
     def until(self, mark: bytes) -> bytes:
-        while mark not in self.ready:
-            if len(self.ready) > _MAX_HEAD or not self.more():
+        seen = 0
+        while (at := self.ready.find(mark, seen)) < 0:
+            seen = max(len(self.ready) - len(mark) + 1, 0)
+            if not self.more():
                 raise ValueError("a record has no end of header")
-        head, _, self.ready = self.ready.partition(mark)
+        head = bytes(self.ready[:at])
+        del self.ready[:at + len(mark)]
         return head
 
     def exactly(self, size: int) -> Iterator[bytes]:
         while size:
             if not self.ready and not self.more():
                 raise ValueError("a record is shorter than its content length")
-            part, self.ready = self.ready[:size], self.ready[size:]
+            part = bytes(self.ready[:size])
+            del self.ready[:size]
             size -= len(part)
             yield part
 
@@ -207,16 +210,16 @@ def read_records(source, with_payload: bool = False) -> Iterator[dict]:
         fields = _fields(member.until(CRLF * 2))
         size, block, payload = int(fields["content-length"]), hashlib.sha1(), hashlib.sha1()
         is_http = fields.get("content-type", "").startswith("application/http")
-        head, n_payload, kept = b"" if is_http else None, 0, []
+        head, n_payload, kept = bytearray() if is_http else None, 0, []
         for part in member.exactly(size):
             block.update(part)
             if head is not None:
+                seen = max(len(head) - 3, 0)
                 head += part
-                if CRLF * 2 not in head:
-                    if len(head) > _MAX_HEAD:
-                        raise ValueError("an HTTP header has no end")
+                at = head.find(CRLF * 2, seen)
+                if at < 0:
                     continue
-                http, _, part = head.partition(CRLF * 2)
+                http, part = bytes(head[:at]), bytes(head[at + 4:])
                 head = None
             payload.update(part)
             n_payload += len(part)

@@ -38,6 +38,19 @@ def test_round_trip(spark, folder, least):
     assert warc.read_archives(empty).count() == 0
 
 
+def test_heads_of_any_length(spark, folder):
+    rows = [(1, "http://a/" + "q" * 3_000_000, "<p>"), (2, "http://b/" + "ä\r\n\r\n" * 100_000, "<p>"), (3, "c", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r for r in warc.read_archives(warc.write_archives(df, folder + "/heads"), with_payload=True).collect()}
+    assert found[1].target_uri == rows[0][1] and len(found[2].target_uri) == 9 + 13 * 100_000
+    assert all(r.digest_ok for r in found.values()) and found[1].refers_to == 2 and bytes(found[3].payload) == b"x"
+    block = b"HTTP/1.1 200 OK\r\nX-Long: " + b"h" * 2_000_000 + b"\r\n\r\nbody"
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % len(block)
+    packed = zlib.compressobj(6, zlib.DEFLATED, 31)
+    data = packed.compress(head + block + b"\r\n\r\n") + packed.flush()
+    assert [r["payload"] for r in warc.read_records(io.BytesIO(data), True)] == [b"body"]
+
+
 def test_reader_finds_damage():
     data = warc.record(1, "u", b"hello" * 100, None) + warc.record(2, "u", b"world", 1)
     rows = list(warc.read_records(io.BytesIO(data), True))
