@@ -72,6 +72,14 @@ def _window_hashes(raw: np.ndarray) -> tuple[np.ndarray, ...]:
     return h8, gram, h32, _pair(h32[:32 - WIDTH], h32[WIDTH - 32:], 6)
 
 
+def _even(gram: np.ndarray) -> np.ndarray:
+    """The ``_GRAM_BITS`` numbers dealt anew, one to one: hashes chosen as minima crowd near zero."""
+    mask = np.uint64((1 << _GRAM_BITS) - 1)
+    gram = (gram ^ (gram >> np.uint64(20))) * _K[8] & mask
+    gram = (gram ^ (gram >> np.uint64(17))) * _K[6] & mask
+    return gram ^ (gram >> np.uint64(20))
+
+
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
     """Minimum over each ``width`` neighbours, by doubling."""
     reach, low = 1, keys
@@ -125,7 +133,7 @@ class Phrases:
             opens = closes = np.zeros(0, np.int64)
         first, last = valid[opens], valid[closes]
         tail = _mix(windows[last] * _K[9] + (last - first).astype(np.uint64)) >> np.uint64(32)
-        gram = least[first] >> np.uint64(64 - _GRAM_BITS)
+        gram = _even(least[first] >> np.uint64(64 - _GRAM_BITS))
         place = (least[first] & _POSITION).astype(np.int64)
         left, right = np.full(len(first), _NONE), np.full(len(first), _NONE)
         some = np.flatnonzero(place - first >= _HALF)
