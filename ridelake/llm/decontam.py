@@ -4,7 +4,7 @@ A text becomes typed tokens: numbers, units behind a number, and capitalised wor
 as a slot, a run of names or of number words into one; other words count in lower case. Windows of ``WINDOW`` tokens with enough literal words are hashed. Documents and benchmark items are
 joined on the hashes. Hits of one document and item on one alignment are put together; the largest set of them in which each item value
 has one document value counts if it covers enough tokens, so a question with other numbers or names is caught. Where values
-contradict each other, the set must cover twice as much, or hold a longer stretch than the least one word for word. An item without
+contradict each other, the set must cover twice as much, or hold a stretch of the least cover word for word. An item without
 a window of enough literal words (short, or dense in values) is looked up by one hash over all its words, without placeholders.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, MIN_LITERALS, MIN_COVER = 8, 5, 12
-_SLICE, _TABLE_BITS, _STEPS = 500, 24, 20_000
+_SLICE, _TABLE_BITS = 500, 24
 _TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n]")
 # Units, and the words for small numbers.
 UNITS = frozenset("""kg g mg km m cm mm mile miles metre metres meter meters gram grams kilogram kilograms litre litres
@@ -190,35 +190,85 @@ def _covered(places: list[int], window: int) -> tuple[int, int]:
     return total, longest
 
 
+def _score(some: list[tuple[int, dict]], window: int, last: int | None = None) -> tuple[int, int, int, int]:
+    """(tokens covered behind the window at ``last``, windows, values as in the item, minus other values) of sorted windows."""
+    cover = same = other = 0
+    for place, slots in some:
+        cover += window if last is None else min(window, place - last)
+        last = place
+        equal = sum(v == k[1] for k, v in slots.items())
+        same, other = same + equal, other + len(slots) - equal
+    return cover, len(some), same, -other
+
+
+def _first_come(hits: list[tuple[int, dict]]) -> list[tuple[int, dict]]:
+    """The windows that agree with all taken before them."""
+    held: dict[tuple, str] = {}
+    some = []
+    for hit in hits:
+        if all(held.get(k, v) == v for k, v in hit[1].items()):
+            held |= hit[1]
+            some.append(hit)
+    return some
+
+
 def agreeing(hits: list[tuple[int, dict]], window: int) -> list[tuple[int, dict]]:
     """The windows (place, {item slot: document value}) of the largest cover in which each item slot has one value.
 
-    Branches on the slots with several values, larger sides first; after ``_STEPS`` branches the best set so far counts.
+    Of equal covers the one with more windows, then with more values as in the item. Exact: the windows are taken or left in
+    order, the best choice is kept for each set of values that later windows still ask for, and a choice goes once all later windows
+    that agree with it cannot lift it above the best set known. The work may double with each contradicted slot open at one place.
     """
-    def score(some):
-        return _covered([p for p, _ in some], window)[0], len(some), sum(v == k[1] for _, s in some for k, v in s.items())
-
-    best = [h for h in hits if all(v == k[1] for k, v in h[1].items())]  # word for word
-    top, open_sets, steps = score(best), [hits], 0
-    while open_sets and steps < _STEPS:
-        steps += 1
-        some = open_sets.pop()
-        now = score(some)
-        if now[:2] < top[:2]:
-            continue
-        values: dict[tuple, dict] = {}
-        for _, slots in some:
-            for key, value in slots.items():
-                sides = values.setdefault(key, {})
-                sides[value] = sides.get(value, 0) + 1
-        split = max((k for k in values if len(values[k]) > 1), key=lambda k: (sum(values[k].values()), k), default=None)
-        if split is None:
-            if now > top:
-                best, top = some, now
-            continue
-        for value in sorted(values[split], key=lambda v: (values[split][v], v == split[1], v)):
-            open_sets.append([h for h in some if h[1].get(split, value) == value])
-    return best
+    hits = sorted(hits, key=lambda h: h[0])
+    values: dict[tuple, set] = {}
+    ends: dict[tuple, int] = {}
+    for i, (_, slots) in enumerate(hits):
+        for key, value in slots.items():
+            values.setdefault(key, set()).add(value)
+            ends[key] = i
+    torn = {k for k, v in values.items() if len(v) > 1}
+    if not torn:
+        return hits
+    asked = [{k: v for k, v in slots.items() if k in torn} for _, slots in hits]
+    known = [[h for h in hits if all(v == k[1] for k, v in h[1].items())], _first_come(hits), _first_come(hits[::-1])[::-1]]
+    best = max(known, key=lambda some: _score(some, window))
+    floor = _score(best, window)
+
+    def hopeless(state: tuple, score: tuple, at: int) -> bool:
+        held = dict(state[0])
+        rest = [h for h, a in zip(hits[at:], asked[at:], strict=True) if all(held.get(k, v) == v for k, v in a.items())]
+        more = _score(rest, window, state[1])
+        return tuple(x + y for x, y in zip(score[:3], more[:3], strict=True)) <= floor[:3]
+
+    # (values of open torn slots, last place taken if it still overlaps) -> (score, windows taken, last first)
+    states: dict[tuple, tuple] = {(frozenset(), None): ((0, 0, 0, 0), None)}
+    for i, (place, slots) in enumerate(hits):
+        after: dict[tuple, tuple] = {}
+
+        def keep(fixed: dict, last: int | None, score: tuple, taken: tuple | None) -> None:
+            state = (frozenset((k, v) for k, v in fixed.items() if ends[k] > i), last)
+            if state not in after or score > after[state][0]:
+                after[state] = (score, taken)
+
+        for (held, last), (score, taken) in states.items():
+            fixed = dict(held)
+            if last is not None and place - last >= window:
+                last = None
+            fits = all(fixed.get(k, v) == v for k, v in asked[i].items())
+            if fits:
+                more = _score([hits[i]], window, last)
+                keep(fixed | asked[i], place, tuple(x + y for x, y in zip(score, more, strict=True)), (i, taken))
+            if not fits or asked[i].keys() - fixed.keys():
+                keep(fixed, last, score, taken)
+        states = {s: kept for s, kept in after.items() if not hopeless(s, kept[0], i + 1)}
+    if not states:
+        return best
+    score, taken = max(states.values(), key=lambda s: s[0])
+    found = []
+    while taken:
+        found.append(hits[taken[0]])
+        taken = taken[1]
+    return found[::-1]
 
 
 RATED = "doc_id long, item_id long, n_windows long, covered long, reparameterised boolean"
@@ -231,7 +281,7 @@ def contaminated(
     """(doc_id, item_id, n_windows, covered, reparameterised) per document and item it holds.
 
     ``covered`` is the number of tokens in windows that agree on the best alignment; it must reach ``min_cover``, or the whole
-    item if that is shorter. If other windows of the alignment contradict them, it must reach twice ``min_cover``, or a stretch of more than
+    item if that is shorter. If other windows of the alignment contradict them, it must reach twice ``min_cover``, or a stretch of
     ``min_cover`` tokens must be as in the item. ``reparameterised`` tells that a slot has another value than in the item. Rows sharing an
     id (or null) are judged one by one, the best counts. Items without a usable window must occur with all their words in order, case
     aside; ``covered`` is then their number. Null and empty items match nothing. Other columns are not read.
@@ -274,7 +324,7 @@ def contaminated(
                 clash = clash or len(some) < len(hits)
                 covered = _covered([p for p, _ in some], window)[0]
                 exact = _covered([p for p, s in hits if all(v == k[1] for k, v in s.items())], window)[1]
-                if (covered >= 2 * min_cover or exact > min_cover) if clash else covered >= min(min_cover, r["item_size"]):
+                if (covered >= 2 * min_cover or exact >= min_cover) if clash else covered >= min(min_cover, r["item_size"]):
                     changed = any(v != k[1] for _, s in some for k, v in s.items())
                     rated.append((r["doc_id"], r["item_id"], len(some), covered, changed))
             columns = list(zip(*rated, strict=True)) or [()] * 5

@@ -1,3 +1,6 @@
+import itertools
+import random
+
 from ridelake.llm.decontam import agreeing, contaminated
 from ridelake.llm.queries import QUERIES
 
@@ -15,7 +18,7 @@ def test_templates_and_slots(spark):
     ]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, hash int")
     found = {r.doc_id: r for r in contaminated(df, items).collect()}
-    assert set(found) == {1, 2, None, 10, 12}  # not 3: one slot with two values
+    assert set(found) == {1, 2, 3, None, 10, 12}  # 3: one slot with two values, but 12 tokens word for word
     assert not found[1].reparameterised and found[2].reparameterised and found[1].item_id == 7
     assert contaminated(df.limit(0), items).count() == 0 and contaminated(df, items.limit(0)).count() == 0
 
@@ -53,6 +56,37 @@ def test_largest_agreeing_set():
     assert agreeing([], 8) == []
 
 
+def test_agreeing_set_equals_all_subsets():
+    rng = random.Random(5)
+    for _ in range(150):
+        hits = []
+        for place in sorted(rng.sample(range(40), rng.randint(0, 9))):
+            keys = rng.sample("abcd", rng.randint(0, 3))
+            hits.append((place, {("name", k): rng.choice([k, "x", "y"]) for k in keys}))
+
+        def score(some):
+            cover = len({t for p, _ in some for t in range(p, p + 8)})
+            return cover, len(some), sum(v == k[1] for _, s in some for k, v in s.items())
+
+        def fits(some):
+            seen = {}
+            return all(seen.setdefault(k, v) == v for _, s in some for k, v in s.items())
+
+        subsets = (s for n in range(len(hits) + 1) for s in itertools.combinations(hits, n) if fits(s))
+        found = agreeing(hits, 8)
+        assert fits(found) and score(found) == max(map(score, subsets))
+
+
+def test_agreeing_set_of_many_contradictions():
+    # 8 names, each twice in the item and with two values in the text: all open at the middle. Every other window overlaps nothing.
+    twice = [(7 * i, {("name", str(i % 8)): f"{i // 8}"}) for i in range(16)]
+    assert len(agreeing(twice, 8)) == 8
+    # 60 slots, each contradicted by the next windows.
+    near = [(3 * i, {("num", str(i // 2)): "xy"[i % 2], ("name", str(i // 3)): "uvw"[i % 3]}) for i in range(120)]
+    found = agreeing(near, 8)
+    assert len({(k, v) for _, s in found for k, v in s.items()}) == len({k for _, s in found for k in s}) and len(found) >= 40
+
+
 def test_items_without_windows_and_runs(spark):
     runs = "In the summer Mary Ann planted twenty-five small trees behind the long wall while her brothers slept under the roof"
     items = [(1, "What is 7 times 8?"), (2, "3 4 5 6 7 8 9 10 11 12 13 14 15 16"), (3, runs), (4, ""), (5, "?"), (6, "Paris")]
