@@ -2,8 +2,9 @@
 
 A document's tokens are cut into whole windows and a rest. The rest goes, online, to the fill level for which the sum of the squared
 numbers of partly filled windows per level becomes least; the numbers stand in an array by level. At the end of a
-task (or when very many windows are open) the emptiest windows are cut up to fill the others, and the last one is cut
-into powers of two, so no window keeps padding.
+task the emptiest windows are cut up to fill the others, and the last one is cut into powers of two, so no window keeps padding.
+Open windows hold their ids in as few bytes as the vocabulary needs (2 for 49,000 ids), so a task never holds
+more than that per token of its partition.
 
 Each task packs the documents of its partition as they come: no shuffle, and no window spans tasks.
 """
@@ -23,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, END_ID = 2048, 1
-_MAX_OPEN = 8192
 _MAX_PARTS = 800_000
 _GROUP_BYTES = 8 << 20
 _SEQUENCES_PER_TASK = 1 << 33
@@ -108,7 +108,7 @@ def text_groups(texts: pa.Array, group_bytes: int) -> Iterator[tuple[int, int]]:
 class Packer:
     """Windows of one task. Finished pieces are in ``out``: (key, start, ids, document tokens, window, offset)."""
 
-    def __init__(self, window: int, first: int, max_open: int = _MAX_OPEN):
+    def __init__(self, window: int, first: int, max_open: int | None = None):
         self.window, self.next, self.max_open = window, first, max_open
         self.level = np.zeros(window + 1, np.int64)  # number of open windows per fill level
         self.open: dict[int, list[list]] = {}  # pieces of the open windows, by fill level
@@ -121,8 +121,8 @@ class Packer:
         for at in range(0, whole, self.window):
             self._emit([(key, at, ids[at:at + self.window], total)])
         if whole < total:
-            self._place((key, whole, ids[whole:], total))
-        if self.n_open > self.max_open:
+            self._place((key, whole, ids[whole:].copy(), total))
+        if self.max_open is not None and self.n_open > self.max_open:
             self._settle()
 
     def best_level(self, size: int) -> int:
@@ -216,16 +216,19 @@ PIECES = """doc_id long, start long, length long, ids_crc32 long, doc_tokens lon
 
 def pack(
     docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, keep_ids: bool = False,
+    max_open: int | None = None,
 ) -> DataFrame:
     """One row per piece: where its ids lie in its document and in its sequence, and their CRC-32.
 
     ``tokenizer`` is the path of a word-end BPE file on every executor. A document is its text's ids (null: none) and ``END_ID``. Rows
     with equal or null ids are packed each for itself. A sequence id is the task's number times 2**33 plus a
     running number. ``ids`` is null unless asked for. Other columns are not read.
+    ``max_open`` trades the method for memory: once a task has more windows open, they are closed by cutting. By default none are.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WORDS.get(tokenizer) or _WORDS.setdefault(tokenizer, WordIds(tokenizer))
-        packer = Packer(window, TaskContext.get().partitionId() * _SEQUENCES_PER_TASK)
+        packer = Packer(window, TaskContext.get().partitionId() * _SEQUENCES_PER_TASK, max_open)
+        kind = np.uint16 if max(len(words.is_end) - 1, END_ID) < 1 << 16 else np.uint32
 
         def flush() -> pa.RecordBatch:
             rows, packer.out = packer.out, []
@@ -243,7 +246,7 @@ def pack(
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
             for at, size in text_groups(texts, _GROUP_BYTES):
                 for key, ids in zip(keys[at:at + size], words.encode(texts.slice(at, size)), strict=True):
-                    packer.add(key, np.append(ids, np.uint32(END_ID)))
+                    packer.add(key, np.append(ids, END_ID).astype(kind))
                 if len(packer.out) > 20_000:
                     yield flush()
         packer.finish()

@@ -44,7 +44,7 @@ def test_level_choice_is_the_least_sum_of_squares():
         assert p.best_level(size) == max(h for h in allowed if squares(h) == best)
 
 
-@pytest.mark.parametrize("max_open", [4, 1000])
+@pytest.mark.parametrize("max_open", [4, 1000, None])
 def test_packer_keeps_every_token_without_padding(max_open):
     rng = random.Random(3)
     p = Packer(64, 1000, max_open)
