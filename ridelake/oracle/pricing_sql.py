@@ -79,6 +79,9 @@ FROM open_pickups CROSS JOIN latest JOIN driver USING (driver_id)
 WHERE availability_status = 'available' AND verification_status = 'verified'
 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY distance_km, driver_id) = 1""",
     "drivers_within_radius": _within(50),
+    "closest_drivers": f"""SELECT *, CAST(row_number() OVER (PARTITION BY request_id
+    ORDER BY distance_km, average_rating DESC NULLS LAST, driver_id) AS INTEGER) AS place
+FROM ({_within(50)}) QUALIFY place <= 5""",
     "premium_drivers_within_10_km": _within(10, "AND vehicle_type = 'premium'"),
     "trip_estimate": f"WITH {_ESTIMATED} SELECT trip_id, distance_km, duration_min FROM estimated",
     "fare_quote": f"""WITH {_quoted("(SELECT count(*) FROM rides WHERE ride_status = 'requested') > 10")}

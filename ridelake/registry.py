@@ -161,6 +161,9 @@ def _pricing() -> dict[str, tuple[str, Callable[[Tables], DataFrame]]]:
         "drivers_within_radius": (
             "GP4", lambda t: matching.drivers_within_radius(t, feed(t, "open_pickups"))
         ),
+        "closest_drivers": (
+            "GP4", lambda t: matching.closest_drivers(t, feed(t, "open_pickups"), 5)
+        ),
         "premium_drivers_within_10_km": (
             "GP4",
             lambda t: matching.drivers_within_radius(t, feed(t, "open_pickups"), 10, "Premium"),

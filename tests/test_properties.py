@@ -89,6 +89,61 @@ def test_nearest_matches_brute_force(spark, seed):
     assert got == want
 
 
+def _bookable(spark, seed, places):
+    """Seed tables with a bookable driver per place; ratings repeat, one in five is busy."""
+    cut7 = lambda v: D(f"{v:.7f}")
+    frames = {
+        "users": [(i, "a", "b", f"{i}", f"{i}", "driver", "active", D("0"), None, NOW) for i, _, _ in places],
+        "driver": [(i, i, f"{i}", f"{i}", None, "verified", "available" if i % 5 else "busy", D(i % 3), 1) for i, _, _ in places],
+        "vehicles": [(i, i, f"{i}", "m", "n", 2020, "red", "economy", "verified", 1) for i, _, _ in places],
+        "driver_location": [(i, i, cut7(a), cut7(b), NOW) for i, a, b in places],
+    }
+    return seed.replace(**{name: spark.createDataFrame(data, seed[name].schema) for name, data in frames.items()})
+
+
+@pytest.mark.parametrize("k", [1, 4, 40])
+def test_closest_drivers_are_the_first_within_the_radius(spark, seed, k):
+    places = _points(7, 150)
+    places += [(200 + i, 24.86, 67.0) for i in range(60)]  # a depot
+    places += [(300 + i, 24.86 + i * 1e-5, 67.0) for i in range(60)]  # a rank
+    pickups = [*_points(8, 80), (500, 24.86, 67.0), (501, 24.86, 67.0), (502, 24.9, 67.0)]
+    t = _bookable(spark, seed, places)
+    requests = spark.createDataFrame(
+        [(i, D(f"{a:.7f}"), D(f"{b:.7f}")) for i, a, b in pickups], "request_id BIGINT, pickup_lat DECIMAL(10,7), pickup_lng DECIMAL(10,7)"
+    )
+    window = Window.partitionBy("request_id").orderBy("distance_km", F.desc_nulls_last("average_rating"), "driver_id")
+    want = matching.drivers_within_radius(t, requests).withColumn("place", F.row_number().over(window)).where(F.col("place") <= k)
+    got = matching.closest_drivers(t, requests, k)
+    assert rows(got, "request_id", "place", "driver_id", "distance_km") == rows(want, "request_id", "place", "driver_id", "distance_km")
+    assert got.count() > 80 * min(k, 2) / 4
+
+
+def test_closest_drivers_make_pairs_by_k_not_by_density(spark, seed, monkeypatch):
+    made = []
+
+    def counted(*args, **kw):
+        pairs = join_within(*args, **kw)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(matching, "join_within", counted)
+    rng = random.Random(3)
+    t = _bookable(spark, seed, [(i, 24.8 + rng.uniform(0, 0.2), 67.0 + rng.uniform(0, 0.2)) for i in range(4000)])
+    requests = spark.createDataFrame(
+        [(i, D(f"{24.8 + rng.uniform(0, 0.2):.7f}"), D(f"{67.0 + rng.uniform(0, 0.2):.7f}")) for i in range(200)],
+        "request_id BIGINT, pickup_lat DECIMAL(10,7), pickup_lng DECIMAL(10,7)",
+    )
+    assert matching.closest_drivers(t, requests, 3).count() == 600
+    assert sum(made) < 200 * 4000 * 0.8 / 10
+
+
+def test_closest_drivers_without_drivers(spark, seed):
+    none = seed.replace(driver=seed["driver"].where("driver_id < 0"))
+    requests = spark.createDataFrame([(1, D("1"), D("2"))], "request_id BIGINT, pickup_lat DECIMAL(10,7), pickup_lng DECIMAL(10,7)")
+    assert matching.closest_drivers(none, requests, 3).count() == 0
+    assert matching.closest_drivers(seed, requests.limit(0), 3).count() == 0
+
+
 def test_nearest_without_drivers(spark, seed):
     none = seed.replace(driver=seed["driver"].where("driver_id < 0"))
     requests = spark.createDataFrame([(1, D("1"), D("2"))], "request_id BIGINT, pickup_lat DECIMAL(10,7), pickup_lng DECIMAL(10,7)")
