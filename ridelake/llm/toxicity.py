@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridelake.llm.samples import smallest_hashes
+from ridelake.plans.session import cut
 
 # The general terminals.
 INSULTS = """idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown clowns fool
@@ -89,8 +90,9 @@ def matched_clauses(grammar: Grammar, automaton, text: str) -> list[tuple[int, i
         first = last - size + 1
         if last < done or (first and text[first - 1].isalpha()):
             continue  # within a clause that is scored already, or not at a word's beginning
-        begin = max(text.rfind(mark, 0, first) for mark in ".!?;\n") + 1
-        begin = max(begin, done, 0)
+        # Not before the clause scored last, so that the searches of a text add up to its length.
+        since = max(done, 0)
+        begin = max(since, *(text.rfind(mark, since, first) + 1 for mark in ".!?;\n"))
         end = _CLAUSE_END.search(text, last)
         end = end.start() if end else len(text)
         score = clause_score(grammar, _WORD.findall(text, begin, end))
@@ -137,8 +139,8 @@ def learn(
     for y in (0, 1):
         some = smallest_hashes(known.where(F.col("y") == y), "id", max_training)
         picked = some if picked is None else picked.unionByName(some)
-    # At most two times max_training narrow rows, so they are sent to every task.
-    sample = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body")).join(F.broadcast(picked), "id")
+    # At most two times max_training narrow rows, so they are sent to every task. The sample is read four times, the documents once.
+    sample = cut(docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body")).join(F.broadcast(picked), "id"))
     words = sample.select("id", "y", F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("ws"))
     stems = F.array_distinct(F.flatten(F.transform("ws", lambda w: F.transform(
         F.sequence(F.lit(MIN_STEM), F.lit(MAX_STEM)),

@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from ridelake.llm.queries import QUERIES
@@ -36,3 +38,13 @@ def test_nulls_and_no_labels(spark):
     assert len(found) == 5 and all(0 <= r.score <= 1 for r in found)
     assert max(found, key=lambda r: r.score).doc_id is None
     assert score(df.limit(0), Grammar({})).count() == 0
+
+
+def test_long_texts_without_marks_take_linear_time():
+    grammar = Grammar({"idiot": 1.0})
+    automaton = grammar.automaton()
+    text = "you idiot\n" * 200_000
+    begin = time.perf_counter()
+    found = matched_clauses(grammar, automaton, text)
+    assert len(found) == 200_000 and found[1][:2] == (10, 19)
+    assert time.perf_counter() - begin < 20  # minutes when each mark is looked for from the beginning
