@@ -8,21 +8,21 @@ with most words.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridelake.llm.samples import smallest_hashes
+from ridelake.llm.samples import smallest_hashes_per_group
 
 UNKNOWN = "und"
 CELLS, GRAMS = 1 << 16, (1, 2, 3, 4)
-_WORD = re.compile(r"[^\W\d_]+")
-_SLICE = 500
+_WORD = regex.compile(r"\p{L}+")  # letters alone; superscripts, fractions and the like are none
+_SLICE = 1 << 21  # code points labelled at once; a longer text is a slice of its own
 
 # First code points of script ranges, each up to the next one's.
 SCRIPTS = (
@@ -149,21 +149,32 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     return labels
 
 
+def slices(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in their order, in runs of up to ``_SLICE`` code points or of one longer text."""
+    run, size = [], 0
+    for text in texts:
+        if run and size + len(text or "") > _SLICE:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text or "")
+    if run:
+        yield run
+
+
 def label_words(model: Model, texts: list[str | None], penalty: float, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Labels of all words of all texts, and the number of words per text."""
-    scores, lengths = [], []
-    for at in range(0, len(texts), _SLICE):
-        words = [words_of(t) for t in texts[at:at + _SLICE]]
-        lengths += [len(w) for w in words]
+    """Labels of all words of all texts, and the number of words per text. Memory: words by languages of one slice."""
+    labels, lengths = [np.zeros(0, np.int16)], []
+    for run in slices(texts):
+        words = [words_of(t) for t in run]
+        counts = np.array([len(w) for w in words], np.int64)
+        lengths.append(counts)
         flat = pa.array(list(chain.from_iterable(words)), pa.string())
         if len(flat):
             coded = flat.dictionary_encode()
             by_word = model.word_scores(coded.dictionary.to_pylist(), floor)
-            scores.append(by_word[coded.indices.to_numpy()])
-    lengths = np.array(lengths, np.int64)
-    width = len(model.languages)
-    scores = np.concatenate(scores) if scores else np.zeros((0, width), np.float32)
-    return viterbi(scores, lengths, penalty), lengths
+            labels.append(viterbi(by_word[coded.indices.to_numpy()], counts, penalty))
+    return np.concatenate(labels), np.concatenate([np.zeros(0, np.int64), *lengths])
 
 
 def _spans(text: str, labels: np.ndarray, languages: list[str]) -> list[dict]:
@@ -182,15 +193,16 @@ RESULT = "doc_id long, lang_pred string, score double, spans array<struct<begin:
 
 def identify(
     docs: DataFrame, training: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-    max_training: int = 4000, penalty: float = 12.0, floor: float = -8.0, with_spans: bool = False,
+    max_training: int = 1000, penalty: float = 12.0, floor: float = -8.0, with_spans: bool = False,
 ) -> DataFrame:
     """(doc_id, lang_pred, score, spans) per row of ``docs``, its columns other than id and text unread.
 
-    The model is fitted on the ``max_training`` rows of ``training`` with the smallest hashed ids. ``score`` is the share of words
+    The model is fitted on the ``max_training`` rows of each language in ``training`` with the smallest hashed ids, so a rare
+    language is learned too. ``score`` is the share of words
     labelled with the predicted language, ties going to the first by name. A null text, one without letters, or
     no training rows give ``und`` and 0. Spans (begin, end in code points, language) are null unless asked for.
     """
-    sample = smallest_hashes(training.where(F.col(lang).isNotNull()), doc_id, max_training)
+    sample = smallest_hashes_per_group(training, doc_id, lang, max_training)
     model = train(sample, text, lang)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # cells by languages: a fixed size per language
 

@@ -46,3 +46,31 @@ def test_scripts_spans_and_empty_cases(spark):
     assert (by[2].lang_pred, by[2].score, by[3].lang_pred) == ("und", 0.0, "und") and by[4].score == 1.0
     assert {r.lang_pred for r in langid.identify(df, train.limit(0)).collect()} == {"und"}
     assert langid.identify(df.limit(0), train).count() == 0
+
+
+def test_numerals_are_no_letters(spark):
+    train = spark.createDataFrame([(i, "the water and the house", "en") for i in range(20)], "doc_id long, text string, lang string")
+    texts = [(1, "\u00bd \u00b2"), (2, "\u2167 12 _ \u0661"), (3, "water\u00b2"), (4, "\u6c34")]
+    found = {r.doc_id: r for r in langid.identify(spark.createDataFrame(texts, "doc_id long, text string"), train).collect()}
+    assert [found[i].lang_pred for i in (1, 2, 3, 4)] == ["und", "und", "en", "en"]
+    assert [found[i].score for i in (1, 2)] == [0.0, 0.0]
+
+
+def test_a_rare_language_is_learned(spark):
+    rows = [(i, "the water and the green house", "en") for i in range(300)] + [(1000, "zzyx qwrk vvlk zzyx", "xx")]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(1, "qwrk zzyx vvlk qwrk"), (2, "green water")], "doc_id long, text string")
+    found = {r.doc_id: r.lang_pred for r in langid.identify(docs, train, max_training=10).collect()}
+    assert found == {1: "xx", 2: "en"}
+
+
+def test_slices_change_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 50, (2, langid.CELLS))
+    model = langid.Model(["a", "b"], counts, np.ones((2, len(langid._NAMES)), int), 0.01)
+    texts = ["water house", None, "", "green " * 40, "the and the", "12", "house"]
+    whole = langid.label_words(model, texts, 1.0, -8.0)
+    monkeypatch.setattr(langid, "_SLICE", 12)
+    assert [len(s) for s in langid.slices(texts)] == [3, 1, 1, 2]
+    parts = langid.label_words(model, texts, 1.0, -8.0)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
