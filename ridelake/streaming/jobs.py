@@ -24,7 +24,8 @@ from ridelake.schema import DEMAND_THRESHOLD
 from ridelake.sources.ingest import judge_pings, judge_pings_as_of
 from ridelake.sources.snapshots import Snapshot
 from ridelake.streaming.batches import read_batches, run_batches, write_batch
-from ridelake.streaming.state import Newest, RunningSum, RunningTotals, StatusSteps, keyed
+from ridelake.streaming.bulk import BulkSteps, BulkSum, in_bulk
+from ridelake.streaming.state import RunningTotals, StatusSteps, keyed
 
 RETIRE = "30 days"  # how long a finished ride or payment stays in the state after its last row
 RIDE_DONE, PAYMENT_DONE = ("completed", "cancelled"), ("paid", "refunded", "failed")
@@ -95,16 +96,16 @@ def latest_locations(spark: SparkSession, out: str) -> DataFrame:
 def stream_positions(history: DataFrame, pings: DataFrame, t: Tables, out: str, retire: str = RETIRE, **run) -> StreamingQuery:
     """Newest position per driver from pings and from the drop-offs of rides as they are completed.
 
-    One query with two stateful operators: the status of each ride gives the drop-offs, which join the
-    pings and feed the newest position of each driver. Either stream may lag behind the other.
+    The status of each ride, which is state, gives the drop-offs; they join the pings, and the newest of a micro-batch
+    goes into the snapshot if it is newer than what that has. Either stream may lag behind the other.
     """
-    changed = status_changes(history, "ride_id", "history_id", RIDE_DONE, retire)
+    changed = many_status_changes(history, "ride_id", "history_id", RIDE_DONE, retire)
     columns = ("location_id", "driver_id", "latitude", "longitude", "timestamp")
     placed = events.dropoffs(changed.where("status = 'completed'"), t).select(*columns)
-    newest = keyed(placed.unionByName(pings.select(*columns)), "driver_id", Newest(["timestamp", "location_id", "latitude", "longitude"]), LOCATION)
     kept = location_snapshot(history.sparkSession, out)
     return run_batches(
-        newest, lambda batch, n: kept.merge(batch, newest_per_driver, n), f"{out}/checkpoint", reuse=False, idle_batches=False, **run
+        placed.unionByName(pings.select(*columns)), lambda batch, n: kept.merge(newest_per_driver(batch), newest_per_driver, n),
+        f"{out}/checkpoint", reuse=False, idle_batches=False, **run,
     )
 
 
@@ -181,7 +182,7 @@ def stream_payment_completes_ride(
     stream: DataFrame, out: str, retire: str = RETIRE, **run
 ) -> StreamingQuery:
     """Changes of payments to paid; fold them into rides with ``rides_after_payments``."""
-    steps = status_changes(stream, "payment_id", "change_id", PAYMENT_DONE, retire, "ride_id")
+    steps = many_status_changes(stream, "payment_id", "change_id", PAYMENT_DONE, retire, "ride_id")
     paid = events.only_paid(steps)
     return run_batches(
         paid, lambda batch, n: write_batch(batch, f"{out}/rows", n), f"{out}/checkpoint", reuse=False, idle_batches=False, **run
@@ -246,6 +247,15 @@ def status_changes(
     )
 
 
+def many_status_changes(
+    stream: DataFrame, key: str, event: str, done: Sequence[str], retire: str = RETIRE, *carry: str, keep_all: bool = False,
+) -> DataFrame:
+    """``status_changes`` for very many keys, whose statuses are kept by the bucket."""
+    wait = int(pd.Timedelta(retire).total_seconds() * 1000)
+    rows = stream.select(event, key, *carry, "status", "timestamp")
+    return in_bulk(rows, BulkSteps(key, ["timestamp", event], done, wait, keep_all), "previous_status string", timers=True)
+
+
 def stream_ride_effects(stream: DataFrame, t: Tables, out: str, retire: str = RETIRE, **run) -> StreamingQuery:
     """History rows, freed drivers and drop-off pings from ride status changes."""
     changed = status_changes(stream, "ride_id", "history_id", RIDE_DONE, retire)
@@ -262,17 +272,14 @@ def stream_double_booking_guard(stream: DataFrame, out: str, retire: str = RETIR
 
     Two stateful operators in one query: the status of each ride gives steps, the steps of each driver a running sum.
     """
-    updates = status_changes(
+    updates = many_status_changes(
         stream.where("kind = 'update'"), "ride_id", "event_id", RIDE_DONE, retire, "driver_id", "kind", keep_all=True
     )
     columns = ("event_id", "driver_id", "timestamp", "kind", "step")
     asked = stream.where("kind = 'insert'").withColumn("step", F.lit(0).cast("long"))
     moved = updates.withColumn("step", events.open_step().cast("long"))
     steps = moved.select(*columns).unionByName(asked.select(*columns))
-    summed = keyed(
-        steps, "driver_id", RunningSum("open", ["timestamp", "event_id"]),
-        "event_id long, driver_id long, timestamp timestamp_ntz, kind string, step long, open long",
-    )
+    summed = in_bulk(steps, BulkSum("driver_id", "open", ["timestamp", "event_id"]), "open long")
     return run_batches(
         events.guarded(summed), lambda batch, n: write_batch(batch, f"{out}/decisions", n), f"{out}/checkpoint",
         reuse=False, idle_batches=False, **run,

@@ -212,3 +212,45 @@ def test_a_driver_registered_while_the_stream_runs(spark, folder):
     assert rows(read_batches(spark, f"{folder}/out/rejected"), "location_id", "reject_reason") == [
         (2, "unknown_driver"), (3, "unknown_driver"), (6, "inactive_driver"), (7, "unknown_driver"), (8, "unknown_driver")
     ]
+
+
+def test_very_many_keys_share_calls_and_keep_the_rules(spark, folder):
+    """Null keys, statuses and times, equal places, far times: as the call per key has it, from a state by the bucket."""
+    at = lambda year, *more: dt.datetime(year, 1, 1, *more)
+    made = [
+        [(1, 7, "accepted", at(2024)), (2, 7, "completed", at(2024)), (3, None, "accepted", at(2024, 1)), (None, 8, "accepted", at(1, 1)),
+         (4, 8, None, at(9999, 12, 31, 5)), (5, 9, "accepted", None), (6, 2**60 + 1, "accepted", dt.datetime(1960, 2, 3, 4, 5, 6, 789123))],
+        [(8, None, "completed", at(2024)), (9, 8, "completed", at(2025)), (10, 9, "accepted", at(2026)), (11, 9, "cancelled", at(2026)),
+         (12, 2**60 + 1, "cancelled", dt.datetime(9999, 12, 31, 23, 59, 59, 999999)), (13, 2**60, "completed", at(2024)), (14, 7, "accepted", None)],
+    ]
+    schema = "history_id long, ride_id long, status string, timestamp timestamp_ntz"
+    got = {}
+    for name, job in (("keys", jobs.status_changes), ("bulk", jobs.many_status_changes)):
+        for keep_all in (False, True):
+            out = f"{folder}/{name}{keep_all}"
+            for part in made:
+                spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{out}/in")
+                stream = jobs.read_feed(spark, f"{out}/in", schema)
+                changed = job(stream, "ride_id", "history_id", jobs.RIDE_DONE, keep_all=keep_all)
+                jobs.run_batches(
+                    changed, lambda batch, n, o=out: write_batch(batch, f"{o}/rows", n), f"{out}/checkpoint", reuse=False, idle_batches=False
+                ).awaitTermination()
+            got[name, keep_all] = rows(read_batches(spark, f"{out}/rows"), "history_id", "ride_id", "status", "timestamp", "previous_status")
+    assert got["bulk", True] == got["keys", True] and len(got["bulk", True]) == 14
+    assert got["bulk", False] == got["keys", False] and len(got["bulk", False]) == 5
+    assert _held(spark, f"{folder}/bulkTrue", "bucket").count() <= 6  # buckets, and those without a ride
+
+
+def test_finished_payments_leave_a_bucket_by_timer(spark, folder):
+    schema = "change_id long, payment_id long, ride_id long, status string, timestamp timestamp_ntz"
+    def feed_in(*made):
+        made = [(i, payment, 1, status, dt.datetime(2024, 1, 1, 0, i)) for i, payment, status in made]
+        spark.createDataFrame(made, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = jobs.read_feed(spark, f"{folder}/in", schema)
+        jobs.stream_payment_completes_ride(stream, f"{folder}/out", retire="1 second").awaitTermination()
+        return _held(spark, f"{folder}/out", "bucket").count()
+
+    assert feed_in((1, 1, "failed"), (2, 2, "pending")) == 2
+    assert feed_in((3, 3, "pending")) == 2  # payment 1 is gone, 2 and 3 are not
+    assert feed_in((4, 1, "paid"), (5, 2, "paid"), (6, 3, "paid")) == 3
+    assert rows(read_batches(spark, f"{folder}/out/rows"), "payment_id") == [(2,), (3,)]  # payment 1 began anew
