@@ -3,12 +3,15 @@
 import re
 
 import pytest
+from conftest import rows
 from pyspark.sql import functions as F
 
 from ridelake.operators import aggregates, common, events, lists, matching, pricing, ranked, wide
 from ridelake.plans import keyed
 from ridelake.plans.session import shared_dir
+from ridelake.registry import all_queries
 from ridelake.sources import ingest
+from ridelake.sources.adapter import ride_tables
 from ridelake.sources.feeds import feed
 from ridelake.sources.tables import load_tables, write_tables
 
@@ -138,3 +141,13 @@ def test_pages_by_key_reach_every_ride_once(spark):
         seen += [r.ride_id for r in page]
         after = (page[-1].at, page[-1].ride_id)
     assert seen == [r.ride_id for r in rides.orderBy(*order).collect()]
+
+
+def test_registered_radius_searches_ask_for_every_hundredth_pickup(spark):
+    """All pickups against all drivers are quadratic; the searches take ids divisible by 100, and all drivers."""
+    tables = ride_tables(spark, "/root/testdata/sf0.01")
+    asked = feed(tables, "searched_pickups")
+    assert rows(asked) == rows(feed(tables, "open_pickups").where("request_id % 100 = 0")) != []
+    got = all_queries()["drivers_within_radius"].run(tables)
+    assert got.count() == matching.drivers_within_radius(tables, asked).count() > 0
+    assert got.where("request_id % 100 <> 0").isEmpty()
