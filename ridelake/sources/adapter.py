@@ -40,6 +40,22 @@ def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(BASE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+LINES_PER_TASK = 500_000  # sorted with an order's rows beside them, some 300 MB
+
+
+def spread(rows: DataFrame, key: str, per_task: int | None = None) -> DataFrame:
+    """``rows`` dealt by ``key`` so that a task sorts ``per_task`` of them, however many there are.
+
+    Spark joins small partitions together by their compressed bytes; rows that compress well would make tasks that
+    take several GB. Where there are few rows for each core, Spark's own choice stays.
+    """
+    spark, per_task = rows.sparkSession, per_task or LINES_PER_TASK
+    tasks = -(-rows.count() // per_task)  # from the files' footers
+    if tasks <= spark.sparkContext.defaultParallelism:
+        return rows
+    return rows.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def _minutes(column: str):
     return f"make_dt_interval(0, 0, CAST({column} AS INT), 0)"
 
@@ -202,7 +218,7 @@ def ride_tables(spark: SparkSession, sf_dir: str) -> RideTables:
             "l_linenumber", "l_shipdate", "l_extendedprice", "l_suppkey", "l_returnflag", "l_linestatus"
         )
         riders = base("orders").selectExpr("o_orderkey", RIDER).withColumn("np", row_count("part"))
-        numbered = base("lineitem").withColumn("n", F.row_number().over(in_order))
+        numbered = spread(base("lineitem"), "l_orderkey").withColumn("n", F.row_number().over(in_order))
         return numbered.join(riders, F.expr("l_orderkey = o_orderkey")).selectExpr(
             "l_orderkey * 1009 + n AS payment_id",
             "l_orderkey AS ride_id",
@@ -325,15 +341,14 @@ def ride_tables(spark: SparkSession, sf_dir: str) -> RideTables:
 
     def driver_payouts(t):
         """One payout per driver and week of paid amounts."""
-        paid = (
-            t["payments"].where("payment_status = 'paid'")
-            .groupBy("ride_id", F.expr("datediff(to_date(transaction_date), DATE'1990-01-01') div 7").alias("week"))
-            .agg(F.sum("amount").alias("gross"))
+        paid = t["payments"].where("payment_status = 'paid'").select(
+            "ride_id", "amount", F.expr("datediff(to_date(transaction_date), DATE'1990-01-01') div 7").alias("week")
         )
         rides_by_driver = t["rides"].where("driver_id IS NOT NULL").select("ride_id", "driver_id")
         weekly = (
+            # A ride has few payments in a week: summing them before the join would hold nearly all of them.
             paid.join(rides_by_driver, "ride_id")
-            .groupBy("driver_id", "week").agg(F.sum("gross").alias("gross"))
+            .groupBy("driver_id", "week").agg(F.sum("amount").alias("gross"))
             .withColumn("payout_id", F.expr("driver_id * 100000 + week"))
             .withColumn("period_end", F.expr("date_add(DATE'1990-01-01', CAST(week * 7 + 7 AS INT))"))
         )

@@ -11,7 +11,7 @@ from ridelake.plans import keyed
 from ridelake.plans.session import shared_dir
 from ridelake.registry import all_queries
 from ridelake.sources import ingest
-from ridelake.sources.adapter import ride_tables
+from ridelake.sources.adapter import ride_tables, spread
 from ridelake.sources.feeds import feed
 from ridelake.sources.tables import load_tables, write_tables
 
@@ -151,3 +151,30 @@ def test_registered_radius_searches_ask_for_every_hundredth_pickup(spark):
     got = all_queries()["drivers_within_radius"].run(tables)
     assert got.count() == matching.drivers_within_radius(tables, asked).count() > 0
     assert got.where("request_id % 100 <> 0").isEmpty()
+
+
+def test_lines_are_dealt_to_more_tasks_as_they_grow(spark):
+    lines = spark.range(1000).withColumnRenamed("id", "l_orderkey")
+    assert spread(lines, "l_orderkey", 500) is lines
+    assert spread(lines, "l_orderkey", 10).rdd.getNumPartitions() == 100
+    assert spread(lines, "l_orderkey", 5).rdd.getNumPartitions() == 200
+
+
+def test_payouts_are_summed_by_driver_and_week_alone(tables):
+    plan = tables["driver_payouts"]._jdf.queryExecution().optimizedPlan().toString()
+    keys = [re.sub(r"#\d+L?", "", k) for k in re.findall(r"Aggregate \[([^\]]*)\], \[", plan)]
+    assert keys == ["driver_id, week"]
+
+
+def test_refund_decisions_derive_the_payments_once(spark, tables):
+    seen = spark.sparkContext.accumulator(0)
+
+    def see(payment):
+        seen.add(1)
+        return True
+
+    payments = tables["payments"]
+    watched = payments.where(F.udf(see, "boolean").asNondeterministic()("payment_id"))
+    decided = all_queries()["refund_decisions"].run(tables.replace(payments=watched))
+    assert decided.count() == 2 * payments.count()
+    assert seen.value == payments.count()
