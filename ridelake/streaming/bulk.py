@@ -131,6 +131,13 @@ class Bulk(StatefulProcessor):
         pass
 
 
+def _running(values: np.ndarray, first: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of each key's ``values`` up to every row, on top of ``start``; ``first`` marks a key's first row."""
+    run = np.cumsum(values)
+    before = np.append(0, run[np.flatnonzero(first)[1:] - 1])
+    return run - before[np.cumsum(first) - 1] + start
+
+
 class BulkSum(Bulk):
     """Each row with the running sum of ``step`` of its key as ``name``; a sum of 0 is not kept."""
 
@@ -141,17 +148,31 @@ class BulkSum(Bulk):
         self.name = name
 
     def step(self, frame, keys, code, first, start, leaves, timerValues) -> Iterator[pd.DataFrame]:
-        run = np.cumsum(frame["step"].to_numpy(np.int64))
-        begins = np.flatnonzero(first)
-        before = np.append(0, run[begins[1:] - 1])
-        sums = run - before[np.cumsum(first) - 1] + start["total"][code]
-        total = start["total"]
-        ends = np.append(begins[1:], len(code)) - 1
+        total, ends = start["total"], np.append(first[1:], True)
+        sums = _running(frame["step"].to_numpy(np.int64), first, total[code])
         total[code[ends]] = sums[ends]
         self.save(keys[total != 0], {"total": total[total != 0]}, None)
         yield frame.assign(**{self.name: sums})
 
 
+class BulkTotals(Bulk):
+    """As ``state.RunningTotals``: each row with running sums of its key, ``total`` of ``value`` (null: 0) and ``n`` of rows."""
+
+    fields = {"total": pa.int64(), "n": pa.int64()}
+
+    def __init__(self, key: str, value: str, order: Sequence[str]):
+        super().__init__(key, order)
+        self.value = value
+
+    def step(self, frame, keys, code, first, start, leaves, timerValues) -> Iterator[pd.DataFrame]:
+        ends, sums = np.append(first[1:], True), {}
+        for name, added in (("total", frame[self.value].to_numpy(np.int64)), ("n", np.ones(len(frame), np.int64))):
+            sums[name] = _running(added, first, start[name][code])
+            start[name][code[ends]] = sums[name][ends]
+        self.save(keys, start, None)
+        yield frame.assign(**sums)
+
+
 class BulkSteps(Bulk):
     """As ``state.StatusSteps``: rows whose key had another status before, with it as ``previous_status``; all rows if ``keep_all``.
 

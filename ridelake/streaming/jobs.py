@@ -24,7 +24,7 @@ from ridelake.schema import DEMAND_THRESHOLD
 from ridelake.sources.ingest import judge_pings, judge_pings_as_of
 from ridelake.sources.snapshots import Snapshot
 from ridelake.streaming.batches import read_batches, run_batches, write_batch
-from ridelake.streaming.bulk import BulkSteps, BulkSum, in_bulk
+from ridelake.streaming.bulk import BulkSteps, BulkSum, BulkTotals, in_bulk
 from ridelake.streaming.state import RunningTotals, StatusSteps, keyed
 
 RETIRE = "30 days"  # how long a finished ride or payment stays in the state after its last row
@@ -109,17 +109,20 @@ def stream_positions(history: DataFrame, pings: DataFrame, t: Tables, out: str,
     )
 
 
-def rated_in_order(stream: DataFrame) -> DataFrame:
-    """Each rating with the two-place mean of its user's ratings so far; a user's sums are in the state."""
-    rows = stream.select("rating_id", "rated_user_id", "score", "timestamp")
-    summed = keyed(
-        rows, "rated_user_id", RunningTotals("score", ["timestamp", "rating_id"]),
-        "rating_id long, rated_user_id long, score int, timestamp timestamp_ntz, total long, n long",
-    )
+def rated_in_order(stream: DataFrame, many: bool = False) -> DataFrame:
+    """Each rating with the two-place mean of its user's ratings so far; a user's sums are in the state, by the bucket for ``many`` users."""
+    rows, order = stream.select("rating_id", "rated_user_id", "score", "timestamp"), ["timestamp", "rating_id"]
+    if many:
+        summed = in_bulk(rows, BulkTotals("rated_user_id", "score", order), "total long, n long")
+    else:
+        summed = keyed(
+            rows, "rated_user_id", RunningTotals("score", order),
+            "rating_id long, rated_user_id long, score int, timestamp timestamp_ntz, total long, n long",
+        )
     return summed.select("rating_id", "rated_user_id", "timestamp", "n", rating2(F.col("total"), F.col("n")).alias("average"))
 
 
-def stream_rating_alerts(stream: DataFrame, drivers: DataFrame, out: str, **run) -> StreamingQuery:
+def stream_rating_alerts(stream: DataFrame, drivers: DataFrame, out: str, many: bool = False, **run) -> StreamingQuery:
     """A notification for every rating that leaves a driver's mean below 3.5, and the users it suspends."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -127,10 +130,10 @@ def stream_rating_alerts(stream: DataFrame, drivers: DataFrame, out: str, **run)
         write_batch(alerts, f"{out}/rows", batch_id)
         write_batch(events.suspensions(alerts, "ref_user_id", "created_at"), f"{out}/suspended", batch_id)
 
-    return run_batches(rated_in_order(stream), handle, f"{out}/checkpoint", **run)
+    return run_batches(rated_in_order(stream, many), handle, f"{out}/checkpoint", **run)
 
 
-def stream_rider_flags(stream: DataFrame, drivers: DataFrame, out: str, **run) -> StreamingQuery:
+def stream_rider_flags(stream: DataFrame, drivers: DataFrame, out: str, many: bool = False, **run) -> StreamingQuery:
     """Ratings that leave a rider's mean below 3.0, and the users they suspend."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -138,7 +141,7 @@ def stream_rider_flags(stream: DataFrame, drivers: DataFrame, out: str, **run) -
         write_batch(flags, f"{out}/rows", batch_id)
         write_batch(events.suspensions(flags, "rated_user_id", "timestamp"), f"{out}/suspended", batch_id)
 
-    return run_batches(rated_in_order(stream), handle, f"{out}/checkpoint", **run)
+    return run_batches(rated_in_order(stream, many), handle, f"{out}/checkpoint", **run)
 
 
 def users_after_suspensions(users: DataFrame, out: str) -> DataFrame:

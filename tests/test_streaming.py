@@ -7,7 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from ridelake.operators import events, ranked
-from ridelake.registry import DEMAND_LIMIT
+from ridelake.registry import DEMAND_LIMIT, all_queries
 from ridelake.sources.feeds import feed
 from ridelake.streaming import jobs
 from ridelake.streaming.batches import read_batches, write_batch
@@ -254,3 +254,56 @@ def test_finished_payments_leave_a_bucket_by_timer(spark, folder):
     assert feed_in((3, 3, "pending")) == 2  # payment 1 is gone, 2 and 3 are not
     assert feed_in((4, 1, "paid"), (5, 2, "paid"), (6, 3, "paid")) == 3
     assert rows(read_batches(spark, f"{folder}/out/rows"), "payment_id") == [(2,), (3,)]  # payment 1 began anew
+
+
+@pytest.mark.parametrize("job, rule", [
+    (jobs.stream_rating_alerts, events.rating_alerts), (jobs.stream_rider_flags, events.rider_flags),
+])
+def test_rating_rules_with_users_by_the_bucket(spark, tables, folder, job, rule):
+    out = _run(spark, tables["ratings"], "timestamp", folder, lambda s, o: job(s, tables["driver"], o, many=True), n=3, per_run=2)
+    want = rule(events.running_ratings(tables["ratings"]), tables["driver"])
+    assert rows(read_batches(spark, f"{out}/rows"), *want.columns) == rows(want)
+    held = _held(spark, out, "bucket").select("bucket")
+    assert held.count() == held.distinct().count()
+
+
+def test_running_totals_by_the_bucket_keep_the_rules(spark, folder):
+    """Null users, scores and times, equal places, rows that come twice: as the call per user has it."""
+    at = lambda year, *more: dt.datetime(year, 1, 1, *more)
+    made = [
+        [(1, 7, 5, at(2024)), (2, 7, None, at(2024)), (2, 7, None, at(2024)), (3, None, 4, at(2024, 1)), (None, 8, 1, at(1, 1)), (4, 0, 2, None),
+         (5, 2**60 + 1, -3, dt.datetime(1960, 2, 3, 4, 5, 6, 789123)), (6, 2**60, 9, at(2024))],
+        [(7, 7, 1, at(2023)), (8, None, 2, None), (9, 8, 3, at(9999, 12, 31, 5)), (10, 0, 0, at(2024)), (11, 2**60, 9, at(2025)),
+         (12, 9, 4, at(2024)), (13, 9, 5, at(2023)), (14, 2**60 + 1, 3, at(2024))],
+    ]
+    schema = "rating_id long, rated_user_id long, score int, timestamp timestamp_ntz"
+    got = {}
+    for many in (False, True):
+        out = f"{folder}/{many}"
+        for part in made:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{out}/in")
+            summed = jobs.rated_in_order(jobs.read_feed(spark, f"{out}/in", schema), many)
+            jobs.run_batches(summed, lambda batch, n, o=out: write_batch(batch, f"{o}/rows", n), f"{out}/checkpoint", reuse=False).awaitTermination()
+        got[many] = rows(read_batches(spark, f"{out}/rows"), "rating_id", "rated_user_id", "timestamp", "n", "average")
+    assert got[True] == got[False] and len(got[True]) == 16
+    # Users 0, 7, 8, 9, 2**60 and 2**60 + 1 have at most a bucket each, ratings without a user their own.
+    assert _held(spark, f"{folder}/True", "bucket").count() <= 7
+
+
+@pytest.mark.parametrize("name", [
+    "stream_rating_alerts", "stream_rider_flags", "stream_users_after_rating_alerts", "stream_users_after_rider_flags",
+])
+def test_queries_call_python_by_the_bucket(tables, monkeypatch, name):
+    class Begun(Exception):
+        pass
+
+    def by_key(*_args, **_kwargs):
+        raise AssertionError("a call per key")
+
+    def begun(*_args, **_kwargs):
+        raise Begun
+
+    monkeypatch.setattr(jobs, "keyed", by_key)
+    monkeypatch.setattr(jobs, "run_batches", begun)
+    with pytest.raises(Begun):
+        all_queries()[name].run(tables)
