@@ -259,9 +259,9 @@ def many_status_changes(
     return in_bulk(rows, BulkSteps(key, ["timestamp", event], done, wait, keep_all), "previous_status string", timers=True)
 
 
-def stream_ride_effects(stream: DataFrame, t: Tables, out: str, retire: str = RETIRE, **run) -> StreamingQuery:
-    """History rows, freed drivers and drop-off pings from ride status changes."""
-    changed = status_changes(stream, "ride_id", "history_id", RIDE_DONE, retire)
+def stream_ride_effects(stream: DataFrame, t: Tables, out: str, retire: str = RETIRE, many: bool = False, **run) -> StreamingQuery:
+    """History rows, freed drivers and drop-off pings from ride status changes; for ``many`` rides their statuses are kept by the bucket."""
+    changed = (many_status_changes if many else status_changes)(stream, "ride_id", "history_id", RIDE_DONE, retire)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         for name, rows in events.ride_effects(batch, t).items():

@@ -267,6 +267,17 @@ def test_rating_rules_with_users_by_the_bucket(spark, tables, folder, job, rule)
     assert held.count() == held.distinct().count()
 
 
+def test_ride_effects_with_rides_by_the_bucket(spark, tables, folder):
+    out = _run(
+        spark, tables["ride_history"], "timestamp", folder, lambda s, o: jobs.stream_ride_effects(s, tables, o, many=True), n=3, per_run=2
+    )
+    want = events.ride_effects(events.status_steps(tables["ride_history"], "ride_id", "history_id"), tables)
+    for name, frame in want.items():
+        assert frame.count() > 0
+        assert rows(read_batches(spark, f"{out}/{name}"), *frame.columns) == rows(frame)
+    assert _held(spark, out, "bucket").count() > 0
+
+
 def test_running_totals_by_the_bucket_keep_the_rules(spark, folder):
     """Null users, scores and times, equal places, rows that come twice: as the call per user has it."""
     at = lambda year, *more: dt.datetime(year, 1, 1, *more)
@@ -292,6 +303,7 @@ def test_running_totals_by_the_bucket_keep_the_rules(spark, folder):
 
 @pytest.mark.parametrize("name", [
     "stream_rating_alerts", "stream_rider_flags", "stream_users_after_rating_alerts", "stream_users_after_rider_flags",
+    "stream_ride_effects_history", "stream_ride_effects_freed", "stream_ride_effects_pings",
 ])
 def test_queries_call_python_by_the_bucket(tables, monkeypatch, name):
     class Begun(Exception):
