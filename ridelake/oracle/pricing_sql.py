@@ -59,7 +59,7 @@ ready AS (
   WHERE availability_status = 'available' AND d.verification_status = 'verified')"""
 
 
-def _within(radius: int, kind: str = "", pickups: str = "searched_pickups") -> str:
+def _within(radius: int, kind: str = "", pickups: str = "open_pickups") -> str:
     distance = _cosine("pickup_lat", "pickup_lng", "current_lat", "current_lng")
     return f"""WITH {_BOOKABLE.format(kind=kind)}
 SELECT * FROM (
@@ -81,8 +81,8 @@ QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY distance_km, driver_
     "drivers_within_radius": _within(50),
     "closest_drivers": f"""SELECT *, CAST(row_number() OVER (PARTITION BY request_id
     ORDER BY distance_km, average_rating DESC NULLS LAST, driver_id) AS INTEGER) AS place
-FROM ({_within(50, pickups="open_pickups")}) QUALIFY place <= 5""",
-    "premium_drivers_within_10_km": _within(10, "AND vehicle_type = 'premium'"),
+FROM ({_within(50)}) QUALIFY place <= 5""",
+    "premium_drivers_within_10_km": _within(10, "AND vehicle_type = 'premium'", "searched_pickups"),
     "trip_estimate": f"WITH {_ESTIMATED} SELECT trip_id, distance_km, duration_min FROM estimated",
     "fare_quote": f"""WITH {_quoted("(SELECT count(*) FROM rides WHERE ride_status = 'requested') > 10")}
 SELECT {_QUOTE_COLUMNS} FROM rated""",

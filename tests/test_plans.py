@@ -11,7 +11,7 @@ from ridelake.plans import keyed
 from ridelake.plans.session import shared_dir
 from ridelake.registry import all_queries
 from ridelake.sources import ingest
-from ridelake.sources.adapter import ride_tables, spread
+from ridelake.sources.adapter import spread
 from ridelake.sources.feeds import feed
 from ridelake.sources.tables import load_tables, write_tables
 
@@ -143,14 +143,17 @@ def test_pages_by_key_reach_every_ride_once(spark):
     assert seen == [r.ride_id for r in rides.orderBy(*order).collect()]
 
 
-def test_registered_radius_searches_ask_for_every_hundredth_pickup(spark):
-    """All pickups against all drivers are quadratic; the searches take ids divisible by 100, and all drivers."""
-    tables = ride_tables(spark, "/root/testdata/sf0.01")
-    asked = feed(tables, "searched_pickups")
-    assert rows(asked) == rows(feed(tables, "open_pickups").where("request_id % 100 = 0")) != []
-    got = all_queries()["drivers_within_radius"].run(tables)
-    assert got.count() == matching.drivers_within_radius(tables, asked).count() > 0
-    assert got.where("request_id % 100 <> 0").isEmpty()
+@pytest.mark.parametrize("name, vehicle_type", [("drivers_within_radius", "economy")])
+def test_registered_radius_searches_ask_for_every_open_pickup(spark, seed, name, vehicle_type):
+    first = seed["rides"].first().asDict()
+    rides = [first | {"ride_id": i, "ride_status": "requested" if i != 4 else "completed"} for i in (1, 2, 4, 99, 100, 101, 200)]
+    t = seed.replace(
+        rides=spark.createDataFrame([tuple(r.values()) for r in rides], seed["rides"].schema),
+        vehicles=seed["vehicles"].withColumn("vehicle_type", F.lit(vehicle_type)),
+    )
+    found = rows(all_queries()[name].run(t), "request_id", "driver_id")
+    assert sorted(found) == [(i, 1) for i in (1, 2, 99, 100, 101, 200)]
+    assert "searched_pickups" not in all_queries()[name].sql and "ride_id % 100 =" not in all_queries()[name].sql
 
 
 def test_lines_are_dealt_to_more_tasks_as_they_grow(spark):
