@@ -143,7 +143,9 @@ def test_pages_by_key_reach_every_ride_once(spark):
     assert seen == [r.ride_id for r in rides.orderBy(*order).collect()]
 
 
-@pytest.mark.parametrize("name, vehicle_type", [("drivers_within_radius", "economy")])
+@pytest.mark.parametrize("name, vehicle_type", [
+    ("drivers_within_radius", "economy"), ("premium_drivers_within_10_km", "premium"),
+])
 def test_registered_radius_searches_ask_for_every_open_pickup(spark, seed, name, vehicle_type):
     first = seed["rides"].first().asDict()
     rides = [first | {"ride_id": i, "ride_status": "requested" if i != 4 else "completed"} for i in (1, 2, 4, 99, 100, 101, 200)]
