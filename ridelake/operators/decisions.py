@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridelake.plans.keyed import running_totals
+from ridelake.plans.keyed import HotKeys, running_totals
 from ridelake.plans.session import cut
 
 
@@ -36,18 +36,19 @@ def rejected(decided: DataFrame) -> DataFrame:
     return decided.where("reject_reason IS NOT NULL")
 
 
-def with_first(df: DataFrame, keys: Sequence[str], order: Sequence[str], eligible: Column) -> DataFrame:
+def with_first(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], eligible: Column, hot: HotKeys | None = None
+) -> DataFrame:
     """Add ``is_first`` and ``after_first``: the earliest eligible row per key, and rows past it.
 
     Eligible rows are counted along the key's timeline in slices, so a key with very many requests
-    is neither sorted nor joined in one task. The requests, joined by then, are materialised once.
+    is neither sorted nor joined in one task. The requests, joined by then, are materialised once. Where
+    it is known that no key is hot (``hot={}``), nothing is, and rows dealt by ``keys`` stay where they are.
     """
-    marked = cut(
-        df.withColumn("_key", F.struct(*keys)).withColumn(
-            "_eligible", F.coalesce(eligible, F.lit(False)).cast("int")
-        )
-    )
-    counted = running_totals(marked, ["_key"], order, {"_count": F.col("_eligible")})
+    marked, by = df.withColumn("_eligible", F.coalesce(eligible, F.lit(False)).cast("int")), list(keys)
+    if hot is None:
+        marked, by = cut(marked.withColumn("_key", F.struct(*keys))), ["_key"]
+    counted = running_totals(marked, by, order, {"_count": F.col("_eligible")}, hot=hot)
     return counted.withColumn(
         "is_first", (F.col("_eligible") == 1) & (F.col("_count") == 1)
     ).withColumn("after_first", F.col("_count") > F.col("_eligible")).drop("_key", "_eligible", "_count")

@@ -18,8 +18,8 @@ from ridelake.operators.aggregates import received_scores
 from ridelake.operators.common import Tables
 from ridelake.operators.decisions import accepted, first_reason, fixed, rejected, with_first
 from ridelake.operators.pricing import attach_promo, booking_fare, discount, fare_quote
-from ridelake.plans.keyed import hot_keys, join_per_key, running_totals
-from ridelake.plans.session import cut
+from ridelake.plans.keyed import HotKeys, deal, hot_keys, is_hot, join_per_key, running_totals
+from ridelake.plans.session import cut, stored
 from ridelake.schema import (
     DEMAND_THRESHOLD, DRIVER_BUSY_STATUSES, LOW_DRIVER_RATING, MIN_TRIPS_TO_FLAG, PAYMENT_METHODS, PAYOUT_DAYS,
 )
@@ -248,35 +248,52 @@ def accept_reject_cancel(requests: DataFrame, rides: DataFrame, drivers: DataFra
 
 
 def settle_payments(requests: DataFrame, rides: DataFrame, payments: DataFrame, promos: DataFrame, as_of) -> Frames:
-    """Pay completed rides; the first valid request per unpaid ride wins."""
-    ride = rides.select(
-        F.col("ride_id").alias("_ride"), F.col("user_id").alias("_rider"), "driver_id", "ride_status",
+    """Pay completed rides; the first valid request per unpaid ride wins.
+
+    Requests without a code skip the join of promos. The others go by ride once: the rides, which know whether they are
+    paid, are joined and the first request is found where the requests of a ride meet. Those of a hot ride are dealt instead.
+    """
+    paid = payments.where("payment_status = 'paid'").select(F.col("ride_id").alias("_ride")).distinct()
+    ride = rides.where("ride_id IS NOT NULL").select(
+        F.col("ride_id").alias("_ride"), F.col("user_id").alias("_rider"), "driver_id",
+        (F.col("ride_status") != "completed").alias("_open"),
         F.coalesce(F.col("fare").cast("decimal(18,2)"), F.lit(0)).alias("fare"),
-    )
-    paid = payments.where("payment_status = 'paid'").select("ride_id").distinct().withColumn("paid", F.lit(True))
-    owned = (F.col("ride_id") == F.col("_ride")) & (F.col("user_id") == F.col("_rider"))
-    promoed = attach_promo(requests, promos, as_of)
-    joined = join_per_key(promoed, paid, ["ride_id"], hot=hot_keys(requests, ["ride_id"])).join(ride, owned, "left")
-    priced = discount(joined, "reject").withColumnRenamed("reject_reason", "promo_reason")
-    bad_method = ~F.coalesce(F.col("payment_method").isin(*PAYMENT_METHODS), F.lit(False))
-    rules = [
-        ("invalid_method", bad_method),
-        ("ride_not_found", F.col("_ride").isNull()),
-        ("not_completed", F.col("ride_status") != "completed"),
-        ("already_paid", F.col("paid").isNotNull()),
-    ]
-    checked = priced.withColumn("_reason", first_reason(*rules))
-    eligible = F.col("_reason").isNull() & F.col("promo_reason").isNull()
-    ranked = with_first(checked, ["ride_id"], ["requested_at", "request_id"], eligible)
+    ).join(paid.withColumn("paid", F.lit(True)), "_ride", "left")
+    plain = is_blank(F.col("promo_code"))
+    no_promo = [F.lit(None).cast(promos.schema[c].dataType).alias(c) for c in ("promo_id", "discount_amount")]
+    promoed = attach_promo(requests.where(~plain), promos, as_of).unionByName(requests.where(plain).select("*", *no_promo))
+
+    def ranked(joined: DataFrame, hot: HotKeys | None) -> DataFrame:
+        priced = discount(joined, "reject").withColumnRenamed("reject_reason", "promo_reason")
+        bad_method = ~F.coalesce(F.col("payment_method").isin(*PAYMENT_METHODS), F.lit(False))
+        rules = [
+            ("invalid_method", bad_method),
+            ("ride_not_found", F.col("_ride").isNull()),
+            ("not_completed", F.col("_open")),
+            ("already_paid", F.col("paid").isNotNull()),
+        ]
+        checked = priced.withColumn("_reason", first_reason(*rules))
+        eligible = F.col("_reason").isNull() & F.col("promo_reason").isNull()
+        return with_first(checked, ["ride_id"], ["requested_at", "request_id"], eligible, hot)
+
+    hot = hot_keys(requests, ["ride_id"])
+    heat = is_hot(["ride_id"], hot)
+    # Not an equality of users, by which the requests would be dealt once more.
+    owned = (F.col("ride_id") == F.col("_ride")) & F.col("user_id").between(F.col("_rider"), F.col("_rider"))
+    by_ride = deal(promoed.where(~heat) if hot else promoed, ["ride_id"], requests.count())
+    first = ranked(by_ride.join(ride, owned, "left"), {})
+    if hot:
+        of_user = ride.withColumns({"ride_id": F.col("_ride"), "user_id": F.col("_rider")})
+        first = first.unionByName(ranked(join_per_key(promoed.where(heat), of_user, ["ride_id", "user_id"]), None))
     late = F.when(F.col("_reason").isNull() & F.col("after_first"), F.lit("already_paid"))
     amount = F.col("final_fare")
-    decided = ranked.withColumn("reject_reason", F.coalesce("_reason", late, "promo_reason")).select(
+    decided = first.withColumn("reject_reason", F.coalesce("_reason", late, "promo_reason")).select(
         *requests.columns, "driver_id", F.col("fare").cast("decimal(18,2)").alias("original_fare"),
         "promo_id", "discount_applied", amount.alias("amount"),
         commission2(amount).alias("platform_commission"), driver_net2(amount).alias("driver_net"),
         "reject_reason",
     )
-    decided = fixed(decided)
+    decided = stored(decided)
     done = accepted(decided)
     return {
         "decided": decided,

@@ -1,14 +1,16 @@
 """Shapes of physical plans, with broadcasts off as for tables beyond any threshold."""
 
 import re
+import time
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from ridelake.operators import aggregates, common, events, lists, matching, pricing, ranked, wide
+from ridelake.operators import aggregates, common, decisions, events, lifecycle, lists, matching, pricing, ranked, wide
 from ridelake.plans import keyed
 from ridelake.plans.session import shared_dir
+from ridelake.plans.session import stored as store
 from ridelake.registry import all_queries
 from ridelake.sources import ingest
 from ridelake.sources.adapter import spread
@@ -92,6 +94,36 @@ def test_hot_keys_are_sliced(stored, monkeypatch):
     assert len(moved) == 1 and moved[0].startswith("(rated_user_id, _slice")
 
 
+def test_settlement_deals_requests_by_ride_once(stored, monkeypatch):
+    """Joined rides, the paid mark and the first request per ride share a shuffle; nothing is checkpointed."""
+    kept = []
+    monkeypatch.setattr(decisions, "cut", lambda df: pytest.fail("checkpoint"))
+    monkeypatch.setattr(lifecycle, "stored", lambda df: kept.append(df) or df)
+    asked = store(feed(stored, "payment_requests"))
+    lifecycle.settle_payments(asked, stored["rides"], stored["payments"], stored["promo_code"], "1998-08-02")
+    text = re.sub(r"#\d+L?", "", plan(kept[0]))
+    window = text[text.index("Window ["):]
+    assert "Exchange" not in window[: window.index("SortMergeJoin [ride_id], [_ride], LeftOuter")]
+    assert text.count("Exchange hashpartitioning(ride_id, ") == 1
+
+
+def test_stored_rows_are_whole_and_leave_no_shuffle_files(spark):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())}
+    before = files()
+    some = spark.range(5000).select("id", F.struct((F.col("id") % 7).alias("a")).alias("_key"), F.lit(None).cast("decimal(18,2)").alias("d"))
+    kept = store(some.repartition(5, "id"))
+    assert kept.dtypes == some.dtypes and rows(kept) == rows(some)
+    assert rows(store(some.limit(0))) == []
+    for _ in range(40):
+        left = [f for f in files() - before if f.startswith("shuffle_")]
+        if not left:
+            break
+        time.sleep(0.5)
+    assert left == []
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_only_the_share_window_is_unpartitioned(stored):
     for frame in (ranked.ride_status_timeline(stored), wide.driver_recent_payments(stored), wide.rider_active_ride(stored)):
         assert "Exchange SinglePartition" not in plan(frame)

@@ -231,6 +231,48 @@ def test_hot_keys_are_found(spark, monkeypatch):
     assert keyed.hot_keys(some.limit(0), ["key"]) == {}
 
 
+def test_settlement_matches_a_sequential_loop(spark, seed, heat):
+    """Requests of few rides: some come twice, some lack their ride, user, method or time."""
+    rng = random.Random(11)
+    statuses = {i: rng.choice(["completed", "completed", "cancelled", None]) for i in range(1, 30)}
+    ride_rows = [r for r in seed["rides"].limit(1).collect()]
+    rides = spark.createDataFrame(
+        [tuple((ride_rows[0].asDict() | {"ride_id": i, "user_id": i % 4 if i % 9 else None, "driver_id": 1 if i % 5 else None,
+                "ride_status": status, "fare": D(i * 10)}).values()) for i, status in statuses.items()], seed["rides"].schema)
+    owner = {i: i % 4 if i % 9 else None for i in statuses}
+    paid = {5, 6, 14}
+    pay = seed["payments"].first().asDict()
+    payments = spark.createDataFrame(
+        [tuple((pay | {"payment_id": i, "ride_id": i if i < 20 else None, "payment_status": "paid" if i in paid or i >= 20 else "pending"}).values())
+         for i in range(1, 23)], seed["payments"].schema)
+    codes = {"welcome50": (1, D(50)), "save100": (2, D(100)), "ride25": (3, D(25))}
+    data = []
+    for i in range(600):
+        ride = None if i % 40 == 0 else 1 if i % 3 == 0 else rng.randrange(1, 32)
+        user = owner.get(ride) if rng.random() < 0.8 else rng.choice([None, 1, 3])
+        when = None if i % 50 == 7 else NOW + dt.timedelta(seconds=rng.randrange(0, 40_000, 9))
+        data.append((i, ride, user, rng.choice(["cash", "card", "gold", None]), rng.choice([None, "", " Save100 ", "RIDE25", "NOPE"]), when))
+    data += data[:60]
+    requests = spark.createDataFrame(
+        data, "request_id BIGINT, ride_id BIGINT, user_id BIGINT, payment_method STRING, promo_code STRING, requested_at TIMESTAMP_NTZ")
+    settled, want = set(), []
+    for i, ride, user, method, code, when in sorted(data, key=lambda r: (r[5] is not None, r[5] or NOW, r[0])):
+        known = ride in statuses and user is not None and owner[ride] == user
+        promo = codes.get(code.strip().lower()) if code else None
+        reason = ("invalid_method" if method not in ("cash", "card") else "ride_not_found" if not known
+                  else "not_completed" if statuses[ride] not in ("completed", None) else "already_paid" if ride in paid else None)
+        if reason is None:
+            reason = "already_paid" if ride in settled else "invalid_promo" if code and not promo else None
+        if reason is None:
+            settled.add(ride)
+        amount = max(D(0), (D(ride * 10) if known else D(0)) - (promo[1] if promo else 0)) if known and not (code and not promo) else None
+        want.append((i, ride, reason, promo and promo[0], amount))
+    out = lifecycle.settle_payments(requests, rides, payments, seed["promo_code"], "2026-03-10")
+    assert rows(out["decided"], "request_id", "ride_id", "reject_reason", "promo_id", "amount") == sorted(want, key=repr)
+    assert out["payments"].count() == len(settled) > 5
+    assert sorted(r.ride_id for r in out["history"].collect()) == sorted(r for r in settled if r % 5)
+
+
 def test_registrations_match_a_sequential_loop(spark, seed, heat):
     rng = random.Random(6)
     data = [(i, f"e{rng.randrange(60)}", f"p{rng.randrange(60)}", NOW + dt.timedelta(seconds=rng.randrange(500))) for i in range(300)]
