@@ -7,6 +7,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from ridelake import registry
 from ridelake.operators import aggregates, common, decisions, events, lifecycle, lists, matching, pricing, ranked, wide
 from ridelake.plans import keyed
 from ridelake.plans.session import shared_dir
@@ -107,6 +108,14 @@ def test_settlement_deals_requests_by_ride_once(stored, monkeypatch):
     assert text.count("Exchange hashpartitioning(ride_id, ") == 1
 
 
+def test_audit_events_read_the_stored_decisions(stored, monkeypatch):
+    """What settlement wrote is kept once; its entries and payments are not materialised again to be parsed."""
+    for module in (registry, decisions, lifecycle):
+        monkeypatch.setattr(module, "cut", lambda df: pytest.fail("checkpoint"))
+    parsed = all_queries()["audit_events"].run(stored)
+    assert parsed.count() > 0 and parsed.where("NOT reconciled").isEmpty()
+
+
 def test_stored_rows_are_whole_and_leave_no_shuffle_files(spark):
     files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
         spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())}
